@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .backoff_lm import lm_scores
 from .decontaminate import contamination
 from .simhash import near_duplicates
+from .token_output import read_tokens, write_tokens
 from .url_filter import url_verdicts
 
 
@@ -44,11 +45,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def word_vocabulary() -> str:
+    """Place of the word BPE vocabulary; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), word_vocabulary()))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
     "op4_backoff_lm": op4_backoff_lm,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_output": op7_token_output,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
