@@ -60,12 +60,16 @@ def shuffle_width(spark: SparkSession, n_bytes: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_task), 1)
 
 
-def hashed_counts(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bag of words: distinct feature numbers below 2**bits and their counts."""
-    tally = Counter(words)
+def hashed(tally: Counter, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers below 2**bits of the keys (bytes), and their summed counts."""
     mask = (1 << bits) - 1
     digest = xxhash.xxh3_64_intdigest
     index = np.fromiter((digest(w) & mask for w in tally), np.int64, len(tally))
     count = np.fromiter(tally.values(), np.float64, len(tally))
     order, where = np.unique(index, return_inverse=True)
     return order, np.bincount(where, count, len(order))
+
+
+def hashed_counts(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bag of words."""
+    return hashed(Counter(words), bits)

@@ -61,19 +61,20 @@ def votes(s: list[float]) -> list[int]:
     """The labellers, on a text's signals."""
     odd, pipes, upper, shout, repeats, variety, lines, stops, n_words = s
     bad = lambda flag: -1 if flag else 0
+    enough = n_words >= 8  # shares of a few words say little
     return [
-        bad(odd > 0.08),
-        bad(odd > 0.12 or odd < 0.002),
+        bad(enough and odd > 0.08),
+        bad(enough and (odd > 0.12 or odd < 0.002)),
         bad(pipes > 0.2),
-        bad(upper > 0.25),
+        bad(enough and upper > 0.25),
         bad(shout > 0.2),
         bad(repeats > 0.1),
         bad(n_words >= 30 and variety < 0.2),
-        bad(lines > 0.4),
-        bad(n_words < 4),
-        bad(stops < 0.01 or stops > 0.6),
-        1 if 0.01 <= odd <= 0.07 and stops >= 0.02 else 0,
-        1 if upper < 0.15 and shout < 0.05 and pipes < 0.05 else 0,
+        bad(enough and lines > 0.4),
+        bad(n_words < 1),
+        bad(enough and (stops < 0.01 or stops > 0.6)),
+        1 if n_words and (not enough or 0.01 <= odd <= 0.07) and stops >= 0.02 else 0,
+        1 if n_words and (not enough or upper < 0.15) and shout < 0.05 and pipes < 0.05 else 0,
         1 if repeats < 0.03 and (variety > 0.3 or n_words > 2000) else 0,
     ]
 

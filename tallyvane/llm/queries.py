@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .backoff_lm import lm_scores
 from .decontaminate import contamination
+from .mixing import posteriors, rates
+from .quality import scored
 from .simhash import near_duplicates
 from .token_output import read_tokens, write_tokens
+from .toxicity import toxicity
 from .url_filter import url_verdicts
 
 
@@ -26,6 +29,23 @@ URL_RULES = [
 ]
 
 
+#: Production parameter: wanted shares of tokens by language.
+MIX = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain): the language of the documents that the labels table covers."""
+    languages = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return table(spark, sf_dir, "labels").select("doc_id").join(languages, "doc_id")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, domains = posteriors(table(spark, sf_dir, "documents"), labelled_languages(spark, sf_dir))
+    targets = {d: w for d, w in MIX.items() if d in domains}
+    names = F.array(*map(F.lit, domains)).cast("array<string>")
+    return rates(found, domains, targets).select(F.col("id").alias("doc_id"), "n_tokens", names.alias("domains"), "posterior", "rate")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -39,6 +59,10 @@ def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -56,12 +80,19 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), word_vocabulary()))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
     "op4_backoff_lm": op4_backoff_lm,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_output": op7_token_output,
+    "op10_toxicity": op10_toxicity,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

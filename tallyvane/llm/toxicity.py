@@ -17,43 +17,52 @@ positive example every score is 0. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, crc32_mod, hashed_counts
+from .common import TO_LOWER, crc32_mod, hashed
 from .linear import Adam, Rows, sampled, smallest_hashes
 
 #: Documents fitted on, at most (by smallest hash of the id).
 POSITIVES = 4_000
 UNLABELLED = 8_000
 BITS = 20
-MIN_POSITIVES = 4
+MIN_POSITIVES = 3
+MIN_SHARE = 0.02  # copies of one text must not make its words look typical
 MIN_Z = 4.0
 BEGINNINGS = (5, 6, 7, 8)
 SEED = 1010
 
 
-def features(text: bytes) -> np.ndarray:
-    """Numbers of the hashed words and word beginnings present."""
-    words = set(text.translate(TO_LOWER).split())
-    bare = {w.strip(b".,;:!?\"'()[]*#$%&|") for w in words}
-    found = bare | {b"^" + w[:n] for w in bare for n in BEGINNINGS if len(w) >= n}
-    return hashed_counts(list(found), BITS)[0]
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, values): hashed words and word beginnings, by the logarithm of their counts."""
+    tally = Counter(text.translate(TO_LOWER).split())
+    counts: Counter = Counter()
+    for word, n in tally.items():
+        bare = word.strip(b".,;:!?\"'()[]*#$%&|")
+        counts[bare] += n
+        for length in BEGINNINGS:
+            if len(bare) >= length:
+                counts[b"^" + bare[:length]] += n
+    index, count = hashed(counts, BITS)
+    return index, np.log1p(count)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds=300, rate=0.05, decay=1e-5):
+def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, rounds=300, rate=0.05, decay=1e-5):
     """(feature numbers in order, weights, bias)."""
     size = 1 << BITS
-    df_p = np.bincount(np.concatenate(positive), minlength=size)
-    df_u = np.bincount(np.concatenate(unlabelled), minlength=size) if unlabelled else np.zeros(size)
+    df = lambda docs: np.bincount(np.concatenate([i for i, _ in docs]), minlength=size) if docs else np.zeros(size)
+    df_p, df_u = df(positive), df(unlabelled)
     share_p, share_u = df_p / len(positive), (df_u + 1) / (len(unlabelled) + 2)
     z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / len(positive) + 1e-12)
-    chosen = np.flatnonzero((df_p >= MIN_POSITIVES) & (z > MIN_Z))
+    chosen = np.flatnonzero((df_p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (z > MIN_Z))
     place = np.full(size, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    near = lambda docs: Rows([(i := place[d][place[d] >= 0], np.ones(len(i))) for d in docs])
+    near = lambda docs: Rows([(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in docs])
     p, u = near(positive), near(unlabelled)
     weights, bias = np.zeros((len(chosen), 1)), np.array([np.log(prior / (1 - prior))])
     by_weight, by_bias = Adam(weights.shape, rate), Adam(bias.shape, rate)
@@ -86,12 +95,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
     def describe(batches):
         for batch in batches:
-            out = [features(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["index"])
+            out = [features(t) for t in batch.column("text").to_pylist()]
+            columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["index", "value"])
 
-    def gather(keys: DataFrame) -> list[np.ndarray]:
-        rows = sampled(source, keys, "id").select("text").mapInArrow(describe, "index binary").collect()
-        return [np.frombuffer(r["index"], "<i4").astype(np.int64) for r in rows]
+    def gather(keys: DataFrame) -> list[tuple]:
+        rows = sampled(source, keys, "id").select("text").mapInArrow(describe, "index binary, value binary").collect()
+        return [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
 
     positive = gather(smallest_hashes(known.where(F.col(label_col) == 1), id_col, POSITIVES, SEED))
     unlabelled = gather(smallest_hashes(docs.where(learnable), id_col, UNLABELLED, SEED + 1))
@@ -112,7 +122,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
         table = np.zeros(1 << BITS)
         table[chosen] = weights
         for batch in batches:
-            g = np.array([bias + table[features(t)].sum() for t in batch.column("text").to_pylist()])
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            g = np.array([bias + table[i] @ v for i, v in found])
             score = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64())], ["id", "score"])
 
