@@ -71,11 +71,41 @@ def matches(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id", text_c
     weighed = distinct_words.join(counts, "term").withColumn("present", F.count("*").over(Window.partitionBy("window")))
     possible = weighed.where("present = size")
     ranked = possible.withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("n", "offset")))
-    anchors = written(ranked.where(F.col("rank") <= ANCHORS).select("window", "size", "offset", "term"), "anchors")
-    # Postings of the anchors only; all anchors of a window must agree on its start.
+    anchors = written(ranked.where(F.col("rank") <= ANCHORS).select("window", "size", "rank", "offset", "term"), "anchors")
+    phrases = distinct_words.groupBy("window").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"]).alias("phrase")
+    )
+    if n <= BROADCAST_WORDS:
+        return local_matches(keyed, anchors, phrases)
+    return shuffled_matches(keyed, anchors, phrases)
+
+
+def local_matches(keyed: DataFrame, anchors: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Lists of a document are intersected where it is read: its postings are all in its row.
+
+    The rarest anchor's postings give the starts; the other anchors, then the whole
+    phrase, are looked up at their offsets. Explode, join and tests are one generated
+    stage, so the words are not copied per posting, and only true matches leave it.
+    """
+    by_rank = F.transform(F.array_sort(F.collect_list(F.struct("rank", "offset", "term"))), lambda x: F.struct(x["offset"], x["term"]))
+    lists = anchors.groupBy("window", "size").agg(by_rank.alias("anchors")).join(phrases, "window")
+    side = lists.select("window", "size", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("offset"), "anchors", "phrase")
+    postings = keyed.select("doc", "id", "words", F.posexplode("words").alias("pos", "term"))
+    start = F.col("pos") - F.col("offset")
+    stands = start >= 0
+    for nth in range(1, ANCHORS):
+        other = F.get("anchors", F.lit(nth))
+        stands = stands & (other.isNull() | (F.get("words", start + other["offset"]) == other["term"]))
+    stands = stands & (F.slice("words", start + 1, F.col("size")) == F.col("phrase"))
+    met = postings.join(F.broadcast(side), "term").where(F.when(start >= 0, stands).otherwise(False))
+    return met.select("doc", "id", "window", "size", start.alias("start"))
+
+
+def shuffled_matches(keyed: DataFrame, anchors: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The same where the windows are too many to broadcast: lists meet in shuffles."""
     postings = keyed.select("doc", "id", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "term"))
     hits = (
-        postings.join(small(anchors, n, BROADCAST_WORDS), "term")
+        postings.join(anchors, "term")
         .withColumn("start", F.col("pos") - F.col("offset"))
         .where("start >= 0 and start + size <= n_words")
         .groupBy("doc", "id", "window", "size", "start")
@@ -83,20 +113,17 @@ def matches(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id", text_c
         .where(F.col("agree") == F.least(F.col("size"), F.lit(ANCHORS)))
         .drop("agree")
     )
-    return confirmed(keyed, written(hits, "candidates"), distinct_words)
+    return confirmed(keyed, written(hits, "candidates"), phrases)
 
 
-def confirmed(keyed: DataFrame, candidates: DataFrame, window_words: DataFrame) -> DataFrame:
+def confirmed(keyed: DataFrame, candidates: DataFrame, phrases: DataFrame) -> DataFrame:
     """Candidates whose every word stands at its place."""
-    docs = candidates.select("doc", "id").distinct()
-    texts = keyed.join(docs.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    wanted = window_words.groupBy("window").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"]).alias("phrase")
+    docs = candidates.select("doc").distinct()
+    texts = keyed.join(docs, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "words")
+    starts = candidates.join(phrases, "window")
+    return starts.join(texts, "doc").where(F.slice("words", F.col("start") + 1, F.col("size")) == F.col("phrase")).select(
+        "doc", "id", "window", "size", "start"
     )
-    starts = candidates.join(wanted, "window").select("doc", "id", "window", "size", "start", "phrase")
-    return starts.join(texts.select("doc", "words"), "doc").where(
-        F.slice("words", F.col("start") + 1, F.col("size")) == F.col("phrase")
-    ).select("doc", "id", "window", "size", "start")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, terms=3, span=20, id_col="doc_id", text_col="text") -> DataFrame:
