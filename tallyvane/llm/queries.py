@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .backoff_lm import lm_scores
 from .decontaminate import contamination
+from .media import document_media
 from .mixing import posteriors, rates
+from .pseudonyms import kind_counts, pseudonymised
 from .quality import scored
 from .simhash import near_duplicates
 from .token_output import read_tokens, write_tokens
@@ -80,6 +82,19 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), word_vocabulary()))
 
 
+#: Stands in for the secret that a production job reads from its own configuration.
+PSEUDONYM_KEY = b"registered query"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised(docs, PSEUDONYM_KEY).select("doc_id", "text", "spans", kind_counts(F.col("spans")).alias("found"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +107,8 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_output": op7_token_output,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
 }
 

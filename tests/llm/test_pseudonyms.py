@@ -1,0 +1,70 @@
+import datetime
+import random
+
+import pytest
+
+from tallyvane.llm import pseudonyms as p
+
+KEY = b"test key"
+
+
+def test_small_domain_is_permuted():
+    for left, right in ((7, 5), (1, 9), (16, 16)):
+        assert sorted(p.permuted(KEY, "x", v, left, right) for v in range(left * right)) == list(range(left * right))
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("card", "4539578763621486"),
+        ("card", "4539 5787 6362 1486"),
+        ("iban", "DE89 3704 0044 0532 0130 00"),
+        ("social", "123-45-6789"),
+        ("address", "192.168.10.77"),
+        ("date", "2024-02-29"),
+        ("date", "31.12.1999"),
+        ("date", "12/25/2020"),
+        ("phone", "+1 (415) 555-2671"),
+        ("phone", "+14155552671"),
+        ("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"),
+        ("email", "Jo.Doe+7@mail7.example.com"),
+    ],
+)
+def test_format_kept_and_still_recognised(kind, text):
+    new, spans = p.pseudonymise(f"see {text}, thanks", KEY)
+    assert [s[2] for s in spans] == [kind]
+    value = new[spans[0][0] : spans[0][1]]
+    assert value != text and len(value) == len(text)
+    shape = lambda s: "".join("9" if c.isdigit() else "a" if c.isalpha() and kind in ("email", "secret") else c for c in s)
+    if kind not in ("email", "secret", "iban", "address"):
+        assert shape(value) == shape(text)
+    again, spans2 = p.pseudonymise(f"see {value}, thanks", KEY)
+    assert [s[2] for s in spans2] == [kind]  # a pseudonym is a valid value of its kind
+
+
+def test_equal_values_link_whatever_the_format():
+    a = p.pseudonymise("4539578763621486", KEY)[0]
+    b = p.pseudonymise("4539 5787 6362 1486", KEY)[0]
+    assert a == b.replace(" ", "") and p.pseudonymise("4539578763621486", b"other")[0] != a
+
+
+@pytest.mark.parametrize("text", ["1234567890123456", "999.1.1.1", "2023-02-30", "version 1.2.3", "", "plain words", "DE00 3704 0044 0532 0130 00", "12345"])
+def test_invalid_values_stay(text):
+    assert p.pseudonymise(text, KEY) == (text, [])
+
+
+def test_dates_are_one_to_one():
+    days = random.Random(1).sample(range(p.FIRST_DAY, p.LAST_DAY), 2000)
+    new = {p.date(KEY, datetime.date.fromordinal(d).isoformat()) for d in days}
+    assert len(new) == len(days)
+
+
+def test_frame(spark):
+    rows = [(1, "mail a@b.com", 3), (2, None, 3), (3, "", 4), (1, "mail a@b.com", 3), (5, "word " * 50000 + "10.0.0.1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind int")
+    out = p.pseudonymised(docs, KEY).collect()
+    assert [(r.doc_id, len(r.spans), r.kind) for r in out] == [(1, 1, 3), (2, 0, 3), (3, 0, 4), (1, 1, 3), (5, 1, 5)]
+    assert out[0].text == out[3].text and out[1].text is None
+    assert p.pseudonymised(docs.limit(0), KEY).collect() == []
+    with pytest.raises(ValueError):
+        p.pseudonymised(docs.withColumnRenamed("kind", "spans"), KEY)
