@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import TO_LOWER, crc32_mod, shuffle_width
 
 MU = 500.0
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 #: Words never hold white space, so these two stand for no word.
 START, END = (xxhash.xxh3_64_intdigest(b) for b in (b" ", b"\n"))
@@ -82,6 +82,18 @@ def _grams(table: pa.Table):
     return tokens, ends, keys, where, counts
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; 255 stands for those from 255 on, which follow in full."""
+    large = counts[counts >= 255].astype("<u8")
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", offset=n)
+    return counts
+
+
 def _of_bucket(keys: np.ndarray, buckets: int):
     """(bucket, places of its keys), in order of buckets."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
@@ -153,18 +165,16 @@ def lm_scores(docs: DataFrame, id_col="doc_id", text_col="text", held_out=None)
     def ask(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         _, _, keys, _, counts = _grams(table)
-        rows = [(b, keys[p].tobytes(), counts[p].astype(np.uint32).tobytes()) for b, p in _of_bucket(keys, buckets)]
+        rows = [(b, keys[p].tobytes(), pack_counts(counts[p])) for b, p in _of_bucket(keys, buckets)]
         b, k, c = zip(*rows, strict=True)
         return pa.table({"chunk": pa.array([chunk] * len(b), pa.int64()), "bucket": pa.array(b, pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([unpack_counts(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), keys, strict=True)])
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(where, counts)[where].astype(np.uint64)
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        small = np.uint32 if totals.max(initial=0) < 1 << 32 else np.uint64
-        packed = [bytes([np.dtype(small).itemsize]) + x.astype(small).tobytes() for x in np.split(totals, cuts)]
+        totals = np.bincount(where, counts)[where].astype(np.int64)
+        packed = [pack_counts(x) for x in np.split(totals, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array(packed, pa.binary())})
 
     id_type = source.schema["id"].dataType.simpleString()
@@ -175,7 +185,7 @@ def lm_scores(docs: DataFrame, id_col="doc_id", text_col="text", held_out=None)
         totals = np.zeros(len(keys), np.int64)
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
         for b, places in _of_bucket(keys, buckets):
-            totals[places] = np.frombuffer(got[b], np.uint32 if got[b][0] == 4 else np.uint64, offset=1)
+            totals[places] = unpack_counts(got[b], len(places))
         n = len(tokens)
         word_keys, words = np.unique(where[:n], return_inverse=True)
         c_word, c_pair = totals[word_keys], totals[where[n:]]
