@@ -1,0 +1,6 @@
+"""Registered queries."""
+
+from . import describe
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "describe"]
