@@ -117,11 +117,12 @@ def findings_table(found: DataFrame) -> DataFrame:
 
 def inventory_counts(members: DataFrame) -> DataFrame:
     """(part, class, n): members per extension class and size bucket, archives, and totals."""
+    cell = lambda part, cls, n: F.struct(F.lit(part).alias("part"), cls.alias("class"), n.cast("bigint").alias("n"))
     cells = F.array(
-        F.struct(F.lit("extension").alias("part"), C.extension_class(F.col("format")).alias("class"), F.lit(1).cast("bigint").alias("n")),
-        F.struct(F.lit("size"), C.size_bucket(F.col("size")), F.lit(1).cast("bigint")),
-        F.struct(F.lit("archives"), F.coalesce(C.archive_format(F.col("format")), F.lit("none")), F.lit(1).cast("bigint")),
-        F.struct(F.lit("stored_bytes"), F.lit("all"), F.col("size")),
+        cell("extension", C.extension_class(F.col("format")), F.lit(1)),
+        cell("size", C.size_bucket(F.col("size")), F.lit(1)),
+        cell("archives", F.coalesce(C.archive_format(F.col("format")), F.lit("none")), F.lit(1)),
+        cell("stored_bytes", F.lit("all"), F.col("size")),
     )
     return members.select(F.inline(cells)).groupBy("part", "class").agg(F.sum("n").alias("n"))
 

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import describe
+from . import deliver, describe
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "describe"]
+__all__ = ["ORACLES", "QUERIES", "deliver", "describe"]
