@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import deliver, describe
+from . import account, deliver, describe, exchange
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "deliver", "describe"]
+__all__ = ["ORACLES", "QUERIES", "account", "deliver", "describe", "exchange"]

@@ -21,7 +21,7 @@ ISLANDS = f"""(SELECT oid, fid, min(start) AS start, max("end") AS "end" FROM (S
  FROM (SELECT oid, fid, start, "end", CASE WHEN start > coalesce(max("end") OVER (PARTITION BY oid, fid ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9) + 1 THEN 1 ELSE 0 END AS fresh FROM {REQUESTS} WHERE id % 3 <> 0)) GROUP BY oid, fid, island)"""
 SIZES = f"(SELECT DISTINCT oid, fid, 40 * (oid % 9) AS size FROM {REQUESTS})"
 PERMISSIONS = f"""(SELECT oid || '-' || fid || '-' || id % 3 AS jti, oid, fid, min(ts) AS bound_at, CASE WHEN oid % 2 = 0 THEN max(ts) END AS closed_at,
- CASE oid % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'issued' WHEN 2 THEN 'revoked' ELSE 'bound' END AS state, epoch(min(ts))::BIGINT + 86400 AS sd, epoch(max(ts))::BIGINT + 3 * 86400 AS td FROM {REQUESTS} GROUP BY oid, fid, id % 3)"""
+ CASE oid % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'issued' WHEN 2 THEN 'revoked' ELSE 'bound' END AS state, floor(epoch(min(ts)))::BIGINT + 86400 AS sd, floor(epoch(max(ts)))::BIGINT + 3 * 86400 AS td FROM {REQUESTS} GROUP BY oid, fid, id % 3)"""
 
 
 def members(spark, sf):
