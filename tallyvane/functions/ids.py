@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .content import MEDIA_EXTENSIONS, lookup
 
@@ -62,7 +63,7 @@ def locator_commitment(key_hex: str, kind: str, scope: str, manifest_hash: Colum
     return hmac_sha256(key_hex, joined(F.lit(kind), F.lit(scope), manifest_hash))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
