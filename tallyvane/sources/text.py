@@ -34,7 +34,8 @@ def scan_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     df = lines.select("pos", "value", fields.alias("fields"))
     if strict:
         nested = F.exists(F.map_values("fields"), lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False)))
-        twice = F.size(F.coalesce(F.json_object_keys("value"), F.array())) != F.size("fields")
+        keys = F.map_keys("fields")
+        twice = F.size(F.array_distinct(keys)) != F.size(keys)
         bad = F.col("fields").isNull() | nested | twice
         df = df.withColumn("fields", F.when(~F.coalesce(bad, F.lit(True)), F.col("fields")).otherwise(F.raise_error(F.lit("not a flat JSON object"))))
     return df.select("pos", "fields")
