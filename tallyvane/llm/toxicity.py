@@ -10,8 +10,7 @@ second part turns negative its gradient is reversed, which keeps the scorer from
 memorising P. pi is the share of toxic rows among the labelled rows that may be learnt
 from. Features are hashed words and word beginnings, kept if they are clearly more frequent in P.
 
-Defined cases: a null or empty text has no features and scores by the bias alone, under
-0.5. Null ids are scored and not learnt from. Repeated rows stay repeated. Without any
+Defined cases: a null or empty text has no features and scores by the bias alone. Null ids are scored and not learnt from. Repeated rows stay repeated. Without any
 positive example every score is 0. Other columns are ignored.
 """
 
