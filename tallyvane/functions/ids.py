@@ -13,16 +13,16 @@ from pyspark.sql import types as T
 
 from .content import MEDIA_EXTENSIONS, lookup
 
-#: Derivation labels of the two keys.
-ID_LABEL, COMMITMENT_LABEL = "aim-gateway/file-id/v1", "aim-gateway/content-commitment/v1"
+#: Derivation labels of the two keys; another system's labels can be passed instead.
+ID_LABEL, COMMITMENT_LABEL = "file-id/v1", "content-commitment/v1"
 
 
-def derive_keys(secret: bytes) -> tuple[str, str]:
+def derive_keys(secret: bytes, labels: tuple[str, str] = (ID_LABEL, COMMITMENT_LABEL)) -> tuple[str, str]:
     """(id key, commitment key) as hex, by HKDF-SHA-256 without salt; once, on the driver."""
     if len(secret) != 32:
         raise ValueError("the secret must have 32 bytes")
     root = hmac.digest(bytes(32), secret, "sha256")
-    return tuple(hmac.digest(root, label.encode() + b"\x01", "sha256").hex() for label in (ID_LABEL, COMMITMENT_LABEL))
+    return tuple(hmac.digest(root, label.encode() + b"\x01", "sha256").hex() for label in labels)
 
 
 def pads(key_hex: str) -> tuple[str, str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvane.functions import values as V
+from tallyvane.session import shared_path
 
 PROFILE_REGISTERS = 1 << 14
 FACT_REGISTERS = 1 << 7
@@ -156,12 +157,16 @@ def distinct_gate(df: DataFrame, registers: DataFrame, k: int = K) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"e{i}").alias("exact")) for i in range(len(counts))])))
 
 
-def histograms(df: DataFrame) -> DataFrame:
-    """(ordinal, lengths, numeric): counts per bucket of text and binary, and of numeric columns."""
+def column_aggregates(df: DataFrame) -> DataFrame:
+    """(ordinal, name, rows, nulls, lengths, numeric): counts and histograms of all columns in one aggregate.
+
+    lengths for text and binary, numeric for numbers, null otherwise.
+    """
     aggs, structs = [], []
     for i, f in enumerate(df.schema):
         kind, c = fact_kind(f.dataType), F.col(f"`{f.name}`")
         lengths, numeric = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<bigint>")
+        aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
         if kind in ("string", "binary"):
             bucket = V.length_bucket(F.octet_length(c))
             aggs += [F.count_if(c.isNotNull() & (bucket == b)).alias(f"l{i}_{b}") for b in range(10)]
@@ -170,23 +175,31 @@ def histograms(df: DataFrame) -> DataFrame:
             bucket = V.numeric_bucket(c)
             aggs += [F.count_if(c.isNotNull() & (bucket == b)).alias(f"m{i}_{b}") for b in range(8)]
             numeric = F.array(*[F.col(f"m{i}_{b}") for b in range(8)])
-        structs.append(F.struct(F.lit(i).alias("ordinal"), lengths.alias("lengths"), numeric.alias("numeric")))
+        told = [F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), F.col("rows"), F.col(f"n{i}").alias("nulls")]
+        structs.append(F.struct(*told, lengths.alias("lengths"), numeric.alias("numeric")))
     return df.agg(F.count("*").alias("rows"), *aggs).select(F.inline(F.array(*structs)))
 
 
+def histograms(df: DataFrame) -> DataFrame:
+    """(ordinal, lengths, numeric): counts per bucket of text and binary, and of numeric columns."""
+    return column_aggregates(df).select("ordinal", "lengths", "numeric")
+
+
 def facts(df: DataFrame, seed_hex: str, k: int = K) -> DataFrame:
     """Publishable facts per column: what could tell a group smaller than k is null.
 
     (ordinal, name, type, rows, null_rate, estimate, lengths, numeric)
     """
     types = df.sparkSession.createDataFrame([(i, fact_kind(f.dataType)) for i, f in enumerate(df.schema)], "ordinal int, type string")
-    registers = fact_registers(cells(df), seed_hex)
+    # At most 128 rows per column; written so that gate and estimate share one scan.
+    path = shared_path(df.sparkSession, "registers")
+    fact_registers(cells(df), seed_hex).write.parquet(path)
+    registers = df.sparkSession.read.schema("ordinal int, register int, rank int").parquet(path)
     joined = (
-        null_counts(df)
+        column_aggregates(df)
         .join(F.broadcast(types), "ordinal")
         .join(fact_estimate(registers), "ordinal", "left")
         .join(distinct_gate(df, registers, k), "ordinal")
-        .join(histograms(df), "ordinal")
     )
     return suppressed(joined, k)
 

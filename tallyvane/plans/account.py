@@ -282,13 +282,16 @@ def receipt_violations(spark, sf):
     return validation.validate_rows(rows, "receipt", "event_id")
 
 
-@query("""SELECT event_id, event_type IN ('click', 'view') AND event_id % 3 <> 2 AS ok FROM events""")
+@query("SELECT event_id, event_type IN ('click', 'view') AND event_id % 4 < 2 AS ok FROM events")
 def description_checks(spark, sf):
-    """P20: descriptions with enum fields and tag lists from fixed sets."""
-    e = F.col("event_id")
-    tags = F.when(e % 3 == 0, '["a","b"]').when(e % 3 == 1, '["c"]').otherwise('["b","a"]')
-    text = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","tags":'), tags, F.lit("}"))
-    return table(spark, sf, "events").select("event_id", validation.valid_description(text, {"kind": ["click", "view"]}, {"tags": ["a", "b", "c"]}).alias("ok"))
+    """P20: descriptions against the closed vocabulary: a foreign value, unsorted tags and a further field fail."""
+    k = F.col("event_id") % 4
+    domain = F.when(F.col("event_type").isin("click", "view"), "business_finance").otherwise(F.col("event_type"))
+    tags = F.when(k == 0, '["analysis_reporting","benchmarking"]').when(k == 2, '["machine_learning","benchmarking"]').otherwise("[]")
+    more = F.when(k == 3, ',"more":1').otherwise("")
+    rest = '","record_granularity":"event","temporal_scope":"time_series","update_cadence":"daily","known_limitation_tags":["missing_values"],"intended_use_tags":'
+    text = F.concat(F.lit('{"domain_class":"'), domain, F.lit(rest), tags, more, F.lit("}"))
+    return table(spark, sf, "events").select("event_id", validation.valid_description(text).alias("ok"))
 
 
 @query("SELECT user_id, CASE WHEN bool_or(value > 99 OR event_id % 50 = 0 OR event_type = 'error') THEN 'open' ELSE 'closed' END AS state FROM events GROUP BY 1")
