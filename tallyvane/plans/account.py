@@ -64,7 +64,7 @@ def _instructions(spark, sf):
     return table(spark, sf, "events").select(e.alias("seq"), (e * 7919 % 4000).alias("iid"), F.concat("event_type", F.rint("value").cast("int").cast("string")).alias("answer"))
 
 
-@query(f"SELECT iid, min(seq) AS seq FROM {_INSTR} WHERE iid % 3 <> 0 GROUP BY 1")
+@query(f"SELECT iid, min(seq) AS seq FROM {_INSTR} WHERE iid NOT IN (SELECT event_id % 4000 FROM events WHERE event_id % 4000 % 3 = 0) GROUP BY 1")
 def unseen_instructions(spark, sf):
     """Instructions not seen before, once each."""
     seen = table(spark, sf, "events").select((F.col("event_id") % 4000).alias("iid")).where("iid % 3 = 0")
