@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts that stand for null in typed cells of the facts.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null"]
@@ -124,3 +125,48 @@ def hash_word(bytes_: Column) -> Column:
 
 def bit_length(value: Column) -> Column:
     return F.when(value == 0, 0).otherwise(F.length(F.bin(value)))
+
+
+def _float_text(value: Column) -> Column:
+    """Shortest text of a double: plain from 1e-4 up to 1e16 (with a point), else with an exponent of two digits or more."""
+    short = value.cast("string")
+    plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.regexp_replace(F.substring_index(short, "E", 1), r"\.0$", "")
+    power = F.substring_index(short, "E", -1).try_cast("int")
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    size = F.abs(value)
+    return F.when((size != 0) & ((size < 1e-4) | (size >= 1e16)), F.concat(mantissa, exponent)).otherwise(plain)
+
+
+def _quoted(text: Column) -> Column:
+    """JSON text; control characters without a short escape are written in lower-case hex."""
+    json = F.to_json(F.struct(text.alias("v")))
+    out = json.substr(F.lit(6), F.length(json) - 6)
+    lowered = out
+    for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        lowered = F.replace(lowered, F.lit(f"\\u{c:04X}"), F.lit(f"\\u{c:04x}"))
+    return F.when(text.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), lowered).otherwise(out)
+
+
+def canonical_scalar(value: Column, data_type: T.DataType) -> Column:
+    """Canonical bytes of a typed value, as facts hash them; null stays null. NaN and infinities become null."""
+    if isinstance(data_type, T.BinaryType):
+        return F.concat(F.lit("bytes:").cast("binary"), value)
+    if isinstance(data_type, T.FloatType | T.DoubleType):
+        number = value.cast("double")
+        text = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), _float_text(number))
+    elif isinstance(data_type, T.DecimalType):
+        text = F.concat(F.lit("decimal:"), value.cast("string"))
+    elif isinstance(data_type, T.DateType):
+        text = F.concat(F.lit("time:"), F.date_format(value, "yyyy-MM-dd"))
+    elif isinstance(data_type, T.TimestampType | T.TimestampNTZType):
+        micros = F.date_format(value, "SSSSSS")
+        zone = "+00:00" if isinstance(data_type, T.TimestampType) else ""
+        fraction = F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise("")
+        text = F.concat(F.lit("time:"), F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit(zone))
+    elif isinstance(data_type, T.StringType):
+        text = F.when(value.isNotNull(), _quoted(value))
+    else:
+        text = value.cast("string")
+    return text.cast("binary")

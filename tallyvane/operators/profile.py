@@ -56,10 +56,13 @@ def ruled(df: DataFrame, rename: dict[str, str] | None = None, drop: list[str] |
     return df.drop(*(drop or [])).withColumnsRenamed(rename or {})
 
 
-def cells(df: DataFrame, extra: Column | None = None) -> DataFrame:
-    """(ordinal, name, value): one row per cell, all values as text."""
-    names = df.columns
-    structs = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(names)]
+def cells(df: DataFrame, canonical: bool = False) -> DataFrame:
+    """(ordinal, name, value): one row per cell, values as text or as canonical bytes of their type."""
+    structs = []
+    for i, f in enumerate(df.schema):
+        c = F.col(f"`{f.name}`")
+        value = V.canonical_scalar(c, f.dataType) if canonical else c.cast("string")
+        structs.append(F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), value.alias("value")))
     return df.select(F.inline(F.array(*structs)))
 
 
@@ -130,7 +133,7 @@ def first_values_type(df: DataFrame, order: list[str], n: int = 10_000) -> DataF
 
 
 def fact_registers(long: DataFrame, seed_hex: str) -> DataFrame:
-    """(ordinal, register, rank) maxima of 128 registers over seed, column, 0 and the canonical value."""
+    """(ordinal, register, rank) maxima of 128 registers over seed, column, 0 and the canonical bytes of `cells`."""
     preimage = F.concat(F.unhex(F.lit(seed_hex)), F.unhex(F.lpad(F.hex(F.col("ordinal").cast("bigint")), 8, "0")), F.unhex(F.lit("00")), F.col("value").cast("binary"))
     word = V.hash_word(preimage)
     register = F.conv(F.substring(word, 15, 2), 16, 10).cast("int").bitwiseAND(F.lit(127))
@@ -193,7 +196,7 @@ def facts(df: DataFrame, seed_hex: str, k: int = K) -> DataFrame:
     types = df.sparkSession.createDataFrame([(i, fact_kind(f.dataType)) for i, f in enumerate(df.schema)], "ordinal int, type string")
     # At most 128 rows per column; written so that gate and estimate share one scan.
     path = shared_path(df.sparkSession, "registers")
-    fact_registers(cells(df), seed_hex).write.parquet(path)
+    fact_registers(cells(df, canonical=True), seed_hex).write.parquet(path)
     registers = df.sparkSession.read.schema("ordinal int, register int, rank int").parquet(path)
     joined = (
         column_aggregates(df)

@@ -142,7 +142,7 @@ def null_rates_ppm(spark, sf):
 
 
 _FACT_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-_FACT_LONG = _long_sql("orders", _FACT_COLUMNS)
+_FACT_LONG = _long_sql("(SELECT * REPLACE ('\"' || o_orderstatus || '\"' AS o_orderstatus, '\"' || o_orderpriority || '\"' AS o_orderpriority) FROM orders)", _FACT_COLUMNS)
 
 
 @query(f"""WITH long AS ({_FACT_LONG}),
@@ -155,7 +155,7 @@ SELECT ordinal, round_even(est, 0)::BIGINT AS estimate, nz AS "full", exact::INT
 def fact_sketches(spark, sf):
     """Seeded 128-register sketches and the capped exact count."""
     df = table(spark, sf, "orders").select(*_FACT_COLUMNS)
-    registers = profile.fact_registers(profile.cells(df), SEED)
+    registers = profile.fact_registers(profile.cells(df, canonical=True), SEED)
     return profile.fact_estimate(registers).join(profile.distinct_gate(df, registers), "ordinal")
 
 
@@ -163,6 +163,17 @@ _LEN = " ".join(f"WHEN strlen(v) <= {b} THEN {i}" for i, b in enumerate(V.LENGTH
 _NUM = " ".join(f"WHEN v < {b} THEN {i}" for i, b in enumerate(V.NUMERIC_BOUNDS))
 
 
+@query("""SELECT kind, v, count(*) AS n FROM (SELECT 'float' AS kind, l_extendedprice::VARCHAR AS v FROM lineitem UNION ALL SELECT 'integer', l_suppkey::VARCHAR FROM lineitem UNION ALL SELECT 'time', 'time:' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') FROM lineitem UNION ALL SELECT 'text', '"' || replace(props, '"', '\\"') || '"' FROM events) GROUP BY ALL""".replace("\\\\", "\\"))
+def canonical_values(spark, sf):
+    """canonical bytes of typed values."""
+    line, events = table(spark, sf, "lineitem"), table(spark, sf, "events")
+    line = line.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    parts = []
+    for kind, df, name in (("float", line, "l_extendedprice"), ("integer", line, "l_suppkey"), ("time", line, "l_shipdate"), ("text", events, "props")):
+        parts.append(df.select(F.lit(kind).alias("kind"), V.canonical_scalar(F.col(name), df.schema[name].dataType).cast("string").alias("v")))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).groupBy("kind", "v").agg(F.count("*").alias("n"))
+
+
 @query(f"""SELECT bucket, sum(lengths)::BIGINT AS lengths, sum(numeric)::BIGINT AS numeric FROM (
 SELECT CASE {_LEN} ELSE 9 END AS bucket, 1 AS lengths, 0 AS numeric FROM (SELECT text AS v FROM documents)
 UNION ALL SELECT CASE {_NUM} ELSE 7 END, 0, 1 FROM (SELECT c_acctbal AS v FROM customer)) GROUP BY 1""")
@@ -186,7 +197,7 @@ def histograms_customer(spark, sf):
 
 @query(f"""WITH base AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS a, c_nationkey AS b, CASE WHEN c_custkey % 400 = 1 THEN 1 END AS c FROM customer),
 long AS ({_long_sql('base', ['a', 'b', 'c'])}),
-h AS (SELECT ordinal, sha256(unhex('{SEED}' || lpad(hex(ordinal), 8, '0') || '00') || encode(value)) AS x FROM long WHERE value IS NOT NULL),
+h AS (SELECT ordinal, sha256(unhex('{SEED}' || lpad(hex(ordinal), 8, '0') || '00') || encode(CASE ordinal WHEN 0 THEN '"' || value || '"' ELSE value END)) AS x FROM long WHERE value IS NOT NULL),
 r AS (SELECT ordinal, ('0x' || substr(x, 15, 2))::INTEGER & 127 AS reg, ('0x' || substr(x, 1, 14))::BIGINT * 2 + (('0x' || substr(x, 15, 2))::INTEGER >> 7) AS rest FROM h),
 e AS (SELECT ordinal, round_even(128 * ln(128.0 / (128 - count(DISTINCT reg))), 0)::BIGINT AS est FROM r GROUP BY 1),
 s AS (SELECT ordinal, name, count(*)::HUGEINT AS n, (count(*) - count(value))::HUGEINT AS c, count(DISTINCT value) AS d FROM long GROUP BY ALL),

@@ -134,3 +134,13 @@ def test_planted_truth(spark):
     totals = {r.detector: (r.hits, r.files) for r in census.detector_totals(found).collect()}
     assert totals == {"email": (30, 30), "phone": (30, 30), "credential_like": (60, 30)}
     assert Counter(r.n for r in census.file_totals(found.limit(0)).collect()) == Counter()
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "text"),
+    [(1e16, "double", "1e+16"), (1.5e-5, "double", "1.5e-05"), (12345678.5, "double", "12345678.5"), (1e10, "double", "10000000000.0"), (0.0001, "double", "0.0001"), (0.0, "double", "0.0"), (-2.5, "double", "-2.5"), (float("nan"), "double", None), (True, "boolean", "true"), (7, "int", "7"), ('a"\\\n\x1f/é', "string", '"a\\"\\\\\\n\\u001f/é"'), (None, "string", None)],
+)
+def test_canonical_scalar(spark, value, kind, text):
+    df = spark.createDataFrame([(value,)], f"v {kind}")
+    got = df.select(V.canonical_scalar(F.col("v"), df.schema["v"].dataType).cast("string").alias("x")).first().x
+    assert got == text

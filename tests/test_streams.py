@@ -84,3 +84,21 @@ def test_inventory_generations(spark, tmp_path):
     rows = {r.file_id: r for r in spark.read.parquet(str(tmp_path / "out" / "generation=1")).collect()}
     assert {k: r.size for k, r in rows.items()} == {"a": 5, "b": 2, "c": 3} and rows["a"].sha256 == "z"
     assert rows["a"].first_seen_at < rows["a"].changed_at == rows["c"].first_seen_at
+
+
+def test_files_as_a_stream(spark, tmp_path):
+    from tallyvane.sources.files import stream_files
+    from tallyvane.sources.logs import scan_audit, stream_audit, torn_tails
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.jsonl").write_text('{"seq":1,"message_type":"x","prev_hash":""}\n{"seq":2,"message_type":"y","prev_hash":"h"}\n')
+    (src / "b.jsonl").write_text('{"seq":3,"message_type":"x"}\nno json\n{"seq":4,"mess')
+    for name, stream in (("files", stream_files(spark, str(src))), ("log", stream_audit(spark, str(src)))):
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / (name + "-c"))).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert {r.size for r in spark.read.parquet(str(tmp_path / "files")).collect()} == {(src / n).stat().st_size for n in ("a.jsonl", "b.jsonl")}
+    assert spark.read.parquet(str(tmp_path / "log")).where("seq is not null").count() == 3
+    assert [r.seq for r in scan_audit(spark, str(src)).where("seq is not null").orderBy("seq").collect()] == [1, 2, 3]
+    torn = {r.part.rsplit("/", 1)[1]: (r.torn, r.bad_lines) for r in torn_tails(spark, str(src)).collect()}
+    assert torn == {"a.jsonl": (False, 0), "b.jsonl": (True, 1)}
