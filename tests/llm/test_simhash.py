@@ -84,3 +84,9 @@ def test_query_equals_brute_force(spark):
         least[r] = min(least.get(r, d.doc_id), d.doc_id)
     want = {(d.doc_id, f"{f:016x}", least[r]) for d, f, r in zip(docs, fps, roots, strict=True)}
     assert {tuple(r) for r in op3_simhash(spark, sf).select("doc_id", "fingerprint", "component_id").collect()} == want
+
+
+def test_any_id_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, None)], "id long, digest string")
+    assert sorted(r.id for r in simhash.one_per_group(docs, "id", "digest").collect()) == [1, 3]
+    assert sorted(r.component_id for r in simhash.near_duplicates(docs, "id", "digest").collect()) == [1, 1, 3]
