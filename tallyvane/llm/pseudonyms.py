@@ -241,6 +241,5 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col="text") -> DataFrame:
 def kind_counts(spans):
     """Map of kind to number of spans, from a spans Column."""
     kinds = [k for k, _, _ in KINDS] + [EMAIL[0]]
-    return F.map_from_arrays(
-        F.array(*map(F.lit, kinds)), F.array(*[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)) for k in kinds])
-    )
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == F.lit(kind)))
+    return F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*map(count, kinds)))

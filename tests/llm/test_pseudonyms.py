@@ -68,3 +68,16 @@ def test_frame(spark):
     assert p.pseudonymised(docs.limit(0), KEY).collect() == []
     with pytest.raises(ValueError):
         p.pseudonymised(docs.withColumnRenamed("kind", "spans"), KEY)
+
+
+def test_query_by_the_rule(spark):
+    from tallyvane.llm.queries import PSEUDONYM_KEY, op8_pseudonyms
+
+    sf = "/root/testdata/sf0.001"
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op8_pseudonyms(spark, sf).collect()
+    assert len(rows) == len(old) and sum(len(r.spans) for r in rows) > 10
+    for r in rows:
+        text, spans = p.pseudonymise(old[r.doc_id], PSEUDONYM_KEY)
+        assert r.text == text and [tuple(s) for s in r.spans] == spans
+        assert sum(r.found.values()) == len(spans)
