@@ -171,6 +171,11 @@ def secret(key, text):
     return new if text.islower() or not text.isupper() else new.upper()
 
 
+#: A grouped number ends with its groups, whatever number follows; a loose one must stand apart from other digits.
+PHONE = re.compile(
+    r"(?<![\w+.-])(?:\+?[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    r"|(?:\+|(?<![0-9] ))(?:\([0-9]{1,4}\)|[0-9])(?:[ ./-]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]){6,14}(?!\w| [0-9]))"
+)
 #: Kind, pattern, what it becomes (None: not valid). The order decides ties.
 KINDS = [
     ("card", re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![\w-])"), card),
@@ -178,7 +183,7 @@ KINDS = [
     ("social", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), social),
     ("address", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), address),
     ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])"), date),
-    ("phone", re.compile(r"(?<![\w+.-])(?:\+|(?<![0-9] ))(?:\([0-9]{1,4}\)|[0-9])(?:[ ./-]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]){6,14}(?!\w| [0-9])"), phone),
+    ("phone", PHONE, phone),
     ("secret", re.compile(r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"), secret),
 ]
 EMAIL = ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w])"), email)

@@ -53,6 +53,11 @@ def test_invalid_values_stay(text):
     assert p.pseudonymise(text, KEY) == (text, [])
 
 
+def test_neighbours_do_not_hide_each_other():
+    _, spans = p.pseudonymise("+1 (826) 555-4081 190.137.223.204 4539578763621486 was.91@mail6.example.com", KEY)
+    assert [s[2] for s in spans] == ["phone", "address", "card", "email"]
+
+
 def test_dates_are_one_to_one():
     days = random.Random(1).sample(range(p.FIRST_DAY, p.LAST_DAY), 2000)
     new = {p.date(KEY, datetime.date.fromordinal(d).isoformat()) for d in days}
