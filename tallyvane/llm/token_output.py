@@ -39,7 +39,14 @@ BLOCK = 4096
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 18
 TASK_BYTES = 24 << 20
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+IDS = b""
+#: Below this, letters are composed and lower-case as the tokenizer has them.
+PLAIN_BELOW = "\u0180"
+#: Byte-level vocabularies spell each byte by a letter: printable ones by themselves, the others from U+0100 on.
+_OTHERS = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(_OTHERS)}
+MARKS = ".,;:!?#$%&*()-|"
 HEADER = "<IBHI"
 
 
@@ -49,12 +56,22 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.path, self.older = Tokenizer.from_file(path), path, {}
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.merges = self.tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            core = word.rstrip(MARKS)
+            if core != word and core.isalpha():
+                # The tokenizer cuts between letters and marks (but for '), so these have ids of their own.
+                ids = self[core] + self[word[len(core) :]]
+            elif word.isalpha() and word.islower() and max(word) < PLAIN_BELOW:
+                # One piece, already normal: straight to the merges, by its bytes' letters.
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = IDS.join(t.id.to_bytes(4, "little") for t in self.merges(spelt))
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
             self.older = dict(self)
             self.clear()
@@ -62,6 +79,9 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        # The tokenizer lower-cases by character; below U+0180 str.lower does the same.
+        if text.isascii() or max(text) < PLAIN_BELOW:
+            text = text.lower()
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
         return b"".join(map(self.__getitem__, words))
 
