@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions import content as C
 from tallyvane.functions import ids
+from tallyvane.session import shared_path
 
 TABLES = ["csv", "tsv", "jsonl", "parquet"]
 #: Admission limits (bytes), member cap, rates and report sizes.
 TEXT_MAX, PARQUET_MAX, MEMBERS_MAX = 6_000_000_000, 1_000_000_000, 17_033
 ESTIMATE_SECONDS, OVERHEAD_SECONDS, REPORT_MAX = 720, 120, 2_097_152
 TOKEN_CAP = 8192
+#: Members whose parts are joined before a listing's digest passes over them.
+RUN = 64
+#: Members of a listing that one task may fold; larger listings are planned by rounds first.
+FOLD_MAX = 10_000
 
 
 def in_scope(key: Column, keys: list[str], prefixes: list[str], whole: bool = False) -> Column:
@@ -65,10 +72,53 @@ def fold_objects(facts: DataFrame) -> DataFrame:
     return folded.select("object_id", F.transform("c", lambda x: x["name"]).alias("names"), F.transform("c", lambda x: x["type"]).alias("types"))
 
 
+def _digest_in_order(rows: DataFrame, name: str) -> DataFrame:
+    """(listing_id, name): SHA-256 of the parts of rows (listing_id, at, part) by at and part, null parts left out.
+
+    Ranges are sorted and joined to runs in parallel. SHA-256 is a chain, so one task then
+    passes over a listing's runs; it holds one batch of them, whatever the listing's size.
+    """
+    kind = rows.schema["listing_id"].dataType.simpleString()
+
+    def join(batches):
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            listings, parts = batch.column("listing_id").to_pylist(), batch.column("part").to_pylist()
+            starts = [0]
+            for i in range(1, len(parts)):
+                if listings[i] != listings[i - 1] or i - starts[-1] == RUN:
+                    starts.append(i)
+            runs = [b"".join(p for p in parts[i:j] if p is not None) for i, j in zip(starts, [*starts[1:], len(parts)], strict=True)] if parts else []
+            firsts = batch.column("listing_id").take(pa.array(starts[: len(runs)], pa.int64()))
+            numbers = pa.array(range(number, number + len(runs)), pa.int64())
+            yield pa.RecordBatch.from_arrays([firsts, pa.array([task] * len(runs), pa.int32()), numbers, pa.array(runs, pa.binary())], ["listing_id", "task", "number", "run"])
+            number += len(runs)
+
+    def fold(batches):
+        at, digest = None, None
+        done = lambda: pa.RecordBatch.from_pydict({"listing_id": pa.array([at], listing_type), name: pa.array([digest.hexdigest()])})
+        for batch in batches:
+            listing_type = batch.schema.field("listing_id").type
+            for listing, run in zip(batch.column("listing_id").to_pylist(), batch.column("run"), strict=True):
+                if digest is None or listing != at:
+                    if digest is not None:
+                        yield done()
+                    at, digest = listing, hashlib.sha256()
+                digest.update(run.as_buffer())
+        if digest is not None:
+            yield done()
+
+    ranges = rows.repartitionByRange("listing_id", "at").sortWithinPartitions("listing_id", "at", "part")
+    runs = ranges.select("listing_id", "part").mapInArrow(join, f"listing_id {kind}, task int, number long, run binary")
+    return runs.repartition("listing_id").sortWithinPartitions("listing_id", "task", "number").mapInArrow(fold, f"listing_id {kind}, {name} string")
+
+
 def fingerprint(folded: DataFrame) -> DataFrame:
     """(listing_id, fingerprint) of folded (listing_id, object_id, names, types): digest of the rows' digests in order."""
-    rows = folded.select("listing_id", F.struct("object_id", ids.row_digest("object_id", "names", "types").alias("d")).alias("r"))
-    return rows.groupBy("listing_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["d"]), ""), 256).alias("fingerprint"))
+    rows = folded.select("listing_id", F.col("object_id").alias("at"), ids.row_digest("object_id", "names", "types").cast("binary").alias("part"))
+    return _digest_in_order(rows, "fingerprint")
 
 
 def _u64(n: Column) -> Column:
@@ -80,10 +130,8 @@ def _framed(text: Column) -> Column:
 
 
 def _ordered_digest(members: DataFrame, part: Column) -> DataFrame:
-    """(listing_id, digest): SHA-256 of the members' parts (hex), in order of identity. A listing has at most 100,000 members."""
-    rows = members.select("listing_id", F.struct("identity", part.alias("part")).alias("r"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["part"]), "")
-    return rows.groupBy("listing_id").agg(F.sha2(F.unhex(joined), 256).alias("digest"))
+    """(listing_id, digest): SHA-256 of the members' parts (hex), in order of identity."""
+    return _digest_in_order(members.select("listing_id", F.col("identity").alias("at"), F.unhex(part).alias("part")), "digest")
 
 
 def ordered_digest(members: DataFrame) -> DataFrame:
@@ -143,23 +191,51 @@ def keyed_rank(members: DataFrame, seed_hex: str) -> DataFrame:
     return members.withColumn("rank_key", ids.hmac_sha256(seed_hex, F.col("identity").cast("binary")))
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def planned_read_set(members: DataFrame, seed_hex: str, budget: int, allowance: int) -> DataFrame:
     """(listing_id, identity) to read: census members in keyed order while they fit; those that do not are passed over.
 
-    The fold is sequential within a listing, over narrow rows of at most 100,000 members.
+    What costs nothing is read, and what costs more than is left never fits. A round takes
+    the members before the first that does not fit, by running sums within ranges of the key
+    and over the ranges' sums, then drops all that cost more than what remains. When no
+    listing has over FOLD_MAX members left, each is folded in one task.
     """
     cost = F.when(C.archive_format(F.col("format")).isNotNull(), F.lit(allowance)).otherwise(F.col("size"))
     ranked = keyed_rank(members.where(~is_table(F.col("format"))), seed_hex).select("listing_id", "identity", "rank_key", cost.cast("bigint").alias("cost"))
+    taken = ranked.where((F.col("cost") == 0) & F.lit(budget >= 0)).select("listing_id", "identity")
+    rest = ranked.where(F.col("cost").between(1, budget)).withColumn("left", F.lit(budget).cast("bigint"))
+    span = F.substring("rank_key", 1, 2)
+    inside = Window.partitionBy("listing_id", "span").orderBy("rank_key", "identity", "cost").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("listing_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # 256 spans at most
+    while rest.groupBy("listing_id").count().where(F.col("count") > FOLD_MAX).head(1):
+        rest = rest.withColumn("span", span)
+        sums = rest.groupBy("listing_id", "span").agg(F.sum("cost").alias("sum"))
+        before = sums.select(F.col("listing_id").alias("_listing"), F.col("span").alias("_span"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+        same = F.col("listing_id").eqNullSafe(F.col("_listing"))
+        upto = rest.withColumn("sum", F.sum("cost").over(inside)).join(before, same & (F.col("span") == F.col("_span")))
+        met = _written(upto.select("listing_id", "identity", "rank_key", "cost", "left", (F.col("before") + F.col("sum") <= F.col("left")).alias("fits")), "reads")
+        taken = taken.unionByName(met.where("fits").select("listing_id", "identity"))
+        used = met.where("fits").groupBy(F.col("listing_id").alias("_listing")).agg(F.sum("cost").alias("used"))
+        left = F.col("left") - F.coalesce("used", F.lit(0))
+        rest = met.where("not fits").join(used, same, "left").select("listing_id", "identity", "rank_key", "cost", left.alias("left")).where("cost <= left")
+        rest = _written(rest, "unread")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, left, taken = rows.sort_values(["rank_key", "identity"]), budget, []
+        rows, taken = rows.sort_values(["rank_key", "identity", "cost"]), []
+        left = rows["left"].iloc[0]
         for cost in rows["cost"]:
-            fits = 0 <= cost <= left
+            fits = cost <= left
             taken.append(fits)
             left -= cost if fits else 0
         return rows.loc[taken, ["listing_id", "identity"]]
 
-    return ranked.groupBy("listing_id").applyInPandas(fold, "listing_id string, identity string")
+    kinds = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in ("listing_id", "identity"))
+    return taken.unionByName(rest.groupBy("listing_id").applyInPandas(fold, kinds))
 
 
 def check_coverage(report: DataFrame, members: DataFrame, plan: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from tallyvane.functions import ids
@@ -31,6 +32,37 @@ def test_planned_read_set_by_brute_force(spark):
     assert got == want
 
 
+def test_large_listings_are_planned_by_rounds(spark, monkeypatch):
+    rows = [(listing, f"{listing}{i}", (i * i * 37) % 900 + (i % 7 > 0), "csv" if i % 11 == 0 else "txt") for listing, n in (("L", 400), ("M", 30), (None, 200)) for i in range(n)]
+    folded = []
+    monkeypatch.setattr(listing, "FOLD_MAX", 40)
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda self, f, s, old=GroupedData.applyInPandas: folded.append(self._df.groupBy("listing_id").count().collect()) or old(self, f, s))
+    got = listing.planned_read_set(spark.createDataFrame(rows, "listing_id string, identity string, size long, format string"), SEED, 6_000, 3)
+    want = []
+    for name in ("L", "M", None):
+        left = 6_000
+        for r in sorted((r for r in rows if r[0] == name and r[3] != "csv"), key=lambda r: (hmac.digest(bytes.fromhex(SEED), r[1].encode(), "sha256"), r[1])):
+            if r[2] <= left:
+                want.append(r[:2])
+                left -= r[2]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert all(r["count"] <= 40 for r in folded[0])  # no task is given a large listing
+
+
+def test_digests_gather_no_listing(spark):
+    rows = [(listing, f"{i * 7919 % 1000:04d}", i, f"{i:064x}", '"e"', None, "txt") for listing, n in (("L", 700), ("M", 1), (None, 130)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("Z", None, None, None, None, None, "txt")], "listing_id string, identity string, size long, sha256 string, etag string, version_id string, format string")
+    out = listing.ordered_digest(df.repartition(5))
+    want = {"Z": hashlib.sha256().hexdigest()}
+    for name in ("L", "M", None):
+        parts = [len(r[1]).to_bytes(8, "big") + r[1].encode() + r[2].to_bytes(8, "big") + bytes.fromhex(r[3]) for r in sorted((r for r in rows if r[0] == name), key=lambda r: r[1])]
+        want[name] = hashlib.sha256(b"".join(parts)).hexdigest()
+    assert {r.listing_id: r.digest for r in out.collect()} == want
+    folded = df.where("identity is not null").selectExpr("listing_id", "size as object_id", "array(identity) names", "array('x') types")
+    for plan in (out, listing.fingerprint(folded), listing.unread_binding(df, df.limit(0).select("listing_id", "identity"))):
+        assert "collect_list" not in plan._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("message", [b"", b"abc", bytes(range(256))])
 def test_hmac(spark, message):
     df = spark.createDataFrame([(bytearray(message),)], "m binary")
