@@ -86,25 +86,47 @@ def card(key, text):
     return refilled(text, body + luhn_digit(body))
 
 
+def iban_number(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text))
+
+
+def iban_valid(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and iban_number(plain[4:] + plain[:4]) % 97 == 1
+
+
 def iban(key, text):
     plain = text.replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    if not iban_valid(plain):
         return None
     body = refilled(plain[4:], permuted_symbols(key, "iban", only(plain[4:]), DIGITS))
-    check = f"{98 - number(body + plain[:2] + '00') % 97:02d}"
+    check = f"{98 - iban_number(body + plain[:2] + '00') % 97:02d}"
     left = iter(plain[:2] + check + body)
     return "".join(c if c == " " else next(left) for c in text)
 
 
 def phone(key, text):
+    """8 to 15 digits, as the library's detector has it; the shape of a date, valid or not, is no phone."""
     digits = only(text)
-    if not 9 <= len(digits) <= 15 or text.isdigit() or len(set(digits)) < 2:
+    if not 8 <= len(digits) <= 15 or text.isdigit() or len(set(digits)) < 2 or DATE_SHAPE.fullmatch(text):
         return None
     lead = 1 if text.startswith("+") else 0  # the first digit after a plus is (part of) the country's
     return refilled(text, digits[:lead] + permuted_symbols(key, f"phone{digits[:lead]}", digits[lead:], DIGITS))
 
 
+def iban_matches(text: str):
+    """(start, end) of what may be IBANs. The pattern takes words that follow, so ends are tried at the words' borders: the country's length first, then the longest."""
+    at = 0
+    while m := IBAN.search(text, at):
+        size = lambda end, start=m.start(): end - start - text.count(" ", start, end)
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+        at = m.start() + 1
+        for end in sorted(ends, key=lambda end: size(end) != IBAN_SIZES.get(text[m.start() : m.start() + 2])):
+            if iban_valid(text[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                at = end
+                break
+
+
 def social(key, text):
     valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
     digits = only(text)
@@ -176,10 +198,23 @@ PHONE = re.compile(
     r"(?<![\w+.-])(?:\+?[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])"
     r"|(?:\+|(?<![0-9] ))(?:\([0-9]{1,4}\)|[0-9])(?:[ ./-]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]){6,14}(?!\w| [0-9]))"
 )
+DATE_SHAPE = re.compile(r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: Lengths by country; other countries take any length with a valid check.
+IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 #: Kind, pattern, what it becomes (None: not valid). The order decides ties.
 KINDS = [
     ("card", re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![\w-])"), card),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), iban),
+    ("iban", IBAN, iban),
     ("social", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), social),
     ("address", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), address),
     ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])"), date),
@@ -195,10 +230,10 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str,
     kinds = (KINDS if HAS_DIGITS.search(text) else []) + ([EMAIL] if "@" in text else [])
     found = []
     for rank, (kind, pattern, change) in enumerate(kinds):
-        for m in pattern.finditer(text):
-            new = change(key, m.group())
+        for start, end in iban_matches(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
+            new = change(key, text[start:end])
             if new is not None:
-                found.append((m.start(), -m.end(), rank, kind, new))
+                found.append((start, -end, rank, kind, new))
     if not found:
         return text, []
     out, spans, at, size = [], [], 0, 0

@@ -58,6 +58,31 @@ def test_neighbours_do_not_hide_each_other():
     assert [s[2] for s in spans] == ["phone", "address", "card", "email"]
 
 
+@pytest.mark.parametrize("number", ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "BE68 5390 0754 7034", "NO9386011117947", "DE89370400440532013000", "XX10500105170123456789"])
+@pytest.mark.parametrize("after", ["", " BIC", " EUR 12", " IBAN CODE ABCD", " AT611904300234573201", ", then"])
+@pytest.mark.parametrize("before", ["", "AB12 CDEF GHIJ "])
+def test_words_near_an_iban_do_not_hide_it(before, number, after):
+    if number.startswith("XX"):  # a country without a known length
+        number = number[:2] + f"{98 - p.iban_number(number[4:] + 'XX00') % 97:02d}" + number[4:]
+    new, spans = p.pseudonymise(before + number + after, KEY)
+    at = len(before)
+    assert spans[0] == (at, at + len(number), "iban", at) and number not in new
+    assert [s[2] for s in spans] == ["iban"] * (1 + after.startswith(" AT"))
+    assert new[at : at + len(number)] == p.pseudonymise(number, KEY)[0]
+    assert p.pseudonymise(new, KEY)[1][0][:3] == (at, at + len(number), "iban")
+
+
+@pytest.mark.parametrize("text", ["+45 12 34 56 78", "1234-5678", "(02) 123 456"])
+def test_phones_of_eight_digits_as_the_detector_has_them(text):
+    new, spans = p.pseudonymise(f"call {text} now", KEY)
+    assert [s[2] for s in spans] == ["phone"] and text not in new
+
+
+@pytest.mark.parametrize("text", ["2023-02-30", "31.02.1999", "1850/01/01", "123-4567"])
+def test_date_shapes_and_short_numbers_are_no_phones(text):
+    assert p.pseudonymise(f"on {text} now", KEY) == (f"on {text} now", [])
+
+
 def test_dates_are_one_to_one():
     days = random.Random(1).sample(range(p.FIRST_DAY, p.LAST_DAY), 2000)
     new = {p.date(KEY, datetime.date.fromordinal(d).isoformat()) for d in days}
