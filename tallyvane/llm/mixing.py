@@ -4,13 +4,19 @@ A softmax scorer, fitted on a bounded sample of a labelled table, gives every do
 posterior over domains. With n_d tokens and posterior p_d, document d at rate w_d adds
 w_d n_d p_d to the domains' expected tokens. Rates w_d >= floor minimise
 
-    1/2 | sum_d w_d n_d p_d / B - target |^2         B: the token budget
+    1/2 sum_k (sum_d w_d n_d p_dk / B - target_k)^2 / share_k      B: the token budget
 
-by accelerated projected gradient steps from w = 1. In the metric that weighs a document
-by its tokens the step for w_d depends on the K residuals and p_d alone, so a document's
-rate is a function of its posterior and of the few residual vectors so far: an iteration
-is one aggregation of K sums over the (narrow) posterior table, and no rates are stored
-between iterations. Residuals, K numbers each, are all that reaches the driver.
+by accelerated projected gradient steps from w = 1; share_k are the domain's tokens in
+budgets at w = 1. Where the targets can be met they are met; weighing the domains makes
+rare ones converge as fast, and bounds the step by 1. In the metric that weighs a document
+by its tokens the step for w_d depends on the K scaled residuals and p_d alone, so a
+document's rate is a function of its posterior and of the few residual vectors so far: an
+iteration is one aggregation of 2K sums over the (narrow) posterior table, and no rates are
+stored between iterations. Residuals, K numbers each, are all that reaches the driver.
+
+Steps end when every domain is within MET of its target, or when they no longer move the
+domains' totals (targets that no rates can meet). If not all are met, a warning says how
+far each domain is from its target.
 
 Defined cases: a null or empty text has no tokens and the posterior of the bias. Null
 ids are mixed but not learnt from. Repeated rows each count. Domains without labelled
@@ -21,6 +27,8 @@ ignored by `rates` and kept as they are by `mixed`.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +40,9 @@ from .linear import Rows, fit_softmax, sampled, smallest_hashes, softmax
 #: Labelled documents fitted on, at most (by smallest hash of the id).
 SAMPLE = 3_000
 BITS = 13
-ROUNDS = 60
+ROUNDS = 200
+#: Met: within this share of the target; of a target of zero, within TOLERANCE.
+MET = 1e-3
 TOLERANCE = 1e-5
 SEED = 101
 
@@ -83,13 +93,13 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col="doc_id", text_col="
     return written(source.mapInArrow(run, f"id {id_type}, digest long, n_tokens long, posterior array<double>"), "posteriors"), domains
 
 
-def replayed(p: np.ndarray, residuals: np.ndarray, step: float, floor: float) -> np.ndarray:
-    """Rates and extrapolated rates of documents with posteriors p after the steps so far."""
-    w = y = np.full(len(p), max(1.0, floor))
-    for t, slope in enumerate((p @ residuals.T).T):
-        last, w = w, np.maximum(floor, y - step * slope)
-        y = w + t / (t + 3) * (w - last)
-    return np.stack((w, y))
+def replayed(p: np.ndarray, slopes: np.ndarray, momenta: list[float], floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors p before the last step so far, after it, and extrapolated."""
+    before = w = y = np.full(len(p), max(1.0, floor))
+    for slope, momentum in zip((p @ slopes.T).T, momenta, strict=True):
+        before, last, w = y, w, np.maximum(floor, y - slope)
+        y = np.maximum(floor, w + momentum * (w - last))
+    return before, w, y
 
 
 def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, floor=0.0) -> DataFrame:
@@ -101,39 +111,45 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], bud
         raise ValueError(f"no labelled rows for {sorted(missing)}")
     k = len(domains)
     target = np.array([targets.get(d, 0.0) for d in domains])
-    # Totals per domain and products per pair of domains, k * (k + 1) numbers.
     sums = [F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in range(k)]
-    pairs = [F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))) for i in range(k) for j in range(k)]
-    total, *rest = members.agg(F.sum("n_tokens"), *sums, *pairs).first() if k else (0,)
+    total, *rest = members.agg(F.sum("n_tokens"), *sums).first() if k else (0,)
     if not total or not target.sum():
         return members.withColumn("rate", F.lit(max(1.0, floor)))
     target, budget = target / target.sum(), float(budget or total)
-    gram = np.array(rest[k:]).reshape(k, k) / budget
-    step, start = 1 / np.linalg.eigvalsh(gram).max(), np.array(rest[:k]) * max(1.0, floor) / budget - target
+    share = np.array(rest) / budget
+    scale = np.divide(1.0, share, out=np.zeros(k), where=share > 0)
+    near = np.where(target > 0, MET * target, TOLERANCE)
 
-    residuals = [start]
+    slopes, momenta, residual, value, since = np.empty((0, k)), [], share * max(1.0, floor) - target, np.inf, 0
     for _ in range(ROUNDS):
-        history = np.array(residuals)
+        if (np.abs(residual) <= near).all():
+            break
+        # Momentum starts again when a step led away from the targets.
+        value, since = (now := (scale * residual**2).sum()), since if now <= value else 0
+        slopes, momenta, since = np.vstack((slopes, scale * residual)), [*momenta, since / (since + 3)], since + 1
 
-        def add(batches, history=history):
-            expected = np.zeros(k)
+        def add(batches, slopes=slopes, momenta=momenta):
+            expected, moved = np.zeros(k), np.zeros(k)
             for batch in batches:
                 p = np.array(batch.column("posterior").flatten()).reshape(-1, k)
-                y = replayed(p, history, step, floor)[1]
-                expected += (y * np.array(batch.column("n_tokens"), float)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in expected], [f"e{i}" for i in range(k)])
-
-        parts = members.select("n_tokens", "posterior").mapInArrow(add, ", ".join(f"e{i} double" for i in range(k)))
-        now = np.array(parts.agg(*[F.sum(f"e{i}") for i in range(k)]).first()) / budget - target
-        residuals.append(now)
-        if np.abs(now).max() < TOLERANCE or np.abs(residuals[-1] - residuals[-2]).max() < TOLERANCE / 100:
+                n = np.array(batch.column("n_tokens"), float)
+                before, w, y = replayed(p, slopes, momenta, floor)
+                expected += (y * n) @ p
+                moved += ((w - before) * n) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*expected, *moved)], [f"e{i}" for i in range(2 * k)])
+
+        parts = members.select("n_tokens", "posterior").mapInArrow(add, ", ".join(f"e{i} double" for i in range(2 * k)))
+        found = np.array(parts.agg(*[F.sum(f"e{i}") for i in range(2 * k)]).first()) / budget
+        residual = found[:k] - target
+        if (np.abs(found[k:]) <= near / 100).all():
             break
-    history = np.array(residuals[:-1])
+    if not (np.abs(residual) <= near).all():
+        warnings.warn(f"targets not met after {len(momenta)} rounds, shares less targets: {dict(zip(domains, residual.round(6).tolist(), strict=True))}", stacklevel=2)
 
     def rate(batches):
         for batch in batches:
             p = np.array(batch.column("posterior").flatten()).reshape(-1, k)
-            w = np.maximum(floor, replayed(p, history, step, floor)[1])
+            w = replayed(p, slopes, momenta, floor)[2]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w)], [*batch.schema.names, "rate"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema) + ", rate double"

@@ -36,6 +36,33 @@ def test_agrees_with_plain_projected_gradient(spark):
     assert np.abs(a @ got - a @ w).max() < 5e-3 and (got < 1e-2).any()
 
 
+@pytest.mark.parametrize("rare", [0.01, 0.0005])
+@pytest.mark.parametrize("soft", [False, True])
+def test_rare_domains_meet_their_targets(spark, rare, soft):
+    tokens, target = np.array([0.6, 0.3, 0.1 - rare, rare]) * 1e6, np.array([0.4, 0.2, 0.2, 0.2])
+    p = np.eye(4) * 0.9 + 0.025 if soft else np.eye(4)
+    df = spark.createDataFrame([(i, 0, int(tokens[i]), p[i].tolist()) for i in range(4)], SCHEMA)
+    w = np.array([r.rate for r in sorted(m.rates(df, list("abcd"), dict(zip("abcd", target.tolist(), strict=True))).collect(), key=lambda r: r.id)])
+    assert (np.abs((w * tokens) @ p / tokens.sum() - target) <= m.MET * target + 1e-6).all()
+
+
+@pytest.mark.parametrize("rare", [1e-3, 1e-4])
+def test_rare_language_is_raised_as_the_pipeline_asks(spark, rare):
+    tokens = np.array([0.6, 0.3, 0.1 - rare, rare]) * 1e7
+    target = tokens**0.8 / (tokens**0.8).sum()
+    df = spark.createDataFrame([(i, 0, int(round(tokens[i])), np.eye(4)[i].tolist()) for i in range(4)], SCHEMA)
+    budget = (tokens / target).max()
+    w = np.array([r.rate for r in sorted(m.rates(df, list("abcd"), dict(zip("abcd", target.tolist(), strict=True)), budget, 1.0).collect(), key=lambda r: r.id)])
+    assert np.abs(w / (target * budget / tokens) - 1).max() < 2e-3
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(0, 0, 100, [0.5, 0.5]), (1, 0, 300, [0.6, 0.4])], SCHEMA)
+    with pytest.warns(UserWarning, match="targets not met"):
+        w = {r.id: r.rate for r in m.rates(df, ["a", "b"], {"a": 0.9, "b": 0.1}).collect()}
+    assert w[1] > 1 and w[0] < 0.05
+
+
 def test_posteriors_mixed_and_odd_rows(spark):
     rows = [(i, ("der die und " if i % 3 else "the of and ") * (1 + i % 5), "x") for i in range(60)] + [(60, None, "x"), (None, "the of", "x"), (3, "der die und " * 4, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rate string")
