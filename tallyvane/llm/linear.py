@@ -59,6 +59,8 @@ def smallest_hashes(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame
     return df.select(F.col(key).alias("key")).where("key is not null").distinct().orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(bound)
 
 
-def sampled(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
-    """Rows of docs whose id is among a bounded sample of keys."""
-    return docs.join(F.broadcast(keys), docs[id_col] == keys["key"], "left_semi")
+def sampled(docs: DataFrame, keys: DataFrame, id_col: str, bound: int, text_col="text") -> DataFrame:
+    """Distinct rows by id and text, at most `bound` by smallest hash, of docs whose id is among a bounded sample of keys."""
+    met = docs.withColumn("_digest", F.xxhash64(text_col)).join(F.broadcast(keys.select("key")), F.col(id_col) == F.col("key"), "left_semi")
+    rows = met.select(F.col(id_col).alias("_id"), F.col("_digest").alias("_at")).distinct().orderBy(F.xxhash64("_id", "_at"), "_id", "_at").limit(bound)
+    return met.join(F.broadcast(rows), (F.col(id_col) == F.col("_id")) & (F.col("_digest") == F.col("_at")), "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")

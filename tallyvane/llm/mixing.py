@@ -73,7 +73,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col="doc_id", text_col="
             columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
             yield pa.RecordBatch.from_arrays([batch.column("domain"), *(pa.array(c, pa.binary()) for c in columns)], ["domain", "index", "value"])
 
-    sample = source.join(chosen, source["id"] == chosen["key"]).select("domain", "text").mapInArrow(describe, "domain string, index binary, value binary").collect()
+    sample = sampled(source, chosen, "id", SAMPLE).join(chosen, F.col("id") == F.col("key")).select("domain", "text").mapInArrow(describe, "domain string, index binary, value binary").collect()
     domains = sorted({r["domain"] for r in sample})
     rows = Rows([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in sample])
     target = (np.array([[r["domain"]] for r in sample]) == np.array(domains)).astype(float) if sample else np.ones((1, 0))

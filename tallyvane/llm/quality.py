@@ -136,7 +136,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text"):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["votes", "index", "value"])
 
     keys = smallest_hashes(docs, id_col, SAMPLE, SEED)
-    sample = sampled(source, keys, "id").select("text").mapInArrow(describe, "votes binary, index binary, value binary").collect()
+    sample = sampled(source, keys, "id", SAMPLE).select("text").mapInArrow(describe, "votes binary, index binary, value binary").collect()
     sparse = Rows([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in sample])
     p = np.array([bad[bytes(r["votes"])] for r in sample])
     if not len(p):

@@ -98,12 +98,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
             columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["index", "value"])
 
-    def gather(keys: DataFrame) -> list[tuple]:
-        rows = sampled(source, keys, "id").select("text").mapInArrow(describe, "index binary, value binary").collect()
+    def gather(keys: DataFrame, bound: int) -> list[tuple]:
+        rows = sampled(source, keys, "id", bound).select("text").mapInArrow(describe, "index binary, value binary").collect()
         return [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
 
-    positive = gather(smallest_hashes(known.where(F.col(label_col) == 1), id_col, POSITIVES, SEED))
-    unlabelled = gather(smallest_hashes(docs.where(learnable), id_col, UNLABELLED, SEED + 1))
+    positive = gather(smallest_hashes(known.where(F.col(label_col) == 1), id_col, POSITIVES, SEED), POSITIVES)
+    unlabelled = gather(smallest_hashes(docs.where(learnable), id_col, UNLABELLED, SEED + 1), UNLABELLED)
     return fit_nnpu(positive, unlabelled, min(prior, 0.5)) if positive else None
 
 
