@@ -8,7 +8,8 @@ bounds. With class prior pi and logistic losses l+ and l-, a linear scorer minim
 the non-negative estimate of the risk that labelled negatives would give; where the
 second part turns negative its gradient is reversed, which keeps the scorer from
 memorising P. pi is the share of toxic rows among the labelled rows that may be learnt
-from. Features are hashed words and word beginnings, kept if they are clearly more frequent in P.
+from. Features are hashed words and word beginnings, kept if they are clearly more frequent in
+P; their document frequencies are counted over all learnable documents, in P by distinct texts.
 
 Defined cases: a null or empty text has no features and scores by the bias alone. Null ids are scored and not learnt from. Repeated rows stay repeated. Without any
 positive example every score is 0. Other columns are ignored.
@@ -30,8 +31,7 @@ from .linear import Adam, Rows, sampled, smallest_hashes
 POSITIVES = 4_000
 UNLABELLED = 8_000
 BITS = 20
-MIN_POSITIVES = 3
-MIN_SHARE = 0.02  # copies of one text must not make its words look typical
+MIN_POSITIVES = 5  # distinct texts
 MIN_Z = 4.0
 BEGINNINGS = (5, 6, 7, 8)
 SEED = 1010
@@ -51,14 +51,23 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return index, np.log1p(count)
 
 
-def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, rounds=300, rate=0.05, decay=1e-5):
-    """(feature numbers in order, weights, bias)."""
+def frequencies(docs: list[tuple]) -> tuple[np.ndarray, int]:
+    """(documents with each feature, documents)."""
+    return np.bincount(np.concatenate([i for i, _ in docs]) if docs else np.empty(0, np.int64), minlength=1 << BITS), len(docs)
+
+
+def typical(of_p: tuple[np.ndarray, int], of_u: tuple[np.ndarray, int]) -> np.ndarray:
+    """Features clearly more frequent in P, from the frequencies in P and U."""
+    (df_p, n_p), (df_u, n_u) = of_p, of_u
+    share_p, share_u = df_p / n_p, (df_u + 1) / (n_u + 2)
+    z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / n_p + 1e-12)
+    return np.flatnonzero((df_p >= MIN_POSITIVES) & (z > MIN_Z))
+
+
+def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, rounds=300, rate=0.05, decay=1e-5, chosen=None):
+    """(feature numbers in order, weights, bias). chosen: the features (None: those typical of the rows given)."""
     size = 1 << BITS
-    df = lambda docs: np.bincount(np.concatenate([i for i, _ in docs]), minlength=size) if docs else np.zeros(size)
-    df_p, df_u = df(positive), df(unlabelled)
-    share_p, share_u = df_p / len(positive), (df_u + 1) / (len(unlabelled) + 2)
-    z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / len(positive) + 1e-12)
-    chosen = np.flatnonzero((df_p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (z > MIN_Z))
+    chosen = typical(frequencies(positive), frequencies(unlabelled)) if chosen is None else chosen
     place = np.full(size, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     near = lambda docs: Rows([(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in docs])
@@ -98,13 +107,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
             columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["index", "value"])
 
+    def counted(rows: DataFrame, among: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        """Frequencies over all rows (among: of these features only), as at most 2**BITS numbers."""
+
+        def count(batches):
+            df, n = np.zeros(1 << BITS, np.int64), 0
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    df[features(text)[0]] += 1  # numbers are distinct within a text
+                    n += 1
+            at = np.flatnonzero(df) if among is None else among
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int64()), pa.array(np.append(n, df[at]), pa.int64())], ["feature", "n"])
+
+        sums = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(f"feature = -1 or n >= {MIN_POSITIVES}").toArrow()
+        df, at, n = np.zeros(1 << BITS, np.int64), sums["feature"].to_numpy(), sums["n"].to_numpy()
+        df[at[at >= 0]] = n[at >= 0]
+        return df, int(n[at < 0].sum())
+
     def gather(keys: DataFrame, bound: int) -> list[tuple]:
         rows = sampled(source, keys, "id", bound).select("text").mapInArrow(describe, "index binary, value binary").collect()
         return [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
 
+    toxic = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("key")).where("key is not null").distinct()
+    taught = source.where(crc32_mod("id", 5) != 0).where("id is not null")
+    of_p = counted(taught.join(toxic, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["text"]))
+    if not of_p[1]:
+        return None
+    chosen = typical(of_p, counted(taught, np.flatnonzero(of_p[0])))
     positive = gather(smallest_hashes(known.where(F.col(label_col) == 1), id_col, POSITIVES, SEED), POSITIVES)
     unlabelled = gather(smallest_hashes(docs.where(learnable), id_col, UNLABELLED, SEED + 1), UNLABELLED)
-    return fit_nnpu(positive, unlabelled, min(prior, 0.5)) if positive else None
+    return fit_nnpu(positive, unlabelled, min(prior, 0.5), chosen=chosen) if positive else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:

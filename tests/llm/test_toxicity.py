@@ -32,6 +32,25 @@ def test_held_rows_never_teach(spark):
     assert len(got) == len(ids) and all(r.held_out and r.score == 0 and r.predicted == 0 for r in got)
 
 
+def test_a_rare_kind_of_toxicity_has_features(spark):
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    held = [i for i in range(100) if i not in set(ids)]
+    toxic = ids[::4]
+    rare = set(toxic[::100])  # one per cent of the positives, with its own vocabulary
+    toxic_ids = set(toxic)
+    docs = [(i, f"item {i} speaks {'vilest' if i in rare else 'horrid' if i in toxic_ids else 'gentle'} words") for i in ids] + [(i, f"row {i} is vilest") for i in held]
+    labels = spark.createDataFrame([(i, int(i in toxic_ids)) for i in ids], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in t.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()}
+    assert all(got[i] for i in rare) and all(got[i] for i in held)
+    assert not any(got[i] for i in ids if i not in toxic_ids)
+
+
+def test_copies_of_one_text_are_no_features(spark):
+    docs = spark.createDataFrame([(i, "copied notice again" if i < 60 else f"plain text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(400)], "doc_id long, toxic int")
+    assert len(t.fit(docs, labels)[0]) == 0
+
+
 def test_odd_rows(spark):
     rows = [(i, f"word{i} filler text " + ("awful " if i % 4 == 0 else "")) for i in range(200)] + [(300, None), (301, ""), (None, "awful"), (4, "word4 awful"), (302, "long " * 100_000)]
     docs = spark.createDataFrame([(i, x, 0.5) for i, x in rows], "doc_id long, text string, score double")
