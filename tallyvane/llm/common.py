@@ -43,6 +43,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text):
     """A-Z lower-cased, all else kept. Pure ASCII takes the fast path of lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

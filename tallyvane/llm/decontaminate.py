@@ -1,16 +1,23 @@
-"""Benchmark decontamination over a distributed positional index, DataFrame functions only.
+"""Benchmark decontamination over a distributed positional inverted index, DataFrame functions only.
 
-A benchmark item becomes windows of consecutive words. Each window names its rarest
-words (by their count in the documents) as anchors. The documents are tokenised into
-postings (document, word, position); postings of anchors, moved back by the anchor's
-offset in the window, must meet at one start, which leaves few candidate starts. These
-are confirmed word by word against the postings of their documents, so the result is
-exact.
+`Index` tokenises every document once and stores the postings (row, term, position) of all
+words that any benchmark item has; a row's own entry, at no position, holds its id, its
+number of words and the digest of its text. Counts of terms, exact phrases and proximity
+matches are all read from these postings.
+
+Exact phrases: every window of an item names its two rarest terms. Their posting lists,
+moved back by the terms' offsets in the item, meet on a diagonal (row, item, position less
+offset); where two lists agree, the item's other words are looked up in the postings of the
+row, and runs of a window's length or more are the matches. Nothing is estimated.
+
+Proximity: an item's rarest words all within a span, in any order.
 
 Defined cases: a null or wordless text has no words; an item with fewer words than a
 window, but at least one, is one window of its own length; wordless items match nothing.
-Repeated documents (same id and text) stay repeated. Overlapping occurrences count each
-word once. Other columns are ignored, so their names cannot clash.
+Repeated documents stay repeated. Overlapping occurrences count each word once. Null ids
+are ids like any other (as items they count as empty text). Other columns are ignored by
+the searches, and kept by `clean_documents`; no name can clash. Empty tables give no
+matches.
 """
 
 from __future__ import annotations
@@ -18,13 +25,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, discard, written
 
 #: Fixed value: what separates words (all ASCII but letters and digits).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A window table of at most this many words is broadcast (64 bytes each: under 64 MB).
+#: A table of the benchmark's words of at most this many rows is broadcast (64 bytes each: under 64 MB).
 BROADCAST_WORDS = 1_000_000
-ANCHORS = 3
+#: Lists that must agree before a phrase is looked up.
+ANCHORS = 2
+#: Words of a document that are looked up together.
+BLOCK = 64
 
 
 def words_of(text):
@@ -32,161 +42,119 @@ def words_of(text):
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def windows_of(items: DataFrame, width: int) -> DataFrame:
-    """(window, item_id, offset, size, term): one row per word of every distinct window.
-
-    Equal windows of several items share one window key, a digest of their words.
-    """
-    w = F.col("words")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - width))
-    return (
-        items.select("item_id", words_of(F.col("text")).alias("words"))
-        .where(F.size("words") > 0)
-        .select("item_id", "words", F.explode(starts).alias("s"))
-        .select("item_id", F.slice(w, F.col("s") + 1, F.lit(width)).alias("words"))
-        .withColumn("window", F.xxhash64("words"))
-        .distinct()
-        .select("item_id", "window", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
-    )
-
-
-def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= bound else df
+    return F.broadcast(df) if rows <= BROADCAST_WORDS else df
+
+
+class Index:
+    """The postings of docs in the words of items, written to the shared folder."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text"):
+        numbered = items.select(F.monotonically_increasing_id().alias("item"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words"))
+        spelt = written(numbered.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term")), "items")
+        # Number 0, the empty word, is every row's own entry.
+        lexicon = spelt.select("term").distinct().select("term", (F.monotonically_increasing_id() + 1).alias("number"))
+        lexicon = written(lexicon.unionByName(docs.sparkSession.createDataFrame([("", 0)], "term string, number long")), "lexicon")
+        #: Words of items: (item, item_id, n, offset, number).
+        self.items = written(spelt.join(lexicon, "term").drop("term"), "item-words")
+        self.n_items_words = self.items.count()
+        text = F.col("text")
+        source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        rows = source.select(F.monotonically_increasing_id().alias("row"), "id", "text", words_of(text).alias("words"))
+        entries = rows.select("row", "id", "text", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "term"))
+        own = lambda value: F.when(F.col("number") == 0, value)
+        met = entries.join(small(lexicon, lexicon.count()), "term")
+        postings = met.select("row", "number", (F.col("at") - 1).alias("pos"), own(F.col("id")).alias("id"), own(F.col("n_words")).alias("n_words"), own(F.sha2(text, 256)).alias("digest"))
+        self.table = written(postings, "postings")
+        discard(spelt, lexicon)
+        self.postings = self.table.where("number > 0").select("row", "number", "pos")
+        #: One entry per row of docs: (row, id, n_words, digest).
+        self.rows = self.table.where("number = 0").select("row", "id", "n_words", "digest")
+        self.counts = written(self.postings.groupBy("number").agg(F.count("*").alias("n_postings")), "counts")
+
+    def places(self, width: int) -> DataFrame:
+        """(item, offset, number, need): where the rarest terms of any window stand; need: lists that must agree."""
+        starts = F.sequence(F.greatest(F.lit(0), F.col("offset") - width + 1), F.greatest(F.lit(0), F.least(F.col("offset"), F.col("n") - width)))
+        in_windows = self.items.join(F.broadcast(self.counts) if self.n_items_words <= BROADCAST_WORDS else self.counts, "number").withColumn("window", F.explode(starts))
+        rank = F.row_number().over(Window.partitionBy("item", "window").orderBy("n_postings", "offset"))
+        need = F.least(F.lit(ANCHORS), F.col("n"))
+        return in_windows.withColumn("rank", rank).where(F.col("rank") <= ANCHORS).select("item", "offset", "number", need.alias("need")).distinct()
+
+    def phrases(self, width=10) -> DataFrame:
+        """(row, item_id, start, size): longest runs of an item's words, each of a window's length at least."""
+        places = written(self.places(width), "places")
+        met = self.postings.join(small(places, self.n_items_words), "number")
+        diagonal = (F.col("pos") - F.col("offset")).alias("diagonal")
+        agreed = met.groupBy("row", "item", diagonal).agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.min("need").alias("need"))
+        candidates = written(agreed.where("need = 1 or low < high").select("row", "item", "diagonal"), "candidates")
+        sizes = self.items.select("item", "n").distinct()
+        blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("diagonal")) / BLOCK), F.floor(F.greatest(F.lit(0), F.col("diagonal") + F.col("n") - 1) / BLOCK))
+        spans = candidates.join(small(sizes, self.n_items_words), "item").select("row", "item", "diagonal", F.explode(blocks).alias("block"))
+        near = self.postings.withColumn("block", F.floor(F.col("pos") / BLOCK)).join(spans, ["row", "block"])
+        standing = near.select("row", "item", "diagonal", "number", (F.col("pos") - F.col("diagonal")).cast("int").alias("offset"))
+        same = standing.join(small(self.items, self.n_items_words), ["item", "offset", "number"])
+        along = Window.partitionBy("row", "item", "diagonal").orderBy("offset")
+        runs = same.withColumn("run", F.col("offset") - F.row_number().over(along)).groupBy("row", "item", "item_id", "diagonal", "n", "run")
+        found = runs.agg(F.min("offset").alias("first"), F.count("*").cast("int").alias("size")).where(F.col("size") >= F.least(F.lit(width), F.col("n")))
+        return written(found.select("row", "item_id", (F.col("diagonal") + F.col("first")).cast("int").alias("start"), "size"), "phrases")
+
+    def near(self, terms=3, span=20) -> DataFrame:
+        """(row, item_id, start): an item's `terms` rarest different words, all within `span` words, in any order.
+
+        start is a position of any of them from which the others follow within the span.
+        Items with fewer different words need all they have.
+        """
+        own = self.items.groupBy("item", "item_id", "number").agg(F.min("offset").alias("offset")).join(self.counts, "number", "left")
+        rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n_postings", F.lit(0)), "offset"))
+        chosen = own.withColumn("rank", rank).where(F.col("rank") <= terms)
+        chosen = written(chosen.withColumn("need", F.count("*").over(Window.partitionBy("item"))).select("item", "item_id", "number", "need"), "rarest")
+        lists = self.postings.join(small(chosen, self.n_items_words), "number")
+        ahead = Window.partitionBy("row", "item").orderBy("pos").rangeBetween(0, span - 1)
+        return lists.withColumn("seen", F.size(F.collect_set("number").over(ahead))).where("seen = need").select("row", "item_id", F.col("pos").alias("start"))
 
 
 def matches(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id", text_col="text") -> DataFrame:
-    """Occurrences (doc, id, window, start, size): doc is the row's key, id the document's."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = source.select(F.xxhash64("id", "text").alias("doc"), "id", words_of(F.col("text")).alias("words"))
-    window_words = written(windows_of(items, width), "windows")
-    distinct_words = window_words.select("window", "size", "offset", "term").distinct()
-    n = distinct_words.count()
-    vocabulary = distinct_words.select("term").distinct()
-    # Counts of the benchmark's words in the documents, summed before the shuffle.
-    tokens = keyed.select(F.explode("words").alias("term"))
-    counts = tokens.join(small(vocabulary, n, BROADCAST_WORDS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    # A window with a word that no document has cannot occur: the inner join drops that
-    # word, and with it the window's rows fall short of its size.
-    weighed = distinct_words.join(counts, "term").withColumn("present", F.count("*").over(Window.partitionBy("window")))
-    possible = weighed.where("present = size")
-    ranked = possible.withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("n", "offset")))
-    anchors = written(ranked.where(F.col("rank") <= ANCHORS).select("window", "size", "rank", "offset", "term"), "anchors")
-    phrases = distinct_words.groupBy("window").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"]).alias("phrase")
-    )
-    if n <= BROADCAST_WORDS:
-        return local_matches(keyed, anchors, phrases)
-    return shuffled_matches(keyed, anchors, phrases)
-
-
-def local_matches(keyed: DataFrame, anchors: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Lists of a document are intersected where it is read: its postings are all in its row.
-
-    The rarest anchor's postings give the starts; the other anchors, then the whole
-    phrase, are looked up at their offsets. Explode, join and tests are one generated
-    stage, so the words are not copied per posting, and only true matches leave it.
-    """
-    by_rank = F.transform(F.array_sort(F.collect_list(F.struct("rank", "offset", "term"))), lambda x: F.struct(x["offset"], x["term"]))
-    lists = anchors.groupBy("window", "size").agg(by_rank.alias("anchors")).join(phrases, "window")
-    side = lists.select("window", "size", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("offset"), "anchors", "phrase")
-    postings = keyed.select("doc", "id", "words", F.posexplode("words").alias("pos", "term"))
-    start = F.col("pos") - F.col("offset")
-    stands = start >= 0
-    for nth in range(1, ANCHORS):
-        other = F.get("anchors", F.lit(nth))
-        stands = stands & (other.isNull() | (F.get("words", start + other["offset"]) == other["term"]))
-    stands = stands & (F.slice("words", start + 1, F.col("size")) == F.col("phrase"))
-    met = postings.join(F.broadcast(side), "term").where(F.when(start >= 0, stands).otherwise(False))
-    return met.select("doc", "id", "window", "size", start.alias("start"))
-
-
-def shuffled_matches(keyed: DataFrame, anchors: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The same where the windows are too many to broadcast: lists meet in shuffles."""
-    postings = keyed.select("doc", "id", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "term"))
-    hits = (
-        postings.join(anchors, "term")
-        .withColumn("start", F.col("pos") - F.col("offset"))
-        .where("start >= 0 and start + size <= n_words")
-        .groupBy("doc", "id", "window", "size", "start")
-        .agg(F.countDistinct("offset").alias("agree"))
-        .where(F.col("agree") == F.least(F.col("size"), F.lit(ANCHORS)))
-        .drop("agree")
-    )
-    return confirmed(keyed, written(hits, "candidates"), phrases)
-
-
-def confirmed(keyed: DataFrame, candidates: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Candidates whose every word stands at its place."""
-    docs = candidates.select("doc").distinct()
-    texts = keyed.join(docs, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "words")
-    starts = candidates.join(phrases, "window")
-    return starts.join(texts, "doc").where(F.slice("words", F.col("start") + 1, F.col("size")) == F.col("phrase")).select(
-        "doc", "id", "window", "size", "start"
-    )
+    """(id, item_id, start, size): runs of at least a window's length (in words) of items in documents."""
+    index = Index(docs, items, id_col, text_col)
+    return index.phrases(width).join(index.rows, "row").select(F.col("id").alias(id_col), "item_id", "start", "size")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, terms=3, span=20, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc, id, item_id, start): an item's `terms` rarest words, all within `span` words, in any order.
-
-    Each item keeps one list per word; a start is a position of any of them from which
-    the others follow within the span. Items with fewer distinct words need all they have.
-    """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = source.select(F.xxhash64("id", "text").alias("doc"), "id", words_of(F.col("text")).alias("words"))
-    own = items.select("item_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    n = own.count()
-    tokens = keyed.select("doc", "id", F.posexplode("words").alias("pos", "term"))
-    vocabulary = small(own.select("term").distinct(), n, BROADCAST_WORDS)
-    counts = tokens.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = own.join(counts, "term", "left").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term"))
-    )
-    chosen = ranked.where(F.col("rank") <= terms).withColumn("need", F.count("*").over(Window.partitionBy("item_id")))
-    lists = tokens.join(small(written(chosen.select("item_id", "term", "need"), "near"), n, BROADCAST_WORDS), "term")
-    ahead = Window.partitionBy("doc", "id", "item_id").orderBy("pos").rangeBetween(0, span - 1)
-    return (
-        lists.withColumn("seen", F.size(F.collect_set("term").over(ahead)))
-        .where("seen = need")
-        .select("doc", "id", "item_id", F.col("pos").alias("start"))
-        .distinct()
-    )
+    """(id, item_id, start): see Index.near."""
+    index = Index(docs, items, id_col, text_col)
+    return index.near(terms, span).join(index.rows, "row").select(F.col("id").alias(id_col), "item_id", "start")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted ids as text), contaminated."""
-    found = written(matches(docs, items, width, id_col, text_col), "matches")
-    spans = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    """One row per document: id, n_words, n_hit, n_items, items (sorted ids as text), contaminated, near (ids of items met by proximity)."""
+    index = Index(docs, items, id_col, text_col)
+    found = index.phrases(width)
+    longest = found.groupBy("row", "start").agg(F.max("size").alias("size"))
+    spans = longest.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("spans"))
     # Words in the union of spans: each adds what reaches beyond the furthest end so far.
     step = lambda acc, s: F.struct(
         F.greatest(acc["end"], s["start"] + s["size"]).alias("end"),
         (acc["n"] + F.greatest(F.lit(0), s["start"] + s["size"] - F.greatest(acc["end"], s["start"]))).alias("n"),
     )
-    hit = spans.select("doc", F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"].cast("long").alias("n_hit"))
-    names = windows_of(items, width).select("window", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
-    named = (
-        found.select("doc", "window").distinct().join(names, "window").groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    text = F.col(text_col)
-    every = docs.select(
-        F.col(id_col), F.xxhash64(F.col(id_col), text).alias("doc"), F.size(words_of(text)).cast("long").alias("n_words")
-    )
-    return (
-        every.join(hit.join(named, "doc"), "doc", "left")
-        .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-        .select(
-            id_col,
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            "items",
-            F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-        )
+    hit = spans.select("row", F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"].cast("long").alias("n_hit"))
+    named = lambda df, name: df.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+    facts = hit.join(named(found, "items"), "row").join(named(index.near(), "near"), "row", "full")
+    none = F.array().cast("array<string>")
+    return index.rows.join(facts, "row", "left").select(
+        F.col("id").alias(id_col),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.coalesce("items", none).alias("items"),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("near", none).alias("near"),
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of docs in which no window of an item occurs, unchanged."""
-    bad = matches(docs, items, width, id_col, text_col).select("doc").distinct()
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    return docs.join(bad, key == bad["doc"], "left_anti")
+    """The rows of docs in which no window of an item occurs, unchanged; rows are known by id and SHA-256 of the text."""
+    index = Index(docs, items, id_col, text_col)
+    bad = index.phrases(width).select("row").distinct().join(index.rows, "row").select(F.col("id").alias("__bad_id"), F.col("digest").alias("__bad_digest")).distinct()
+    same = docs[id_col].eqNullSafe(bad["__bad_id"]) & (F.sha2(docs[text_col], 256) == bad["__bad_digest"])
+    return docs.join(bad, same, "left_anti")

@@ -68,7 +68,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
 def word_vocabulary() -> str:
@@ -141,9 +141,20 @@ WITH d AS (
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM bw))
 ), m AS (SELECT doc_id, s, k, item_id FROM dw JOIN bw USING (k, phrase)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY 1),
-i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m GROUP BY 1)
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m GROUP BY 1),
+t AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS term FROM d),
+b3 AS (
+  SELECT item_id, term, min(o) AS o, (SELECT count(*) FROM t WHERE t.term = x.term) AS n
+  FROM (SELECT item_id, generate_subscripts(w, 1) AS o, unnest(w) AS term FROM b) x GROUP BY item_id, term
+), b4 AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS need FROM (SELECT item_id, term FROM b3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n, o) <= 3)),
+l AS (SELECT doc_id, item_id, p, term, need FROM t JOIN b4 USING (term)),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT doc_id, item_id, need, len(list_distinct(list(term) OVER (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING))) AS seen FROM l
+  ) WHERE seen = need GROUP BY 1
+)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN near USING (doc_id)
 """,
 }

@@ -81,4 +81,23 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zeta a b gamma c d alpha"), (2, "zeta " + "x " * 30 + "gamma alpha"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha gamma zeta"), (2, None)], "item_id long, text string")
     got = d.proximity_matches(docs, items, terms=3, span=10).collect()
-    assert [(r.id, r.item_id, r.start) for r in got] == [(1, 1, 0)]
+    assert [(r.doc_id, r.item_id, r.start) for r in got] == [(1, "1", 0)]
+    near = {r.doc_id: r.near for r in d.contamination(docs, items).collect()}
+    assert near == {1: ["1"], 2: [], 3: []}
+
+
+@pytest.mark.parametrize("name", ["doc", "row", "number"])
+def test_names_that_clash(spark, name):
+    docs = spark.createDataFrame([(1, "a short item", 7), (2, "clean", 8), (None, None, 9)], f"`{name}` long, text string, extra long")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    bad = {r[0] for r in d.contamination(docs, items, id_col=name).where("contaminated").collect()}
+    clean = d.clean_documents(docs, items, id_col=name)
+    assert bad == {1} and clean.columns == docs.columns and sorted(r.extra for r in clean.collect()) == [8, 9]
+
+
+def test_long_item_and_phrases_across_blocks(spark):
+    item = " ".join(f"w{i}" for i in range(500))
+    docs = [(1, "x " * 61 + item), (2, " ".join(f"w{i}" for i in range(100, 111)) + " w0 w1"), (3, " ".join(f"w{i}" for i in range(9))), (4, (item + " ") * 3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in d.contamination(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == brute(docs, [(1, item)], 10) and got[1][1] == 500 and got[2][1] == 11 and got[3][1] == 0
