@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         best = F.least("label", "above", "near")
         moved = written(step.select("node", best.alias("label"), (best < F.col("label")).alias("moved")), "labels")
         changed = not moved.where("moved").isEmpty()
+        discard(state)
         state = moved.drop("moved")
+    discard(both)
     return state

@@ -1,17 +1,19 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most two bits agree in at least six of their
-eight positional bytes. Postings on one byte alone would hold 1/256 of all fingerprints,
-so a posting key joins the bytes of two of four byte pairs: with two bytes wrong, two
-pairs at least are whole, so every link shares a key. Per pair that meets in a posting
-list the shared positional bytes are tallied, pairs under six are dropped, and the rest
-are verified bit by bit.
-
-Long posting lists (near copies in thousands) would emit all their pairs. Their members
-are instead posted again under six of eight bytes; a list there leaves two bytes open, and
-fingerprints at two bits or fewer meet at a common fingerprint that differs from each in
-at most one of those open bits. These meeting points have at most 17 members, so the rows
-stay linear in the fingerprints and no link is lost.
+Two 64-bit fingerprints that differ in at most two bits share at least six of their eight
+positional bytes. A list per single byte would hold 1/256 of all fingerprints, so the index
+has a list per five positional bytes: OPEN names the three positions that each kind of list
+leaves out. Its 20 kinds leave every two positions out together at least twice, which makes
+the count exact: fingerprints that share six bytes or more meet in at least two lists, those
+that share five meet in one list at most, others in none. Pairs are tallied over the lists
+they meet in, those under MIN_LISTS are dropped, and the rest are verified bit by bit.
+
+Near copies in thousands make long lists, whose pairs are not all to be emitted. A pair that
+shares such a list gets its link there, another way: members are posted again under six of
+eight bytes, which leaves two bytes open, and fingerprints at two bits or fewer meet at a
+common fingerprint that differs from each in at most one of those open bits. These meeting
+points have at most 17 members, so rows stay linear in the fingerprints. A pair that shares
+no long list has its whole tally in the short ones; so no link is lost at any length.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other.
 Repeated rows stay repeated. A null id never is a component's id unless all its ids are
@@ -28,14 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, written
+from .common import TO_LOWER, discard, written
 from .components import components
 
 SHINGLE = 3
 MAX_BITS = 2
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
-#: Posting lists beyond this length take the second way.
+#: Positional bytes that each kind of list leaves open: {i, i+1, i+3} and {i, i+1, i+4} modulo 8, and {i, i+2, i+4} for four i.
+OPEN = [sorted({i, (i + a) % BYTES, (i + b) % BYTES}) for a, b, starts in ((1, 3, range(8)), (1, 4, range(8)), (2, 4, (0, 1, 4, 5))) for i in starts]
+#: Lists that fingerprints sharing MIN_SHARED bytes are sure to meet in.
+MIN_LISTS = 2
+#: The pairs of a list of more members are found at meeting points.
 LONG_LIST = 32
 SEED = 42
 
@@ -64,27 +70,19 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view("<i8")[0])
 
 
-def _byte(fp, i: int):
-    return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))
-
-
 def _key(fp, number: int, mask: int):
     """Posting key: which bytes are taken, and what they hold."""
     mask -= (mask >> 63) << 64
     return F.struct(F.lit(number).cast("byte").alias("at"), fp.bitwiseAND(F.lit(mask)).alias("held"))
 
 
-def _masks(groups: list[int], take: int) -> list[int]:
-    return [sum(255 << 8 * b for g in chosen for b in range(8) if b // (8 // len(groups)) == g) for chosen in itertools.combinations(groups, take)]
-
+def _mask(open_bytes) -> int:
+    """Bits of the bytes that are not open."""
+    return sum(255 << 8 * b for b in range(BYTES) if b not in open_bytes)
 
-SHORT_MASKS = _masks([0, 1, 2, 3], 2)
-LONG_MASKS = _masks(list(range(8)), MIN_SHARED)
 
-
-def shared_bytes(a, b):
-    """Tally of the positional bytes two fingerprints share."""
-    return sum((F.when(_byte(a.bitwiseXOR(b), i) == 0, 1).otherwise(0) for i in range(1, BYTES)), F.when(_byte(a.bitwiseXOR(b), 0) == 0, 1).otherwise(0))
+INDEX_MASKS = [_mask(o) for o in OPEN]
+SIX_MASKS = [_mask(o) for o in itertools.combinations(range(BYTES), BYTES - MIN_SHARED)]
 
 
 def links(distinct_fps: DataFrame) -> DataFrame:
@@ -93,31 +91,28 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     Every linked pair is joined by a path of such links; pairs of long lists are not all listed.
     """
     fp = F.col("fp")
-    postings = written(
-        distinct_fps.select("fp", F.explode(F.array(*[_key(fp, i, m) for i, m in enumerate(SHORT_MASKS)])).alias("key")), "postings"
-    )
-    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    lists = written(lists, "lists")
-    short = postings.join(lists.where(F.col("n") <= LONG_LIST).select("key"), "key").select("key", "fp")
-    a, b = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    pairs = a.join(b, "key").where("a < b").select("a", "b")
-    tallied = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= MIN_SHARED)
-    near = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-
-    crowded = postings.join(lists.where(F.col("n") > LONG_LIST).select("key"), "key").select("fp").distinct()
+    posted = F.explode(F.array(*[_key(fp, i, m) for i, m in enumerate(INDEX_MASKS)])).alias("key")
+    postings = written(distinct_fps.select("fp", posted), "postings")
+    lists = written(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    short = written(postings.join(lists.where(F.col("n") <= LONG_LIST).select("key"), "key").select("key", "fp"), "short")
+    pairs = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    tallied = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= MIN_LISTS)
+    near = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+    crowded = written(postings.join(lists.where(F.col("n") > LONG_LIST).select("key"), "key").select("fp").distinct(), "crowded")
+    discard(postings)
     return near.unionByName(crowded_links(crowded))
 
 
 def crowded_links(crowded: DataFrame) -> DataFrame:
     """Links among fingerprints of long lists, over their lists of six bytes."""
     fp = F.col("fp")
-    six = written(crowded.select("fp", F.explode(F.array(*[_key(fp, i, m) for i, m in enumerate(LONG_MASKS)])).alias("key")), "six")
+    six = written(crowded.select("fp", F.explode(F.array(*[_key(fp, i, m) for i, m in enumerate(SIX_MASKS)])).alias("key")), "six")
     # A list of six bytes is often one fingerprint alone; the rest meet at one open bit's distance.
     shared = six.join(six.groupBy("key").count().where("count > 1").select("key"), "key")
     opened = F.array(
         *[
             F.array(fp, *[fp.bitwiseXOR(F.lit((1 << b) - ((1 << b >> 63) << 64))) for b in range(64) if not m >> b & 1])
-            for m in LONG_MASKS
+            for m in SIX_MASKS
         ]
     )
     meet = shared.select("fp", F.explode(F.element_at(opened, F.col("key.at").cast("int") + 1)).alias("point")).distinct()

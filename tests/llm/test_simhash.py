@@ -36,6 +36,12 @@ def test_fingerprint_by_definition(text):
     assert simhash.fingerprint((text or "").encode()) % 2**64 == brute_fingerprint(text)
 
 
+def test_tally_of_lists_tells_shared_bytes():
+    for wrong in range(256):
+        met = sum(all(not wrong >> b & 1 or b in left_out for b in range(8)) for left_out in simhash.OPEN)
+        assert (met >= simhash.MIN_LISTS) == (bin(wrong).count("1") <= simhash.BYTES - simhash.MIN_SHARED)
+
+
 def test_links_connect_as_all_pairs_do(spark):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(60)]
