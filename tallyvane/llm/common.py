@@ -64,9 +64,10 @@ def crc32_mod(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shuffle_width(spark: SparkSession, n_bytes: int, per_task: int) -> int:
-    """Partitions so that each holds about per_task bytes, and no fewer than the session's."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_task), 1)
+def shuffle_width(spark: SparkSession, n_bytes: int, per_task: int, most: int | None = None) -> int:
+    """Partitions so that each holds about per_task bytes (but at most `most`), and no fewer than the session's."""
+    wanted = -(-n_bytes // per_task)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, most or wanted), 1)
 
 
 def hashed(tally: Counter, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_width
@@ -39,6 +39,10 @@ BLOCK = 4096
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 18
 TASK_BYTES = 24 << 20
+#: Beyond so many tasks they grow instead; segments keep their memory bounded.
+MOST_TASKS = 50_000
+#: Shards whose places are added up together.
+SHARD_GROUP = 1024
 CACHE_WORDS = 500_000
 IDS = b""
 #: Below this, letters are composed and lower-case as the tokenizer has them.
@@ -63,8 +67,9 @@ class WordIds(dict):
         ids = self.older.get(word)
         if ids is None:
             core = word.rstrip(MARKS)
-            if core != word and core.isalpha():
+            if core != word and core.isalpha() and core.lower().isalpha():
                 # The tokenizer cuts between letters and marks (but for '), so these have ids of their own.
+                # Not so where lower-casing leaves a combining mark, which the marks would join.
                 ids = self[core] + self[word[len(core) :]]
             elif word.isalpha() and word.islower() and max(word) < PLAIN_BELOW:
                 # One piece, already normal: straight to the merges, by its bytes' letters.
@@ -86,15 +91,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+_HELD: dict[str, WordIds] = {}
+
+
 def word_ids(path: str) -> WordIds:
     """The worker's cache for a vocabulary; workers are reused, so it outlives a task."""
-    import sys
-
-    held = sys.__dict__.setdefault("_word_ids", {})
-    if path not in held:
-        held.clear()
-        held[path] = WordIds(path)
-    return held[path]
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = WordIds(path)
+    return _HELD[path]
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -145,6 +150,16 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def unpack_between(payload: bytes, starts: list[int], offsets: list[int], a: int, b: int) -> np.ndarray:
+    """Ids a to b (exclusive) of a payload, from the blocks that hold them; starts and offsets are the block index."""
+    first = np.searchsorted(starts, a, "right") - 1
+    last = np.searchsorted(starts, b, "left")
+    data, out = memoryview(payload), [np.empty(0, np.uint32)]
+    for block in range(first, last):
+        out.append(unpack_block(data[offsets[block] :])[0])
+    return np.concatenate(out)[a - starts[first] : b - starts[first]]
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_col="doc_id", text_col="text") -> str:
     """Writes the files of docs below path (a new folder of the shared one if None); returns the path."""
     spark = docs.sparkSession
@@ -152,7 +167,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_c
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = source.withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(shuffle_width(spark, n_bytes, TASK_BYTES), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    ordered = ordered.repartitionByRange(shuffle_width(spark, n_bytes, TASK_BYTES, MOST_TASKS), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     id_type = ordered.schema["id"].dataType
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -188,19 +203,47 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_c
     return path
 
 
+def shard_starts(files: DataFrame) -> DataFrame:
+    """(shard, shard_start): ids in all shards before. Sums run within groups of shards, then over the groups' totals."""
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("group", F.floor(F.col("shard") / SHARD_GROUP))
+    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = shards.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("group_start"))
+    inside = shards.withColumn("start", before(Window.partitionBy("group").orderBy("shard")))
+    return inside.join(groups, "group").select("shard", (F.col("start") + F.col("group_start")).alias("shard_start"))
+
+
+def read_documents(spark, path: str, ids: list, id_col="doc_id") -> DataFrame:
+    """(id, ids): token ids of the documents asked for (a short list), from their blocks alone.
+
+    Segments without any of them are not read beyond their list of documents; of the others
+    only the blocks that the index names are decoded. Ids that are not there give no rows.
+    """
+    files = spark.read.parquet(path)
+    id_type = files.schema["doc_ids"].dataType.elementType
+    wanted = F.array(*[F.lit(i).cast(id_type) for i in ids]) if ids else F.array().cast(files.schema["doc_ids"].dataType)
+    asked = set(ids)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends = np.cumsum(row["doc_lengths"])
+                starts = [s - row["start"] for s in row["block_starts"]]
+                for doc_id, n, end in zip(row["doc_ids"], row["doc_lengths"], ends.tolist(), strict=True):
+                    if doc_id in asked:
+                        found = unpack_between(row["payload"], starts, row["block_offsets"], end - n, end)
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], batch.schema.field("doc_ids").type.value_type), pa.array([found.tolist()], pa.list_(pa.int64()))], ["id", "ids"])
+
+    segments = files.where(F.arrays_overlap("doc_ids", wanted)).select("start", "doc_ids", "doc_lengths", "block_starts", "block_offsets", "payload")
+    return segments.mapInArrow(run, f"id {id_type.simpleString()}, ids array<bigint>").withColumnRenamed("id", id_col)
+
+
 def read_tokens(spark, path: str, id_col="doc_id", with_ids=False) -> DataFrame:
     """Per document of the files at path: id, start, n_tokens, ids_crc32 (and its ids).
 
     start counts the ids of all documents before it, over all shards.
     """
     files = spark.read.parquet(path)
-    # One row per shard (24 MB of text or more each): small beside the data.
-    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    firsts, total = [], 0
-    for s in shards:
-        firsts.append((s["shard"], total))
-        total += s["n"]
-    first = spark.createDataFrame(firsts, "shard int, shard_start long")
+    first = shard_starts(files)
     id_type = files.schema["doc_ids"].dataType.elementType
     schema = f"id {id_type.simpleString()}, shard int, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
 
@@ -224,6 +267,6 @@ def read_tokens(spark, path: str, id_col="doc_id", with_ids=False) -> DataFrame:
 
     found = files.select("doc_ids", "shard", "start", "doc_lengths", "payload").mapInArrow(run, schema)
     ids = ["ids"] * with_ids
-    return found.join(F.broadcast(first), "shard").select(
+    return found.join(first, "shard").select(
         F.col("id").alias(id_col), (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32", *ids
     )

@@ -58,3 +58,40 @@ def test_empty_null_and_repeated(spark, rows):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     assert sorted(r.start for r in got) == list(np.cumsum([0] + [r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1])
     assert all(r.ids[-1] == 1 and len(r.ids) == r.n_tokens for r in got)
+
+
+ODD = list("abcXYZ 019.,;:!?#$%&*()-|'\n\tİıßÉñ’“—ΣςσΔЖ中文あア한ﬁ́̇ǅ̧​ 　")
+
+
+def test_words_get_the_tokenizers_own_ids():
+    ids = t.WordIds(word_vocabulary())
+    rng = np.random.default_rng(7)
+    texts = ["CUMHURİYETİ. — x", "İ. —", *("".join(rng.choice(ODD, rng.integers(0, 14))) for _ in range(8000))]
+    for text in texts:
+        assert ids.encode(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_documents_are_read_from_their_blocks_alone(spark, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK", 64)
+    ids = np.arange(1000, dtype=np.uint32)
+    payload, starts, offsets = t.pack(ids)
+    decoded = []
+    whole = t.unpack_block
+    monkeypatch.setattr(t, "unpack_block", lambda data: decoded.append(1) or whole(data))
+    for a, b, blocks in [(0, 64, 1), (63, 65, 2), (130, 140, 1), (900, 1000, 2), (5, 5, 1)]:
+        decoded.clear()
+        assert (t.unpack_between(payload, starts, offsets, a, b) == ids[a:b]).all() and len(decoded) == blocks
+    monkeypatch.undo()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    path = t.write_tokens(docs, word_vocabulary())
+    want = {r.doc_id: r.ids for r in t.read_tokens(spark, path, with_ids=True).collect()}
+    asked = [0, 7, 150, 10**9]
+    assert {r.doc_id: r.ids for r in t.read_documents(spark, path, asked).collect()} == {i: want[i] for i in asked if i in want}
+    assert t.read_documents(spark, path, []).collect() == []
+
+
+def test_places_add_up_over_groups_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(t, "SHARD_GROUP", 3)
+    rows = [(s, 10 * s + k) for s in range(11) for k in range(2)]
+    got = {r.shard: r.shard_start for r in t.shard_starts(spark.createDataFrame(rows, "shard int, n_ids long")).collect()}
+    assert got == {s: sum(n for o, n in rows if o < s) for s in range(11)}
