@@ -1,16 +1,24 @@
 """Media columns: interleaved document sequences and a media store.
 
 `sequences` parses HTML into ordered items: text blocks and media references with their
-captions (figcaption, else alt). `stored` keeps payloads as 8-bit greyscale PNG images,
-one byte a sample, WIDTH samples a row, and `read_back` decodes what was stored and
-measures it. `resolved` joins references to media by digest; every item keeps its
-document, position and caption, whether or not its media is known.
+captions. A figcaption, wherever it stands in its figure, is the caption of that figure's
+media but for those of inner figures with a caption of their own; else alt is. Media in
+silent elements are not shown, so they are no items. `source` elements name what their
+picture, video or audio shows if that has no reference itself. `stored` keeps payloads as
+8-bit greyscale PNG images, one byte a sample, WIDTH samples a row, and `read_back` decodes
+what was stored and measures it. `resolved` joins references to media by digest; every item
+keeps its document, position and caption, whether or not its media is known.
+
+`document_media` shows each text as a page of its lines and one figure that refers to the
+stored payload, and reads it back by way of parse and join.
 
 Defined cases: null HTML or text is an empty one (a document without items; a payload of
 padding alone). A reference that is no digest, or is unknown, resolves to nulls. Equal
 payloads share one media row, so copies in thousands join one row each. Repeated documents
-keep their own items. Broken HTML gives the items that can be read. Other columns are
-ignored.
+keep their own items. Broken HTML gives the items that can be read; a title ends at the
+first block, a figure at the end of the page at last. A caption outside figures is text.
+Other columns are ignored; an item column with the id column's name is returned with
+"item_" before it.
 """
 
 from __future__ import annotations
@@ -31,61 +39,110 @@ WIDTH = 576
 PAD = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LEVEL = 1
-MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
+MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "embed": "embed"}
+#: Media elements that source elements belong to.
+HOLDERS = {"picture", "video", "audio"}
 BLOCK_TAGS = set("p div article section h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote pre figure figcaption br hr header footer nav main body".split())
-SILENT_TAGS = {"script", "style", "template", "noscript", "title"}
+SILENT_TAGS = {"script", "style", "template", "noscript"}
 REF = "sha256:"
 
 
+def joined(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
 class _Items(HTMLParser):
     """Ordered items of a page: [kind, text, ref, caption]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.silent, self.caption, self.figure = [], [], 0, None, None
+        self.items, self.text, self.silent, self.title = [], [], 0, False
+        self.figures = []  # open ones: [their media, caption]
+        self.caption = None  # parts of the caption that is being read
+        self.holders = []  # open ones: [item or None, first source]
 
     def flush(self):
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text:
+        if text := joined(self.text):
             self.items.append(["text", text, None, None])
+        self.text = []
+
+    def end_caption(self):
+        if self.caption is not None:
+            self.figures[-1][1] = self.figures[-1][1] or joined(self.caption) or None
+            self.caption = None
+
+    def end_figure(self):
+        self.end_caption()
+        media, caption = self.figures.pop()
+        if caption:
+            for item in media:
+                item[3] = caption
+        elif self.figures:
+            self.figures[-1][0] += media
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT_TAGS:
             self.silent += 1
-        if tag in BLOCK_TAGS or tag in MEDIA_TAGS:
+        if self.silent:
+            return
+        if tag == "title":
+            self.title = True
+        elif tag in BLOCK_TAGS or tag in MEDIA_TAGS:
+            self.title = False
             self.flush()
+        found = dict(attrs)
+        ref = found.get("src") or (found.get("srcset") or "").split(",")[0].split(" ")[0] or None
         if tag in MEDIA_TAGS:
-            found = dict(attrs)
-            self.items.append([MEDIA_TAGS[tag], None, found.get("src"), found.get("alt") or None])
-        if tag == "figure":
-            self.figure = len(self.items)
-        if tag == "figcaption":
+            if tag == "img" and self.holders:
+                ref = ref or self.holders[-1][1]
+            item = [MEDIA_TAGS[tag], None, ref, found.get("alt") or None]
+            self.items.append(item)
+            if self.figures:
+                self.figures[-1][0].append(item)
+            if tag in HOLDERS:
+                self.holders.append([item, None])
+        elif tag == "picture":
+            self.holders.append([None, None])
+        elif tag == "source" and self.holders:
+            item, first = self.holders[-1]
+            self.holders[-1][1] = first or ref
+            if item:
+                item[2] = item[2] or ref
+        elif tag == "figure":
+            self.end_caption()
+            self.figures.append([[], None])
+        elif tag == "figcaption" and self.figures:
+            self.end_caption()
             self.caption = []
 
     def handle_endtag(self, tag):
         if tag in SILENT_TAGS:
             self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split()) or None
-            self.caption = None
-            for item in self.items[self.figure or 0 :]:
-                if item[0] != "text" and caption:
-                    item[3] = caption
+        elif self.silent:
+            return
+        elif tag == "title":
+            self.title = False
+        elif tag in HOLDERS and self.holders:
+            self.holders.pop()
         if tag in BLOCK_TAGS:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.silent and not self.title:
             (self.text if self.caption is None else self.caption).append(data)
 
 
 def items_of(html: str) -> list[list]:
+    """Items of a page in order, as [kind, text, ref, caption]; an empty page has none."""
     parser = _Items()
     parser.feed(html)
     parser.close()
+    while parser.figures:
+        parser.end_figure()
     parser.flush()
     return parser.items
 
@@ -194,24 +251,37 @@ def read_back(media: DataFrame) -> DataFrame:
     return written(measured.groupBy("digest").agg(*[F.first(c).alias(c) for c in ["n_bytes", *MEASURES]]), "measures")
 
 
-def resolved(found: DataFrame, media: DataFrame, id_col="page_id") -> DataFrame:
-    """One row per item of `sequences`, with the columns of the media (by digest) its reference names."""
-    items = found.select(F.col(id_col), F.inline("items"))
+def named(df: DataFrame, id_col: str) -> DataFrame:
+    """df with its column __id called id_col; another column of that name gets "item_" before it."""
+    return df.withColumnRenamed(id_col, f"item_{id_col}").withColumnRenamed("__id", id_col)
+
+
+def _resolved(found: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
+    items = found.select(F.col(id_col).alias("__id"), F.col("items").alias("__items")).select("__id", F.inline("__items"))
     wanted = F.when(F.col("ref").startswith(REF), F.substring("ref", len(REF) + 1, 64)).alias("wanted")
     return items.select("*", wanted).join(media, F.col("wanted") == F.col("digest"), "left").drop("wanted")
 
 
+def resolved(found: DataFrame, media: DataFrame, id_col="page_id") -> DataFrame:
+    """One row per item of `sequences`, with the columns of the media (by digest) its reference names."""
+    return named(_resolved(found, media, id_col), id_col)
+
+
 def page_of(id_col: str, text_col: str):
-    """A page that shows a document's text as one captioned figure, by reference."""
+    """A page of a document's lines, and its text as one captioned figure, by reference."""
+    escaped = F.coalesce(F.col(text_col), F.lit(""))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(entity))
     return F.concat(
-        F.lit('<article><h1>Document</h1><figure><img src="' + REF), digest_of(text_col), F.lit('"><figcaption>document '),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("without id")), F.lit("</figcaption></figure></article>"),
+        F.lit("<article><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit('</p><figure><img src="' + REF), digest_of(text_col),
+        F.lit('"><figcaption>document '), F.coalesce(F.col(id_col).cast("string"), F.lit("without id")), F.lit("</figcaption></figure></article>"),
     )
 
 
 def document_media(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per row of docs: its id, n_bytes and MEASURES, by way of store, page, parse and join."""
+    """Per row of docs: its id, n_bytes and MEASURES, and the figure's pos and caption in the page, by way of store, page, parse and join."""
     media = read_back(stored(docs, text_col))
-    pages = docs.select(F.col(id_col), page_of(id_col, text_col).alias("html"))
-    items = resolved(sequences(pages, id_col, "html"), media, id_col)
-    return items.where("kind = 'image'").select(id_col, "n_bytes", *MEASURES)
+    pages = docs.select(F.col(id_col).alias("__page"), page_of(id_col, text_col).alias("html"))
+    figures = sequences(pages, "__page", "html").select("__page", F.filter("items", lambda item: item["kind"] == "image").alias("items"))
+    found = _resolved(figures, media, "__page")
+    return named(found.select("__id", "n_bytes", *MEASURES, "pos", "caption"), id_col)

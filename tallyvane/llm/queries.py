@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .backoff_lm import lm_scores
 from .decontaminate import contamination
-from .media import document_media
+from .media import document_media, sequences
 from .mixing import posteriors, rates
 from .pseudonyms import kind_counts, pseudonymised
 from .quality import scored
@@ -95,6 +95,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
 
+def media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all pages in order, with captions: the sequences of operator 9 by themselves."""
+    return sequences(table(spark, sf_dir, "pages")).select("page_id", F.inline("items"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "media_sequences": media_sequences,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
