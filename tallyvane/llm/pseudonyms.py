@@ -9,15 +9,21 @@ never share one.
 
 Defined cases: a null text stays null and has no spans. Overlapping matches: the leftmost
 wins, then the longer, then the kind named first. Repeated rows stay repeated. Whole texts
-are searched. Extra columns are kept by `pseudonymised`, which adds the column `spans`
-(clashing names are an error).
+are searched. Extra columns are kept by `pseudonymised`, which adds a column of spans; if
+its name is taken, "_" is put after it. What is not valid stays as it is (a date that is no
+day, a number with a wrong check digit), and so do numbers whose words before say that they
+are none of these (a version, an ISBN, a commit or checksum). Bare runs of digits are no
+phones. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
+import math
 import re
+import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,6 +85,7 @@ def luhn_digit(digits: str) -> str:
 
 
 def card(key, text):
+    """A card number with a Luhn digit: all digits but that one are permuted, and it is set anew."""
     digits = only(text)
     if len(set(digits)) < 2 or luhn_digit(digits[:-1]) != digits[-1]:
         return None
@@ -95,6 +102,7 @@ def iban_valid(plain: str) -> bool:
 
 
 def iban(key, text):
+    """A bank account with a valid check: its digits are permuted and the check is set anew."""
     plain = text.replace(" ", "")
     if not iban_valid(plain):
         return None
@@ -128,6 +136,7 @@ def iban_matches(text: str):
 
 
 def social(key, text):
+    """A social number of the ranges in use, permuted within them."""
     valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
     digits = only(text)
     if not valid(digits):
@@ -139,6 +148,7 @@ def social(key, text):
 
 
 def address(key, text):
+    """Four octets, each permuted among those of its number of digits."""
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(str(int(p)) != p for p in text.split(".")):
         return None
@@ -156,7 +166,26 @@ def address(key, text):
     return ".".join(reversed(out))
 
 
+def other_day(key, ordinal: int) -> int:
+    """The day that stands for a day: those of FIRST_DAY to LAST_DAY among themselves, so are all others."""
+    inside = FIRST_DAY <= ordinal <= LAST_DAY
+    span = LAST_DAY - FIRST_DAY + 1
+    if inside:
+        value, size, left, right, kind = ordinal - FIRST_DAY, span, 512, 256, "date"
+    else:
+        value, size = (ordinal - 1 if ordinal < FIRST_DAY else ordinal - 1 - span), datetime.date.max.toordinal() - span
+        left, right, kind = 2048, 1792, "far date"
+    while True:  # walks within the permutation's cycle, so it comes back to a valid day
+        value = permuted(key, kind, value, left, right)
+        if value < size:
+            break
+    if inside:
+        return FIRST_DAY + value
+    return value + 1 if value + 1 < FIRST_DAY else value + 1 + span
+
+
 def date(key, text):
+    """A day in numbers, permuted among days; numbers without leading zeros stay without."""
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
     year_first = len(parts[0]) == 4
@@ -171,34 +200,101 @@ def date(key, text):
         ordinal = datetime.date(year, month, day).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= ordinal <= LAST_DAY:
-        return None
-    while True:  # walks within the permutation's cycle, so it comes back to a valid day
-        ordinal = FIRST_DAY + permuted(key, "date", ordinal - FIRST_DAY, 512, 256)
-        if ordinal <= LAST_DAY:
-            break
-    day = datetime.date.fromordinal(ordinal)
-    shown = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
+    day = datetime.date.fromordinal(other_day(key, ordinal))
+    width = 2 if sum(map(len, parts)) == 8 else 1
+    shown = {"y": f"{day.year:04d}", "m": f"{day.month:0{width}d}", "d": f"{day.day:0{width}d}"}
     return mark.join(shown[c] for c in order)
 
 
+def worded_date(key, text):
+    """A day with its month's name, which stays in the name's language, length of name and capitals."""
+    m = WORDED.fullmatch(text)
+    day_first = m["month1"] is not None
+    day, name, year = (m["day1"], m["month1"], m["year1"]) if day_first else (m["day2"], m["month2"], m["year2"])
+    names = next(n for n in MONTHS if name.lower() in n)
+    try:
+        ordinal = datetime.date(int(year), names.index(name.lower()) % 12 + 1, int(day)).toordinal()
+    except ValueError:
+        return None
+    new = datetime.date.fromordinal(other_day(key, ordinal))
+    told = names[names.index(name.lower()) // 12 * 12 + new.month - 1]
+    told = told.upper() if name.isupper() else told.capitalize() if name[0].isupper() else told
+    shown = {"day": f"{new.day:0{2 if day[0] == '0' else 1}d}", "month": told, "year": f"{new.year:04d}"}
+    out, at = [], 0
+    for part in ("day", "month", "year") if day_first else ("month", "day", "year"):
+        a, b = m.span(part + ("1" if day_first else "2"))
+        out += [text[at:a], shown[part]]
+        at = b
+    return "".join(out)
+
+
+def address6(key, text):
+    """A version 6 address, permuted group by group among those of the same number of digits."""
+    try:
+        plain = ipaddress.IPv6Address(text).compressed
+    except ValueError:
+        return None
+    groups = [g for g in plain.split(":") if g not in ("", "0")]
+    if not groups:
+        return None  # "::" and the like are nobody's
+    sizes = [15 * 16 ** (len(g) - 1) for g in groups]
+    value = 0
+    for g, size in zip(groups, sizes, strict=True):
+        value = value * size + int(g, 16) - 16 ** (len(g) - 1)
+    half = len(groups) // 2
+    value = permuted(key, "address6" + "".join(c if c == ":" else "0" if c == "0" else "f" for c in plain), value, math.prod(sizes[:half]), math.prod(sizes[half:]))
+    new = []
+    for g, size in zip(reversed(groups), reversed(sizes), strict=True):
+        value, rest = divmod(value, size)
+        new.append(f"{rest + 16 ** (len(g) - 1):x}")
+    out = ":".join(g if g in ("", "0") else new.pop() for g in plain.split(":"))
+    return out.upper() if text.isupper() else out
+
+
+def provider_secret(key, text):
+    """A provider's secret: its prefix stays, the rest is permuted, signs in their places."""
+    prefix = next(p for p in PREFIXES if text.startswith(p))
+    rest = text[len(prefix) :]
+    alphabet = DIGITS + string.ascii_uppercase if prefix in ("AKIA", "ASIA") else DIGITS + string.ascii_letters
+    new = iter(permuted_symbols(key, prefix, only(rest, alphabet), alphabet))
+    return prefix + "".join(next(new) if c in alphabet else c for c in rest)
+
+
 def email(key, text):
+    """A mail address: letters and digits of the local part are permuted, by domain."""
     local, domain = text.split("@")
     symbols = only(local.lower(), ALNUM)
     return refilled(local, permuted_symbols(key, "email" + domain.lower(), symbols, ALNUM), ALNUM) + "@" + domain if symbols else None
 
 
 def secret(key, text):
+    """A long hexadecimal secret, permuted among those of its length."""
     new = permuted_symbols(key, "secret", text.lower(), HEX)
     return new if text.islower() or not text.isupper() else new.upper()
 
 
+DATE_SHAPE = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}")
+#: Names of the months and their short forms, by language.
+MONTHS = [
+    "january february march april may june july august september october november december jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+]
+_NAME = "(?i:" + "|".join(sorted({m for months in MONTHS for m in months}, key=len, reverse=True)) + ")"
+WORDED = re.compile(
+    rf"(?<![\w./-])(?:(?P<day1>[0-9]{{1,2}})(?:\.? | de )(?P<month1>{_NAME})(?: | de |\.? )(?P<year1>[0-9]{{4}})|(?P<month2>{_NAME})\.? (?P<day2>[0-9]{{1,2}}),? (?P<year2>[0-9]{{4}}))(?![\w-])"
+)
+#: Beginnings of providers' secrets.
+PREFIXES = ["AKIA", "ASIA", "ghp_", "github_pat_", "sk_live_", "sk_test_", "sk-proj-", "xoxb-", "xoxp-", "glpat-"]
+#: Words before a number that say what it is.
+NOT = "".join(f"(?<!{w})(?<!{w.capitalize()})(?<!{w.upper()})" for w in ("version ", "isbn ", "isbn: ", "isbn-13: ", "isbn-10: "))
+NOT_SECRET = "".join(f"(?<!{w})" for w in ("commit ", "Commit ", "sha1:", "sha256:", "sha512:", "md5:", "SHA256 ", "SHA256: ", "sha1 ", "MD5 "))
 #: A grouped number ends with its groups, whatever number follows; a loose one must stand apart from other digits.
 PHONE = re.compile(
-    r"(?<![\w+.-])(?:\+?[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])"
-    r"|(?:\+|(?<![0-9] ))(?:\([0-9]{1,4}\)|[0-9])(?:[ ./-]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]){6,14}(?!\w| [0-9]))"
+    NOT + r"(?<![\w+.-])(?:\+?[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    r"|(?:\+|(?<![0-9] ))(?:\([0-9]{1,4}\)|[0-9])(?:(?:[ .-]| ?/ ?)?(?:\([0-9]{1,4}\)[ -]?)?[0-9]){6,14}(?!\w| [0-9]))"
 )
-DATE_SHAPE = re.compile(r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 #: Lengths by country; other countries take any length with a valid check.
 IBAN_SIZES = {
@@ -216,10 +312,14 @@ KINDS = [
     ("card", re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![\w-])"), card),
     ("iban", IBAN, iban),
     ("social", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), social),
-    ("address", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), address),
-    ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])"), date),
+    ("address", re.compile(NOT + r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), address),
+    ("address6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}:?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])"), address6),
+    # A time of day may follow.
+    ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?:(?=T[0-9]{2}:)|(?![\w/-]|\.[0-9]))"), date),
+    ("worded date", WORDED, worded_date),
     ("phone", PHONE, phone),
-    ("secret", re.compile(r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"), secret),
+    ("provider secret", re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?:" + "|".join(PREFIXES[2:]) + r")[A-Za-z0-9_-]{16,200})"), provider_secret),
+    ("secret", re.compile(NOT_SECRET + r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"), secret),
 ]
 EMAIL = ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w])"), email)
 HAS_DIGITS = re.compile(r"[0-9]")
@@ -255,11 +355,11 @@ SPANS = T.ArrayType(
 )
 
 
-def pseudonymised(docs: DataFrame, key: bytes, text_col="text") -> DataFrame:
-    """docs with text replaced, and a column spans."""
-    if "spans" in docs.columns:
-        raise ValueError("docs has a column spans already")
-    schema = T.StructType([*docs.schema.fields, T.StructField("spans", SPANS)])
+def pseudonymised(docs: DataFrame, key: bytes, text_col="text", spans_col="spans") -> DataFrame:
+    """docs with text replaced, and a column of spans."""
+    while spans_col in docs.columns:
+        spans_col += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, SPANS)])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -273,7 +373,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col="text") -> DataFrame:
                 texts.append(new)
                 spans.append([dict(zip(("start", "end", "kind", "old_start"), s, strict=True)) for s in found])
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*batch.schema.names, spans_col])
 
     return docs.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,30 +44,38 @@ def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents towards MIX."""
     found, domains = posteriors(table(spark, sf_dir, "documents"), labelled_languages(spark, sf_dir))
     targets = {d: w for d, w in MIX.items() if d in domains}
+    if missing := sorted(set(MIX) - set(targets)):
+        warnings.warn(f"no labelled documents in {missing}: their weight goes to the other languages", stacklevel=2)
     names = F.array(*map(F.lit, domains)).cast("array<string>")
     return rates(found, domains, targets).select(F.col("id").alias("doc_id"), "n_tokens", names.alias("domains"), "posterior", "rate")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages by URL_RULES."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and bigram scores of all documents."""
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
     return scored(table(spark, sf_dir, "documents"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents, exact and by proximity."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", F.size("near").cast("long").alias("n_near"))
@@ -79,19 +89,22 @@ def word_vocabulary() -> str:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files hold per document."""
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), word_vocabulary()))
 
 
-#: Stands in for the secret that a production job reads from its own configuration.
-PSEUDONYM_KEY = b"registered query"
+#: The session's setting with the secret key; the second stands in where it is unset.
+PSEUDONYM_KEY = "spark.tallyvane.pseudonymKey", "registered query"
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms, their spans and counts by kind."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs, PSEUDONYM_KEY).select("doc_id", "text", "spans", kind_counts(F.col("spans")).alias("found"))
+    return pseudonymised(docs, spark.conf.get(*PSEUDONYM_KEY).encode()).select("doc_id", "text", "spans", kind_counts(F.col("spans")).alias("found"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payload of every document's text, by way of its page."""
     return document_media(table(spark, sf_dir, "documents"))
 
 
@@ -101,6 +114,7 @@ def media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -121,6 +135,28 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op4_backoff_lm": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(doc_id::VARCHAR, '') AS id FROM documents
+), crc AS (
+  -- CRC32: a fold over the bytes, each followed by eight shifts (-1).
+  SELECT doc_id, w, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(id[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 5 = 1 AS held_out FROM d
+), t AS (
+  SELECT doc_id, held_out, unnest(list_append(w, chr(10))) AS word, unnest(list_prepend(' ', w)) AS before FROM crc
+), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, coalesce(sum(c), 0) + 0.5 * (count(*) + 1) AS z FROM c),
+h AS (SELECT before, count(*) AS c_state FROM t WHERE NOT held_out GROUP BY 1),
+b AS (SELECT before, word, count(*) AS c_pair FROM t WHERE NOT held_out GROUP BY 1, 2),
+p AS (
+  SELECT doc_id, held_out, c IS NOT NULL AS known, (coalesce(c, 0) + 0.5) / z AS p_word, coalesce(c_state, 0) AS c_state, coalesce(c_pair, 0) AS c_pair
+  FROM t LEFT JOIN c USING (word) LEFT JOIN h USING (before) LEFT JOIN b USING (before, word), n
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count_if(known)::BIGINT AS n_known, (SELECT n FROM n) AS train_tokens, sum(log10(p_word)) AS base_score,
+       sum(log10((c_pair + 500 * p_word) / (c_state + 500))) AS score
+FROM p GROUP BY 1, 2
+""",
     "op2_url_filter": f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
