@@ -36,6 +36,8 @@ from .common import TO_LOWER, crc32_mod, shuffle_width
 MU = 500.0
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
+#: Beyond so many tasks each takes several chunks or buckets, one after another.
+MOST_TASKS = 50_000
 #: Words never hold white space, so these two stand for no word.
 START, END = (xxhash.xxh3_64_intdigest(b) for b in (b" ", b"\n"))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29))
@@ -214,8 +216,10 @@ def lm_scores(docs: DataFrame, id_col="doc_id", text_col="text", held_out=None)
             }
         )
 
-    chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("long"))
+    # Copies of one row read in different places go to different chunks.
+    place = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)).cast("long")
+    chunked = source.withColumn("chunk", place).repartition(min(chunks, MOST_TASKS), "chunk")
     asked = chunked.groupBy("chunk").applyInArrow(ask, "chunk long, bucket long, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
-    scored = chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, out_type)
+    answered = asked.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
+    scored = chunked.groupBy("chunk").cogroup(answered.repartition(min(chunks, MOST_TASKS), "chunk").groupBy("chunk")).applyInArrow(score, out_type)
     return scored.withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(n_all).cast("long"))

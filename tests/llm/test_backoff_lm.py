@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,8 @@ from tallyvane.llm import backoff_lm as lm
 
 
 def words(text):
-    return (text or "").encode().translate(lm.TO_LOWER).split()
+    plain = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [w.encode() for w in re.split("[ \t\n\v\f\r]+", plain) if w]
 
 
 def brute(rows):
@@ -74,3 +76,9 @@ def test_held_out_text_is_better_told_than_by_the_base(spark):
 
     rows = op4_backoff_lm(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_copies_of_one_row_are_spread(spark):
+    docs = spark.range(0, 20_000, 1, 8).selectExpr("7L AS doc_id", "'one text in all rows' AS text").unionByName(spark.createDataFrame([(1, "another")], "doc_id long, text string"))
+    rows = lm.lm_scores(docs).groupBy("doc_id", "score").count().collect()
+    assert sorted((r.doc_id, r["count"]) for r in rows) == [(1, 1), (7, 20_000)]
