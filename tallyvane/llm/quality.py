@@ -86,7 +86,7 @@ def features(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(votes, feature numbers, values): hashed word shapes by share, and binned signals."""
     words = text.split()
     s = signals(text, words)
-    index, count = hashed_counts([w[:12] for w in text.translate(SHAPE).split()], BITS)
+    index, count = hashed_counts(text.translate(SHAPE).split(), BITS)
     bins = {xxhash.xxh3_64_intdigest(f"{name}:{int(6 * np.log2(1 + 50 * min(x, 4)))}".encode()) % (1 << BITS) for name, x in zip(SIGNALS, s, strict=True)}
     value = np.sqrt(count / max(1, len(words)))
     bins = np.array(sorted(bins))
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text"):
 
 
 def good_probability(texts: list[bytes], weights, bias) -> np.ndarray:
+    """Probability of good quality per text; an empty one has that of its signals alone."""
     rows = Rows([features(t)[1:] for t in texts])
     return softmax(rows.times(weights) + bias)[:, 1]
 

@@ -37,6 +37,20 @@ BEGINNINGS = (5, 6, 7, 8)
 SEED = 1010
 
 
+def beginnings(word: bytes):
+    """The beginnings of a word of at most so many bytes each, cut between characters."""
+    last = 0
+    for length in BEGINNINGS:
+        if len(word) < length:
+            return
+        if length < len(word):
+            while word[length] & 0xC0 == 0x80:
+                length -= 1
+        if length > last:
+            yield word[:length]
+            last = length
+
+
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, values): hashed words and word beginnings, by the logarithm of their counts."""
     tally = Counter(text.translate(TO_LOWER).split())
@@ -44,9 +58,8 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     for word, n in tally.items():
         bare = word.strip(b".,;:!?\"'()[]*#$%&|")
         counts[bare] += n
-        for length in BEGINNINGS:
-            if len(bare) >= length:
-                counts[b"^" + bare[:length]] += n
+        for beginning in beginnings(bare):
+            counts[b"^" + beginning] += n
     index, count = hashed(counts, BITS)
     return index, np.log1p(count)
 

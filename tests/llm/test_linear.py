@@ -16,7 +16,7 @@ def test_samples_are_bounded_in_rows(spark):
 
 def test_fits_see_a_repeated_row_once(spark, monkeypatch):
     seen = []
-    keep = lambda module, name: monkeypatch.setattr(module, name, lambda rows, *rest, old=getattr(module, name): seen.append(getattr(rows, "n", None) or len(rows)) or old(rows, *rest))
+    keep = lambda module, name: monkeypatch.setattr(module, name, lambda rows, *rest, old=getattr(module, name), **named: seen.append(getattr(rows, "n", None) or len(rows)) or old(rows, *rest, **named))
     keep(mixing, "fit_softmax")
     keep(toxicity, "fit_nnpu")
     docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(20)] + [(1, "words of text 1")] * 100, "doc_id long, text string")

@@ -64,7 +64,7 @@ def test_targets_out_of_reach_are_reported(spark):
 
 
 def test_posteriors_mixed_and_odd_rows(spark):
-    rows = [(i, ("der die und " if i % 3 else "the of and ") * (1 + i % 5), "x") for i in range(60)] + [(60, None, "x"), (None, "the of", "x"), (3, "der die und " * 4, "x")]
+    rows = [(i, ("der die und " if i % 3 else "the of and ") * (1 + i % 5), "x") for i in range(60)] + [(60, None, "x"), (None, "the of", "x"), (4, "der die und " * 4, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rate string")
     labelled = spark.createDataFrame([(i, "de" if i % 3 else "en") for i in range(0, 60, 2)] + [(None, "en"), (5, None)], "doc_id long, domain string")
     found, domains = m.posteriors(docs, labelled)
@@ -90,3 +90,46 @@ def test_empty_and_unlabelled(spark):
     assert [r.rate for r in rated.collect()] == [1.0, 1.0] and m.mixed(some, rated).count() == 2
     with pytest.raises(ValueError):
         m.rates(found, domains, {"en": 1.0})
+
+
+def test_query_meets_the_targets_and_the_optimum(spark):
+    """Rates of the query against plain numpy over its own posteriors, and these against the languages."""
+    from tallyvane.llm.queries import MIX, op1_mixing
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op1_mixing(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.n_tokens == len((docs[r.doc_id].text or "").encode().split()) for r in rows)
+    told = [r.domains[int(np.argmax(r.posterior))] == docs[r.doc_id].lang for r in rows if r.n_tokens >= 20]
+    assert np.mean(told) > 0.95
+    n, p, w = np.array([r.n_tokens for r in rows], float), np.array([r.posterior for r in rows]), np.array([r.rate for r in rows])
+    target = np.array([MIX[d] for d in rows[0].domains])
+    assert np.allclose(p.sum(axis=1), 1) and (w >= 0).all()
+    assert (np.abs((w * n) @ p / n.sum() - target) <= 2e-3 * target).all()
+
+
+def test_posteriors_equal_a_plain_fit(spark):
+    """Dense numpy over all labelled rows gives the same posteriors."""
+    from tallyvane.llm.linear import Adam
+
+    rng = np.random.default_rng(3)
+    words = {"a": ["red", "blue", "x"], "b": ["one", "two", "x"], "c": ["x", "y", "z"]}
+    rows = [(i, " ".join(rng.choice(words["abc"[i % 3]], 6)), "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found, domains = m.posteriors(docs, spark.createDataFrame([(i, d) for i, _, d in rows], "doc_id long, domain string"))
+    dense = np.zeros((60, 1 << m.BITS))
+    for i, text, _ in rows:
+        index, value = m.features(text.encode().split())
+        dense[i, index] = value
+    target = np.eye(3)[[i % 3 for i in range(60)]]
+    weights, bias = np.zeros((1 << m.BITS, 3)), np.log(target.mean(axis=0) + 1e-6)
+    by_weight, by_bias = Adam(weights.shape, 0.1), Adam(bias.shape, 0.1)
+    for _ in range(120):
+        z = np.exp(dense @ weights + bias)
+        error = (z / z.sum(axis=1, keepdims=True) - target) / 60
+        weights -= by_weight.step(dense.T @ error + 1e-4 * weights)
+        bias -= by_bias.step(error.sum(axis=0))
+    z = np.exp(dense @ weights + bias)
+    got = {r.id: r.posterior for r in found.collect()}
+    assert domains == ["a", "b", "c"] and np.abs(np.array([got[i] for i in range(60)]) - z / z.sum(axis=1, keepdims=True)).max() < 1e-3

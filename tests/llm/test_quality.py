@@ -35,3 +35,29 @@ def test_odd_rows_and_kept_columns(spark):
     kept = q.kept(docs)
     assert kept.columns == docs.columns and kept.where("doc_id < 80").count() == 81
     assert q.scored(docs.limit(0)).collect() == [] and q.kept(docs.limit(0)).collect() == []
+
+
+def test_query_equals_a_plain_fit(spark):
+    """EM per document and a scorer over the same rows, without Spark: all documents of a small table are sampled."""
+    from tallyvane.llm.linear import Rows, fit_softmax, softmax
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    votes = np.array([q.votes(q.signals(t, t.split())) for t in texts])
+    bad = np.where((votes == -1).sum(axis=1) - 0.5 * (votes == 1).sum(axis=1) > 0, 0.9, 0.05)
+    for _ in range(200):
+        odds = np.full(len(votes), np.log((bad.sum() + 1) / (len(bad) - bad.sum() + 1)))
+        for k in range(votes.shape[1]):
+            seen = lambda weight, v, k=k: weight[votes[:, k] == v].sum() + 0.5
+            for v in (-1, 0, 1):
+                on_bad = seen(bad, v) / sum(seen(bad, u) for u in (-1, 0, 1))
+                on_good = seen(1 - bad, v) / sum(seen(1 - bad, u) for u in (-1, 0, 1))
+                odds[votes[:, k] == v] += np.log(on_bad / on_good)
+        bad = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    distinct = {(r.doc_id, t): i for i, (r, t) in enumerate(zip(rows, texts, strict=True))}
+    keep = sorted(distinct.values())
+    weights, bias = fit_softmax(Rows([q.features(texts[i])[1:] for i in keep]), np.stack((bad[keep], 1 - bad[keep]), axis=1), 1 << q.BITS)
+    want = softmax(Rows([q.features(t)[1:] for t in texts]).times(weights) + bias)[:, 1]
+    got = {r.doc_id: r.score for r in op5_quality(spark, sf).collect()}
+    assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 2e-3

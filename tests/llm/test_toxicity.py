@@ -60,3 +60,34 @@ def test_odd_rows(spark):
     by = {r.doc_id: r.predicted for r in got if r.doc_id != 4}
     assert by[300] == by[301] == by[302] == 0 and by[8] == 1 and by[9] == 0
     assert t.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_beginnings_end_between_characters():
+    assert list(t.beginnings(b"abcdefghij")) == [b"abcde", b"abcdef", b"abcdefg", b"abcdefgh"]
+    assert list(t.beginnings(b"abcde")) == [b"abcde"] and list(t.beginnings(b"abcd")) == []
+    assert [b.decode() for b in t.beginnings("été où".replace(" ", "").encode())] == ["été", "étéo", "étéoù"]
+
+
+def test_features_and_scores_equal_plain_counting(spark):
+    """Features by document frequencies of all learnable rows, then the risk minimised by plain numpy."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"term{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 8)) + (f" nasty{i % 3} slur" if i % 5 == 0 else "")) for i in range(600)]
+    learnable = [(i, x) for i, x in rows if zlib.crc32(str(i).encode()) % 5]
+    labels = [(i, int(i % 5 == 0)) for i, _ in rows if i % 2 == 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen, weights, bias = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    toxic = {i for i, x in labels if x}
+    sets = {i: set(t.features(x.encode())[0].tolist()) for i, x in learnable}
+    in_p = {x: i for i, x in learnable if i in toxic}
+    n_p, n_u, want = len(in_p), len(sets), []
+    for f in sorted(set().union(*sets.values())):
+        df_p, df_u = sum(f in sets[i] for i in in_p.values()), sum(f in s for s in sets.values())
+        share = (df_u + 1) / (n_u + 2)
+        if df_p >= t.MIN_POSITIVES and (df_p / n_p - share) / np.sqrt(share * (1 - share) / n_p + 1e-12) > t.MIN_Z:
+            want.append(f)
+    assert chosen.tolist() == want and want
+    score = lambda text: 1 / (1 + np.exp(-(bias + sum(dict(zip(chosen, weights, strict=True)).get(i, 0) * v for i, v in zip(*t.features(text.encode()), strict=True)))))
+    got = {r.doc_id: r.score for r in t.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(abs(got[i] - score(x)) < 1e-6 for i, x in rows)
+    assert all((got[i] >= 0.5) == (i % 5 == 0) for i, _ in rows)
