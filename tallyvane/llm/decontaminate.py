@@ -87,10 +87,11 @@ class Index:
         met = self.postings.join(small(places, self.n_items_words), "number")
         diagonal = (F.col("pos") - F.col("offset")).alias("diagonal")
         agreed = met.groupBy("row", "item", diagonal).agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.min("need").alias("need"))
-        candidates = written(agreed.where("need = 1 or low < high").select("row", "item", "diagonal"), "candidates")
+        candidates = agreed.where("need = 1 or low < high").select("row", "item", "diagonal")
         sizes = self.items.select("item", "n").distinct()
         blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("diagonal")) / BLOCK), F.floor(F.greatest(F.lit(0), F.col("diagonal") + F.col("n") - 1) / BLOCK))
-        spans = candidates.join(small(sizes, self.n_items_words), "item").select("row", "item", "diagonal", F.explode(blocks).alias("block"))
+        # Written, so that their size decides how they meet the postings.
+        spans = written(candidates.join(small(sizes, self.n_items_words), "item").select("row", "item", "diagonal", F.explode(blocks).alias("block")), "candidates")
         near = self.postings.withColumn("block", F.floor(F.col("pos") / BLOCK)).join(spans, ["row", "block"])
         standing = near.select("row", "item", "diagonal", "number", (F.col("pos") - F.col("diagonal")).cast("int").alias("offset"))
         same = standing.join(small(self.items, self.n_items_words), ["item", "offset", "number"])
