@@ -30,6 +30,7 @@ MEDIA_EXTENSIONS = {"text/csv": "csv", "text/tab-separated-values": "tsv", "appl
 CODE_STARTS = ["package ", "import ", "def ", "function ", "#include", "//", "#!/"]
 #: Top-level domains of the email detector, in order.
 TLDS = "com|org|net|edu|gov|mil|io|ai|co|uk|de|fr|es|info|biz|dev|app|me"
+#: The characters of an address's local part, and what a domain looks like.
 LOCAL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]"
 DOMAIN = rf"^[A-Za-z0-9][A-Za-z0-9.-]{{0,180}}\.(?i:{TLDS})(?![A-Za-z0-9_])"
 #: Phone candidates, and what excludes a line.
@@ -43,6 +44,8 @@ CREDENTIAL = (
     r"|(?<![A-Za-z0-9_])(?i:key|secret|token|password)(?![A-Za-z0-9_])[ \t]{0,16}[=:][ \t\"']{0,16}[A-Za-z0-9_+/=-]{20,200})"
 )
 MIN_ENTROPY = 3.5
+#: Fixed value: bytes of a file that tell its class.
+PREFIX = 4096
 #: Licence families and their texts.
 LICENCES = {
     "mit": r"permission is hereby granted,? free of charge|(?<!\w)MIT License(?!\w)",
@@ -83,22 +86,28 @@ def archive_format(fmt: Column) -> Column:
     return lookup(F.lower(fmt), ARCHIVES, None)
 
 
-def _first_line(text: Column) -> Column:
+def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
 def _json(text: Column) -> Column:
-    return F.coalesce(F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[{\[]"), F.lit(False))
+    """Whether a text is a JSON object or list; only what begins like one is parsed."""
+    return F.when(text.rlike(r"^\s*[{\[]"), F.try_parse_json(text).isNotNull()).otherwise(False)
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"^\s+|\s+$", "")
+def unmarked(text: Column) -> Column:
+    """text without a byte-order mark."""
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, 1 << 30)).otherwise(text)
+
+
+def trimmed(text: Column) -> Column:
+    """text without a byte-order mark and white space around."""
+    return F.btrim(unmarked(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def media_type(text: Column) -> Column:
     """Media type of a content prefix, never of a name."""
-    s = F.regexp_replace(text, "^\ufeff", "")
-    line = F.regexp_replace(_first_line(s), r"\r$", "")
+    line = F.regexp_replace(first_line(unmarked(text)), r"\r$", "")
     return (
         F.when(text.startswith("PAR1"), "application/vnd.apache.parquet")
         .when((F.length(line) == 0) | text.contains("\x00"), "application/octet-stream")
@@ -113,14 +122,17 @@ def media_type_named(text: Column, name: Column) -> Column:
     """media_type, with .csv and .tsv names deciding for what content calls plain text."""
     ext = F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
     named = F.when(ext == "csv", "text/csv").when(ext == "tsv", "text/tab-separated-values")
-    plain = (media_type(text) == "application/octet-stream") & named.isNotNull() & (_trimmed(text) != "") & (content_class(text, F.lit("")) == "plain_text")
+    plain = (media_type(text) == "application/octet-stream") & named.isNotNull() & (trimmed(text) != "") & (content_class(text, F.lit("")) == "plain_text")
     return F.when(plain, named).otherwise(media_type(text))
 
 
-def content_class(text: Column, name: Column) -> Column:
-    """Class of a text; magic numbers first, the name only breaks ties."""
-    s = _trimmed(text)
-    line = _first_line(s)
+def content_class(text: Column, name: Column, s: Column | None = None, line: Column | None = None) -> Column:
+    """Class of a text; magic numbers first, the name only breaks ties.
+
+    s and line: `trimmed` text and its first line, where a caller has them as columns.
+    """
+    s = trimmed(text) if s is None else s
+    line = first_line(s) if line is None else line
     ext = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
     starts = lambda words: s.rlike("^(" + "|".join(w.replace("#", r"\#").replace("/", r"\/") for w in words) + ")")
     return (
@@ -141,7 +153,14 @@ def content_class(text: Column, name: Column) -> Column:
 
 
 def content_class_bytes(content: Column, name: Column) -> Column:
-    """content_class of bytes: UTF-16 by its mark, binary by magic numbers and printable share."""
+    """content_class of bytes: UTF-16 by its mark, binary by magic numbers and printable share.
+
+    A prefix of PREFIX bytes may end inside a character: what is left of that is not read.
+    """
+    # Up to three bytes of a character that a whole prefix cuts off.
+    cut = F.regexp_extract(F.hex(F.substring(content, -3, 3)), "(?:F[0-7](?:[89AB][0-9A-F]){0,2}|E[0-9A-F](?:[89AB][0-9A-F])?|[CD][0-9A-F])$", 0)
+    whole = (F.octet_length(content) != PREFIX) | F.is_valid_utf8(content.cast("string"))
+    content = F.when(whole, content).otherwise(F.substring(content, F.lit(1), (F.octet_length(content) - F.length(cut) / 2).cast("int")))
     hexed = F.hex(F.substring(content, 1, 8))
     wide = F.when(hexed.startswith("FFFE") | hexed.startswith("FEFF"), F.try_validate_utf8(F.decode(content, "UTF-16")))
     valid = F.try_validate_utf8(content.cast("string"))
@@ -168,22 +187,32 @@ def encoding(content: Column, kind: Column) -> Column:
     )
 
 
-def script(text: Column, encoding_label: Column) -> Column:
-    """Dominant script of the letters; ties go to the one named first."""
-    count = lambda cls: F.length(text) - F.length(F.regexp_replace(text, f"[{cls}&&[\\p{{L}}]]", ""))
-    latin, cyrillic, arabic = count(r"\p{IsLatin}"), count(r"\p{IsCyrillic}"), count(r"\p{IsArabic}")
-    cjk = count(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
-    other = count(r"\p{L}") - latin - cyrillic - cjk - arabic
-    n = F.struct(latin.alias("latin"), cyrillic.alias("cyrillic"), cjk.alias("cjk"), arabic.alias("arabic"), other.alias("other"))
-    top = F.greatest(*[n[k] for k in ("latin", "cyrillic", "cjk", "arabic", "other")])
-    told = F.lit("other")
-    for k in ("other", "arabic", "cjk", "cyrillic", "latin"):
-        told = F.when(n[k] == top, k).otherwise(told)
-    ascii_only = F.octet_length(text) == F.char_length(text)
+#: Scripts in order of precedence at ties, with their letters.
+SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "arabic": r"\p{IsArabic}"}
+
+
+def letters(text: Column) -> Column:
+    """Letters per script, and all of them, as a struct; null for a text of ASCII alone."""
+    count = lambda cls: F.length(text) - F.length(F.regexp_replace(text, f"[{cls}&&[\\p{{L}}]]+", ""))
+    counts = [count(cls).alias(name) for name, cls in {**SCRIPTS, "all": r"\p{L}"}.items()]
+    return F.when(F.octet_length(text) != F.char_length(text), F.struct(*counts))
+
+
+def script(text: Column, encoding_label: Column, counts: Column | None = None) -> Column:
+    """Dominant script of the letters; ties go to the one named first.
+
+    counts: `letters` of the text, where a caller has them as a column.
+    """
+    n = letters(text) if counts is None else counts
+    other = n["all"]
+    for name in SCRIPTS:
+        other = other - n[name]
+    # The greatest count, and of equal ones that of the first name.
+    ranked = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("place")) for i, c in enumerate([*(n[k] for k in SCRIPTS), other])]))
+    told = F.when(ranked["n"] == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, [*SCRIPTS, "other"])), F.lit(1) - ranked["place"]))
     return (
         F.when(encoding_label == "binary", "non_text")
-        .when(ascii_only, F.when(text.rlike("[A-Za-z]"), "latin").otherwise("other"))
-        .when(top == 0, "other")
+        .when(n.isNull(), F.when(text.rlike("[A-Za-z]"), "latin").otherwise("other"))
         .otherwise(told)
     )
 

@@ -13,15 +13,18 @@ K = 10
 
 def findings(docs: DataFrame, id_col="doc_id", text_col="text", name: Column | None = None) -> DataFrame:
     """One row per document: class, encoding, script, size, hits per detector, licence families. No shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kind = C.content_class(text, name if name is not None else F.lit(""))
-    label = C.encoding(text.cast("binary"), kind)
-    return docs.select(
-        F.col(id_col).alias("id"),
+    text, label = F.col("_text"), F.col("encoding")
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (name if name is not None else F.lit("")).alias("_name"))
+    # One projection on the other, so that what several conditions read is worked out once.
+    read = read.withColumn("_trimmed", C.trimmed(text)).withColumn("_line", C.first_line(F.col("_trimmed")))
+    read = read.withColumn("class", C.content_class(text, F.col("_name"), F.col("_trimmed"), F.col("_line")))
+    read = read.withColumn("encoding", C.encoding(text.cast("binary"), F.col("class"))).withColumn("_letters", C.letters(text))
+    return read.select(
+        "id",
         F.octet_length(text).cast("bigint").alias("size"),
-        kind.alias("class"),
-        label.alias("encoding"),
-        C.script(text, label).alias("script"),
+        "class",
+        "encoding",
+        C.script(text, label, F.col("_letters")).alias("script"),
         C.emails(text).alias("email"),
         C.phones(text).alias("phone"),
         C.credentials(text).alias("credential_like"),

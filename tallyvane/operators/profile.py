@@ -76,10 +76,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 def profile_registers(long: DataFrame) -> DataFrame:
     """(ordinal, register, rank) maxima of 2**14 registers over the non-null values of `cells`."""
     word = V.hash_word(F.col("value").cast("binary"))
-    register = F.shiftright(F.conv(F.substring(word, 1, 4), 16, 10).cast("int"), 2)
-    rest = F.conv(F.substring(word, 4, 13), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << 50) - 1))
-    rank = 51 - V.bit_length(rest)
-    return long.where("value is not null").select("ordinal", register.alias("register"), rank.alias("rank")).groupBy("ordinal", "register").agg(F.max("rank").alias("rank"))
+    # Projections on one another, so that a cell is hashed and read as a number once.
+    numbers = long.where("value is not null").select("ordinal", F.conv(word, 16, -10).cast("bigint").alias("word"))
+    parts = numbers.select("ordinal", F.shiftrightunsigned("word", 50).cast("int").alias("register"), F.col("word").bitwiseAND(F.lit((1 << 50) - 1)).alias("rest"))
+    return parts.groupBy("ordinal", "register").agg(F.max(51 - V.bit_length(F.col("rest"), 50)).alias("rank"))
 
 
 def profile_estimate(registers: DataFrame) -> DataFrame:
@@ -135,11 +135,10 @@ def first_values_type(df: DataFrame, order: list[str], n: int = 10_000) -> DataF
 def fact_registers(long: DataFrame, seed_hex: str) -> DataFrame:
     """(ordinal, register, rank) maxima of 128 registers over seed, column, 0 and the canonical bytes of `cells`."""
     preimage = F.concat(F.unhex(F.lit(seed_hex)), F.unhex(F.lpad(F.hex(F.col("ordinal").cast("bigint")), 8, "0")), F.unhex(F.lit("00")), F.col("value").cast("binary"))
-    word = V.hash_word(preimage)
-    register = F.conv(F.substring(word, 15, 2), 16, 10).cast("int").bitwiseAND(F.lit(127))
-    # The upper 57 bits: 14 whole hex digits and the top bit of the last two.
-    rest = F.conv(F.substring(word, 1, 14), 16, 10).cast("bigint") * 2 + F.shiftright(F.conv(F.substring(word, 15, 2), 16, 10).cast("int"), 7)
-    return long.where("value is not null").select("ordinal", register.alias("register"), (58 - V.bit_length(rest)).alias("rank")).groupBy("ordinal", "register").agg(F.max("rank").alias("rank"))
+    numbers = long.where("value is not null").select("ordinal", F.conv(V.hash_word(preimage), 16, -10).cast("bigint").alias("word"))
+    # The lowest seven bits name the register, the 57 above them are ranked.
+    parts = numbers.select("ordinal", F.col("word").bitwiseAND(F.lit(127)).cast("int").alias("register"), F.shiftrightunsigned("word", 7).alias("rest"))
+    return parts.groupBy("ordinal", "register").agg(F.max(58 - V.bit_length(F.col("rest"), 57)).alias("rank"))
 
 
 def fact_estimate(registers: DataFrame) -> DataFrame:
