@@ -152,27 +152,43 @@ def content_class(text: Column, name: Column, s: Column | None = None, line: Col
     )
 
 
-def content_class_bytes(content: Column, name: Column) -> Column:
-    """content_class of bytes: UTF-16 by its mark, binary by magic numbers and printable share.
-
-    A prefix of PREFIX bytes may end inside a character: what is left of that is not read.
-    """
-    # Up to three bytes of a character that a whole prefix cuts off.
+def whole_characters(content: Column) -> Column:
+    """Bytes of a prefix without the last character, if the end of the PREFIX bytes cuts it."""
+    # Up to three bytes of a character that goes on.
     cut = F.regexp_extract(F.hex(F.substring(content, -3, 3)), "(?:F[0-7](?:[89AB][0-9A-F]){0,2}|E[0-9A-F](?:[89AB][0-9A-F])?|[CD][0-9A-F])$", 0)
     whole = (F.octet_length(content) != PREFIX) | F.is_valid_utf8(content.cast("string"))
-    content = F.when(whole, content).otherwise(F.substring(content, F.lit(1), (F.octet_length(content) - F.length(cut) / 2).cast("int")))
+    return F.when(whole, content).otherwise(F.substring(content, F.lit(1), (F.octet_length(content) - F.length(cut) / 2).cast("int")))
+
+
+def wide_text(content: Column) -> Column:
+    """Text of UTF-16 bytes, known by their mark; else null."""
+    hexed = F.hex(F.substring(content, 1, 2))
+    return F.when(hexed.isin("FFFE", "FEFF"), F.try_validate_utf8(F.decode(content, "UTF-16")))
+
+
+def narrow_text(content: Column) -> Column:
+    """Text of UTF-8 bytes, or bytes read one to one as Latin-1 characters where they are none."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+
+
+def magic_class(content: Column) -> Column:
+    """Class by magic numbers and, of bytes that are no UTF-8, by their printable share; else null."""
     hexed = F.hex(F.substring(content, 1, 8))
-    wide = F.when(hexed.startswith("FFFE") | hexed.startswith("FEFF"), F.try_validate_utf8(F.decode(content, "UTF-16")))
-    valid = F.try_validate_utf8(content.cast("string"))
-    # Bytes read one to one as Latin-1 characters, to count the printable ones.
-    told = F.decode(content, "ISO-8859-1")
-    printable = F.length(F.regexp_replace(told, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    magic = (
+    printable = F.length(F.regexp_replace(F.decode(content, "ISO-8859-1"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]+", ""))
+    return (
         F.when(hexed.startswith("1F8B"), "other_binary")
         .when(hexed.startswith("89504E470D0A1A0A") | hexed.startswith("FFD8FF"), "image")
-        .when(valid.isNull() & (printable * 100 < F.octet_length(content) * 90), "other_binary")
+        .when(~F.is_valid_utf8(content.cast("string")) & (printable * 100 < F.octet_length(content) * 90), "other_binary")
     )
-    return F.coalesce(F.when(wide.isNotNull(), content_class(wide, name)), magic, content_class(F.coalesce(valid, told), name))
+
+
+def content_class_bytes(content: Column, name: Column) -> Column:
+    """content_class of bytes: UTF-16 by its mark, binary by magic numbers and printable share.
+
+    `census.classified` does the same for a table, in steps, and minds cut characters.
+    """
+    wide = wide_text(content)
+    return F.coalesce(F.when(wide.isNotNull(), content_class(wide, name)), magic_class(content), content_class(narrow_text(content), name))
 
 
 def encoding(content: Column, kind: Column) -> Column:

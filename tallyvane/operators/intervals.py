@@ -1,8 +1,9 @@
 """Byte intervals with inclusive ends, per key columns, as window jobs.
 
-Overlapping joins go by grid cell: an interval is listed under every cell of `CELL` bytes
-it touches, equal cells meet, and a pair counts in its first common cell only, so a hot
-key is spread over its cells and no two long lists meet in full.
+Lists of disjoint ranges (serves of one count, islands) meet others by one pass over the
+merged order of their ends, so neither a hot key nor a long range makes pairs. `overlapping`
+gives the pairs themselves for any two tables: an interval is listed under every cell of
+`cell` bytes it touches, and a pair counts in its first common cell only.
 """
 
 from __future__ import annotations
@@ -75,11 +76,20 @@ def contained(ranges: DataFrame, islands: DataFrame, keys: list[str]) -> DataFra
 
 
 def first_exhausted(requests: DataFrame, serves: DataFrame, keys: list[str], limit: int = 2) -> DataFrame:
-    """requests with `exhausted`: first byte of theirs already served `limit` times, or null."""
-    full = serves.where(F.col("count") >= limit).select(*keys, "start", "end")
-    hits = overlapping(requests.select("id", *keys, "start", "end"), full, keys)
-    first = hits.groupBy("id").agg(F.min(F.greatest("start", "start2")).alias("exhausted"))
-    return requests.join(first, "id", "left")
+    """requests with `exhausted`: first byte of theirs already served `limit` times, or null.
+
+    serves are disjoint. The range before a request's start may hold it; else the next one's
+    start counts, if it is not beyond the request's end.
+    """
+    full = serves.where(F.col("count") >= limit)
+    marks = full.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").alias("_reach"))
+    asked = requests.select("*", F.col("start").alias("_at"), F.lit(1).alias("_kind"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_held", F.last("_reach", ignorenulls=True).over(before)).withColumn("_next", F.min(F.when(F.col("_kind") == 0, F.col("_at"))).over(after))
+    exhausted = F.when(F.col("_held") >= F.col("start"), F.col("start")).when(F.col("_next") <= F.col("end"), F.col("_next"))
+    return found.where("_kind = 1").select(*requests.columns, F.when(F.col("start") <= F.col("end"), exhausted).alias("exhausted"))
 
 
 def truncate_requests(requests: DataFrame, serves: DataFrame, keys: list[str], limit: int = 2) -> DataFrame:
@@ -89,12 +99,23 @@ def truncate_requests(requests: DataFrame, serves: DataFrame, keys: list[str], l
 
 
 def unwritten_exhausted(serves: DataFrame, islands: DataFrame, keys: list[str], limit: int = 2) -> DataFrame:
-    """(keys, unwritten): bytes at the serve limit that were never transmitted."""
+    """(keys, unwritten): bytes at the serve limit that were never transmitted; one row per key with such serves.
+
+    Serves and islands are disjoint each. Both go along the file as steps; what lies in a
+    serve and in no island is summed between neighbouring steps.
+    """
     full = serves.where(F.col("count") == limit)
-    total = full.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + 1).alias("total"))
-    written = overlapping(full.select(*keys, "start", "end"), islands, keys)
-    done = written.groupBy(*keys).agg(F.sum(range_overlap(F.col("start"), F.col("end"), F.col("start2"), F.col("end2"))).alias("done"))
-    return total.join(done, keys, "left").select(*keys, (F.col("total") - F.coalesce("done", F.lit(0))).alias("unwritten"))
+
+    def steps(df: DataFrame, name: str, other: str) -> DataFrame:
+        step = lambda at, by: F.struct(at.alias("pos"), F.lit(by).alias(name), F.lit(0).alias(other))
+        return df.select(*keys, F.inline(F.array(step(F.col("start").cast("bigint"), 1), step((F.col("end") + 1).cast("bigint"), -1))))
+
+    points = steps(full, "served", "written").unionByName(steps(islands, "written", "served")).groupBy(*keys, "pos").agg(F.sum("served").alias("served"), F.sum("written").alias("written"), F.max(F.col("served") != 0).alias("asked"))
+    along = Window.partitionBy(*keys).orderBy("pos")
+    upto = lambda c: F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    levels = points.select(*keys, "asked", (F.lead("pos").over(along) - F.col("pos")).alias("size"), upto("served").alias("served"), upto("written").alias("written"))
+    missing = F.sum(F.when((F.col("served") > 0) & (F.col("written") == 0), F.col("size")).otherwise(0))
+    return levels.groupBy(*keys).agg(missing.alias("unwritten"), F.bool_or("asked").alias("asked")).where("asked").drop("asked")
 
 
 def interval_stats(serves: DataFrame, islands: DataFrame, keys: list[str]) -> DataFrame:

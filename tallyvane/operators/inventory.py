@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyvane.session import shared_path
+
 
 def diff_inventory(cur: DataFrame, prev: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, status): added, removed, changed or same, by size and modification time."""
@@ -44,11 +46,16 @@ def tombstones(cur: DataFrame, prev: DataFrame, key: str = "file_id") -> DataFra
 def batches(df: DataFrame, order: str, size: int = 1000, part: Column | None = None) -> DataFrame:
     """df with `batch`, `size` rows each in order; the batch number of a row is its rank over size.
 
-    part: a Column that never falls as order rises (default: the first two characters of a
-    text order). Rows are ranked within their part, and parts by their counts, so that no
-    task ranks the whole table. `order` must be unique.
+    Rows are ranked within ranges of the order, and the ranges by their counts, so that no
+    task ranks the whole table. part: a Column that never falls as order rises (default: the
+    range that a range partitioning of the written keys gives). `order` must be unique.
     """
-    parted = df.withColumn("_part", part if part is not None else F.substring(F.col(order), 1, 2))
+    if part is None:
+        path = shared_path(df.sparkSession, "ranges")
+        df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+        parted = df.sparkSession.read.parquet(path)
+    else:
+        parted = df.withColumn("_part", part)
     local = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = parted.groupBy("_part").count()
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
@@ -77,5 +84,6 @@ def block_digests(df: DataFrame, content: Column, block: int, *keep: str) -> Dat
     """(keep, block, digest): SHA-256 of every block of a binary column; empty content has none."""
     n = F.ceil(F.octet_length(content) / block).cast("int")
     blocks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    cut = df.select(*keep, content.alias("_content"), F.explode(blocks).alias("block"))
-    return cut.select(*keep, "block", F.sha2(F.substring(F.col("_content"), F.col("block") * block + 1, F.lit(block)), 256).alias("digest"))
+    # Digests are made in the row, so that the content is not carried once per block.
+    digests = F.transform(blocks, lambda i: F.sha2(F.substring(content, i * block + 1, F.lit(block)), 256))
+    return df.select(*keep, F.posexplode(digests).alias("block", "digest"))

@@ -57,6 +57,41 @@ def clock_high_water(df: DataFrame, key: str, order: str, seconds: str, skew: in
     return joined.withColumn("high", high).withColumn("late", F.coalesce(F.col(seconds) < high - skew, F.lit(False))).select(*df.columns, "high", "late")
 
 
+def requests_with_permission(requests: DataFrame, permissions: DataFrame) -> DataFrame:
+    """requests (jti, ...) with the state and deadline of their permission (jti, state, td); those without one are left out."""
+    return requests.join(permissions.select("jti", "state", "td"), "jti")
+
+
+def requests_with_file(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """requests (fid, end, ...) with their file's size (fid, size) and whether they end within it."""
+    return requests.join(files.select("fid", "size"), "fid").withColumn("within", F.col("end") < F.col("size"))
+
+
+def pending_approvals(offers: DataFrame, files: DataFrame) -> DataFrame:
+    """(fid, pending): open offers without local approval, per file that there is."""
+    waiting = offers.where("state = 'offered' and approved_at is null")
+    return waiting.join(files.select("fid").distinct(), "fid", "left_semi").groupBy("fid").agg(F.count("*").alias("pending"))
+
+
+def merge_keys(a: DataFrame, b: DataFrame, key: str = "kid") -> DataFrame:
+    """Keys of either set, once each."""
+    return a.select(key).unionByName(b.select(key)).distinct()
+
+
+def chained(log: DataFrame, seq: str, line: str, part: str) -> DataFrame:
+    """log with `before`: the digest of the line before, by seq; null for the first.
+
+    Lines are numbered within their part, and only the parts' last lines meet; parts follow
+    one another by seq.
+    """
+    digest = F.sha2(F.col(line), 256)
+    within = F.lag(digest).over(Window.partitionBy(part).orderBy(seq))
+    last = log.groupBy(F.col(part).alias("_part")).agg(F.min(seq).alias("_first"), F.max_by(digest, F.col(seq)).alias("_last"))
+    ends = last.select("_part", F.lag("_last").over(Window.orderBy("_first")).alias("_carried"))  # one row per part
+    joined = log.withColumn("before", within).join(ends, F.col(part) == F.col("_part"))
+    return joined.select(*log.columns, F.coalesce("before", "_carried").alias("before"))
+
+
 def consent_ok(issued: Column, accepted: Column, expires: Column, at: Column, last: Column | None = None) -> Column:
     """Whether an authorisation may be used at a time (all in seconds)."""
     ok = (accepted <= issued) & (issued < expires) & (expires - issued <= CONSENT) & (issued <= at + SKEW)

@@ -18,6 +18,8 @@ TABLES = ["csv", "tsv", "jsonl", "parquet"]
 #: Admission limits (bytes), member cap, rates and report sizes.
 TEXT_MAX, PARQUET_MAX, MEMBERS_MAX = 6_000_000_000, 1_000_000_000, 17_033
 ESTIMATE_SECONDS, OVERHEAD_SECONDS, REPORT_MAX = 720, 120, 2_097_152
+#: Bytes of a report without members, and of a member's row.
+REPORT_FIXED, MEMBER_ROW = 955_904, 67
 TOKEN_CAP = 8192
 #: Members whose parts are joined before a listing's digest passes over them.
 RUN = 64
@@ -159,6 +161,25 @@ def member_commitment(results: DataFrame) -> DataFrame:
     return results.select("listing_id", "identity", tag.alias("tag"), F.when(tag == "full", F.col("sha256")).when(tag == "decoded_prefix", decoded).otherwise(unread).alias("digest"))
 
 
+def all_members(tables: DataFrame, census: DataFrame) -> DataFrame:
+    """(listing_id, identity, kind): members told as tables and members of the census together, in order of identity."""
+    told = lambda df, kind: df.select("listing_id", "identity", F.lit(kind).alias("kind"))
+    return told(tables, "table").unionByName(told(census, "census")).orderBy("listing_id", "identity")
+
+
+def eligible_members(snapshot: DataFrame, files: DataFrame, offers: DataFrame, superseding: DataFrame) -> DataFrame:
+    """Members of a snapshot (fid, member_id, ...) that have a live file (member_id), an open listing offer (fid, state, key_class) and no superseding offer (fid)."""
+    live = snapshot.join(files.select("member_id").distinct(), "member_id", "left_semi")
+    offered = live.join(offers.where("state = 'offered' and key_class = 'listing'").select("fid").distinct(), "fid", "left_semi")
+    return offered.join(superseding.select("fid").distinct(), "fid", "left_anti")
+
+
+def resolve_objects(reported: DataFrame, members: DataFrame, key_hex: str, kind: str, source: str) -> DataFrame:
+    """members (identity, sha256, ...) of the reported object_ids, found again by computing every member's id."""
+    named = members.withColumn("object_id", ids.object_id(key_hex, kind, source, F.col("identity"), F.col("sha256")))
+    return named.join(reported.select("object_id").distinct(), "object_id", "left_semi")
+
+
 def outside_plan(members: DataFrame, plan: DataFrame) -> DataFrame:
     return members.join(plan, ["listing_id", "identity"], "left_anti")
 
@@ -179,7 +200,7 @@ def admit_size(members: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("format") == "parquet", F.col("size"))), F.lit(0)).alias("parquet"), F.min("size").alias("least"),
     )
     verdict = (
-        F.when(n > MEMBERS_MAX, "member_count_exceeded").when(955_734 + 171 + 67 * n - 1 > REPORT_MAX, "refused").when(F.col("least") < 0, "refused")
+        F.when(n > MEMBERS_MAX, "member_count_exceeded").when(REPORT_FIXED + MEMBER_ROW * n > REPORT_MAX, "refused").when(F.col("least") < 0, "refused")
         .when((t > TEXT_MAX) | (p > PARQUET_MAX) | (t + 6 * p > TEXT_MAX), "refused")
         .when(9 * t + 50 * p > (ESTIMATE_SECONDS - OVERHEAD_SECONDS) * 90_000_000, "refused").otherwise("admitted")
     )

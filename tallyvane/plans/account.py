@@ -45,15 +45,14 @@ _R_JTI = f"(SELECT *, oid || '-' || fid || '-' || id % 3 AS jti FROM {REQUESTS})
 @query(f"""SELECT r.id, p.state, p.td, f.size, r."end" < f.size AS within FROM {_R_JTI} r JOIN {PERMISSIONS} p ON p.jti = r.jti JOIN {FILES} f ON f.fid = r.fid""")
 def requests_with_files(spark, sf):
     """Requests with their permissions and files."""
-    r = _jti(V.requests(spark, sf)).join(V.permissions(spark, sf).select("jti", "state", "td"), "jti").join(files(spark, sf).select("fid", "size"), "fid")
-    return r.select("id", "state", "td", "size", (F.col("end") < F.col("size")).alias("within"))
+    told = ledger.requests_with_permission(_jti(V.requests(spark, sf)), V.permissions(spark, sf))
+    return ledger.requests_with_file(told, files(spark, sf)).select("id", "state", "td", "size", "within")
 
 
-@query(f"""SELECT o.fid, count(*) AS pending FROM {OFFERS} o JOIN (SELECT DISTINCT doc_id AS fid FROM documents WHERE doc_id < 50) f USING (fid) WHERE state = 'offered' AND approved_at IS NULL GROUP BY 1""")
+@query(f"""SELECT o.fid, count(*) AS pending FROM {OFFERS} o JOIN (SELECT DISTINCT doc_id AS fid FROM documents) f USING (fid) WHERE state = 'offered' AND approved_at IS NULL GROUP BY 1""")
 def pending_approvals(spark, sf):
     """Offers that wait for local approval."""
-    f = table(spark, sf, "documents").where("doc_id < 50").select(F.col("doc_id").alias("fid")).distinct()
-    return offers(spark, sf).where("state = 'offered' and approved_at is null").join(f, "fid").groupBy("fid").agg(F.count("*").alias("pending"))
+    return ledger.pending_approvals(offers(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("fid")))
 
 
 _INSTR = "(SELECT event_id AS seq, (event_id * 7919) % 4000 AS iid, event_type || value::INTEGER AS answer FROM events)"
@@ -113,19 +112,26 @@ def retained_rows(spark, sf):
 @query(f"""SELECT m.doc_id FROM {MEMBERS} m JOIN (SELECT DISTINCT doc_id FROM labels) f USING (doc_id) WHERE EXISTS (FROM {OFFERS} o WHERE o.fid = m.doc_id % 50 AND o.state = 'offered' AND o.key_class = 'listing') AND NOT EXISTS (FROM {OFFERS} o WHERE o.fid = m.doc_id % 50 AND o.state = 'withdrawn' AND o.seq > 59000)""")
 def eligible_members(spark, sf):
     """Snapshot members with a live file and offer that nothing supersedes."""
-    m = V.members(spark, sf).withColumn("fid", F.col("doc_id") % 50)
+    from tallyvane.operators.listing import eligible_members
+
+    m = V.members(spark, sf).select("doc_id", F.col("doc_id").alias("member_id"), (F.col("doc_id") % 50).alias("fid"))
     o = offers(spark, sf)
-    live = m.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").join(o.where("state = 'offered' and key_class = 'listing'").select("fid").distinct(), "fid", "left_semi")
-    return live.join(o.where("state = 'withdrawn' and seq > 59000").select("fid").distinct(), "fid", "left_anti").select("doc_id")
+    return eligible_members(m, table(spark, sf, "labels").select(F.col("doc_id").alias("member_id")), o, o.where("state = 'withdrawn' and seq > 59000")).select("doc_id")
+
+
+_OBJECT = _hmac(ID_KEY, f"encode('object') || {_Z} || encode('gateway_listing') || {_Z} || encode('gw') || {_Z} || encode(identity) || {_Z} || encode(sha256)")
 
 
-@query(f"""SELECT doc_id, {_hmac(ID_KEY, f"encode('object') || {_Z} || encode('gateway_listing') || {_Z} || encode('gw') || {_Z} || encode(identity) || {_Z} || encode(sha256)")} AS object_id FROM {MEMBERS} WHERE doc_id % 3 = 0""")
+@query(f"""SELECT m.doc_id, {_OBJECT} AS object_id FROM {MEMBERS} m JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)""")
 def resolved_objects(spark, sf):
-    """Objects of a report, found again by recomputed ids."""
+    """Objects of a report (the labelled documents'), found again by recomputed ids."""
     from tallyvane.functions import ids
+    from tallyvane.operators.listing import resolve_objects
 
-    m = V.members(spark, sf).withColumn("object_id", ids.object_id(ID_KEY, "gateway_listing", "gw", F.col("identity"), F.col("sha256")))
-    return m.where("doc_id % 3 = 0").select("object_id").join(m.select("object_id", "doc_id"), "object_id").select("doc_id", "object_id")
+    m = V.members(spark, sf)
+    labelled = m.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    reported = labelled.select(ids.object_id(ID_KEY, "gateway_listing", "gw", F.col("identity"), F.col("sha256")).alias("object_id"))
+    return resolve_objects(reported, m, ID_KEY, "gateway_listing", "gw").select("doc_id", "object_id")
 
 
 @query(f"SELECT * FROM {OFFERS} QUALIFY row_number() OVER (PARTITION BY fid ORDER BY seq DESC) = 1")
@@ -206,13 +212,10 @@ _LOG = f"(SELECT event_id AS seq, (event_id // 500)::VARCHAR AS part, {_LINE.rep
 
 
 def _log(spark, sf):
-    from pyspark.sql import Window
-
-    # The fixture's chain is made here in one window; check_chain itself works per part.
     line = F.concat(F.lit('{"seq":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('"}'))
     e = table(spark, sf, "events").where("event_id % 1501 <> 7").select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 500).cast("string").alias("part"), line.alias("line"))
-    before = F.lag(F.sha2("line", 256)).over(Window.orderBy("seq"))
-    return e.withColumn("prev", F.when(F.col("seq") % 997 == 5, "bad").otherwise(F.coalesce(before, F.lit(""))))
+    prev = F.when(F.col("seq") % 997 == 5, "bad").otherwise(F.coalesce("before", F.lit("")))
+    return ledger.chained(e, "seq", "line", "part").select("seq", "part", "line", prev.alias("prev"))
 
 
 @query(f"""SELECT part, seq, seq_broken, hash_broken FROM (SELECT part, seq, coalesce(seq <> lag(seq) OVER w + 1, false) AS seq_broken, coalesce(prev <> lag(sha256(line)) OVER w, false) AS hash_broken FROM {_LOG} WINDOW w AS (ORDER BY seq)) WHERE seq_broken OR hash_broken""")
@@ -242,11 +245,10 @@ def order_breaks(spark, sf):
 @query(f"SELECT listing_id, identity, 'table' AS kind FROM {MEMBERS} WHERE format IN ('csv', 'tsv', 'jsonl', 'parquet') UNION ALL SELECT listing_id, identity, 'census' FROM {MEMBERS} WHERE format NOT IN ('csv', 'tsv', 'jsonl', 'parquet')")
 def all_members(spark, sf):
     """Tables and census members together, in order of identity."""
-    from tallyvane.operators.listing import is_table
+    from tallyvane.operators import listing
 
-    m, t = V.members(spark, sf), is_table(F.col("format"))
-    pick = lambda df, k: df.select("listing_id", "identity", F.lit(k).alias("kind"))
-    return pick(m.where(t), "table").unionByName(pick(m.where(~t), "census")).orderBy("listing_id", "identity")
+    m, t = V.members(spark, sf), listing.is_table(F.col("format"))
+    return listing.all_members(m.where(t), m.where(~t))
 
 
 @query(f"SELECT listing_id, identity FROM {MEMBERS} WHERE doc_id % 2 <> 0")
@@ -262,7 +264,7 @@ def members_outside_plan(spark, sf):
 def merged_keys(spark, sf):
     """Union of key sets."""
     a = table(spark, sf, "customer").where("c_nationkey < 15").select(F.col("c_nationkey").alias("kid"))
-    return a.union(table(spark, sf, "supplier").where("s_nationkey > 10").select("s_nationkey")).dropDuplicates(["kid"])
+    return ledger.merge_keys(a, table(spark, sf, "supplier").where("s_nationkey > 10").select(F.col("s_nationkey").alias("kid")))
 
 
 _RECEIPT_ROWS = """(SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'nope' ELSE regexp_replace(md5(event_id::VARCHAR), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') END AS order_id, CASE WHEN event_id % 5 = 0 THEN 'F' || substr(md5(event_type), 2) ELSE md5(event_type) END AS file_id, CASE WHEN event_id % 7 <> 0 THEN sha256(event_type) END AS sha256,

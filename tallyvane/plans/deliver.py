@@ -249,7 +249,11 @@ def keyed_sample(spark, sf):
     return ledger.admit_quota(ranked, ["listing_id"], ["at"], 5).where("admitted").select("listing_id", "identity")
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT listing_id, identity, CASE WHEN format IN ('zip', 'tar.gz', 'tgz') THEN 6000 ELSE size END AS cost, row_number() OVER (PARTITION BY listing_id ORDER BY {_hmac(ID_KEY, 'encode(identity)')}, identity) AS n
+ FROM {MEMBERS} WHERE format NOT IN ('csv', 'tsv', 'jsonl', 'parquet')),
+s AS (SELECT DISTINCT listing_id, 0::BIGINT AS n, 20000::BIGINT AS room, ''::VARCHAR AS identity, false AS fits FROM c
+ UNION ALL SELECT c.listing_id, c.n, s.room - CASE WHEN c.cost <= s.room THEN c.cost ELSE 0 END, c.identity, c.cost <= s.room FROM s JOIN c ON c.listing_id = s.listing_id AND c.n = s.n + 1)
+SELECT listing_id, identity FROM s WHERE fits""")
 def planned_reads(spark, sf):
     """Greedy keyed read plans within a byte budget."""
     return listing.planned_read_set(V.members(spark, sf), ID_KEY, budget=20_000, allowance=6_000)

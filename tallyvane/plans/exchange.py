@@ -8,7 +8,6 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallyvane.functions import content as C
 from tallyvane.operators import census
 from tallyvane.session import shared_path
 from tallyvane.sources import archives, files, logs, text
@@ -38,16 +37,22 @@ def jsonl_scan(spark, sf):
     return df.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.count("*").alias("n"), F.sum(F.col("k").cast("bigint")).alias("k"))
 
 
-@query("SELECT source, true AS listed, count(*) AS docs FROM documents GROUP BY 1")
+_LINE = "translate(coalesce(text, ''), chr(10) || chr(13), '  ')"
+
+
+@query(f"SELECT 'part=' || doc_id // 100 AS folder, sum(strlen({_LINE}) + 1)::BIGINT AS size, sha256(string_agg({_LINE} || chr(10), '' ORDER BY doc_id)) AS sha256, count(*) AS lines FROM documents GROUP BY 1")
 def file_listing(spark, sf):
-    """Files written per source, listed and digested."""
-    path = shared_path(spark, "files")
-    docs = table(spark, sf, "documents").select("source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value"))
-    docs.write.partitionBy("source").text(path)
-    listed = files.list_files(spark, {"root": path}).where("relative_path like 'source=%.txt'").join(files.file_digests(spark, path).select("path", "sha256"), "path")
-    per = listed.groupBy(F.regexp_extract("relative_path", "^source=([^/]*)/", 1).alias("source")).agg((F.min(F.length("sha256")) == 64).alias("listed"))
-    lines = spark.read.text(path).groupBy("source").agg(F.count("*").alias("docs"))
-    return per.join(lines, "source")
+    """Files of a hundred documents each, written, listed, digested and read again."""
+    path, reports = shared_path(spark, "files"), shared_path(spark, "reports")
+    docs = text.scan_documents(table(spark, sf, "documents"), "doc_id", "text")
+    value = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    parted = docs.select(F.floor(F.col("id") / 100).alias("part"), "id", value.alias("value"))
+    parted.repartition("part").sortWithinPartitions("part", "id").select("part", "value").write.partitionBy("part").text(path)
+    listed = files.list_files(spark, {"root": path}).where("relative_path like 'part=%.txt'").join(files.file_digests(spark, path).select("path", "sha256"), "path")
+    lines = spark.read.text(path).groupBy(F.concat(F.lit("part="), "part").alias("folder")).agg(F.count("*").alias("lines"))
+    told = listed.select(F.regexp_extract("relative_path", "^([^/]*)/", 1).alias("folder"), "size", "sha256").join(lines, "folder")
+    files.write_report(told, reports)
+    return spark.read.schema("folder string, size bigint, sha256 string, lines bigint").json(reports)
 
 
 @query("SELECT (doc_id // 20)::VARCHAR AS member, 'zip' AS kind, true AS opened, false AS partial, count(*) AS entries, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY 1")
@@ -83,21 +88,30 @@ def audit_scan(spark, sf):
     return logs.scan_audit(spark, path).groupBy("message_type").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
-@query("SELECT false AS torn, 0 AS bad_lines, true AS some FROM events LIMIT 1")
+@query("SELECT 'part=' || part AS part, last % 2 = 1 AS torn, bad - CASE WHEN last % 2 = 1 AND last % 7 = 3 THEN 1 ELSE 0 END AS bad_lines FROM (SELECT event_id // 500 AS part, max(event_id) AS last, count_if(event_id % 7 = 3) AS bad FROM events GROUP BY 1)")
 def torn_tails(spark, sf):
-    """Files of a log, whether their last lines are whole."""
+    """Files of a log, whether their last lines are whole, and lines that are no entries."""
     path = shared_path(spark, "torn")
-    table(spark, sf, "events").select("props").write.text(path)
-    return logs.torn_tails(spark, path).groupBy("torn", "bad_lines").agg((F.count("*") > 0).alias("some"))
+    e = table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 500).alias("part"))
+    last = e.groupBy("part").agg(F.max("event_id").alias("last"))
+    line = F.when(F.col("event_id") % 7 == 3, F.lit("{no entry")).otherwise(F.concat(F.lit('{"seq":'), F.col("event_id").cast("string"), F.lit("}")))
+    end = F.when((F.col("event_id") == F.col("last")) & (F.col("last") % 2 == 1), "").otherwise("\n")
+    lines = e.join(last, "part").select("part", "event_id", F.concat(line, end).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.option("lineSep", "\x00").partitionBy("part").text(path)
+    return logs.torn_tails(spark, path, "\x00").select(F.regexp_extract("part", "(part=[0-9]+)", 1).alias("part"), "torn", "bad_lines")
+
 
+#: Letters beyond ASCII, and characters beyond Latin-1.
+_HIGH, _BEYOND = r"[\x{80}-\x{FF}]", r"[^\x{00}-\x{FF}]"
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf8_bom' WHEN 1 THEN 'utf16' WHEN 2 THEN 'binary' ELSE 'utf8' END AS encoding, CASE WHEN doc_id % 4 = 2 THEN 'image' ELSE 'plain_text' END AS class FROM documents""")
+
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf8_bom' WHEN 1 THEN 'utf16' WHEN 2 THEN 'latin1_like' ELSE 'utf8' END AS encoding FROM documents WHERE regexp_matches(text, '{_HIGH}') AND NOT regexp_matches(text, '{_BEYOND}')")
 def byte_encodings(spark, sf):
-    """Encodings and classes of bytes."""
-    k, plain = F.col("doc_id") % 4, F.lit("plain words only")
-    data = F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), plain.cast("binary"))).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(plain, "UTF-16LE"))).when(k == 2, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(plain.cast("binary"))
-    docs = table(spark, sf, "documents").select("doc_id", data.alias("data")).withColumn("class", C.content_class_bytes(F.col("data"), F.lit("")))
-    return docs.select("doc_id", C.encoding(F.col("data"), F.col("class")).alias("encoding"), "class")
+    """Encodings of the documents' own texts, each written in one of four; all texts with letters beyond ASCII that Latin-1 has."""
+    k, t = F.col("doc_id") % 4, F.col("text")
+    own = table(spark, sf, "documents").where(t.rlike(_HIGH) & ~t.rlike(_BEYOND))
+    data = F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), t.cast("binary"))).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(t, "UTF-16LE"))).when(k == 2, F.encode(t, "ISO-8859-1")).otherwise(t.cast("binary"))
+    return census.classified(own.select("doc_id", data.alias("content"))).select("doc_id", "encoding")
 
 
 @query("SELECT count(*) AS members, sum(strlen(coalesce(text, '')))::BIGINT AS stored_bytes, 'complete' AS depth_class FROM documents")
@@ -133,18 +147,43 @@ def stream_dedupe(spark, sf):
     return _drained(spark, state.stream_dedupe(s, ["user_id", "event_type"], delay="365 days"), "dedupe").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT oid, fid, count(*) AS n, min(id) AS first FROM {REQUESTS} GROUP BY 1, 2")
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY oid, fid ORDER BY id) AS n FROM {REQUESTS}),
+s AS (SELECT DISTINCT oid, fid, 0::BIGINT AS n, 0::BIGINT AS id, NULL::BIGINT AS granted_end, []::STRUCT(a BIGINT, b BIGINT)[] AS given FROM r
+ UNION ALL SELECT oid, fid, n, id, granted_end, CASE WHEN granted_end IS NULL THEN given ELSE list_append(given, {{'a': start, 'b': granted_end}}) END FROM (
+  SELECT oid, fid, n, id, start, given, CASE WHEN full_at IS NULL THEN "end" WHEN full_at > start THEN full_at - 1 END AS granted_end FROM (
+   SELECT r.oid, r.fid, r.n, r.id, r.start, r."end", s.given,
+    list_min(list_filter(list_append(list_transform(s.given, lambda x: x.a), r.start), lambda p: p >= r.start AND p <= r."end" AND len(list_filter(s.given, lambda x: x.a <= p AND x.b >= p)) >= 2)) AS full_at
+   FROM s JOIN r ON r.oid = s.oid AND r.fid = s.fid AND r.n = s.n + 1)))
+SELECT oid, fid, id, granted_end, CASE WHEN granted_end IS NULL THEN 'exhausted' ELSE 'granted' END AS verdict, len(list_distinct(flatten(list_transform(given, lambda x: range(x.a, x.b + 1)))))::BIGINT AS served FROM s WHERE n > 0""")
 def stream_transfers(spark, sf):
     """A stream of transfer requests, granted against their state."""
     s = _streamed(spark, V.requests(spark, sf).select("oid", "fid", "id", "start", "end"), "transfers-in")
-    return _drained(spark, state.stream_transfers(s), "transfers").groupBy("oid", "fid").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return _drained(spark, state.stream_transfers(s), "transfers").select("oid", "fid", "id", "granted_end", "verdict", "served")
+
+
+_ADMISSIONS = """WITH RECURSIVE e AS (SELECT event_type AS listing, event_id AS id, floor(epoch(ts))::BIGINT - CASE WHEN event_id % 11 = 3 THEN 90000 ELSE 0 END AS seconds, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT listing, 0::BIGINT AS n, 0::BIGINT AS id, ''::VARCHAR AS verdict, 0::BIGINT AS high, []::BIGINT[] AS days FROM e
+ UNION ALL SELECT listing, n, id, verdict, CASE WHEN verdict = 'admitted' THEN greatest(high, seconds) ELSE high END, CASE WHEN verdict = 'admitted' THEN list_append(days, seconds // 86400) ELSE days END FROM (
+  SELECT e.listing, e.n, e.id, e.seconds, s.high, s.days, CASE WHEN e.seconds < s.high - 300 THEN 'late' WHEN len(list_filter(s.days, lambda d: d = e.seconds // 86400)) >= 10 THEN 'over_quota' ELSE 'admitted' END AS verdict
+  FROM s JOIN e ON e.listing = s.listing AND e.n = s.n + 1))
+"""
 
 
-@query("SELECT event_type AS listing, count(*) AS n FROM events GROUP BY 1")
+def _admissions(spark, sf, label: str):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("listing"), F.col("event_id").alias("id"), (F.unix_seconds(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 11 == 3, 90_000).otherwise(0)).alias("seconds"))
+    return _streamed(spark, e, label)
+
+
+@query(_ADMISSIONS + "SELECT listing, id, verdict FROM s WHERE n > 0")
 def stream_admission(spark, sf):
-    """T4, T5: a stream of admissions with quota and high water."""
-    e = table(spark, sf, "events").select(F.col("event_type").alias("listing"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"))
-    return _drained(spark, state.stream_admission(_streamed(spark, e, "admission-in")), "admission").groupBy("listing").agg(F.count("*").alias("n"))
+    """T4: a stream of admissions with quota and high water."""
+    return _drained(spark, state.stream_admission(_admissions(spark, sf, "admission-in")), "admission").select("listing", "id", "verdict")
+
+
+@query(_ADMISSIONS + "SELECT listing, id FROM s WHERE verdict = 'late'")
+def stream_late(spark, sf):
+    """T5: the late rows of a stream of admissions."""
+    return _drained(spark, state.stream_late(_admissions(spark, sf, "late-in")), "late").select("listing", "id")
 
 
 @query("SELECT event_id AS id FROM events WHERE event_id % 3 = 0")
@@ -173,3 +212,17 @@ def stream_inventory(spark, sf):
     state.stream_inventory(_streamed(spark, m, "inventory-in"), path, shared_path(spark, "inventory-check")).awaitTermination()
     last = spark.read.parquet(path)
     return last.where(F.col("generation") == last.agg(F.max("generation")).scalar()).select("file_id", "size", "present")
+
+
+@query("""SELECT sha256('part=' || doc_id // 100) AS file_id, sum(strlen(translate(coalesce(text, ''), chr(10) || chr(13), '  ')) + 1)::BIGINT AS size, true AS present FROM documents GROUP BY 1""")
+def stream_listing(spark, sf):
+    """Files as they appear, digested as a stream, folded into an inventory and written as a generation."""
+    path, out = shared_path(spark, "appearing"), shared_path(spark, "generations")
+    value = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", value.alias("value"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    named = files.stream_files(spark, path).where("path like '%.txt'").select(F.sha2(F.regexp_extract("path", "(part=[0-9]+)", 1), 256).alias("file_id"), "size", "mtime", "sha256")
+    folded = shared_path(spark, "listed")
+    state.stream_inventory(named, folded, shared_path(spark, "listed-check"), complete=True).awaitTermination()
+    files.write_generation(spark.read.parquet(f"{folded}/generation=0"), out, 0)
+    return spark.read.parquet(out).where("generation = 0").select("file_id", "size", "present")

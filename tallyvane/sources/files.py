@@ -12,10 +12,11 @@ MAX_FILES = 100_000
 BLOCK = 8 << 20
 
 
-def list_files(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+def list_files(spark: SparkSession, sources: dict[str, str], cap: int | None = None) -> DataFrame:
     """(source, relative_path, size, mtime, path) of all files below each root; contents are not read.
 
-    sources: root folder by name.
+    sources: root folder by name. cap: the most files a listing may have (MAX_FILES for a
+    snapshot); with more it is refused whole, by an error when it is read.
     """
     out = None
     for name, root in sources.items():
@@ -23,7 +24,10 @@ def list_files(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
         rel = F.regexp_replace(F.regexp_replace("path", "^[a-zA-Z0-9+.-]+:/*", "/"), "^" + _literal(root) + "/*", "")
         part = found.select(F.lit(name).alias("source"), rel.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "path")
         out = part if out is None else out.unionByName(part)
-    return out
+    if cap is None:
+        return out
+    n = out.agg(F.count("*")).scalar()
+    return out.where(F.when(n <= cap, True).otherwise(F.raise_error(F.lit(f"more than {cap} files")).cast("boolean")))
 
 
 def _literal(root: str) -> str:

@@ -33,9 +33,12 @@ def stream_audit(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(spark.readStream.text(path))
 
 
-def torn_tails(spark: SparkSession, path: str) -> DataFrame:
-    """(part, torn, bad_lines): whether a file's last line has no end, and how many others are no JSON objects."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("part"), "value")
+def torn_tails(spark: SparkSession, path: str, drop: str = "") -> DataFrame:
+    """(part, torn, bad_lines): whether a file's last line has no end, and how many others are no JSON objects.
+
+    drop: characters that a writer put between lines and that are none of theirs.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("part"), F.translate("value", drop, "").alias("value"))
     lines = F.split("value", "\n")
     whole = F.slice(lines, 1, F.greatest(F.lit(0), F.size(lines) - 1))
     return files.select("part", (F.element_at(lines, -1) != "").alias("torn"), F.size(F.filter(whole, lambda x: F.try_parse_json(x).isNull())).alias("bad_lines"))

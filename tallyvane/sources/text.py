@@ -33,7 +33,10 @@ def scan_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     fields = F.from_json("value", "map<string,string>")
     df = lines.select("pos", "value", fields.alias("fields"))
     if strict:
-        nested = F.exists(F.map_values("fields"), lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False)))
+        # A text may begin like a list or object; only then is the value's own kind looked at.
+        suspect = F.exists(F.map_values("fields"), lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False)))
+        kinds = F.transform(F.map_values(F.from_json("value", "map<string,variant>")), lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
+        nested = F.when(suspect, F.exists(kinds, lambda k: k.startswith("ARRAY") | k.startswith("OBJECT"))).otherwise(False)
         keys = F.map_keys("fields")
         twice = F.size(F.array_distinct(keys)) != F.size(keys)
         bad = F.col("fields").isNull() | nested | twice

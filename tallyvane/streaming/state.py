@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMIT = 2
+#: Islands that a file of an order may have.
+FRAGMENTS = 1024
 QUOTA, SKEW = 10, 300
 
 
@@ -18,21 +21,32 @@ def stream_dedupe(df: DataFrame, keys: list[str], ts: str = "ts", delay: str = "
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def add_range(segments: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
-    """Segments (start, end, count) with one more serve of start to end; equal neighbours merge."""
-    points: dict[int, int] = {start: 1}
-    points[end + 1] = points.get(end + 1, 0) - 1
+def add_range(segments: list[tuple[int, int, int]], start: int, end: int, by: int = 1) -> list[tuple[int, int, int]]:
+    """Segments (start, end, count) with `by` more serves of start to end; equal neighbours merge."""
+    points: dict[int, int] = {start: by}
+    points[end + 1] = points.get(end + 1, 0) - by
     for a, b, n in segments:
         points[a] = points.get(a, 0) + n
         points[b + 1] = points.get(b + 1, 0) - n
     out, level, cuts = [], 0, sorted(p for p, d in points.items() if d)
-    for at, nxt in zip(cuts, [*cuts[1:], None], strict=True):
+    for at, nxt in zip_longest(cuts, cuts[1:]):
         level += points[at]
-        if level and nxt is not None:
+        if level > 0 and nxt is not None:
             out.append((at, nxt - 1, level))
     return out
 
 
+def islands(segments: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs of bytes served at all."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in segments:
+        if out and out[-1][1] == a - 1:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def grant(segments: list[tuple[int, int, int]], start: int, end: int) -> int | None:
     """The last byte a request may have: before the first byte served LIMIT times; None refuses."""
     for a, b, n in segments:
@@ -41,28 +55,46 @@ def grant(segments: list[tuple[int, int, int]], start: int, end: int) -> int | N
     return end
 
 
-TRANSFER = "oid bigint, fid string, id bigint, start bigint, granted_end bigint, served bigint"
+TRANSFER = "oid bigint, fid string, id bigint, start bigint, verdict string, granted_end bigint, served bigint, intervals int, complete boolean"
 
 
-def stream_transfers(requests: DataFrame) -> DataFrame:
-    """Requests (oid, fid, id, start, end) as granted in order of id within a batch, with the bytes served so far.
+def stream_transfers(requests: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """Requests (oid, fid, id, start, end) judged in order of id within a batch, with what their file has been served so far.
 
-    State per file of an order is its list of segments (capped in the reference by its
-    fragment limit), so a hot order is split over its files.
+    verdict: granted (up to granted_end, before the first byte served LIMIT times), exhausted
+    (nothing left to grant), or fragmented (one island more than the cap). Optional columns:
+    kind ("request", or "settle" for the end of a granted range, of which the bytes beyond
+    written_through are given back), written_through, and size (then `complete` says whether
+    the whole file has been served). State per file of an order is its list of segments,
+    which the cap bounds; a hot order is split over its files.
     """
+    missing = {"kind": F.lit("request"), "written_through": F.lit(None).cast("bigint"), "size": F.lit(None).cast("bigint")}
+    requests = requests.select("oid", "fid", "id", "start", "end", *[c if c in requests.columns else value.alias(c) for c, value in missing.items()])
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         segments = [tuple(s) for s in zip(*state.get, strict=True)] if state.exists else []
         rows = pd.concat(list(batches)).sort_values("id")
         out = []
         for r in rows.itertuples():
-            end = grant(segments, r.start, r.end)
-            if end is not None:
-                segments = add_range(segments, r.start, end)
-            out.append((*key, r.id, r.start, end, sum(b - a + 1 for a, b, _ in segments)))
+            end = None
+            if r.kind == "settle":
+                verdict = "settled"
+                if r.written_through < r.end:
+                    segments = add_range(segments, max(r.start, int(r.written_through) + 1), r.end, -1)
+            elif (end := grant(segments, r.start, r.end)) is None:
+                verdict = "exhausted"
+            elif len(islands(more := add_range(segments, r.start, end))) > fragments:
+                verdict, end = "fragmented", None
+            else:
+                verdict, segments = "granted", more
+            runs = islands(segments)
+            complete = None if pd.isna(r.size) else bool(r.size == 0 or (runs and runs[0][0] <= 0 and runs[0][1] >= r.size - 1))
+            out.append((*key, r.id, r.start, verdict, end, sum(b - a + 1 for a, b in runs), len(runs), complete))
         state.update(tuple([int(x) for x in column] for column in zip(*segments, strict=True)) if segments else ([], [], []))
-        frame = pd.DataFrame(out, columns=["oid", "fid", "id", "start", "granted_end", "served"])
+        frame = pd.DataFrame(out, columns=["oid", "fid", "id", "start", "verdict", "granted_end", "served", "intervals", "complete"])
         frame["granted_end"] = frame["granted_end"].astype("Int64")
+        frame["intervals"] = frame["intervals"].astype("int32")
+        frame["complete"] = frame["complete"].astype("boolean")
         yield frame
 
     segments = "starts array<bigint>, ends array<bigint>, counts array<bigint>"
@@ -98,9 +130,9 @@ def stream_admission(df: DataFrame, quota: int = QUOTA, skew: int = SKEW) -> Dat
     return df.groupBy("listing").applyInPandasWithState(step, ADMISSION, "high bigint, days array<bigint>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_late(df: DataFrame, skew: int = SKEW) -> DataFrame:
-    """Refused rows only: those behind the high water. A watermark would drop them without a trace."""
-    return stream_admission(df, quota=1 << 62, skew=skew).where("verdict = 'late'")
+def stream_late(df: DataFrame, quota: int = QUOTA, skew: int = SKEW) -> DataFrame:
+    """The late rows of `stream_admission`: those behind the high water of admitted ones. A watermark would drop them without a trace."""
+    return stream_admission(df, quota, skew).where("verdict = 'late'")
 
 
 def stream_expiry(df: DataFrame, deadline: str = "td") -> DataFrame:
@@ -118,8 +150,13 @@ def stream_outbox(outbox: DataFrame, audited: DataFrame, path: str, checkpoint:
     return outbox.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_inventory(files: DataFrame, path: str, checkpoint: str):
-    """Continuous inventory: each batch of listed files (file_id, size, mtime, sha256) is folded into generation batch_id at path."""
+def stream_inventory(files: DataFrame, path: str, checkpoint: str, complete: bool = False):
+    """Continuous inventory: each batch of listed files (file_id, size, mtime, sha256) is folded into generation batch_id at path.
+
+    complete: every batch is a whole listing, so a known file it does not name is gone: it
+    stays for one generation as not present. Otherwise a batch lists what is new, and files
+    it does not name are still there.
+    """
     from tallyvane.operators.inventory import inventory_update
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -128,9 +165,12 @@ def stream_inventory(files: DataFrame, path: str, checkpoint: str):
         empty = spark.createDataFrame([], "file_id string, size bigint, mtime timestamp, sha256 string, first_seen_at timestamp, changed_at timestamp, present boolean")
         prev = spark.read.parquet(f"{path}/generation={batch_id - 1}") if batch_id else empty
         seen = batch.groupBy("file_id").agg(F.max_by(F.struct("size", "mtime", "sha256"), "mtime").alias("r")).select("file_id", "r.*")
-        # A batch lists what is new; files it does not name are still there.
-        rest = prev.join(seen.select("file_id"), "file_id", "left_anti")
-        known = prev.join(seen.select("file_id"), "file_id", "left_semi")
-        inventory_update(seen, known, now).unionByName(rest).write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        if complete:
+            following = inventory_update(seen, prev, now)
+        else:
+            rest = prev.join(seen.select("file_id"), "file_id", "left_anti")
+            known = prev.join(seen.select("file_id"), "file_id", "left_semi")
+            following = inventory_update(seen, known, now).unionByName(rest)
+        following.write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
 
     return files.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -144,3 +144,13 @@ def test_canonical_scalar(spark, value, kind, text):
     df = spark.createDataFrame([(value,)], f"v {kind}")
     got = df.select(V.canonical_scalar(F.col("v"), df.schema["v"].dataType).cast("string").alias("x")).first().x
     assert got == text
+
+
+@pytest.mark.parametrize("at", [0, 1, 2, 3, 4])
+def test_a_prefix_may_end_inside_a_character(spark, at):
+    from tallyvane.operators.census import classified
+
+    for sign in ("é", "€", "😀"):
+        data = ("x" * (4096 - at) + sign * 9).encode()
+        row = classified(spark.createDataFrame([(1, data), (2, b"\xff\xfe" + "wide words".encode("utf-16-le")), (3, b"\x89PNG\r\n\x1a\n\0"), (4, b""), (5, "caf\u00e9 au lait".encode("latin-1"))], "id int, content binary")).orderBy("id").collect()
+        assert [(r["class"], r.encoding) for r in row] == [("plain_text", "utf8"), ("plain_text", "utf16"), ("image", "binary"), ("empty", "utf8"), ("plain_text", "latin1_like")]

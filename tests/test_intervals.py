@@ -61,6 +61,9 @@ def test_serves_islands_and_joins(spark, parts):
     for i, o, f, s, e in live:
         assert first[i] == min((max(s, a) for a, b, n in runs(levels[o, f]) if n >= 2 and a <= e and b >= s), default=None)
     some = I.coverage_islands(df.where("id % 2 = 0"), KEYS)
+    sent = bytes_of([r for r in rows if r[0] % 2 == 0])
+    unwritten = {(r.oid, r.fid): r.unwritten for r in I.unwritten_exhausted(serves, some, KEYS).collect()}
+    assert unwritten == {k: sum(n == 2 and not (k in sent and sent[k][x]) for x, n in enumerate(v)) for k, v in levels.items() if 2 in v}
     half = bytes_of([r for r in rows if r[0] % 2 == 0])
     inside = {r.id for r in I.contained(asked, some, KEYS).collect()}
     assert inside == {i for i, o, f, s, e in live if (o, f) in half and all(half[o, f][s : e + 1])}

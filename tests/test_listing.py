@@ -179,3 +179,49 @@ def test_generation_sink_replaces_itself(spark, tmp_path):
     files.write_generation(spark.range(5), path, 2)
     files.write_generation(spark.range(4), path, 1)
     assert {r.generation: r["count"] for r in spark.read.parquet(path).groupBy("generation").count().collect()} == {1: 4, 2: 5}
+
+
+def test_strict_json_lines(spark, tmp_path):
+    from tallyvane.sources.text import scan_jsonl
+
+    good = ['{"a":"[draft] note","b":"{x}"}', '{"a":1,"b":null}', "", '{"a":" [1]","c":true}']
+    (tmp_path / "good.jsonl").write_text("\n".join(good))
+    rows = scan_jsonl(spark, str(tmp_path / "good.jsonl"), strict=True).orderBy("pos").collect()
+    assert [r.fields for r in rows] == [{"a": "[draft] note", "b": "{x}"}, {"a": "1", "b": None}, {"a": " [1]", "c": "true"}]
+    for bad in ('{"a":[1]}', '{"a":{"b":1}}', '{"a":1,"a":2}', "[1]", "word", '{"a":"[x]","b":[]}'):
+        (tmp_path / "bad.jsonl").write_text(bad)
+        with pytest.raises(Exception, match="not a flat JSON object"):
+            scan_jsonl(spark, str(tmp_path / "bad.jsonl"), strict=True).collect()
+
+
+def test_chained_lines_follow_over_parts(spark):
+    import hashlib
+
+    from tallyvane.operators.ledger import chained, check_chain
+
+    rows = [(i, f"line {i}", f"p{(i * 7 // 10) % 9}") for i in range(30) if (i * 7 // 10) % 9 == i * 7 // 10]
+    log = spark.createDataFrame(rows, "seq long, line string, part string").repartition(5)
+    got = chained(log, "seq", "line", "part").orderBy("seq").collect()
+    digest = lambda line: hashlib.sha256(line.encode()).hexdigest()
+    assert [r.before for r in got] == [None, *(digest(line) for _, line, _ in rows[:-1])]
+    whole = spark.createDataFrame([(r.seq, r.line, r.part, r.before or "") for r in got], "seq long, line string, part string, prev string")
+    assert check_chain(whole, "seq", "line", "prev", "part").collect() == []
+
+
+def test_listings_over_the_cap_are_refused(spark, tmp_path):
+    from tallyvane.sources.files import list_files
+
+    for i in range(3):
+        (tmp_path / f"f{i}.txt").write_text("x")
+    assert list_files(spark, {"root": str(tmp_path)}, cap=3).count() == 3
+    with pytest.raises(Exception, match="more than 2 files"):
+        list_files(spark, {"root": str(tmp_path)}, cap=2).collect()
+
+
+def test_batches_of_any_keys(spark):
+    from tallyvane.operators.inventory import batches
+
+    keys = [f"/same/root/{i:05d}" for i in range(2345)]
+    df = spark.createDataFrame([(k,) for k in keys], "path string").repartition(7)
+    assert {r.path: r.batch for r in batches(df, "path", 100).collect()} == {k: i // 100 for i, k in enumerate(keys)}
+    assert batches(df.limit(0), "path").collect() == []
