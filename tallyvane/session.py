@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, and tables written to it."""
+"""Session helpers: the folder that driver and executors share, and new paths in it."""
 
 from __future__ import annotations
 
@@ -8,15 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; a local session without that setting gets a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local session without that setting gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
-            if not spark.sparkContext.master.startswith("local["):
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
