@@ -156,6 +156,9 @@ def contamination(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id",
 def clean_documents(docs: DataFrame, items: DataFrame, width=10, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs in which no window of an item occurs, unchanged; rows are known by id and SHA-256 of the text."""
     index = Index(docs, items, id_col, text_col)
-    bad = index.phrases(width).select("row").distinct().join(index.rows, "row").select(F.col("id").alias("__bad_id"), F.col("digest").alias("__bad_digest")).distinct()
+    found = index.phrases(width)
+    bad = found.select("row").distinct().join(index.rows, "row").select(F.col("id").alias("__bad_id"), F.col("digest").alias("__bad_digest"))
+    bad = written(bad.distinct(), "bad")
+    discard(index.table, index.items, index.counts, found)
     same = docs[id_col].eqNullSafe(bad["__bad_id"]) & (F.sha2(docs[text_col], 256) == bad["__bad_digest"])
     return docs.join(bad, same, "left_anti")

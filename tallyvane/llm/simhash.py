@@ -168,5 +168,6 @@ def one_per_group(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     fps = written(_with_digest(docs, id_col, text_col), "fingerprints")
     firsts = _components_of(fps).select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
     kept = written(firsts.distinct(), "kept")
+    discard(fps)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
     return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])

@@ -23,7 +23,6 @@ Other columns are ignored.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -32,7 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width
+from tallyvane.session import shared_path
+
+from .common import shuffle_width
 
 END_ID = 1
 BLOCK = 4096
@@ -163,7 +164,7 @@ def unpack_between(payload: bytes, starts: list[int], offsets: list[int], a: int
 def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_col="doc_id", text_col="text") -> str:
     """Writes the files of docs below path (a new folder of the shared one if None); returns the path."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, "tokens")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = source.withColumn("tie", F.xxhash64("text"))

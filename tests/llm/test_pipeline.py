@@ -75,3 +75,19 @@ def test_files_hold_the_tokens(stages):
 def test_run_returns_the_same(spark, stages):
     got = cp.run(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, 1), (1, "", "en", "s", 0, 2), (1, "", "en", "s", 0, 2), (2, "A fine sentence of words, it is.", "en", "s", 5, 3), (3, "A fine sentence of words, it is.", None, None, None, 4), (4, "word " * 30_000, "de", "s", 9, 5)]])
+def test_stages_on_odd_rows(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        seen[name] = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert seen["benchmark decontamination"] == seen["mixing to target weights"] == sorted((r[0] or 0, r[1] or "") for r in rows)
+    if rows:
+        assert [r[0] for r in seen["SimHash near-dedup"]] == [1, 2, 4]
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
