@@ -50,6 +50,13 @@ def shuffle_width(spark: SparkSession, n_bytes: int, per_task: int, most: int |
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, most or wanted), 1)
 
 
+def slices(batches, rows: int = 500):
+    """Record batches of at most so many rows: what a task makes of a batch is held for these alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hashed(tally: Counter, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers below 2**bits of the keys (bytes), and their summed counts."""
     mask = (1 << bits) - 1

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 WIDTH = 576
 PAD = 255
@@ -156,7 +156,7 @@ def sequences(pages: DataFrame, id_col="page_id", html_col="html") -> DataFrame:
     kind = pa.list_(pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "ref", "caption"))]))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 [{"pos": i, "kind": k, "text": t, "ref": r, "caption": c} for i, (k, t, r, c) in enumerate(items_of(html))]
                 for html in batch.column("html").to_pylist()
@@ -221,7 +221,7 @@ def stored(docs: DataFrame, text_col="text") -> DataFrame:
     source = docs.select(digest_of(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             media = [encode_png(padded(t)) for t in texts]
             columns = [batch.column("digest"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())]
@@ -237,7 +237,7 @@ def read_back(media: DataFrame) -> DataFrame:
     """One row per digest: n_bytes and MEASURES of the stored bytes, decoded."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column("media").to_pylist():
                 samples = decode_png(data)

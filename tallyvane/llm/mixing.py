@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, hashed_counts, written
+from .common import TO_LOWER, hashed_counts, slices, written
 from .linear import Rows, fit_softmax, sampled, smallest_hashes, softmax
 
 #: Labelled documents fitted on, at most (by smallest hash of the id).
@@ -68,7 +68,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col="doc_id", text_col="
     chosen = F.broadcast(known.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("domain").alias("domain")))
 
     def describe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [features(t.translate(TO_LOWER).split()) for t in batch.column("text").to_pylist()]
             columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
             yield pa.RecordBatch.from_arrays([batch.column("domain"), *(pa.array(c, pa.binary()) for c in columns)], ["domain", "index", "value"])
@@ -80,7 +80,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col="doc_id", text_col="
     weights, bias = fit_softmax(rows, target, 1 << BITS) if sample else (np.zeros((1 << BITS, 0)), np.zeros(0))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words = [t.translate(TO_LOWER).split() for t in batch.column("text").to_pylist()]
             found = Rows([features(w) for w in words])
             p = softmax(found.times(weights) + bias) if len(bias) else np.empty((len(words), 0))

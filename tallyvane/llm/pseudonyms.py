@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 LAST_DAY = datetime.date(2099, 12, 31).toordinal()
@@ -366,7 +368,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col="text", spans_col="spans
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(SPANS)
-        for batch in batches:
+        for batch in slices(batches):
             texts, spans = [], []
             for text in batch.column(at).to_pylist():
                 new, found = pseudonymise(text, key) if text is not None else (None, [])

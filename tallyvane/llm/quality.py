@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_counts
+from .common import hashed_counts, slices
 from .linear import Rows, fit_softmax, sampled, smallest_hashes, softmax
 
 #: Documents the scorer is fitted on, at most (by smallest hash of the id).
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text"):
     source = _texts(docs, id_col, text_col)
 
     def vote(batches):
-        for batch in batches:
+        for batch in slices(batches):
             cast = [bytes(v + 1 for v in votes(signals(t, t.split()))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(cast, pa.binary())], ["votes"])
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text"):
     bad = {bytes(p + 1): q for p, q in zip(patterns.astype(np.uint8), posterior, strict=True)}
 
     def describe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [features(t) for t in batch.column("text").to_pylist()]
             columns = [bytes(v + 1 for v in o[0]) for o in out], [o[1].astype("<i4").tobytes() for o in out], [o[2].astype("<f4").tobytes() for o in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["votes", "index", "value"])
@@ -161,7 +161,7 @@ def scored(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     weights, bias, _ = model
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             score = good_probability(batch.column("text").to_pylist(), weights, bias)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(score >= 0.5)], ["id", "score", "keep"])
 
@@ -177,7 +177,7 @@ def kept(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good_probability(texts, weights, bias) >= 0.5))
 

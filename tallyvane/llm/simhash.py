@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, discard, written
+from .common import TO_LOWER, discard, slices, written
 from .components import components
 
 SHINGLE = 3
@@ -145,7 +145,7 @@ def _with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(fps, pa.int64())], ["id", "digest", "fp"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, crc32_mod, hashed
+from .common import TO_LOWER, crc32_mod, hashed, slices
 from .linear import Adam, Rows, sampled, smallest_hashes
 
 #: Documents fitted on, at most (by smallest hash of the id).
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         return None
 
     def describe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [features(t) for t in batch.column("text").to_pylist()]
             columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["index", "value"])
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
         def count(batches):
             df, n = np.zeros(1 << BITS, np.int64), 0
-            for batch in batches:
+            for batch in slices(batches):
                 for text in batch.column("text").to_pylist():
                     df[features(text)[0]] += 1  # numbers are distinct within a text
                     n += 1
@@ -165,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     def run(batches):
         table = np.zeros(1 << BITS)
         table[chosen] = weights
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t) for t in batch.column("text").to_pylist()]
             g = np.array([bias + table[i] @ v for i, v in found])
             score = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
