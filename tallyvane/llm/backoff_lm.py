@@ -35,7 +35,7 @@ from .common import TO_LOWER, crc32_mod, shuffle_width
 
 MU = 500.0
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 #: Beyond so many tasks each takes several chunks or buckets, one after another.
 MOST_TASKS = 50_000
 #: Words never hold white space, so these two stand for no word.
