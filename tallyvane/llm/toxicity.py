@@ -21,10 +21,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, crc32_mod, hashed, slices
+from .common import TO_LOWER, crc32_mod, slices
 from .linear import Adam, Rows, sampled, smallest_hashes
 
 #: Documents fitted on, at most (by smallest hash of the id).
@@ -33,6 +34,9 @@ UNLABELLED = 8_000
 BITS = 20
 MIN_POSITIVES = 5  # distinct texts
 MIN_Z = 4.0
+CACHE_WORDS = 200_000
+#: Positive ids that are broadcast, at most (16 MB); more of them meet the documents in a shuffle.
+BROADCAST_IDS = 1_000_000
 BEGINNINGS = (5, 6, 7, 8)
 SEED = 1010
 
@@ -51,17 +55,29 @@ def beginnings(word: bytes):
             last = length
 
 
+class _Numbers(dict):
+    """Word to the feature numbers of itself and its beginnings; starts anew beyond CACHE_WORDS."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        bare = word.strip(b".,;:!?\"'()[]*#$%&|")
+        self[word] = found = tuple(xxhash.xxh3_64_intdigest(key) & ((1 << BITS) - 1) for key in (bare, *(b"^" + x for x in beginnings(bare))))
+        return found
+
+
+_NUMBERS = _Numbers()
+
+
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, values): hashed words and word beginnings, by the logarithm of their counts."""
-    tally = Counter(text.translate(TO_LOWER).split())
-    counts: Counter = Counter()
-    for word, n in tally.items():
-        bare = word.strip(b".,;:!?\"'()[]*#$%&|")
-        counts[bare] += n
-        for beginning in beginnings(bare):
-            counts[b"^" + beginning] += n
-    index, count = hashed(counts, BITS)
-    return index, np.log1p(count)
+    counts: dict[int, int] = {}
+    for word, n in Counter(text.translate(TO_LOWER).split()).items():
+        for number in _NUMBERS[word]:
+            counts[number] = counts.get(number, 0) + n
+    index = np.fromiter(counts.keys(), np.int64, len(counts))
+    order = np.argsort(index)
+    return index[order], np.log1p(np.fromiter(counts.values(), np.float64, len(counts))[order])
 
 
 def frequencies(docs: list[tuple]) -> tuple[np.ndarray, int]:
@@ -142,6 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         return [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
 
     toxic = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("key")).where("key is not null").distinct()
+    if toxic.count() <= BROADCAST_IDS:
+        toxic = F.broadcast(toxic)
     taught = source.where(crc32_mod("id", 5) != 0).where("id is not null")
     of_p = counted(taught.join(toxic, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["text"]))
     if not of_p[1]:
