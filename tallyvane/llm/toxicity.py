@@ -56,24 +56,46 @@ def beginnings(word: bytes):
 
 
 class _Numbers(dict):
-    """Word to the feature numbers of itself and its beginnings; starts anew beyond CACHE_WORDS."""
+    """Word to the feature numbers of itself and its beginnings (flags: those flagged); starts anew beyond CACHE_WORDS."""
+
+    def __init__(self, flags: np.ndarray | None = None):
+        self.flags = flags
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
         bare = word.strip(b".,;:!?\"'()[]*#$%&|")
-        self[word] = found = tuple(xxhash.xxh3_64_intdigest(key) & ((1 << BITS) - 1) for key in (bare, *(b"^" + x for x in beginnings(bare))))
+        found = (xxhash.xxh3_64_intdigest(key) & ((1 << BITS) - 1) for key in (bare, *(b"^" + x for x in beginnings(bare))))
+        self[word] = found = tuple(found if self.flags is None else (n for n in found if self.flags[n]))
         return found
 
 
 _NUMBERS = _Numbers()
+_HELD: dict[bytes, _Numbers] = {}
+
+
+def numbers_among(chosen: np.ndarray) -> _Numbers:
+    """The worker's cache for these features; workers are reused, so it outlives a task."""
+    key = xxhash.xxh3_128_digest(chosen.tobytes())
+    if key not in _HELD:
+        _HELD.clear()
+        flags = np.zeros(1 << BITS, bool)
+        flags[chosen] = True
+        _HELD[key] = _Numbers(flags)
+    return _HELD[key]
+
+
+def present(text: bytes, numbers: _Numbers = _NUMBERS) -> np.ndarray:
+    """The distinct feature numbers of a text, in any order."""
+    found = set().union(*map(numbers.__getitem__, set(text.translate(TO_LOWER).split())))
+    return np.fromiter(found, np.int64, len(found))
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, numbers: _Numbers = _NUMBERS) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, values): hashed words and word beginnings, by the logarithm of their counts."""
     counts: dict[int, int] = {}
     for word, n in Counter(text.translate(TO_LOWER).split()).items():
-        for number in _NUMBERS[word]:
+        for number in numbers[word]:
             counts[number] = counts.get(number, 0) + n
     index = np.fromiter(counts.keys(), np.int64, len(counts))
     order = np.argsort(index)
@@ -141,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
         def count(batches):
             df, n = np.zeros(1 << BITS, np.int64), 0
+            numbers = _NUMBERS if among is None else numbers_among(among)
             for batch in slices(batches):
                 for text in batch.column("text").to_pylist():
-                    df[features(text)[0]] += 1  # numbers are distinct within a text
+                    df[present(text, numbers)] += 1
                     n += 1
             at = np.flatnonzero(df) if among is None else among
             yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int64()), pa.array(np.append(n, df[at]), pa.int64())], ["feature", "n"])
@@ -183,8 +206,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     def run(batches):
         table = np.zeros(1 << BITS)
         table[chosen] = weights
+        numbers = numbers_among(chosen)  # others weigh nothing
         for batch in slices(batches):
-            found = [features(t) for t in batch.column("text").to_pylist()]
+            found = [features(t, numbers) for t in batch.column("text").to_pylist()]
             g = np.array([bias + table[i] @ v for i, v in found])
             score = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64())], ["id", "score"])

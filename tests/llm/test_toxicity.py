@@ -91,3 +91,14 @@ def test_features_and_scores_equal_plain_counting(spark):
     got = {r.doc_id: r.score for r in t.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(abs(got[i] - score(x)) < 1e-6 for i, x in rows)
     assert all((got[i] >= 0.5) == (i % 5 == 0) for i, _ in rows)
+
+
+def test_numbers_among_some_features_are_those_of_all():
+    text = "Horrid horrid, vilest été plain words".encode()
+    index, value = t.features(text)
+    assert sorted(t.present(text).tolist()) == index.tolist()
+    some = index[::2]
+    among = t.numbers_among(some)
+    near, of_near = t.features(text, among)
+    assert near.tolist() == some.tolist() and of_near.tolist() == value[::2].tolist()
+    assert sorted(t.present(text, among).tolist()) == some.tolist() and t.present(b"", among).size == 0
