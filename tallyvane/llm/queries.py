@@ -14,6 +14,7 @@ from .mixing import posteriors, rates
 from .pseudonyms import kind_counts, pseudonymised
 from .quality import scored
 from .simhash import near_duplicates
+from .token_counts import token_counts
 from .token_output import read_tokens, write_tokens
 from .toxicity import toxicity
 from .url_filter import url_verdicts
@@ -118,6 +119,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def piece_model() -> str:
+    """Place of the subword model; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+#: Production parameter: documents of more tokens are over the limit.
+TOKEN_LIMIT = 4096
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    found = token_counts(table(spark, sf_dir, "documents"), piece_model())
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -129,6 +147,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "op11_token_counts": op11_token_counts,
     "media_sequences": media_sequences,
 }
 
