@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .backoff_lm import lm_scores
 from .decontaminate import contamination
+from .lexical_search import lexical_search
 from .media import document_media, sequences
 from .mixing import posteriors, rates
 from .pseudonyms import kind_counts, pseudonymised
@@ -18,6 +19,7 @@ from .token_counts import token_counts
 from .token_output import read_tokens, write_tokens
 from .toxicity import toxicity
 from .url_filter import url_verdicts
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +138,21 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+#: Production parameter: documents returned for each benchmark item.
+BEST = 50
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of all for every benchmark item."""
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), BEST)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of all embeddings. A deviation beyond a long is null; deviation_exact has it."""
+    found = whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -148,12 +165,29 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
     "op11_token_counts": op11_token_counts,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
     "media_sequences": media_sequences,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op12_lexical_search": r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM d),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), v AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, docs),
+r AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN v USING (term), s GROUP BY 1, 2
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50
+""",
     "op4_backoff_lm": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
