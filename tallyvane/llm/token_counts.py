@@ -3,14 +3,16 @@
 A subword model that never merges across certain places of a text gives each part between
 two such places the same pieces wherever it occurs. Where they are is read from the model's
 own vocabulary: before a run of spaces (no piece has a space after another character), and
-on both sides of a character that is in no piece of several characters. So a document's
-tokens are the sum of its pre-tokens' pieces by their frequency, and no document is encoded.
+between characters of different groups (two characters are of one group if a chain of
+pieces holds them side by side; letters and marks are groups of their own in models that
+split by script). So a document's tokens are the sum of its pre-tokens' pieces by their
+frequency, and no document is encoded.
 
 Texts are read once, in chunks: a chunk is one row with its distinct pre-tokens and, per
-document, their numbers and frequencies. Only the chunks' vocabularies are shuffled, which
+document, their numbers (as gaps) and frequencies. Only the chunks' vocabularies are shuffled, which
 grow far slower than texts; a frequent pre-token has one row in a chunk, so no key holds
-more than a chunk's share of its vocabulary. Pieces are counted once per distinct pre-token
-of all chunks, and joined back to the chunks' lists.
+more than a chunk's share of its vocabulary. They meet in order, so the library sees each
+distinct pre-token once; the counts go back to the chunks, whose documents sum them.
 
 Defined cases: a null or empty text has no bytes and no tokens; it stays. Repeated rows and
 null ids stay as they are. A very long text is a chunk of its own. Special strings inside
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from .common import slices, written
 
 SPACE, APART = "▁", "\n"
 #: A chunk ends after so many bytes of text, or so many documents.
-CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 8192
+CHUNK_BYTES, CHUNK_DOCS = 16 << 20, 1 << 15
 
 
 @cache
@@ -53,9 +56,23 @@ def pre_tokens(model: str) -> re.Pattern:
         raise ValueError(f"{model} has pieces across the start of a word: texts cannot be cut there")
     if any(APART in p for p in pieces):
         raise ValueError(f"{model} has pieces with a line end, which is to keep pre-tokens apart from the space before a text")
-    merged = {c for p in pieces if len(p) > 1 for c in p} - {SPACE}
-    inner = "".join(f"\\U{ord(c):08x}" for c in sorted(merged))
-    return re.compile(f"[ {SPACE}]+[{inner}]*|[{inner}]+|." if inner else f"[ {SPACE}]+|.", re.DOTALL)
+    group = {c: c for p in pieces if len(p.strip(SPACE)) > 1 for c in p.strip(SPACE)}
+
+    def first(c):
+        while group[c] != c:
+            group[c] = group[group[c]]
+            c = group[c]
+        return c
+
+    for p in pieces:
+        for a, b in pairwise(p.strip(SPACE)):
+            group[first(a)] = first(b)
+    groups: dict[str, list[str]] = {}
+    for c in sorted(group):
+        groups.setdefault(first(c), []).append(f"\\U{ord(c):08x}")
+    runs = "|".join(f"[{''.join(held)}]+" for held in groups.values())
+    # Spaces go with what follows them; a character of no group is a run by itself.
+    return re.compile(f"[ {SPACE}]*(?:{runs}|.)" if runs else f"[ {SPACE}]*.", re.DOTALL)
 
 
 def pieces_of(words: list[str], model: str) -> list[int]:
@@ -64,34 +81,48 @@ def pieces_of(words: list[str], model: str) -> list[int]:
     return [len(ids) - len(before) for ids in found]
 
 
+def packed(parts: list) -> bytes:
+    """Whole numbers below 2**32 as compressed bytes: all lowest bytes, all second ones, and so on."""
+    planes = np.concatenate(parts).astype("<u4").view(np.uint8).reshape(-1, 4).T if parts else np.empty(0, np.uint8)
+    return len(planes.tobytes()).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    planes = pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _chunks(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, words, ids, n_bytes, sizes, at, times): documents as frequencies of their chunk's distinct pre-tokens."""
+    """(chunk, words, ids, n_bytes, sizes, numbers, times): documents as frequencies of their chunk's distinct pre-tokens, packed."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         find = pre_tokens(model).findall
         first, made = TaskContext.get().partitionId() << 32, 0
         words: dict[str, int] = {}
-        ids, n_bytes, sizes, at, times = [], [], [], [], []
+        ids, n_bytes, sizes, numbers, times = [], [], [], [], []
 
         def flush():
             nonlocal made
-            row = [first + made, list(words), pa.concat_arrays(ids), n_bytes[:], np.array(sizes, "<i4").tobytes(), b"".join(at), b"".join(times)]
+            held = pa.concat_arrays(ids)
+            row = [first + made, list(words), held.to_pylist(), n_bytes, packed(sizes), packed(numbers), packed(times)]
+            types = [pa.int64(), pa.list_(pa.string()), pa.list_(held.type), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            batch = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["chunk", "words", "ids", "n_bytes", "sizes", "numbers", "times"])
             made += 1
-            for held in (words, ids, n_bytes, sizes, at, times):
-                held.clear()
-            types = [pa.int64(), pa.list_(pa.string()), pa.list_(row[2].type), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            row[2] = row[2].to_pylist()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["chunk", "words", "ids", "n_bytes", "sizes", "at", "times"])
+            for part in (words, ids, n_bytes, sizes, numbers, times):
+                part.clear()
+            return batch
 
         for batch in slices(batches, 64):
             for text in batch.column("text"):
                 raw = text.as_py()
                 tally = Counter(find(" " + raw.decode(errors="replace"))) if raw else {}
                 n_bytes.append(len(raw))
-                sizes.append(len(tally))
-                at.append(np.fromiter((words.setdefault(w, len(words)) for w in tally), "<i4", len(tally)).tobytes())
-                times.append(np.fromiter(tally.values(), "<i4", len(tally)).tobytes())
+                sizes.append([len(tally)])
+                found = np.fromiter((words.setdefault(w, len(words)) for w in tally), np.int64, len(tally))
+                order = np.argsort(found)
+                numbers.append(np.diff(found[order], prepend=0))  # gaps are small numbers
+                times.append(np.fromiter(tally.values(), np.int64, len(tally))[order])
             ids.append(batch.column("id"))
             if sum(n_bytes) >= CHUNK_BYTES or len(n_bytes) >= CHUNK_DOCS:
                 yield flush()
@@ -99,7 +130,7 @@ def _chunks(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataFram
             yield flush()
 
     id_type = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"chunk long, words array<string>, ids array<{id_type}>, n_bytes array<long>, sizes binary, at binary, times binary")
+    return source.mapInArrow(run, f"chunk long, words array<string>, ids array<{id_type}>, n_bytes array<long>, sizes binary, numbers binary, times binary")
 
 
 def token_counts(docs: DataFrame, model: str, id_col="doc_id", text_col="text") -> DataFrame:
@@ -109,23 +140,29 @@ def token_counts(docs: DataFrame, model: str, id_col="doc_id", text_col="text")
     words = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
 
     def count(batches):
-        for batch in slices(batches, 4096):
-            n = pieces_of(batch.column("word").to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(n, pa.int64())], ["word", "n"])
-
-    counted = words.select("word").distinct().mapInArrow(count, "word string, n long")
-    of_chunk = words.join(counted, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
-    met = chunks.drop("words").join(of_chunk, "chunk", "left").select(
-        "ids", "n_bytes", "sizes", F.col("at").alias("numbers"), "times", F.col("counts.at").alias("at"), F.col("counts.n").alias("n")
-    )
+        last, n_last = None, 0
+        for batch in slices(batches, 8192):
+            coded = batch.column("word").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            known = [n_last] if distinct[0] == last else []
+            n = known + pieces_of(distinct[len(known) :], model)
+            last, n_last = distinct[-1], n[-1]
+            found = (np.array(batch.column("at"), np.int64) << 32) + np.array(n, np.int64)[np.array(coded.indices)]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(found)], ["chunk", "at_n"])
+
+    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(count, "chunk long, at_n long")
+    of_chunk = counted.groupBy("chunk").agg(F.collect_list("at_n").alias("at_n"))
+    met = chunks.drop("words").join(of_chunk, "chunk", "left")
 
     def add(batches):
         for batch in slices(batches, 1):
-            sizes, numbers, times = (np.frombuffer(batch.column(c)[0].as_py(), "<i4").astype(np.int64) for c in ("sizes", "numbers", "times"))
-            n = np.array(batch.column("n").flatten(), np.int64)
-            pieces = np.empty_like(n)
-            pieces[np.array(batch.column("at").flatten(), np.int64)] = n
+            sizes, gaps, times = (unpacked(batch.column(c)[0].as_py()) for c in ("sizes", "numbers", "times"))
+            found = np.array(batch.column("at_n").flatten(), np.int64)
+            pieces = np.empty_like(found)
+            pieces[found >> 32] = found & 0xFFFFFFFF
             ends = np.cumsum(sizes)
+            numbers = np.concatenate(([0], np.cumsum(gaps)))
+            numbers = numbers[1:] - np.repeat(numbers[ends - sizes], sizes)
             upto = np.concatenate(([0], np.cumsum(times * pieces[numbers])))
             columns = [batch.column("ids").flatten(), batch.column("n_bytes").flatten(), pa.array(upto[ends] - upto[ends - sizes], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens"])
