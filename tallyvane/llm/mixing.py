@@ -15,7 +15,8 @@ iteration is one aggregation of 2K sums over the (narrow) posterior table, and n
 stored between iterations. Residuals, K numbers each, are all that reaches the driver.
 
 Steps end when every domain is within MET of its target, or when they no longer move the
-domains' totals (targets that no rates can meet). If not all are met, a warning says how
+domains' totals (targets that no rates can meet at this budget and floor; the budget can be
+raised then). If not all are met, a warning says how
 far each domain is from its target.
 
 Defined cases: a null or empty text has no tokens and the posterior of the bias. Null
@@ -44,6 +45,8 @@ ROUNDS = 200
 #: Met: within this share of the target; of a target of zero, within TOLERANCE.
 MET = 1e-3
 TOLERANCE = 1e-5
+#: First share by which a budget is raised, and the last one.
+RAISE, MOST_RAISE = 0.01, 1.0
 SEED = 101
 
 
@@ -102,21 +105,21 @@ def replayed(p: np.ndarray, slopes: np.ndarray, momenta: list[float], floor: flo
     return before, w, y
 
 
-def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, floor=0.0) -> DataFrame:
-    """members (id, digest, n_tokens, posterior) with their rate.
+class Steps:
+    """What the steps of a fit left: enough to replay any document's rate, and how far the domains are from their targets."""
 
-    targets: weight per domain. budget: expected tokens in all (None: those of the table).
-    """
-    if missing := set(targets) - set(domains):
-        raise ValueError(f"no labelled rows for {sorted(missing)}")
-    k = len(domains)
-    target = np.array([targets.get(d, 0.0) for d in domains])
-    sums = [F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in range(k)]
-    total, *rest = members.agg(F.sum("n_tokens"), *sums).first() if k else (0,)
-    if not total or not target.sum():
-        return members.withColumn("rate", F.lit(max(1.0, floor)))
-    target, budget = target / target.sum(), float(budget or total)
-    share = np.array(rest) / budget
+    def __init__(self, slopes: np.ndarray, momenta: list[float], residual: np.ndarray, near: np.ndarray):
+        self.slopes, self.momenta, self.residual, self.near = slopes, momenta, residual, near
+
+    @property
+    def met(self) -> bool:
+        return bool((np.abs(self.residual) <= self.near).all())
+
+
+def fitted(members: DataFrame, expected: np.ndarray, target: np.ndarray, budget: float, floor: float) -> Steps:
+    """Steps towards target shares of a budget; expected: the domains' tokens at rate 1."""
+    k = len(target)
+    share = expected / budget
     scale = np.divide(1.0, share, out=np.zeros(k), where=share > 0)
     near = np.where(target > 0, MET * target, TOLERANCE)
 
@@ -129,22 +132,66 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], bud
         slopes, momenta, since = np.vstack((slopes, scale * residual)), [*momenta, since / (since + 3)], since + 1
 
         def add(batches, slopes=slopes, momenta=momenta):
-            expected, moved = np.zeros(k), np.zeros(k)
+            total, moved = np.zeros(k), np.zeros(k)
             for batch in batches:
                 p = np.array(batch.column("posterior").flatten()).reshape(-1, k)
                 n = np.array(batch.column("n_tokens"), float)
                 before, w, y = replayed(p, slopes, momenta, floor)
-                expected += (y * n) @ p
+                total += (y * n) @ p
                 moved += ((w - before) * n) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*expected, *moved)], [f"e{i}" for i in range(2 * k)])
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*total, *moved)], [f"e{i}" for i in range(2 * k)])
 
         parts = members.select("n_tokens", "posterior").mapInArrow(add, ", ".join(f"e{i} double" for i in range(2 * k)))
         found = np.array(parts.agg(*[F.sum(f"e{i}") for i in range(2 * k)]).first()) / budget
         residual = found[:k] - target
         if (np.abs(found[k:]) <= near / 100).all():
             break
-    if not (np.abs(residual) <= near).all():
-        warnings.warn(f"targets not met after {len(momenta)} rounds, shares less targets: {dict(zip(domains, residual.round(6).tolist(), strict=True))}", stacklevel=2)
+    return Steps(slopes, momenta, residual, near)
+
+
+def raised(members: DataFrame, expected: np.ndarray, target: np.ndarray, budget: float, floor: float) -> Steps:
+    """The fit of the least budget from `budget` on that meets the targets, to a fourth of the last doubling of its excess.
+
+    With a floor, a document that is raised for one domain adds to every other that it is
+    partly of, so the budget at which the largest domain just keeps its tokens may be too small.
+    """
+    excess, short = RAISE, 0.0
+    found = fitted(members, expected, target, budget, floor)
+    if found.met:
+        return found
+    while not (more := fitted(members, expected, target, budget * (1 + excess), floor)).met:
+        short, excess = excess, 2 * excess
+        if excess > MOST_RAISE:
+            return more
+    for _ in range(2):
+        middle = (short + excess) / 2
+        found = fitted(members, expected, target, budget * (1 + middle), floor)
+        if found.met:
+            more, excess = found, middle
+        else:
+            short = middle
+    return more
+
+
+def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, floor=0.0, raise_budget=False) -> DataFrame:
+    """members (id, digest, n_tokens, posterior) with their rate.
+
+    targets: weight per domain. budget: expected tokens in all (None: those of the table);
+    raise_budget: it may be raised until the targets can be met at the floor.
+    """
+    if missing := set(targets) - set(domains):
+        raise ValueError(f"no labelled rows for {sorted(missing)}")
+    k = len(domains)
+    target = np.array([targets.get(d, 0.0) for d in domains])
+    sums = [F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in range(k)]
+    total, *rest = members.agg(F.sum("n_tokens"), *sums).first() if k else (0,)
+    if not total or not target.sum():
+        return members.withColumn("rate", F.lit(max(1.0, floor)))
+    steps = (raised if raise_budget else fitted)(members, np.array(rest), target / target.sum(), float(budget or total), floor)
+    if not steps.met:
+        short = dict(zip(domains, steps.residual.round(6).tolist(), strict=True))
+        warnings.warn(f"targets not met after {len(steps.momenta)} rounds, shares less targets: {short}", stacklevel=2)
+    slopes, momenta = steps.slopes, steps.momenta
 
     def rate(batches):
         for batch in batches:
@@ -172,7 +219,8 @@ def mixed(docs: DataFrame, found: DataFrame, id_col="doc_id", text_col="text") -
     once = found.groupBy("id", "digest").agg(F.first("rate").alias("rate"))
     chance = F.pmod(F.xxhash64("id", "digest", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    counts = once.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), copies.alias("__copies"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
-    met = docs.join(counts, same).withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
-    return met.select(*[docs[c] for c in docs.columns])
+    counts = once.select("id", "digest", copies.alias("copies"))
+    same = docs[id_col].eqNullSafe(counts["id"]) & (F.xxhash64(docs[text_col]) == counts["digest"])
+    times = F.explode(F.array_repeat(F.lit(0), counts["copies"]))
+    # Columns are told apart by their frame, whatever their names.
+    return docs.join(counts, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), times).select("row.*")

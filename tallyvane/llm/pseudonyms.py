@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from .common import slices
 
 ROUNDS = 8
+#: Symbols that are permuted as one number: what a round's digest of 256 bits can shift.
+BLOCK = 64
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 LAST_DAY = datetime.date(2099, 12, 31).toordinal()
 DIGITS = "0123456789"
@@ -56,14 +58,31 @@ def permuted(key: bytes, kind: str, value: int, left: int, right: int) -> int:
 
 
 def permuted_symbols(key: bytes, kind: str, text: str, alphabet: str) -> str:
-    """text over an alphabet, permuted among the texts of its length (one symbol: rotated)."""
+    """text over an alphabet, permuted among the texts of its length (one symbol: rotated).
+
+    A text of more than BLOCK symbols goes by blocks, each keyed by the new one before it, in
+    one pass from either end, so that every symbol hangs on all others.
+    """
+    n = len(text)
+    if n <= BLOCK:
+        return permuted_block(key, f"{kind}{n}", text, alphabet)
+    for way in ("first", "second"):
+        out = [""]
+        for i in range(0, n, BLOCK):
+            out.append(permuted_block(key, f"{kind}{n}|{way}|{i}|{out[-1]}", text[i : i + BLOCK], alphabet))
+        text = "".join(out)[::-1]
+    return text
+
+
+def permuted_block(key: bytes, kind: str, text: str, alphabet: str) -> str:
+    """At most BLOCK symbols, as one number of the Feistel network."""
     radix, n = len(alphabet), len(text)
     if not n:
         return text
     value = 0
     for c in text:
         value = value * radix + alphabet.index(c)
-    value = permuted(key, f"{kind}{n}", value, radix ** (n - n // 2), radix ** (n // 2))
+    value = permuted(key, kind, value, radix ** (n - n // 2), radix ** (n // 2))
     out = []
     for _ in range(n):
         value, digit = divmod(value, radix)
@@ -320,7 +339,7 @@ KINDS = [
     ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?:(?=T[0-9]{2}:)|(?![\w/-]|\.[0-9]))"), date),
     ("worded date", WORDED, worded_date),
     ("phone", PHONE, phone),
-    ("provider secret", re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?:" + "|".join(PREFIXES[2:]) + r")[A-Za-z0-9_-]{16,200})"), provider_secret),
+    ("provider secret", re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?:" + "|".join(PREFIXES[2:]) + r")[A-Za-z0-9_-]{16,})"), provider_secret),
     ("secret", re.compile(NOT_SECRET + r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"), secret),
 ]
 EMAIL = ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w])"), email)

@@ -166,8 +166,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 def one_per_group(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs with one row of every component: smallest id, then smallest text digest."""
     fps = written(_with_digest(docs, id_col, text_col), "fingerprints")
-    firsts = _components_of(fps).select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
-    kept = written(firsts.distinct(), "kept")
+    kept = written(_components_of(fps).select("first.id", "first.digest").distinct(), "kept")
     discard(fps)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
+    # Columns are told apart by their frame, whatever their names.
+    same = docs[id_col].eqNullSafe(kept["id"]) & (F.xxhash64(docs[text_col]) == kept["digest"])
     return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])

@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 
@@ -133,3 +135,29 @@ def test_posteriors_equal_a_plain_fit(spark):
     z = np.exp(dense @ weights + bias)
     got = {r.id: r.posterior for r in found.collect()}
     assert domains == ["a", "b", "c"] and np.abs(np.array([got[i] for i in range(60)]) - z / z.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+@pytest.mark.parametrize("elsewhere", [0.0, 0.01, 0.05])
+def test_raised_budget_meets_targets_at_the_floor(spark, elsewhere):
+    """Soft posteriors: raising one domain adds to the others, so the budget has to grow."""
+    tokens = np.array([0.7, 0.2, 0.07, 0.03]) * 1e6
+    p = np.eye(4) * (1 - elsewhere - elsewhere / 3) + elsewhere / 3
+    expected = tokens @ p
+    target = expected**0.8 / (expected**0.8).sum()
+    budget = (expected / target).max()
+    df = spark.createDataFrame([(i, 0, int(tokens[i]), p[i].tolist()) for i in range(4)], SCHEMA)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rows = m.rates(df, list("abcd"), dict(zip("abcd", target.tolist(), strict=True)), budget, 1.0, raise_budget=True).collect()
+    w = np.array([r.rate for r in sorted(rows)])
+    got = (w * tokens) @ p
+    assert (w >= 1).all() and (np.abs(got / got.sum() - target) <= 2 * m.MET * target).all()
+    assert got.sum() <= budget * (1 + 4 * elsewhere + 1e-3)
+
+
+@pytest.mark.parametrize("name", ["__id", "__copies", "__digest", "id", "digest", "copies", "row", "rate", "col"])
+def test_clashing_names_stay(spark, name):
+    docs = spark.createDataFrame([(1, "the of", 7), (2, "der die", 8), (2, "der die", 9)], f"doc_id long, text string, `{name}` int")
+    labelled = spark.createDataFrame([(1, "en"), (2, "de")], "doc_id long, domain string")
+    out = m.mixed(docs, m.rates(*m.posteriors(docs, labelled), {"de": 0.4, "en": 0.6}, floor=1.0, budget=24.0))
+    assert out.columns == docs.columns and {r[2] for r in out.collect()} == {7, 8, 9}

@@ -91,3 +91,16 @@ def test_stages_on_odd_rows(spark, tmp_path, rows):
     if rows:
         assert [r[0] for r in seen["SimHash near-dedup"]] == [1, 2, 4]
     assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+@pytest.mark.parametrize("names", [["id", "digest", "copies", "row", "rate"], ["__id", "__digest", "__copies", "__bad_id", "__bad_digest"], ["fp", "first", "root", "key", "words"], ["term", "number", "pos", "at", "n_words"]])
+def test_stages_on_clashing_names(spark, tmp_path, names):
+    rows = [(i, t, "en", "s", 1, *range(5)) for i, t in enumerate(["A fine sentence of words, it is.", "A fine sentence of words, it is.", "Another one, with other words in it.", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(0, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this"), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[5:] == tuple(range(5)) for r in out.collect()), name
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)

@@ -182,3 +182,30 @@ def test_query_by_the_rule(spark):
         new = next(r.text for r in rows if r.doc_id == doc_id) or ""
         for found in re.findall(r"[\w.]+@mail\d+\.example\.com|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-f]{40}\b", text or ""):
             assert found not in new, found
+
+
+@pytest.mark.parametrize(("prefix", "alphabet"), [("ghp_", p.ALNUM), ("sk_live_", p.DIGITS), ("", p.HEX)])
+@pytest.mark.parametrize("size", [40, 64, 65, 128, 300, 1_000, 20_000])
+def test_no_part_of_a_long_secret_stays(prefix, alphabet, size):
+    r = random.Random(size)
+    rest = "".join(r.choices(alphabet, k=size))
+    new, spans = p.pseudonymise(f"key {prefix}{rest} end", KEY)
+    assert len(new) == len(prefix) + size + 8 and [s[:2] for s in spans] == [(4, len(new) - 4)]
+    kept = new[4 + len(prefix) : -4]
+    assert not any(kept[i : i + 12] == rest[i : i + 12] for i in range(size - 12))
+    # One other symbol at either end changes both ends, and equal secrets stay linked.
+    for at in (0, size - 1):
+        other = rest[:at] + alphabet[(alphabet.index(rest[at]) + 1) % len(alphabet)] + rest[at + 1 :]
+        changed = p.pseudonymise(f"key {prefix}{other} end", KEY)[0][4 + len(prefix) : -4]
+        assert changed != kept and (size <= p.BLOCK or (changed[:20] != kept[:20] and changed[-20:] != kept[-20:]))
+    assert p.pseudonymise(f"{prefix}{rest}", KEY)[0] == prefix + kept
+
+
+def test_blocks_are_permutations():
+    """All texts of three symbols in blocks of two have different pseudonyms."""
+    texts = [f"{i:03d}" for i in range(1000)]
+    block, p.BLOCK = p.BLOCK, 2
+    try:
+        assert sorted(p.permuted_symbols(KEY, "x", t, p.DIGITS) for t in texts) == texts
+    finally:
+        p.BLOCK = block

@@ -96,3 +96,9 @@ def test_any_id_column(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, None)], "id long, digest string")
     assert sorted(r.id for r in simhash.one_per_group(docs, "id", "digest").collect()) == [1, 3]
     assert sorted(r.component_id for r in simhash.near_duplicates(docs, "id", "digest").collect()) == [1, 1, 3]
+
+
+@pytest.mark.parametrize("name", ["__id", "__digest", "id", "fp", "first", "root", "key"])
+def test_clashing_names_of_groups(spark, name):
+    docs = spark.createDataFrame([(2, "a b c d", 7), (1, "a b c d", 8), (3, "something else altogether here", 9)], f"doc_id long, text string, `{name}` int")
+    assert sorted(map(tuple, simhash.one_per_group(docs).collect())) == [(1, "a b c d", 8), (3, "something else altogether here", 9)]
