@@ -43,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated towards the target weights of their languages.
 
-    The rates' floor is 1, so no document is lost; the budget is the least at which no
-    language has to shrink. Without labelled documents, or tokens, every document stays once.
+    The rates' floor is 1, so no document is lost; the budget starts where no language has
+    to shrink, and is raised until the targets are met. Without labelled documents, or tokens, every document stays once.
     """
     labelled = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
     found, domains = posteriors(docs, labelled)
@@ -52,7 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     targets = smoothed_targets(found, domains, SMOOTHING)
     total = sum(targets.values())
     budget = max((now[d] * total / targets[d] for d in domains if targets[d]), default=None)
-    return mixed(docs, rates(found, domains, targets, budget, floor=1.0))
+    return mixed(docs, rates(found, domains, targets, budget, floor=1.0, raise_budget=True))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
