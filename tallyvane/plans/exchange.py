@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyvane.operators import census
 from tallyvane.session import shared_path
 from tallyvane.sources import archives, files, logs, text
-from tallyvane.streaming import state
+from tallyvane.streaming import deadlines, state
 
 from . import views as V
 from .registry import query, table
@@ -186,21 +186,39 @@ def stream_late(spark, sf):
     return _drained(spark, state.stream_late(_admissions(spark, sf, "late-in")), "late").select("listing", "id")
 
 
-@query("SELECT event_id AS id FROM events WHERE event_id % 3 = 0")
+def _batched(spark, df, label: str, parts: int = 4):
+    """df as a stream of batches in order of its column at."""
+    path = shared_path(spark, label)
+    low, high = df.agg(F.min("at"), F.max("at")).first()
+    share = lambda i: low + (high - low) * i / parts
+    for i in range(parts if low is not None else 0):
+        df.where((F.col("at") >= share(i)) & ((F.col("at") < share(i + 1)) if i + 1 < parts else F.lit(True))).coalesce(1).write.mode("append").parquet(path)
+    if low is None:
+        df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("""WITH r AS (SELECT event_id AS id, epoch_ms(ts) AS t, epoch_ms(ts) + (event_id % 5 + 1) * 86400000 AS deadline, CASE WHEN event_id % 3 = 0 THEN epoch_ms(ts) + 3 * 86400000 END AS closed FROM events),
+w AS (SELECT max(greatest(t, closed)) - 3600000 AS w FROM r)
+SELECT id, CASE WHEN closed < deadline THEN 'closed' ELSE 'expired' END AS outcome FROM r, w WHERE closed IS NOT NULL OR deadline < w""")
 def stream_expiry(spark, sf):
-    """Open requests past their deadline."""
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 3 == 0).alias("open"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("td"))
-    return _drained(spark, state.stream_expiry(_streamed(spark, e, "expiry-in")).select("id"), "expiry")
+    """Requests that are closed, or expire in a batch after their own; those still open at the end are not reported."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    days = lambda n: F.make_dt_interval(n)
+    opened = e.select("id", F.lit(deadlines.OPEN).alias("kind"), "at", (F.col("at") + days((F.col("id") % 5 + 1).cast("int"))).alias("deadline"))
+    closed = e.where("id % 3 = 0").select("id", F.lit(deadlines.CLOSE), F.col("at") + days(F.lit(3)), F.lit(None).cast("timestamp"))
+    return _drained(spark, deadlines.stream_expiry(_batched(spark, opened.union(closed), "expiry-in"), "1 hour"), "expiry").select("id", "outcome")
 
 
-@query("SELECT event_id AS seq, event_id % 4 <> 0 AS delivered FROM events")
+@query("""WITH r AS (SELECT event_id AS seq, epoch_ms(ts) AS t, CASE WHEN event_id % 4 <> 0 THEN epoch_ms(ts) + event_id % 5 * 172800000 END AS audited FROM events),
+w AS (SELECT least(max(t), max(audited)) - 86400000 AS w FROM r)
+SELECT seq, coalesce(audited < t + 604800000, false) AS delivered, CASE WHEN audited < t + 604800000 THEN seq END AS audit_seq FROM r, w WHERE audited IS NOT NULL OR t + 604800000 < w""")
 def stream_outbox(spark, sf):
-    """Outbox rows with their delivered marks."""
-    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"))
-    audited = e.where("seq % 4 <> 0").select("seq", F.col("seq").alias("audit_seq"))
-    path = shared_path(spark, "outbox")
-    state.stream_outbox(_streamed(spark, e, "outbox-in"), audited, path, shared_path(spark, "outbox-check")).awaitTermination()
-    return spark.read.parquet(path).select("seq", "delivered")
+    """Outbox rows delivered by audits of later batches, or never within a week."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    audits = e.where("seq % 4 <> 0").select("seq", F.col("seq").alias("audit_seq"), (F.col("at") + F.make_dt_interval((F.col("seq") % 5 * 2).cast("int"))).alias("at"))
+    settled = deadlines.stream_outbox(_batched(spark, e, "outbox-in"), _batched(spark, audits, "audits-in"), "7 days", "1 day")
+    return _drained(spark, settled, "outbox").select("seq", "delivered", "audit_seq")
 
 
 @query("SELECT sha256('f' || doc_id) AS file_id, strlen(coalesce(text, ''))::BIGINT AS size, true AS present FROM documents")

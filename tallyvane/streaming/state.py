@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the ledger: inventory, dedupe, transfers, admission, expiry, outbox."""
+"""Structured Streaming forms of the ledger: inventory, dedupe, transfers, admission."""
 
 from __future__ import annotations
 
@@ -135,21 +135,6 @@ def stream_late(df: DataFrame, quota: int = QUOTA, skew: int = SKEW) -> DataFram
     return stream_admission(df, quota, skew).where("verdict = 'late'")
 
 
-def stream_expiry(df: DataFrame, deadline: str = "td") -> DataFrame:
-    """Open requests past their deadline (seconds) when the batch runs."""
-    return df.where(F.col("open") & (F.col(deadline) <= F.unix_timestamp()))
-
-
-def stream_outbox(outbox: DataFrame, audited: DataFrame, path: str, checkpoint: str):
-    """Writes each batch of outbox rows with its delivered mark, once per batch id; audited is a static table."""
-    from tallyvane.operators.ledger import mark_delivered
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        mark_delivered(batch, audited, 1 << 62).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return outbox.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def stream_inventory(files: DataFrame, path: str, checkpoint: str, complete: bool = False):
     """Continuous inventory: each batch of listed files (file_id, size, mtime, sha256) is folded into generation batch_id at path.
 
