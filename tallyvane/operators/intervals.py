@@ -1,16 +1,19 @@
 """Byte intervals with inclusive ends, per key columns, as window jobs.
 
 Lists of disjoint ranges (serves of one count, islands) meet others by one pass over the
-merged order of their ends, so neither a hot key nor a long range makes pairs. `overlapping`
+merged order of their ends, so a long range makes no pairs; the rows of a hot key go in
+segments of many tasks (`scans`). `overlapping`
 gives the pairs themselves for any two tables: an interval is listed under every cell of
 `cell` bytes it touches, and a pair counts in its first common cell only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import hot_keys, scan
+
 CELL = 1 << 20
 
 
@@ -26,21 +29,22 @@ def serve_counts(ranges: DataFrame, keys: list[str], delta: str | None = None) -
     step = F.col(delta) if delta else F.lit(1)
     points = F.array(F.struct(F.col("start").alias("pos"), step.cast("bigint").alias("d")), F.struct((F.col("end") + 1).alias("pos"), (-step).cast("bigint").alias("d")))
     # Equal points are summed before the shuffle.
-    steps = ranges.where("start <= end").select(*keys, F.inline(points)).groupBy(*keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
-    along = Window.partitionBy(*keys).orderBy("pos")
-    level = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    given = ranges.where("start <= end")
+    steps = given.select(*keys, F.inline(points)).groupBy(*keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    found = scan(steps, keys, ["pos"], hot_keys(given, keys, times=2), level=("sum", F.col("d")), after=("next", F.col("pos")))
     # Points of no change are gone, so neighbours differ and nothing is left to merge.
-    runs = steps.select(*keys, F.col("pos").alias("start"), (F.lead("pos").over(along) - 1).alias("end"), level.alias("count"))
+    runs = found.select(*keys, F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), F.col("level").alias("count"))
     return runs.where("count > 0 and end is not null")
 
 
 def coverage_islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, end): union of the ranges; adjacent ones join."""
-    along = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    begun = F.sum((F.col("fresh")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = ranges.where("start <= end").groupBy(*keys, "start").agg(F.max("end").alias("end")).withColumn("fresh", reach.isNull() | (F.col("start") > reach + 1))
-    return marked.withColumn("island", begun).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    given = ranges.where("start <= end")
+    hot = hot_keys(given, keys)
+    reached = scan(given.groupBy(*keys, "start").agg(F.max("end").alias("end")), keys, ["start"], hot, reach=("max_before", F.col("end")))
+    fresh = F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1)
+    found = scan(reached, keys, ["start"], hot, island=("max", F.when(fresh, F.col("start"))))
+    return found.groupBy(*keys, "island").agg(F.max("end").alias("end")).select(*keys, F.col("island").alias("start"), "end")
 
 
 def resume_offset(islands: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,8 +74,8 @@ def contained(ranges: DataFrame, islands: DataFrame, keys: list[str]) -> DataFra
     marks = islands.select(*keys, F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("end").alias("reach")).alias("island"))
     asked = ranges.select("*", F.col("start").alias("at"), F.lit(1).alias("kind"))
     both = asked.unionByName(marks, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = both.withColumn("reach", F.last("island", ignorenulls=True).over(before)["reach"])
+    # Islands come in order, so the last one's end is the largest so far.
+    held = scan(both, keys, ["at", "kind"], hot_keys(both, keys), reach=("max", F.col("island")["reach"]))
     return held.where((F.col("kind") == 1) & (F.col("reach") >= F.col("end"))).select(*ranges.columns)
 
 
@@ -85,9 +89,7 @@ def first_exhausted(requests: DataFrame, serves: DataFrame, keys: list[str], lim
     marks = full.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").alias("_reach"))
     asked = requests.select("*", F.col("start").alias("_at"), F.lit(1).alias("_kind"))
     both = asked.unionByName(marks, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_held", F.last("_reach", ignorenulls=True).over(before)).withColumn("_next", F.min(F.when(F.col("_kind") == 0, F.col("_at"))).over(after))
+    found = scan(both, keys, ["_at", "_kind"], hot_keys(both, keys), _held=("max", F.col("_reach")), _next=("min_from", F.when(F.col("_kind") == 0, F.col("_at"))))
     exhausted = F.when(F.col("_held") >= F.col("start"), F.col("start")).when(F.col("_next") <= F.col("end"), F.col("_next"))
     return found.where("_kind = 1").select(*requests.columns, F.when(F.col("start") <= F.col("end"), exhausted).alias("exhausted"))
 
@@ -111,9 +113,8 @@ def unwritten_exhausted(serves: DataFrame, islands: DataFrame, keys: list[str],
         return df.select(*keys, F.inline(F.array(step(F.col("start").cast("bigint"), 1), step((F.col("end") + 1).cast("bigint"), -1))))
 
     points = steps(full, "served", "written").unionByName(steps(islands, "written", "served")).groupBy(*keys, "pos").agg(F.sum("served").alias("served"), F.sum("written").alias("written"), F.max(F.col("served") != 0).alias("asked"))
-    along = Window.partitionBy(*keys).orderBy("pos")
-    upto = lambda c: F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    levels = points.select(*keys, "asked", (F.lead("pos").over(along) - F.col("pos")).alias("size"), upto("served").alias("served"), upto("written").alias("written"))
+    levels = scan(points, keys, ["pos"], hot_keys(points, keys), after=("next", F.col("pos")), in_serves=("sum", F.col("served")), in_islands=("sum", F.col("written")))
+    levels = levels.select(*keys, "asked", (F.col("after") - F.col("pos")).alias("size"), F.col("in_serves").alias("served"), F.col("in_islands").alias("written"))
     missing = F.sum(F.when((F.col("served") > 0) & (F.col("written") == 0), F.col("size")).otherwise(0))
     return levels.groupBy(*keys).agg(missing.alias("unwritten"), F.bool_or("asked").alias("asked")).where("asked").drop("asked")
 

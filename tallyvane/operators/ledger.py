@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals as I
+from .scans import hot_keys, scan
 
 QUOTA = 10
 SKEW = 300
@@ -28,9 +29,16 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def admit_quota(df: DataFrame, keys: list[str], order: list[str], limit: int = QUOTA) -> DataFrame:
-    """df with `admitted`: the first `limit` rows per key in order."""
+    """df with `admitted`: the first `limit` rows per key in order, which tells all rows of a key apart.
+
+    Only the least `limit` orders of a key are ranked, in every task and then per key; all
+    other rows are compared with the last of them.
+    """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("admitted", rank <= limit)
+    first = df.select(*keys, *order).withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    last = first.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct(*order)).alias("_last"))
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(last[f"_{k}"]) for k in keys])
+    return df.join(last, same).select(*[df[c] for c in df.columns], (F.struct(*[df[c] for c in order]) <= last["_last"]).alias("admitted"))
 
 
 def daily_counts(df: DataFrame, key: str, ts: str, limit: int = QUOTA) -> DataFrame:
@@ -38,23 +46,10 @@ def daily_counts(df: DataFrame, key: str, ts: str, limit: int = QUOTA) -> DataFr
     return df.groupBy(key, F.to_date(ts).alias("day")).agg(F.least(F.count("*"), F.lit(limit)).alias("accepted"))
 
 
-def clock_high_water(df: DataFrame, key: str, order: str, seconds: str, skew: int = SKEW, buckets: int = 64) -> DataFrame:
-    """df with `high` (largest second before the row, in order) and `late` (over `skew` behind it).
-
-    A running maximum in two steps: within (key, range of order), then over the ranges'
-    maxima, so that a single key is still many tasks.
-    """
-    ends = df.agg(F.min(order), F.max(order)).first()
-    if ends[0] is None:
-        return df.withColumn("high", F.lit(None).cast("bigint")).withColumn("late", F.lit(False))
-    width = max(1, -(-(ends[1] - ends[0] + 1) // buckets))
-    cut = df.withColumn("_bucket", F.floor((F.col(order) - F.lit(ends[0])) / width))
-    tops = cut.groupBy(key, "_bucket").agg(F.max(seconds).alias("top"))
-    carried = F.max("top").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    local = F.max(seconds).over(Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    joined = cut.withColumn("_local", local).join(tops.select(key, "_bucket", carried.alias("_carried")), [key, "_bucket"])
-    high = F.greatest("_local", "_carried")
-    return joined.withColumn("high", high).withColumn("late", F.coalesce(F.col(seconds) < high - skew, F.lit(False))).select(*df.columns, "high", "late")
+def clock_high_water(df: DataFrame, key: str, order: str, seconds: str, skew: int = SKEW) -> DataFrame:
+    """df with `high` (largest second before the row, in order) and `late` (over `skew` behind it)."""
+    found = scan(df, [key], [order], hot_keys(df, [key]), high=("max_before", F.col(seconds)))
+    return found.withColumn("late", F.coalesce(F.col(seconds) < F.col("high") - skew, F.lit(False)))
 
 
 def requests_with_permission(requests: DataFrame, permissions: DataFrame) -> DataFrame:
