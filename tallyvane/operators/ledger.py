@@ -13,6 +13,8 @@ from .scans import hot_keys, scan
 QUOTA = 10
 SKEW = 300
 CONSENT = 86_400
+#: Fixed value: the fields of a local event.
+FIELDS = 8
 
 
 def latest_state(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -187,6 +189,42 @@ def check_chain(log: DataFrame, seq: str, line: str, prev: str, part: str) -> Da
     return joined.where(seq_bad | prev_bad).select(F.col(part), F.col(seq), seq_bad.alias("seq_broken"), prev_bad.alias("hash_broken"))
 
 
+def canonical_json(line: Column) -> Column:
+    """The canonical text of a JSON line: sorted keys, no white space, signs of markup and line separators escaped; null if it is no JSON."""
+    text = F.to_json(F.try_parse_json(line))
+    for sign, code in {"<": "003c", ">": "003e", "&": "0026", "\u2028": "2028", "\u2029": "2029"}.items():
+        text = F.replace(text, F.lit(sign), F.lit(f"\\u{code}"))
+    for code in (c for c in range(32) if f"{c:02x}" != f"{c:02X}"):  # control signs by small letters
+        text = F.replace(text, F.lit(f"\\u00{code:02X}"), F.lit(f"\\u00{code:02x}"))
+    return text
+
+
+def check_event_chain(log: DataFrame, line: str, pos: str, part: str, fields: int = FIELDS) -> DataFrame:
+    """Rows of a local event log that break its rules: (part, pos, not_canonical, fields_wrong, id_broken, hash_broken).
+
+    A line is canonical JSON with exactly `fields` fields; event_id is a whole number above
+    that of the line before (not one more), prev_hash the digest of the raw line before, empty
+    for the first. Lines stand by pos; parts (files) follow one another, and only their last
+    lines meet. A line whose predecessor has no id is not out of order.
+    """
+    told = F.try_parse_json(F.col(line))
+    number = F.schema_of_variant(F.try_variant_get(told, "$.event_id", "variant")) == "BIGINT"
+    prev = F.when(F.schema_of_variant(F.try_variant_get(told, "$.prev_hash", "variant")) == "STRING", F.try_variant_get(told, "$.prev_hash", "string"))
+    read = log.select(
+        part, pos, F.coalesce(canonical_json(F.col(line)) == F.col(line), F.lit(False)).alias("canonical"), F.size(F.json_object_keys(line)).alias("n"),
+        F.when(number, F.try_variant_get(told, "$.event_id", "bigint")).alias("event_id"), prev.alias("prev"), F.sha2(F.col(line), 256).alias("digest"),
+    )
+    own = F.struct("event_id", "digest")
+    within = read.withColumn("within", F.lag(own).over(Window.partitionBy(part).orderBy(pos)))
+    last = read.groupBy(F.col(part).alias("_part")).agg(F.min(pos).alias("_first"), F.max_by(own, F.col(pos)).alias("_last"))
+    ends = last.select("_part", F.lag("_last").over(Window.orderBy("_first")).alias("_carried"))  # one row per part
+    joined = within.join(ends, within[part].eqNullSafe(ends["_part"])).withColumn("before", F.coalesce("within", "_carried"))
+    id_broken = F.col("event_id").isNull() | F.coalesce(F.col("event_id") <= F.col("before.event_id"), F.lit(False))
+    hash_broken = ~F.coalesce("prev", F.lit("")).eqNullSafe(F.coalesce("before.digest", F.lit("")))
+    flags = joined.select(part, pos, (~F.col("canonical")).alias("not_canonical"), (~F.col("n").eqNullSafe(F.lit(fields))).alias("fields_wrong"), id_broken.alias("id_broken"), hash_broken.alias("hash_broken"))
+    return flags.where("not_canonical or fields_wrong or id_broken or hash_broken")
+
+
 def check_order(manifest: DataFrame, keys: list[str], identity: str) -> DataFrame:
     """Identities that do not come strictly after the one before them, by position, per key; (keys, pos, identity)."""
     w = Window.partitionBy(*keys).orderBy("pos")

@@ -220,10 +220,44 @@ def _log(spark, sf):
 
 @query(f"""SELECT part, seq, seq_broken, hash_broken FROM (SELECT part, seq, coalesce(seq <> lag(seq) OVER w + 1, false) AS seq_broken, coalesce(prev <> lag(sha256(line)) OVER w, false) AS hash_broken FROM {_LOG} WINDOW w AS (ORDER BY seq)) WHERE seq_broken OR hash_broken""")
 def chain_breaks(spark, sf):
-    """Breaks of a hash chain."""
+    """Breaks of a hash chain."""
     return ledger.check_chain(_log(spark, sf), "seq", "line", "prev", "part")
 
 
+_EVENT = """(SELECT event_id, event_id // 500 AS part, concat(CASE WHEN event_id % 211 = 5 THEN '{ ' ELSE '{' END, CASE WHEN event_id % 307 = 9 THEN '"a":"' || event_type || '",' ELSE '' END, '"event_id":',
+ CASE event_id % 401 WHEN 3 THEN event_id - 2 WHEN 7 THEN event_id + 5 ELSE event_id END, CASE WHEN event_id % 503 = 11 THEN '.5' ELSE '' END, ',"note":"', CASE WHEN event_id % 9 = 0 THEN '<b>' WHEN event_id % 3 = 0 THEN '\\u003cb\\u003e' ELSE 'é' END, '","prev_hash":"') AS head,
+ concat('","refusal_code":"","result":"ok","sig":"', event_id, '","spec":"s', CASE WHEN event_id % 601 = 4 THEN '"}' ELSE '","time":"t"}' END) AS tail, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS n FROM events)"""
+
+
+def _events(spark, sf):
+    """Local event logs of five hundred lines, each with the digest of the one before, and every kind of break."""
+    i = F.col("event_id")
+    if_ = lambda condition, yes, no="": F.when(condition, yes).otherwise(no)
+    note = F.when(i % 9 == 0, "<b>").when(i % 3 == 0, "\\u003cb\\u003e").otherwise("é")
+    number = F.when(i % 401 == 3, i - 2).when(i % 401 == 7, i + 5).otherwise(i).cast("string")
+    head = F.concat(if_(i % 211 == 5, "{ ", "{"), if_(i % 307 == 9, F.concat(F.lit('"a":"'), "event_type", F.lit('",'))), F.lit('"event_id":'), number, if_(i % 503 == 11, ".5"), F.lit(',"note":"'), note, F.lit('","prev_hash":"'))
+    tail = F.concat(F.lit('","refusal_code":"","result":"ok","sig":"'), i.cast("string"), F.lit('","spec":"s'), if_(i % 601 == 4, '"}', '","time":"t"}'))
+    bare = table(spark, sf, "events").select(F.floor(i / 500).alias("part"), F.struct("event_id", head.alias("head"), tail.alias("tail")).alias("e"))
+
+    def append(made, e):
+        line = F.concat(e["head"], F.when(e["event_id"] % 701 == 6, "x").otherwise(made["before"]), e["tail"])
+        return F.struct(F.sha2(line, 256).alias("before"), F.concat(made["lines"], F.array(F.struct(e["event_id"].alias("pos"), line.alias("line")))).alias("lines"))
+
+    none = F.struct(F.lit("").alias("before"), F.array().cast("array<struct<pos:bigint,line:string>>").alias("lines"))
+    return bare.groupBy("part").agg(F.array_sort(F.collect_list("e")).alias("all")).select("part", F.inline(F.aggregate("all", none, append)["lines"]))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_EVENT}), l AS (SELECT part, n, event_id AS pos, head || CASE WHEN event_id % 701 = 6 THEN 'x' ELSE '' END || tail AS line FROM e WHERE n = 1
+ UNION ALL SELECT e.part, e.n, e.event_id, e.head || CASE WHEN e.event_id % 701 = 6 THEN 'x' ELSE sha256(l.line) END || e.tail FROM l JOIN e ON e.part = l.part AND e.n = l.n + 1),
+k AS (SELECT part, pos, line, json_extract_string(line, '$.event_id') AS raw FROM l), w AS (SELECT *, lag(raw) OVER o AS raw_before, lag(sha256(line)) OVER o AS digest FROM k WINDOW o AS (ORDER BY pos)),
+f AS (SELECT part, pos, starts_with(line, '{{ ') OR contains(line, '<b>') AS not_canonical, len(json_keys(line)) <> 8 AS fields_wrong, json_extract_string(line, '$.prev_hash') <> coalesce(digest, '') AS hash_broken,
+ contains(raw, '.') OR coalesce(NOT contains(raw_before, '.') AND TRY_CAST(raw AS BIGINT) <= TRY_CAST(raw_before AS BIGINT), false) AS id_broken FROM w)
+SELECT * FROM f WHERE not_canonical OR fields_wrong OR id_broken OR hash_broken""")
+def event_chain_breaks(spark, sf):
+    """Lines of local event logs that break their rules; every log but the first begins with a broken hash."""
+    return ledger.check_event_chain(_events(spark, sf), "line", "pos", "part")
+
+
 @query(f"""WITH l AS (SELECT * FROM {_LOG}), a AS (SELECT part, max(seq) - 100 AS s FROM l GROUP BY 1), k AS (SELECT a.part, a.s, l.line IS NOT NULL AND a.part <> '3' AS agrees FROM a LEFT JOIN l ON l.part = a.part AND l.seq = a.s)
 SELECT l.part, l.seq, 'replay' AS action FROM l JOIN k USING (part) WHERE agrees AND l.seq > k.s UNION ALL SELECT part, s, 'divergence' FROM k WHERE NOT agrees""")
 def replay_sets(spark, sf):

@@ -80,18 +80,24 @@ def _tar_rows(member: str, content: bytes):
                 yield [*row, "unread", "budget_exhausted", None]
                 return
             left -= info.size
-            yield [*row, "read", None, archive.extractfile(info).read(PREFIX)]
+            content = archive.extractfile(info).read()  # whole, at most ALLOWANCE: what is cut short is not read
+            if len(content) < info.size:
+                raise EOFError(info.name)
+            yield [*row, "read", None, content[:PREFIX]]
 
 
 def entries_of(member: str, content: bytes) -> list[list]:
-    """Rows of one archive; one that cannot be opened gives a row with a reason."""
+    """Rows of one archive, and one with a reason if it cannot be opened or read to its end; entries before that stay."""
     kind = archive_kind(content)
     if not kind:
         return [[member, None, None, -1, 0, 0, "unread", "no_archive", None]]
+    rows = []
     try:
-        return list((_zip_rows if kind == "zip" else _tar_rows)(member, content)) or [[member, kind, None, -1, 0, 0, "read", None, None]]
+        for row in (_zip_rows if kind == "zip" else _tar_rows)(member, content):
+            rows.append(row)
     except (zipfile.BadZipFile, tarfile.TarError, gzip.BadGzipFile, EOFError, zlib.error):
-        return [[member, kind, None, -1, 0, 0, "unread", "corrupt", None]]
+        return [*rows, [member, kind, None, -1, 0, 0, "unread", "corrupt", None]]
+    return rows or [[member, kind, None, -1, 0, 0, "read", None, None]]
 
 
 def expand_archives(files: DataFrame) -> DataFrame:

@@ -2,26 +2,79 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyvane.operators.scans import hot_keys, scan
+
+from .files import OPENED, opened
+
 BOM = "﻿"
+#: A file of more lines is numbered in segments of about so many.
+LINES = 1 << 17
+#: Fixed value: the bytes that a record may have.
+RECORD = 16 << 20
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str = ",", strict: bool = False) -> DataFrame:
-    """Text columns of a delimited file with a header; quoted fields may span lines.
+def records(spark: SparkSession, path: str, lines: int | None = None) -> DataFrame:
+    """(file, number, record) of delimited files, cut where a line end stands outside quotes; number is that of the first line.
+
+    Files are read as physical lines in byte ranges. A line begins a record if the quotes
+    before it in its file are even in number, which a running sum over the ranges tells
+    (quotes within quotes are doubled, so parity holds). A carriage return before a line end
+    belongs to it, within quotes too. Only lines of one record meet, and
+    a record of more than RECORD bytes is refused before they do.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    numbered = text.select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("at"), "value"
+    )
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    size = (F.octet_length("value") + 1).cast("bigint")
+    hot = hot_keys(numbered, ["file"], lines or LINES)
+    upto = scan(numbered.select("*", quotes.alias("quotes"), size.alias("size")), ["file"], ["at"], hot, lines or LINES, n=("sum", F.lit(1).cast("bigint")), open=("sum", F.col("quotes")), end=("sum", F.col("size")))
+    begins = (F.col("open") - F.col("quotes")) % 2 == 0
+    found = scan(upto, ["file"], ["at"], hot, lines or LINES, number=("max", F.when(begins, F.col("n"))), begin=("max", F.when(begins, F.col("end") - F.col("size"))))
+    line = F.when(F.endswith("value", F.lit("\r")), F.substring("value", F.lit(1), F.char_length("value") - 1)).otherwise(F.col("value"))
+    whole = F.when(F.col("end") - F.col("begin") <= RECORD, line).otherwise(F.raise_error(F.lit(f"a record of more than {RECORD} bytes")))
+    met = found.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("n", whole.alias("value")))).alias("lines"))
+    return met.select("file", "number", F.array_join("lines.value", "\n").alias("record"))
+
+
+def _marked(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins with a byte-order mark, by three bytes of one file; stores that only Spark opens count as without."""
+    some = spark.read.text(path).select("_metadata.file_path").head(1)
+    name = unquote(some[0][0]) if some else ""
+    if name.split(":", 1)[0] not in OPENED:
+        return False
+    with opened(name) as file:
+        return file.read(3) == BOM.encode()
+
+
+def scan_delimited(spark: SparkSession, path: str, sep: str = ",", strict: bool = False, whole: bool = False) -> DataFrame:
+    """Text columns of delimited files with a header; quoted fields may span lines.
 
     Tolerant: short rows are padded with nulls, empty fields are null, a byte-order mark
     stays in the first name. Strict: the mark is taken off, empty fields stay empty, and a
-    row of another width raises.
+    row of another width raises. Files are read in parts (see `records`); whole: one task
+    reads a file from end to end.
     """
     options = {"header": "true", "sep": sep, "multiLine": "true", "quote": '"', "escape": '"', "inferSchema": "false", "mode": "FAILFAST" if strict else "PERMISSIVE"}
-    df = spark.read.options(**options).option("nullValue", "" if not strict else "\x00").option("emptyValue", "").csv(path)
+    options |= {"nullValue": "" if not strict else "\x00", "emptyValue": ""}
+    df = spark.read.options(**options).csv(path)
+    if not strict and df.columns and _marked(spark, path):  # Spark's readers leave the mark out
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0].removeprefix(BOM))
+    if not whole and df.columns:
+        rows = records(spark, path).where("number > 1 and record <> ''")
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in df.columns)
+        del options["header"], options["multiLine"]
+        df = rows.select(F.from_csv("record", schema, options).alias("row")).select("row.*")
     if strict and df.columns and df.columns[0].startswith(BOM):
         df = df.withColumnRenamed(df.columns[0], df.columns[0][1:])
-    if not strict:
-        df = df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
-    return df
+    empty = (lambda c: F.coalesce(c, F.lit(""))) if strict else (lambda c: F.nullif(c, F.lit("")))
+    return df.select(*[empty(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def scan_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
