@@ -59,13 +59,14 @@ class Index:
         #: Words of items: (item, item_id, n, offset, number).
         self.items = written(spelt.join(lexicon, "term").drop("term"), "item-words")
         self.n_items_words = self.items.count()
-        text = F.col("text")
-        source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        rows = source.select(F.monotonically_increasing_id().alias("row"), "id", "text", words_of(text).alias("words"))
-        entries = rows.select("row", "id", "text", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "term"))
-        own = lambda value: F.when(F.col("number") == 0, value)
+        text = F.col(text_col)
+        # The digest is taken of the row; no word carries the text.
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), words_of(text).alias("words"))
+        entries = rows.select("row", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "term"), "id", "digest")
+        own = lambda name: F.when(F.col("at") == 0, F.col(name)).alias(name)
+        entries = entries.select("row", "at", "term", own("id"), own("n_words"), own("digest"))
         met = entries.join(small(lexicon, lexicon.count()), "term")
-        postings = met.select("row", "number", (F.col("at") - 1).alias("pos"), own(F.col("id")).alias("id"), own(F.col("n_words")).alias("n_words"), own(F.sha2(text, 256)).alias("digest"))
+        postings = met.select("row", "number", (F.col("at") - 1).alias("pos"), "id", "n_words", "digest")
         self.table = written(postings, "postings")
         discard(spelt, lexicon)
         self.postings = self.table.where("number > 0").select("row", "number", "pos")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.session import shared_path
 
-from .common import shuffle_width
+from .common import shuffle_width, slices
 
 END_ID = 1
 BLOCK = 4096
@@ -44,7 +44,8 @@ TASK_BYTES = 24 << 20
 MOST_TASKS = 50_000
 #: Shards whose places are added up together.
 SHARD_GROUP = 1024
-CACHE_WORDS = 500_000
+#: Words of a generation of a worker's cache; two are kept, some 250 bytes a word.
+CACHE_WORDS = 200_000
 IDS = b""
 #: Below this, letters are composed and lower-case as the tokenizer has them.
 PLAIN_BELOW = "\u0180"
@@ -184,7 +185,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_c
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
         doc_ids, parts, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 doc_ids.append(doc_id)
                 parts.append(encode(text) + end)
@@ -225,7 +226,7 @@ def read_documents(spark, path: str, ids: list, id_col="doc_id") -> DataFrame:
     asked = set(ids)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 ends = np.cumsum(row["doc_lengths"])
                 starts = [s - row["start"] for s in row["block_starts"]]
@@ -249,7 +250,7 @@ def read_tokens(spark, path: str, id_col="doc_id", with_ids=False) -> DataFrame:
     schema = f"id {id_type.simpleString()}, shard int, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 raw = unpack(row["payload"]).astype("<u4")
                 ends = np.cumsum(row["doc_lengths"])

@@ -101,3 +101,20 @@ def test_long_item_and_phrases_across_blocks(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in d.contamination(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == brute(docs, [(1, item)], 10) and got[1][1] == 500 and got[2][1] == 11 and got[3][1] == 0
+
+
+def test_no_word_carries_the_text(spark, monkeypatch):
+    """With the words of items not broadcast, what is shuffled by word holds ids, places and digests of rows, no texts."""
+    plans = {}
+    real = d.written
+    monkeypatch.setattr(d, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(d, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and real(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+        path = real(docs, "docs")
+        assert d.contamination(path, items).count() == len(DOCS)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plans["postings"].split("Generate posexplode")[0]
+    assert "Exchange hashpartitioning(term" in above and "text#" not in above
