@@ -4,11 +4,11 @@ Overlapping heuristic labellers vote bad (-1), good (1) or abstain (0) on every
 Expectation-maximisation over the counts of vote patterns, gathered from all documents,
 estimates how each labeller votes on good and on bad documents, and so the posterior of
 every pattern. A hashed linear scorer (word shapes and binned signals) is fitted to the
-posteriors of a bounded sample and scores all documents; it grades what the coarse votes
-cannot tell apart.
+posteriors of all documents and scores them; it grades what the coarse votes cannot tell
+apart. Features are written once; a step of the fit is one pass of sums over them.
 
 Defined cases: a null text is an empty one. An empty table gives no rows. Null ids are
-scored but not sampled. Repeated rows stay repeated. score is the probability of good
+learnt from like others. Repeated rows each count and stay repeated. score is the probability of good
 quality; keep is score >= 0.5. Extra columns are kept as they are by `kept`; `scored`
 returns the id and its own columns only.
 """
@@ -23,13 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_counts, slices
-from .linear import Rows, fit_softmax, sampled, smallest_hashes, softmax
+from .common import discard, hashed_counts, slices, written
+from .linear import Rows, lbfgs, logistic_sums, sparse
 
-#: Documents the scorer is fitted on, at most (by smallest hash of the id).
-SAMPLE = 6_000
 BITS = 14
-SEED = 505
+#: Steps of the fit, the gradient at which it ends, and the weight of the squared weights.
+ROUNDS, NEAR, DECAY = 30, 1e-4, 1e-4
 SHAPE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256)), b"A" * 26 + b"a" * 26 + b"0" * 10 + b"a" * 128
 )
@@ -112,73 +111,77 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text"):
-    """(weights, bias, labeller table) learnt from docs, or None for an empty table."""
+def described(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, key, index, value) of every row, written: its votes and features."""
     source = _texts(docs, id_col, text_col)
 
-    def vote(batches):
+    def run(batches):
         for batch in slices(batches):
-            cast = [bytes(v + 1 for v in votes(signals(t, t.split()))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(cast, pa.binary())], ["votes"])
+            out = [features(t) for t in batch.column("text").to_pylist()]
+            columns = [bytes(v + 1 for v in o[0]) for o in out], [o[1].astype("<i4").tobytes() for o in out], [o[2].astype("<f4").tobytes() for o in out]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.binary()) for c in columns)], ["id", "key", "index", "value"])
+
+    id_type = source.schema["id"].dataType.simpleString()
+    return written(source.mapInArrow(run, f"id {id_type}, key binary, index binary, value binary"), "described")
 
+
+def fit(rows: DataFrame):
+    """(weights and bias of good quality, labeller table) learnt from described rows, or None for an empty table."""
     # Distinct patterns are few (3 ** labellers at most), whatever the documents' number.
-    rows = source.select("text").mapInArrow(vote, "votes binary").groupBy("votes").count().collect()
-    if not rows:
+    found = rows.groupBy("key").count().collect()
+    if not found:
         return None
-    patterns = np.array([list(r["votes"]) for r in rows]) - 1
-    prior, table, posterior = estimate(patterns, np.array([r["count"] for r in rows], float))
-    bad = {bytes(p + 1): q for p, q in zip(patterns.astype(np.uint8), posterior, strict=True)}
+    patterns, counts = np.array([list(r["key"]) for r in found]) - 1, np.array([r["count"] for r in found], float)
+    _, table, bad = estimate(patterns, counts)
+    good = {bytes(r["key"]): 1 - p for r, p in zip(found, bad, strict=True)}
+    share = float(np.clip(counts @ (1 - bad) / counts.sum(), 1e-6, 1 - 1e-6))
 
-    def describe(batches):
-        for batch in slices(batches):
-            out = [features(t) for t in batch.column("text").to_pylist()]
-            columns = [bytes(v + 1 for v in o[0]) for o in out], [o[1].astype("<i4").tobytes() for o in out], [o[2].astype("<f4").tobytes() for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["votes", "index", "value"])
+    def objective(x):
+        n, loss, *gradient = logistic_sums(rows, x, good)
+        weights = np.append(x[:-1], 0.0)
+        return loss / n + DECAY / 2 * (weights @ weights), np.array(gradient) / n + DECAY * weights
 
-    keys = smallest_hashes(docs, id_col, SAMPLE, SEED)
-    sample = sampled(source, keys, "id", SAMPLE).select("text").mapInArrow(describe, "votes binary, index binary, value binary").collect()
-    sparse = Rows([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in sample])
-    p = np.array([bad[bytes(r["votes"])] for r in sample])
-    if not len(p):
-        p, sparse = np.array([prior]), Rows([(np.empty(0, np.int64), np.empty(0))])
-    weights, bias = fit_softmax(sparse, np.stack((p, 1 - p), axis=1), 1 << BITS)
-    return weights, bias, table
+    start = np.append(np.zeros(1 << BITS), np.log(share / (1 - share)))
+    return lbfgs(objective, start, ROUNDS, NEAR), table
 
 
-def good_probability(texts: list[bytes], weights, bias) -> np.ndarray:
-    """Probability of good quality per text; an empty one has that of its signals alone."""
-    rows = Rows([features(t)[1:] for t in texts])
-    return softmax(rows.times(weights) + bias)[:, 1]
+def good_probability(rows: Rows, x: np.ndarray) -> np.ndarray:
+    """Probability of good quality per row; an empty text has that of its signals alone."""
+    g = np.bincount(rows.row, rows.value * x[rows.index], rows.n) + x[-1]
+    return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
 def scored(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """id, score, keep for every row."""
-    model = fit(docs, id_col, text_col)
+    rows = described(docs, id_col, text_col)
+    model = fit(rows)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, score double, keep boolean"
     if model is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    weights, bias, _ = model
+    x, _ = model
 
     def run(batches):
         for batch in slices(batches):
-            score = good_probability(batch.column("text").to_pylist(), weights, bias)
+            score = good_probability(sparse(batch), x)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(score >= 0.5)], ["id", "score", "keep"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.select("id", "index", "value").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def kept(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs with a score of 0.5 or more, all columns as they were."""
-    model = fit(docs, id_col, text_col)
+    rows = described(docs, id_col, text_col)
+    model = fit(rows)
+    discard(rows)
     if model is None:
         return docs
-    weights, bias, _ = model
+    x, _ = model
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
-            texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(good_probability(texts, weights, bias) >= 0.5))
+            found = Rows([features(t.encode() if t else b"")[1:] for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(good_probability(found, x) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

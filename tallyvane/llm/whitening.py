@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .linear import summed
 
 SCALE, OFFSET = 1024, 100_000
 COMPONENTS = 8
@@ -56,26 +57,6 @@ def matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return np.array(batch.column("x").flatten(), np.int64).reshape(-1, d)
 
 
-def summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Rows (i, values binary) summed by i, in order of i: first within tasks, then where equal i meet."""
-
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in slices(batches, 256):
-            for i, values in zip(batch.column("i").to_pylist(), batch.column("values").to_pylist(), strict=True):
-                held = np.frombuffer(values, float)
-                totals[i] = totals[i] + held if i in totals else held
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["i", "values"])
-
-    schema = "i int, values binary"
-    rows = parts.mapInArrow(add, schema).repartition("i").mapInArrow(add, schema).collect()
-    out = np.zeros((len(rows), width))
-    for r in rows:
-        out[r["i"]] = np.frombuffer(r["values"], float)
-    return out
-
-
 def exact_sums(fit: DataFrame, d: int) -> list[int]:
     """S: the vectors' sums per dimension."""
 

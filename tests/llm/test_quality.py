@@ -1,4 +1,5 @@
 import numpy as np
+import xxhash
 
 from tallyvane.llm import quality as q
 from tallyvane.llm.queries import op5_quality
@@ -37,10 +38,23 @@ def test_odd_rows_and_kept_columns(spark):
     assert q.scored(docs.limit(0)).collect() == [] and q.kept(docs.limit(0)).collect() == []
 
 
-def test_query_equals_a_plain_fit(spark):
-    """EM per document and a scorer over the same rows, without Spark: all documents of a small table are sampled."""
-    from tallyvane.llm.linear import Rows, fit_softmax, softmax
+def plain_features(text: bytes) -> dict[int, float]:
+    """Word shapes by the root of their share, and halves for binned signals, counted plainly."""
+    shape = lambda w: bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b > 127 else 48 if 48 <= b <= 57 else b for b in w)
+    words = text.split()
+    out: dict[int, float] = {}
+    for w in words:
+        i = xxhash.xxh3_64_intdigest(shape(w)) % (1 << q.BITS)
+        out[i] = out.get(i, 0) + 1 / len(words)
+    out = {i: v**0.5 for i, v in out.items()}
+    for name, x in zip(q.SIGNALS, q.signals(text, words), strict=True):
+        i = xxhash.xxh3_64_intdigest(f"{name}:{int(6 * np.log2(1 + 50 * min(x, 4)))}".encode()) % (1 << q.BITS)
+        out[i] = out.get(i, 0) + 0.5
+    return out
+
 
+def test_query_equals_a_plain_fit(spark):
+    """EM per document and a scorer of all rows by accelerated dense gradient steps, without Spark."""
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     texts = [(r.text or "").encode() for r in rows]
@@ -55,9 +69,28 @@ def test_query_equals_a_plain_fit(spark):
                 on_good = seen(1 - bad, v) / sum(seen(1 - bad, u) for u in (-1, 0, 1))
                 odds[votes[:, k] == v] += np.log(on_bad / on_good)
         bad = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-    distinct = {(r.doc_id, t): i for i, (r, t) in enumerate(zip(rows, texts, strict=True))}
-    keep = sorted(distinct.values())
-    weights, bias = fit_softmax(Rows([q.features(texts[i])[1:] for i in keep]), np.stack((bad[keep], 1 - bad[keep]), axis=1), 1 << q.BITS)
-    want = softmax(Rows([q.features(t)[1:] for t in texts]).times(weights) + bias)[:, 1]
+    found = [plain_features(t) for t in texts]
+    columns = {i: c for c, i in enumerate(sorted(set().union(*found)))}
+    x = np.zeros((len(texts), len(columns) + 1))
+    for r, f in enumerate(found):
+        for i, v in f.items():
+            x[r, columns[i]] = v
+    x[:, -1] = 1
+    w = np.zeros(x.shape[1])
+    y, decay = w.copy(), np.append(np.full(len(columns), q.DECAY), 0)
+    step = 1 / (0.25 * np.linalg.eigvalsh(x @ x.T / len(x)).max() + q.DECAY)
+    for k in range(6000):
+        p = 1 / (1 + np.exp(-x @ y))
+        new = y - step * (x.T @ (p - (1 - bad)) / len(x) + decay * y)
+        w, y = new, new + k / (k + 3) * (new - w)
+    want = 1 / (1 + np.exp(-x @ w))
     got = {r.doc_id: r.score for r in op5_quality(spark, sf).collect()}
-    assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 2e-3
+    told = np.array([got[r.doc_id] for r in rows])
+    assert np.abs(told - want).max() < 0.02 and ((told >= 0.5) == (want >= 0.5)).all()
+
+
+def test_every_row_teaches(spark):
+    """Rare rows that a sample would miss: one kind of junk among thousands of sentences is told from them."""
+    rows = [(i, f"A quiet sentence about number {i}, and another. It ends here.") for i in range(3_000)] + [(5_000 + i, "BUY NOW!! " * 30 + "###") for i in range(3)]
+    got = {r.doc_id: r.keep for r in q.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert not any(got[5_000 + i] for i in range(3)) and all(got[i] for i in range(3_000))
