@@ -1,17 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents (P) and documents of any kind (U) are sampled within stated
-bounds. With class prior pi and logistic losses l+ and l-, a linear scorer minimises
+Confirmed toxic documents (P, a bounded sample of labelled rows) and all documents that may
+be learnt from (U). With class prior pi and logistic losses l+ and l-, a linear scorer minimises
 
-    pi E_P[l+] + max(0, E_U[l-] - pi E_P[l-])
+    pi E_P[l+] + | E_U[l-] - pi E_P[l-] |
 
 the non-negative estimate of the risk that labelled negatives would give; where the
 second part turns negative its gradient is reversed, which keeps the scorer from
 memorising P. pi is the share of toxic rows among the labelled rows that may be learnt
 from. Features are hashed words and word beginnings, kept if they are clearly more frequent in
 P; their document frequencies are counted over all learnable documents, in P by distinct texts.
+The chosen features of all documents are written once; a step of the fit is one pass of
+sums over them, and scores are read off them.
 
-Defined cases: a null or empty text has no features and scores by the bias alone. Null ids are scored and not learnt from. Repeated rows stay repeated. Without any
+Defined cases: a null or empty text has no features and scores by the bias alone. Null ids
+are scored and not learnt from. Repeated rows each count and stay repeated. Without any
 positive example every score is 0. Other columns are ignored.
 """
 
@@ -25,18 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, crc32_mod, slices
-from .linear import Adam, Rows, sampled, smallest_hashes
+from .common import TO_LOWER, crc32_mod, slices, written
+from .linear import Rows, lbfgs, logistic_sums, sampled, smallest_hashes, sparse
 
-#: Documents fitted on, at most (by smallest hash of the id).
+#: Positive labelled documents fitted on, at most (by smallest hash of the id).
 POSITIVES = 4_000
-UNLABELLED = 8_000
+#: Steps of the fit, the gradient at which it ends, and the weight of the squared weights.
+ROUNDS, NEAR, DECAY = 40, 1e-5, 1e-5
 BITS = 20
 MIN_POSITIVES = 5  # distinct texts
 MIN_Z = 4.0
 CACHE_WORDS = 200_000
-#: Positive ids that are broadcast, at most (16 MB); more of them meet the documents in a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Positive labelled ids whose documents' features are counted, at most (by smallest hash; 16 MB when broadcast).
+POSITIVE_IDS = 1_000_000
 BEGINNINGS = (5, 6, 7, 8)
 SEED = 1010
 
@@ -115,36 +119,44 @@ def typical(of_p: tuple[np.ndarray, int], of_u: tuple[np.ndarray, int]) -> np.nd
     return np.flatnonzero((df_p >= MIN_POSITIVES) & (z > MIN_Z))
 
 
-def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, rounds=300, rate=0.05, decay=1e-5, chosen=None):
-    """(feature numbers in order, weights, bias). chosen: the features (None: those typical of the rows given)."""
-    size = 1 << BITS
-    chosen = typical(frequencies(positive), frequencies(unlabelled)) if chosen is None else chosen
-    place = np.full(size, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    near = lambda docs: Rows([(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in docs])
-    p, u = near(positive), near(unlabelled)
-    weights, bias = np.zeros((len(chosen), 1)), np.array([np.log(prior / (1 - prior))])
-    by_weight, by_bias = Adam(weights.shape, rate), Adam(bias.shape, rate)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for _ in range(rounds):
-        g_p, g_u = p.times(weights) + bias, u.times(weights) + bias
-        # Derivatives of log(1 + exp(-g)) and log(1 + exp(g)) by g.
-        plus, minus_p, minus_u = sigmoid(g_p) - 1, sigmoid(g_p), sigmoid(g_u)
-        rest = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
+def nnpu(positive: Rows, unlabelled, prior: float, features: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights, then the bias, that minimise the risk; unlabelled(x) gives (rows, summed losses, gradient) of U at x."""
+    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+
+    def back(error):
+        return np.append(np.bincount(positive.index, positive.value * error[positive.row], features), error.sum())
+
+    def objective(x):
+        n, loss, *gradient = unlabelled(x)
+        g = np.bincount(positive.row, positive.value * x[positive.index], positive.n) + x[-1]
+        share, weights = prior / positive.n, np.append(x[:-1], 0.0)
+        rest = loss / n - share * np.logaddexp(0, g).sum()
         sign = 1.0 if rest >= 0 else -1.0
-        on_p = prior * ((plus if sign > 0 else 0 * plus) - sign * minus_p) / max(1, p.n)
-        on_u = sign * minus_u / max(1, u.n)
-        weights -= by_weight.step(p.back(on_p, len(chosen)) + u.back(on_u, len(chosen)) + decay * weights)
-        bias -= by_bias.step(on_p.sum(axis=0) + on_u.sum(axis=0))
-    return chosen, weights[:, 0], float(bias[0])
+        value = share * np.logaddexp(0, -g).sum() + abs(rest) + DECAY / 2 * (weights @ weights)
+        return value, back(share * (sigmoid(g) - 1)) + sign * (np.array(gradient) / n - back(share * sigmoid(g))) + DECAY * weights
+
+    return lbfgs(objective, np.append(np.zeros(features), np.log(prior / (1 - prior))), rounds, NEAR)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
+def described(source: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(id, index, value) of rows (id, text): their chosen features, numbered in order."""
+
+    def run(batches):
+        numbers = numbers_among(chosen)  # others weigh nothing
+        for batch in slices(batches):
+            out = [features(t, numbers) for t in batch.column("text").to_pylist()]
+            columns = [np.searchsorted(chosen, i).astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.binary()) for c in columns)], ["id", "index", "value"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, index binary, value binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic"):
-    """The scorer learnt from rows that are not held out, or None without positives."""
+    """(described rows of docs, feature numbers, weights and bias) learnt from rows that are not held out, or None without positives."""
     source = _texts(docs, id_col, text_col)
     learnable = crc32_mod(id_col, 5) != 0
     known = labels.where(learnable & F.col(label_col).isNotNull())
@@ -152,12 +164,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     if not prior:
         return None
 
-    def describe(batches):
-        for batch in slices(batches):
-            out = [features(t) for t in batch.column("text").to_pylist()]
-            columns = [i.astype("<i4").tobytes() for i, _ in out], [v.astype("<f4").tobytes() for _, v in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["index", "value"])
-
     def counted(rows: DataFrame, among: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """Frequencies over all rows (among: of these features only), as at most 2**BITS numbers."""
 
@@ -176,21 +182,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         df[at[at >= 0]] = n[at >= 0]
         return df, int(n[at < 0].sum())
 
-    def gather(keys: DataFrame, bound: int) -> list[tuple]:
-        rows = sampled(source, keys, "id", bound).select("text").mapInArrow(describe, "index binary, value binary").collect()
-        return [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
-
-    toxic = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("key")).where("key is not null").distinct()
-    if toxic.count() <= BROADCAST_IDS:
-        toxic = F.broadcast(toxic)
+    toxic = known.where(F.col(label_col) == 1)
     taught = source.where(crc32_mod("id", 5) != 0).where("id is not null")
-    of_p = counted(taught.join(toxic, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["text"]))
+    ids = F.broadcast(smallest_hashes(toxic, id_col, POSITIVE_IDS, SEED + 1))
+    of_p = counted(taught.join(ids, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["text"]))
     if not of_p[1]:
         return None
     chosen = typical(of_p, counted(taught, np.flatnonzero(of_p[0])))
-    positive = gather(smallest_hashes(known.where(F.col(label_col) == 1), id_col, POSITIVES, SEED), POSITIVES)
-    unlabelled = gather(smallest_hashes(docs.where(learnable), id_col, UNLABELLED, SEED + 1), UNLABELLED)
-    return fit_nnpu(positive, unlabelled, min(prior, 0.5), chosen=chosen) if positive else None
+    rows = written(described(source, chosen), "described")
+    own = sampled(source, smallest_hashes(toxic, id_col, POSITIVES, SEED), "id", POSITIVES)
+    positive = described(own, chosen).select("index", "value").toArrow()
+    held = sparse(positive.combine_chunks().to_batches()[0]) if positive.num_rows else Rows([])
+    if not held.n:
+        return None
+    unlabelled = rows.where((crc32_mod("id", 5) != 0) & F.col("id").isNotNull())
+    return rows, chosen, nnpu(held, lambda x: logistic_sums(unlabelled, x), min(prior, 0.5), len(chosen))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
@@ -199,20 +205,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     held = crc32_mod(id_col, 5) == 0
     if model is None:
         return docs.select(F.col(id_col), held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    chosen, weights, bias = model
-    source = _texts(docs, id_col, text_col)
-    id_type = source.schema["id"].dataType.simpleString()
+    rows, _, x = model
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        table = np.zeros(1 << BITS)
-        table[chosen] = weights
-        numbers = numbers_among(chosen)  # others weigh nothing
         for batch in slices(batches):
-            found = [features(t, numbers) for t in batch.column("text").to_pylist()]
-            g = np.array([bias + table[i] @ v for i, v in found])
-            score = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64())], ["id", "score"])
+            found = sparse(batch)
+            g = np.bincount(found.row, found.value * x[found.index], found.n) + x[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(g, -40, 40))), pa.float64())], ["id", "score"])
 
-    return source.mapInArrow(run, f"id {id_type}, score double").select(
+    return rows.mapInArrow(run, f"id {id_type}, score double").select(
         F.col("id").alias(id_col), (crc32_mod("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 from tallyvane.llm import toxicity as t
+from tallyvane.llm.linear import Rows, lbfgs
 from tallyvane.llm.queries import op10_toxicity
 
 
@@ -17,11 +18,16 @@ def test_held_out_accuracy(spark):
 def test_nnpu_separates_without_negatives():
     rng = np.random.default_rng(0)
     row = lambda ids: (np.unique(np.array(ids, np.int64)), np.ones(len(set(ids))))
-    positive = [row([7, *rng.integers(100, 9000, 20)]) for _ in range(150)]
-    unlabelled = [row([*([7] if i % 10 == 0 else []), *rng.integers(100, 9000, 20)]) for i in range(1500)]
-    chosen, weights, bias = t.fit_nnpu(positive, unlabelled, 0.1)
-    told = dict(zip(chosen.tolist(), weights, strict=True))
-    assert bias < 0 < bias + told[7]
+    positive = Rows([row([7, *rng.integers(100, 900, 20)]) for _ in range(150)])
+    u = Rows([row([*([7] if i % 10 == 0 else []), *rng.integers(100, 900, 20)]) for i in range(1500)])
+
+    def unlabelled(x):
+        g = u.times(x[:-1, None])[:, 0] + x[-1]
+        p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+        return u.n, np.logaddexp(0, g).sum(), *u.back(p[:, None], 900)[:, 0], p.sum()
+
+    x = t.nnpu(positive, unlabelled, 0.1, 900)
+    assert x[-1] < 0 < x[-1] + x[7]
 
 
 def test_held_rows_never_teach(spark):
@@ -48,7 +54,7 @@ def test_a_rare_kind_of_toxicity_has_features(spark):
 def test_copies_of_one_text_are_no_features(spark):
     docs = spark.createDataFrame([(i, "copied notice again" if i < 60 else f"plain text {i}") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(400)], "doc_id long, toxic int")
-    assert len(t.fit(docs, labels)[0]) == 0
+    assert len(t.fit(docs, labels)[1]) == 0
 
 
 def test_odd_rows(spark):
@@ -69,28 +75,56 @@ def test_beginnings_end_between_characters():
 
 
 def test_features_and_scores_equal_plain_counting(spark):
-    """Features by document frequencies of all learnable rows, then the risk minimised by plain numpy."""
+    """Features by document frequencies of all learnable rows, then the risk over all of them minimised by dense numpy, through the query's own scores."""
     rng = np.random.default_rng(5)
     vocabulary = [f"term{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choice(vocabulary, 8)) + (f" nasty{i % 3} slur" if i % 5 == 0 else "")) for i in range(600)]
     learnable = [(i, x) for i, x in rows if zlib.crc32(str(i).encode()) % 5]
     labels = [(i, int(i % 5 == 0)) for i, _ in rows if i % 2 == 0]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    chosen, weights, bias = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     toxic = {i for i, x in labels if x}
-    sets = {i: set(t.features(x.encode())[0].tolist()) for i, x in learnable}
+    counts = {i: dict(zip(*(a.tolist() for a in t.features(x.encode())), strict=True)) for i, x in rows}
     in_p = {x: i for i, x in learnable if i in toxic}
-    n_p, n_u, want = len(in_p), len(sets), []
-    for f in sorted(set().union(*sets.values())):
-        df_p, df_u = sum(f in sets[i] for i in in_p.values()), sum(f in s for s in sets.values())
+    n_p, n_u, want = len(in_p), len(learnable), []
+    for f in sorted(set().union(*(counts[i] for i, _ in learnable))):
+        df_p, df_u = sum(f in counts[i] for i in in_p.values()), sum(f in counts[i] for i, _ in learnable)
         share = (df_u + 1) / (n_u + 2)
         if df_p >= t.MIN_POSITIVES and (df_p / n_p - share) / np.sqrt(share * (1 - share) / n_p + 1e-12) > t.MIN_Z:
             want.append(f)
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    _, chosen, _ = t.fit(docs, frame)
     assert chosen.tolist() == want and want
-    score = lambda text: 1 / (1 + np.exp(-(bias + sum(dict(zip(chosen, weights, strict=True)).get(i, 0) * v for i, v in zip(*t.features(text.encode()), strict=True)))))
-    got = {r.doc_id: r.score for r in t.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    assert all(abs(got[i] - score(x)) < 1e-6 for i, x in rows)
-    assert all((got[i] >= 0.5) == (i % 5 == 0) for i, _ in rows)
+    dense = lambda ids: np.array([[counts[i].get(f, 0.0) for f in want] + [1.0] for i in ids])
+    everyone, u, p = dense([i for i, _ in rows]), dense([i for i, _ in learnable]), dense([i for i, _ in learnable if i in toxic])
+    known = [x for i, x in labels if zlib.crc32(str(i).encode()) % 5]
+    prior = sum(known) / len(known)
+
+    def risk(w):
+        rest = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+        return prior * np.logaddexp(0, -p @ w).mean() + abs(rest) + t.DECAY / 2 * (w[:-1] @ w[:-1]), np.sign(rest)
+
+    best, w, m, v = np.inf, np.append(np.zeros(len(want)), np.log(prior / (1 - prior))), 0.0, 0.0
+    sigmoid = lambda g: 1 / (1 + np.exp(-g))
+    for k in range(1, 8001):  # plain Adam with falling steps
+        value, sign = risk(w)
+        best = min(best, value)
+        grad = prior * p.T @ (sigmoid(p @ w) - 1) / len(p) + sign * (u.T @ sigmoid(u @ w) / len(u) - prior * p.T @ sigmoid(p @ w) / len(p)) + t.DECAY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        w = w - 0.05 / (1 + k / 500) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    scores = {r.doc_id: r.score for r in t.toxicity(docs, frame).collect()}
+    got = np.array([scores[i] for i, _ in rows])
+    logits = np.log(got / (1 - got))
+    own = np.linalg.lstsq(everyone, logits, rcond=None)[0]  # the query's weights, read off its scores
+    assert np.abs(everyone @ own - logits).max() < 1e-3
+    assert risk(own)[0] <= best + 2e-3
+    assert all((scores[i] >= 0.5) == (i % 5 == 0) for i, _ in rows)
+
+
+def test_lbfgs_finds_the_minimum():
+    """A quadratic with curvatures from 1 to 10,000."""
+    curve, at = np.logspace(0, 4, 30), np.arange(30.0)
+    found = lbfgs(lambda x: (0.5 * (curve * (x - at) ** 2).sum(), curve * (x - at)), np.zeros(30), 1000, 1e-6)
+    assert np.abs(found - at).max() < 1e-4
 
 
 def test_numbers_among_some_features_are_those_of_all():
