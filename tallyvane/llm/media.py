@@ -4,7 +4,9 @@
 captions. A figcaption, wherever it stands in its figure, is the caption of that figure's
 media but for those of inner figures with a caption of their own; else alt is. Media in
 silent elements are not shown, so they are no items. `source` elements name what their
-picture, video or audio shows if that has no reference itself. `stored` keeps payloads as
+picture, video or audio shows if that has no reference itself. An image that is loaded
+later refers to what its data-src or data-srcset says, in place of a `data:` stand-in; a
+video's poster is an image before it. Frames and objects are media too. `stored` keeps payloads as
 8-bit greyscale PNG images, one byte a sample, WIDTH samples a row, and `read_back` decodes
 what was stored and measures it. `resolved` joins references to media by digest; every item
 keeps its document, position and caption, whether or not its media is known.
@@ -39,7 +41,9 @@ WIDTH = 576
 PAD = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LEVEL = 1
-MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "embed": "embed"}
+MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "embed": "embed", "iframe": "frame", "object": "object"}
+#: Attributes that say what a medium shows, the first one that does; those of sets name several, by widths.
+REFERENCES = ["src", "data", "data-src", "srcset", "data-srcset"]
 #: Media elements that source elements belong to.
 HOLDERS = {"picture", "video", "audio"}
 BLOCK_TAGS = set("p div article section h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote pre figure figcaption br hr header footer nav main body".split())
@@ -51,6 +55,17 @@ def joined(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def reference(found: dict[str, str | None]) -> str | None:
+    """What an element's attributes refer to; a `data:` stand-in only if nothing else is named."""
+    named = []
+    for name in REFERENCES:
+        for value in (found.get(name) or "").split()[:1]:
+            # An address of a set ends at white space; a comma after it parts it from the next.
+            named.append(value.split(",")[0] if name.endswith("srcset") and not value.startswith("data:") else value)
+    named = [n for n in named if n]
+    return next((n for n in named if not n.startswith("data:")), named[0] if named else None)
+
+
 class _Items(HTMLParser):
     """Ordered items of a page: [kind, text, ref, caption]."""
 
@@ -91,14 +106,15 @@ class _Items(HTMLParser):
             self.title = False
             self.flush()
         found = dict(attrs)
-        ref = found.get("src") or (found.get("srcset") or "").split(",")[0].split(" ")[0] or None
+        ref = reference(found)
         if tag in MEDIA_TAGS:
             if tag == "img" and self.holders:
                 ref = ref or self.holders[-1][1]
-            item = [MEDIA_TAGS[tag], None, ref, found.get("alt") or None]
-            self.items.append(item)
+            item = [MEDIA_TAGS[tag], None, ref, found.get("alt") or found.get("title") or None]
+            poster = [["image", None, found["poster"].strip(), item[3]]] if tag == "video" and (found.get("poster") or "").strip() else []
+            self.items += [*poster, item]
             if self.figures:
-                self.figures[-1][0].append(item)
+                self.figures[-1][0] += [*poster, item]
             if tag in HOLDERS:
                 self.holders.append([item, None])
         elif tag == "picture":

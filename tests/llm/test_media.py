@@ -43,6 +43,12 @@ def test_items_stay_in_order_with_captions():
         ("<picture><source srcset='big'><img src=own></picture>", [("image", "own", None)]),
         ("<video><source src=v.mp4><source src=v.ogg></video><source src=none>", [("video", "v.mp4", None)]),
         ("</figure></figcaption></video>", []),
+        ("<img srcset='\n  small.jpg 1x,\n big.jpg 2x'>", [("image", "small.jpg", None)]),
+        ("<img srcset='a,b 2x'><img src='  '>", [("image", "a", None), ("image", None, None)]),
+        ("<img src='data:image/gif;base64,R0' data-src=lazy.jpg><noscript><img src=lazy.jpg></noscript>", [("image", "lazy.jpg", None)]),
+        ("<img data-srcset=' l.jpg 2x '><img src='data:image/png;base64,x,y'>", [("image", "l.jpg", None), ("image", "data:image/png;base64,x,y", None)]),
+        ("<iframe src=f title=film></iframe><object data=o.svg>else</object>", [("frame", "f", "film"), ("object", "o.svg", None), ("text", "else", None)]),
+        ("<figure><video poster=p.jpg src=v></video><figcaption>c</figcaption></figure>", [("image", "p.jpg", "c"), ("video", "v", "c")]),
     ],
 )
 def test_captions_and_sources(page, want):
