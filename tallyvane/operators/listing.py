@@ -259,6 +259,11 @@ def planned_read_set(members: DataFrame, seed_hex: str, budget: int, allowance:
     return taken.unionByName(rest.groupBy("listing_id").applyInPandas(fold, kinds))
 
 
+#: Depth classes, and the classes of cells that count as read.
+COMPLETE, SAMPLED = "content_census_complete_v1", "content_census_sampled_v1"
+READ_CLASSES = ("fully_read", "partly_read", "other")
+
+
 def check_coverage(report: DataFrame, members: DataFrame, plan: DataFrame) -> DataFrame:
     """Violations of a report (listing_id, members, fully_read, unread) against its members and plan."""
     m = members.groupBy("listing_id").agg(F.count("*").alias("n"))
@@ -269,6 +274,53 @@ def check_coverage(report: DataFrame, members: DataFrame, plan: DataFrame) -> Da
     return x.select("listing_id", F.explode(flags).alias("violation"))
 
 
+def _holds(told, n):
+    """Whether a count told as a number or a band (text) can be n; false if it is neither."""
+    bands = {"0": n == 0, "1-9": (n >= 1) & (n <= 9), "10-99": (n >= 10) & (n <= 99), "100-999": (n >= 100) & (n <= 999), "1000+": n >= 1000}
+    out = F.when(told.rlike("^[0-9]+$"), told.try_cast("bigint") == n)
+    for band, fits in list(bands.items())[1:]:
+        out = out.when(told == band, fits)
+    return F.coalesce(out, F.lit(False))
+
+
+def check_census(reports: DataFrame, members: DataFrame, plan: DataFrame) -> DataFrame:
+    """(listing_id, violation): published census reports against the exact members and plan, all rules that each breaks.
+
+    reports: listing_id; members, members_total and population as numbers or bands (text);
+    depth_class, sampled; state of the read states and its cells (class, members as text).
+    Bands must contain the exact counts, the depth class go with the plan, and the cells of a
+    checked partition be exact, known, once each, sum up, and leave room for the plan.
+    """
+    n = members.groupBy("listing_id").agg(F.count("*").alias("_n"))
+    p = plan.groupBy("listing_id").agg(F.count("*").alias("_planned"))
+    x = reports.join(n, "listing_id", "left").join(p, "listing_id", "left").na.fill(0, ["_n", "_planned"])
+    total, planned, cells = F.col("_n"), F.col("_planned"), F.coalesce("cells", F.array())
+    exact = F.transform(cells, lambda c: F.when(c["members"].rlike("^[0-9]+$"), c["members"].try_cast("bigint")))
+    summed = lambda kinds: F.aggregate(
+        F.filter(F.arrays_zip(cells.getField("class").alias("kind"), exact.alias("n")), lambda c: c["kind"].isin(*kinds)), F.lit(0).cast("bigint"), lambda a, c: a + F.coalesce(c["n"], F.lit(0))
+    )
+    kinds, checked = cells.getField("class"), F.col("state") == "checked"
+    read, unread = summed(READ_CLASSES), summed(("unread",))
+    complete, sampled = F.col("depth_class") == COMPLETE, F.coalesce("sampled", F.lit(False))
+    rules = {
+        "plan_over_members": planned > total,
+        "members_outside_band": ~_holds(F.col("members"), total) | ~_holds(F.col("members_total"), total),
+        "depth_class_unknown": ~F.coalesce(F.col("depth_class").isin(COMPLETE, SAMPLED), F.lit(False)),
+        "complete_but_sampled": complete & ((planned != total) | sampled),
+        "sampled_but_complete": (F.col("depth_class") == SAMPLED) & ~sampled,
+        "state_unknown": ~F.coalesce(F.col("state").isin("checked", "suppressed", "not_checked"), F.lit(False)),
+        "population_outside_band": checked & ~_holds(F.col("population"), total),
+        "cell_not_exact": checked & F.exists(exact, lambda c: c.isNull()),
+        "cell_repeated": checked & (F.size(F.array_distinct(kinds)) != F.size(kinds)),
+        "cell_unknown": checked & F.exists(kinds, lambda k: ~F.coalesce(k.isin(*READ_CLASSES, "unread"), F.lit(False))),
+        "cells_do_not_sum_up": checked & (read + unread != total),
+        "read_over_plan": checked & (read > planned),
+        "unread_short": checked & (unread < total - planned),
+    }
+    flags = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return x.select("listing_id", F.explode(flags).alias("violation"))
+
+
 def zip_plan(entries: DataFrame, max_entries: int, allowance: int) -> DataFrame:
     """entries (member, i, offset, compressed, size, cd_offset) with `selected` and `valid`.
 

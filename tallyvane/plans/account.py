@@ -346,6 +346,24 @@ def delivery_windows(spark, sf):
     return windows(table(spark, sf, "events"), "10 minutes")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n, sum(event_id)::BIGINT AS ids FROM s GROUP BY user_id, session""")
+def delivery_sessions(spark, sf):
+    """Sessions of users, six hours apart."""
+    from tallyvane.streaming.deliveries import delivery_sessions as sessions
+
+    return sessions(table(spark, sf, "events"), "user_id", "6 hours")
+
+
+@query("""SELECT event_type, w AS window_start, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_type, event_id, unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS w FROM events) GROUP BY ALL""")
+def delivery_windows_sliding(spark, sf):
+    """Sliding delivery metrics."""
+    from tallyvane.streaming.deliveries import delivery_windows as windows
+
+    return windows(table(spark, sf, "events"), "10 minutes", "5 minutes")
+
+
 @query("SELECT key, min(event_id) AS first_pos, count(*) AS n FROM (SELECT event_id, unnest(json_keys(CASE WHEN event_id % 3 = 0 THEN props ELSE '{\"e' || event_id % 5 || '\":1,\"k\":2}' END)) AS key FROM events) GROUP BY 1")
 def discovered_schema(spark, sf):
     """Keys of JSON rows by first appearance."""

@@ -269,6 +269,35 @@ def coverage_violations(spark, sf):
     return listing.check_coverage(r, V.members(spark, sf), _plan(spark, sf))
 
 
+_CENSUS = f"""(SELECT listing_id, substr(listing_id, 4)::INTEGER AS k, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS planned FROM {MEMBERS} GROUP BY 1)"""
+_BAND = "CASE WHEN n = 0 THEN '0' WHEN n < 10 THEN '1-9' WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' ELSE '1000+' END"
+
+
+@query(f"""WITH c AS (SELECT *, CASE k WHEN 1 THEN (n + 1)::VARCHAR WHEN 2 THEN n::VARCHAR WHEN 3 THEN '5-7' ELSE {_BAND} END AS members, CASE WHEN k = 4 THEN '0' ELSE n::VARCHAR END AS population, CASE k WHEN 5 THEN '{listing.COMPLETE}' WHEN 6 THEN 'whole' ELSE '{listing.SAMPLED}' END AS depth, k <> 7 AS sampled,
+ CASE k WHEN 8 THEN 'suppressed' WHEN 9 THEN 'open' ELSE 'checked' END AS state, planned + CASE k WHEN 10 THEN 1 WHEN 11 THEN 1 ELSE 0 END AS read, greatest(0, n - planned - CASE k WHEN 11 THEN 1 WHEN 12 THEN 1 ELSE 0 END) AS unread FROM {_CENSUS}),
+v AS (SELECT *, state = 'checked' AS checked, CASE WHEN k = 13 THEN 0 ELSE read END AS read_told, CASE WHEN k = 15 THEN read ELSE 0 END AS again FROM c)
+SELECT listing_id, unnest(list_filter([CASE WHEN NOT (CASE WHEN regexp_full_match(members, '[0-9]+') THEN members::BIGINT = n ELSE members = {_BAND} END) THEN 'members_outside_band' END, CASE WHEN depth NOT LIKE 'content%' THEN 'depth_class_unknown' END, CASE WHEN depth = '{listing.COMPLETE}' THEN 'complete_but_sampled' END,
+ CASE WHEN depth = '{listing.SAMPLED}' AND NOT sampled THEN 'sampled_but_complete' END, CASE WHEN state = 'open' THEN 'state_unknown' END, CASE WHEN checked AND population::BIGINT <> n THEN 'population_outside_band' END, CASE WHEN k = 13 THEN 'cell_not_exact' END, CASE WHEN k = 15 THEN 'cell_repeated' END, CASE WHEN k = 14 THEN 'cell_unknown' END,
+ CASE WHEN checked AND read_told + again + unread <> n THEN 'cells_do_not_sum_up' END, CASE WHEN checked AND read_told + again > planned THEN 'read_over_plan' END, CASE WHEN checked AND unread < n - planned THEN 'unread_short' END], lambda x: x IS NOT NULL)) AS violation FROM v""")
+def census_violations(spark, sf):
+    """Published census reports with every kind of fault, against members and plan."""
+    m = V.members(spark, sf)
+    k, n, p = F.substring("listing_id", F.lit(4), F.lit(9)).cast("int"), F.col("n"), F.col("p")
+    of = lambda *ks: F.when(k.isin(*ks), 1).otherwise(0)
+    band = F.when(n == 0, "0").when(n < 10, "1-9").when(n < 100, "10-99").when(n < 1000, "100-999").otherwise("1000+")
+    told = F.when(k == 1, (n + 1).cast("string")).when(k == 2, n.cast("string")).when(k == 3, "5-7").otherwise(band)
+    cell = lambda kind, count: F.struct(F.lit(kind).alias("class"), count.cast("string").alias("members"))
+    read, unread = p + of(10, 11), F.greatest(F.lit(0), n - p - of(11, 12))
+    cells = F.when(k == 13, F.array(cell("fully_read", F.lit("1-9")), cell("unread", unread))).when(k == 14, F.array(cell("fully_read", read), cell("unread", unread), cell("odd", F.lit(0))))
+    cells = cells.when(k == 15, F.array(cell("other", read), cell("other", read), cell("unread", unread))).otherwise(F.array(cell("partly_read", read), cell("unread", unread)))
+    counts = m.groupBy("listing_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 2 == 0).alias("p"))
+    reports = counts.select(
+        "listing_id", told.alias("members"), told.alias("members_total"), F.when(k == 4, "0").otherwise(n.cast("string")).alias("population"), (k != 7).alias("sampled"), cells.alias("cells"),
+        F.when(k == 5, listing.COMPLETE).when(k == 6, "whole").otherwise(listing.SAMPLED).alias("depth_class"), F.when(k == 8, "suppressed").when(k == 9, "open").otherwise("checked").alias("state"),
+    )
+    return listing.check_census(reports, m, _plan(spark, sf))
+
+
 _ENTRIES = f"""(SELECT l_orderkey AS member, l_linenumber - 1 AS i, (CASE WHEN l_linenumber = 5 THEN -1 ELSE (l_linenumber - 1) * 1000 + CASE WHEN l_orderkey % 9 = 0 AND l_linenumber = 3 THEN -960 ELSE 0 END END)::BIGINT AS "offset", (l_quantity * 20)::BIGINT AS compressed, (l_quantity * 40)::BIGINT AS size, 6500::BIGINT AS cd_offset FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity))"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.operators.ledger import mark_delivered
 from tallyvane.streaming import state
-from tallyvane.streaming.deliveries import delivery_windows
+from tallyvane.streaming.deliveries import delivery_sessions, delivery_windows
 
 
 def drained(spark, df, build, tmp_path, parts=3):
@@ -83,6 +83,30 @@ def test_windows_are_the_same_in_batch_and_stream(spark, tmp_path):
     assert some <= whole and len(some) >= len(whole) - 1  # the last window stays open
 
 
+def test_sessions_are_the_same_in_batch_and_stream(spark, tmp_path):
+    rng = random.Random(6)
+    minutes = sorted(rng.sample(range(5_000), 250))
+    df = spark.createDataFrame([(i, rng.choice("ab"), m) for i, m in enumerate(minutes)], "event_id long, user string, m long").select("event_id", "user", F.timestamp_seconds(F.col("m") * 60).alias("ts"))
+    want, last = {}, {}
+    for r in df.orderBy("ts").collect():
+        at = int(r.ts.timestamp()) // 60
+        if r.user not in last or at - last[r.user][1] > 30:
+            last[r.user] = [at, at, 0, 0]
+        s = last[r.user]
+        want[r.user, s[0]] = s
+        s[1:] = at, s[2] + 1, s[3] + r.event_id
+    want = {(u, a, b + 30, n, ids) for (u, a), (_, b, n, ids) in want.items()}
+    plain = lambda rows: {(r.user, int(r.session_start.timestamp()) // 60, int(r.session_end.timestamp()) // 60, r.n, r.ids) for r in rows}
+    assert plain(delivery_sessions(df, "user", "30 minutes").collect()) == want
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for a in range(0, 5_000, 1_000):  # sessions go on over batches
+        df.where((F.minute("ts") >= 0) & (F.unix_seconds("ts") >= a * 60) & (F.unix_seconds("ts") < (a + 1_000) * 60)).coalesce(1).write.mode("append").parquet(src)
+    stream = delivery_sessions(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), "user", "30 minutes", "10 minutes")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-check").trigger(availableNow=True).start().awaitTermination()
+    got = plain(spark.read.parquet(out).collect())
+    assert got <= want and len(got) >= len(want) - 4
+
+
 def test_delivered_marks_of_a_table(spark):
     audited = spark.createDataFrame([(1, 1), (2, 9)], "seq long, audit_seq long")
     assert {r.seq for r in mark_delivered(spark.range(10).withColumnRenamed("id", "seq"), audited, 5).where("delivered").collect()} == {1}
