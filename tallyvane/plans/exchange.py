@@ -228,8 +228,8 @@ def stream_inventory(spark, sf):
     m = V.members(spark, sf).select(d.alias("file_id"), "size", F.lit("2024-01-01").cast("timestamp").alias("mtime"), "sha256")
     path = shared_path(spark, "inventory")
     state.stream_inventory(_streamed(spark, m, "inventory-in"), path, shared_path(spark, "inventory-check")).awaitTermination()
-    last = spark.read.parquet(path)
-    return last.where(F.col("generation") == last.agg(F.max("generation")).scalar()).select("file_id", "size", "present")
+    last = spark.read.parquet(f"{path}/changes").agg(F.max("generation")).first()[0]
+    return state.inventory_at(spark, path, last).select("file_id", "size", "present")
 
 
 @query("""SELECT sha256('part=' || doc_id // 100) AS file_id, sum(strlen(translate(coalesce(text, ''), chr(10) || chr(13), '  ')) + 1)::BIGINT AS size, true AS present FROM documents GROUP BY 1""")
@@ -242,5 +242,5 @@ def stream_listing(spark, sf):
     named = files.stream_files(spark, path).where("path like '%.txt'").select(F.sha2(F.regexp_extract("path", "(part=[0-9]+)", 1), 256).alias("file_id"), "size", "mtime", "sha256")
     folded = shared_path(spark, "listed")
     state.stream_inventory(named, folded, shared_path(spark, "listed-check"), complete=True).awaitTermination()
-    files.write_generation(spark.read.parquet(f"{folded}/generation=0"), out, 0)
+    files.write_generation(state.inventory_at(spark, folded, 0), out, 0)
     return spark.read.parquet(out).where("generation = 0").select("file_id", "size", "present")

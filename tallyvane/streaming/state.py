@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import zip_longest
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,6 +15,8 @@ LIMIT = 2
 #: Islands that a file of an order may have.
 FRAGMENTS = 1024
 QUOTA, SKEW = 10, 300
+#: Rows of a result that leave a task together.
+ROWS = 50_000
 
 
 def stream_dedupe(df: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -21,38 +24,67 @@ def stream_dedupe(df: DataFrame, keys: list[str], ts: str = "ts", delay: str = "
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def add_range(segments: list[tuple[int, int, int]], start: int, end: int, by: int = 1) -> list[tuple[int, int, int]]:
-    """Segments (start, end, count) with `by` more serves of start to end; equal neighbours merge."""
-    points: dict[int, int] = {start: by}
-    points[end + 1] = points.get(end + 1, 0) - by
-    for a, b, n in segments:
-        points[a] = points.get(a, 0) + n
-        points[b + 1] = points.get(b + 1, 0) - n
-    out, level, cuts = [], 0, sorted(p for p, d in points.items() if d)
-    for at, nxt in zip_longest(cuts, cuts[1:]):
-        level += points[at]
-        if level > 0 and nxt is not None:
-            out.append((at, nxt - 1, level))
-    return out
-
-
-def islands(segments: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of bytes served at all."""
-    out: list[tuple[int, int]] = []
-    for a, b, _ in segments:
-        if out and out[-1][1] == a - 1:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def grant(segments: list[tuple[int, int, int]], start: int, end: int) -> int | None:
-    """The last byte a request may have: before the first byte served LIMIT times; None refuses."""
-    for a, b, n in segments:
-        if n >= LIMIT and a <= end and b >= start:
-            return a - 1 if a > start else None
-    return end
+class Segments:
+    """How often the bytes of a file were served: marks in order, and the count from each mark to the next.
+
+    A range changes only the marks it touches, which a binary search finds; the served bytes
+    and islands are kept along with it.
+    """
+
+    def __init__(self, marks: list[int], counts: list[int]):
+        self.marks, self.counts = list(marks), list(counts)
+        self.served = sum(b - a for a, b, n in zip(self.marks, self.marks[1:], self.counts, strict=False) if n > 0)
+        self.islands = sum(self._begins(i) for i in range(len(self.marks)))
+
+    def _begins(self, i: int) -> bool:
+        return 0 <= i < len(self.counts) and self.counts[i] > 0 and (i == 0 or self.counts[i - 1] <= 0)
+
+    def _mark(self, at: int) -> int:
+        """The number of the mark at a place, which is set if there is none."""
+        i = bisect_left(self.marks, at)
+        if i == len(self.marks) or self.marks[i] != at:
+            self.marks.insert(i, at)
+            self.counts.insert(i, self.counts[i - 1] if i else 0)
+        return i
+
+    def add(self, start: int, end: int, by: int = 1) -> None:
+        """`by` more serves of start to end."""
+        if start > end:
+            return
+        a = self._mark(start)
+        b = self._mark(end + 1)
+        self.islands -= sum(self._begins(i) for i in range(a, b + 1))
+        for i in range(a, b):
+            size = self.marks[i + 1] - self.marks[i]
+            self.served += size * ((self.counts[i] + by > 0) - (self.counts[i] > 0))
+            self.counts[i] += by
+        self.islands += sum(self._begins(i) for i in range(a, b + 1))
+        for i in (b, a):  # equal neighbours merge; within the range all differ as before
+            if self.counts[i] == (self.counts[i - 1] if i else 0):
+                del self.marks[i], self.counts[i]
+
+    def full(self, start: int, end: int) -> int | None:
+        """The first byte of a range that was served LIMIT times."""
+        if start > end:
+            return None
+        i = max(0, bisect_right(self.marks, start) - 1)
+        while i < len(self.marks) and self.marks[i] <= end:
+            if self.counts[i] >= LIMIT and (i + 1 == len(self.marks) or self.marks[i + 1] > start):
+                return max(start, self.marks[i])
+            i += 1
+        return None
+
+    def covers(self, size: int) -> bool:
+        """Whether the bytes below size were all served."""
+        return size == 0 or (self.islands > 0 and self.served >= size and self._whole(size))
+
+    def _whole(self, size: int) -> bool:
+        i = bisect_right(self.marks, 0) - 1
+        while 0 <= i < len(self.marks) and self.counts[i] > 0:
+            if i + 1 < len(self.marks) and self.marks[i + 1] >= size:
+                return True
+            i += 1
+        return False
 
 
 TRANSFER = "oid bigint, fid string, id bigint, start bigint, verdict string, granted_end bigint, served bigint, intervals int, complete boolean"
@@ -65,40 +97,49 @@ def stream_transfers(requests: DataFrame, fragments: int = FRAGMENTS) -> DataFra
     (nothing left to grant), or fragmented (one island more than the cap). Optional columns:
     kind ("request", or "settle" for the end of a granted range, of which the bytes beyond
     written_through are given back), written_through, and size (then `complete` says whether
-    the whole file has been served). State per file of an order is its list of segments,
-    which the cap bounds; a hot order is split over its files.
+    the whole file has been served). State per file of an order is its marks and counts,
+    which the cap bounds; a hot order is split over its files. The requests of a file within a
+    batch are held as six columns of numbers, so maxFilesPerTrigger bounds memory; results
+    leave in parts.
     """
     missing = {"kind": F.lit("request"), "written_through": F.lit(None).cast("bigint"), "size": F.lit(None).cast("bigint")}
     requests = requests.select("oid", "fid", "id", "start", "end", *[c if c in requests.columns else value.alias(c) for c, value in missing.items()])
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        segments = [tuple(s) for s in zip(*state.get, strict=True)] if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("id")
-        out = []
-        for r in rows.itertuples():
-            end = None
-            if r.kind == "settle":
+        segments = Segments(*(state.get if state.exists else ([], [])))
+        rows = pd.concat([b[["id", "kind", "start", "end", "written_through", "size"]] for b in batches]).sort_values("id", kind="stable")
+        out: list[tuple] = []
+        for i, kind, start, end, through, size in zip(*(rows[c].tolist() for c in rows), strict=True):
+            granted = None
+            if kind == "settle":
                 verdict = "settled"
-                if r.written_through < r.end:
-                    segments = add_range(segments, max(r.start, int(r.written_through) + 1), r.end, -1)
-            elif (end := grant(segments, r.start, r.end)) is None:
+                if through < end:
+                    segments.add(max(start, int(through) + 1), end, -1)
+            elif (full := segments.full(start, end)) == start and start <= end:
                 verdict = "exhausted"
-            elif len(islands(more := add_range(segments, r.start, end))) > fragments:
-                verdict, end = "fragmented", None
             else:
-                verdict, segments = "granted", more
-            runs = islands(segments)
-            complete = None if pd.isna(r.size) else bool(r.size == 0 or (runs and runs[0][0] <= 0 and runs[0][1] >= r.size - 1))
-            out.append((*key, r.id, r.start, verdict, end, sum(b - a + 1 for a, b in runs), len(runs), complete))
-        state.update(tuple([int(x) for x in column] for column in zip(*segments, strict=True)) if segments else ([], [], []))
-        frame = pd.DataFrame(out, columns=["oid", "fid", "id", "start", "verdict", "granted_end", "served", "intervals", "complete"])
-        frame["granted_end"] = frame["granted_end"].astype("Int64")
-        frame["intervals"] = frame["intervals"].astype("int32")
-        frame["complete"] = frame["complete"].astype("boolean")
-        yield frame
-
-    segments = "starts array<bigint>, ends array<bigint>, counts array<bigint>"
-    return requests.groupBy("oid", "fid").applyInPandasWithState(step, TRANSFER, segments, "append", GroupStateTimeout.NoTimeout)
+                verdict, granted = "granted", end if full is None else full - 1
+                segments.add(start, granted)
+                if segments.islands > fragments:
+                    segments.add(start, granted, -1)
+                    verdict, granted = "fragmented", None
+            out.append((i, start, verdict, granted, segments.served, segments.islands, None if pd.isna(size) else segments.covers(int(size))))
+            if len(out) >= ROWS:
+                yield frame(key, out)
+                out = []
+        state.update((segments.marks, segments.counts))
+        yield frame(key, out)
+
+    def frame(key, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["id", "start", "verdict", "granted_end", "served", "intervals", "complete"])
+        made["granted_end"] = made["granted_end"].astype("Int64")
+        made["intervals"] = made["intervals"].astype("int32")
+        made["complete"] = made["complete"].astype("boolean")
+        made.insert(0, "oid", [key[0]] * len(made))
+        made.insert(1, "fid", [key[1]] * len(made))
+        return made
+
+    return requests.groupBy("oid", "fid").applyInPandasWithState(step, TRANSFER, "marks array<bigint>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 ADMISSION = "listing string, id bigint, day bigint, verdict string"
@@ -135,27 +176,59 @@ def stream_late(df: DataFrame, quota: int = QUOTA, skew: int = SKEW) -> DataFram
     return stream_admission(df, quota, skew).where("verdict = 'late'")
 
 
+INVENTORY = "file_id string, size bigint, mtime timestamp, sha256 string, first_seen_at timestamp, changed_at timestamp, present boolean"
+#: A whole inventory is written every so many generations; the others are written as changes.
+COMPACT = 16
+
+
+def inventory_at(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """The inventory of a generation that `stream_inventory` wrote: the newest row per file, of the last whole one and the changes since.
+
+    A file that is gone is shown by the generation that missed it, not by later ones.
+    """
+    base = generation - generation % COMPACT
+    parts = []
+    if generation < 0:
+        return spark.createDataFrame([], INVENTORY)
+    if base:
+        parts.append(spark.read.schema(INVENTORY).parquet(f"{path}/whole/generation={base}").withColumn("_generation", F.lit(base)))
+    for g in range(base + 1 if base else 0, generation + 1):
+        parts.append(spark.read.schema(INVENTORY).parquet(f"{path}/changes/generation={g}").withColumn("_generation", F.lit(g)))
+    every = reduce(DataFrame.unionByName, parts)
+    names = [c.split(" ")[0] for c in INVENTORY.split(", ")[1:]]
+    newest = every.groupBy("file_id").agg(F.max_by(F.struct(*names, "_generation"), "_generation").alias("row")).select("file_id", "row.*")
+    return newest.where((F.col("present")) | (F.col("_generation") == generation)).drop("_generation")
+
+
 def stream_inventory(files: DataFrame, path: str, checkpoint: str, complete: bool = False):
-    """Continuous inventory: each batch of listed files (file_id, size, mtime, sha256) is folded into generation batch_id at path.
+    """Continuous inventory: each batch of listed files (file_id, size, mtime, sha256) becomes generation batch_id at path.
 
-    complete: every batch is a whole listing, so a known file it does not name is gone: it
-    stays for one generation as not present. Otherwise a batch lists what is new, and files
-    it does not name are still there.
+    Only files that are new, changed or gone are written, below changes; every COMPACT
+    generations the whole inventory is, below whole (see `inventory_at`). A repeated batch
+    replaces its own generation. complete: every batch is a whole listing, so a known file it
+    does not name is gone. Otherwise a batch lists what is new, and files it does not name are
+    still there.
     """
     from tallyvane.operators.inventory import inventory_update
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = F.current_timestamp()
-        empty = spark.createDataFrame([], "file_id string, size bigint, mtime timestamp, sha256 string, first_seen_at timestamp, changed_at timestamp, present boolean")
-        prev = spark.read.parquet(f"{path}/generation={batch_id - 1}") if batch_id else empty
+        prev = inventory_at(spark, path, batch_id - 1).where("present")
         seen = batch.groupBy("file_id").agg(F.max_by(F.struct("size", "mtime", "sha256"), "mtime").alias("r")).select("file_id", "r.*")
-        if complete:
-            following = inventory_update(seen, prev, now)
-        else:
-            rest = prev.join(seen.select("file_id"), "file_id", "left_anti")
-            known = prev.join(seen.select("file_id"), "file_id", "left_semi")
-            following = inventory_update(seen, known, now).unionByName(rest)
-        following.write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        known = prev if complete else prev.join(seen.select("file_id"), "file_id", "left_semi")
+        following = inventory_update(seen, known, F.current_timestamp())
+        same = known.select("file_id", F.lit(True).alias("_known"), F.col("changed_at").alias("_changed_at"))
+        moved = following.join(same, "file_id", "left").where("not present or _known is null or changed_at <> _changed_at").drop("_known", "_changed_at")
+        moved.write.mode("overwrite").parquet(f"{path}/changes/generation={batch_id}")
+        if batch_id and batch_id % COMPACT == 0:
+            whole = inventory_at_changes(spark, path, batch_id)
+            whole.write.mode("overwrite").parquet(f"{path}/whole/generation={batch_id}")
 
     return files.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def inventory_at_changes(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """The inventory of a generation from the one before and its own changes: what is written whole."""
+    changes = spark.read.schema(INVENTORY).parquet(f"{path}/changes/generation={generation}")
+    before = inventory_at(spark, path, generation - 1).where("present")
+    return before.join(changes.select("file_id"), "file_id", "left_anti").unionByName(changes)

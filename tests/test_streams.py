@@ -121,7 +121,7 @@ def test_inventory_generations(spark, tmp_path):
     run()
     spark.createDataFrame([("a", 5, day(2), "z"), ("c", 3, day(2), "w")], schema).write.mode("append").parquet(src)
     run()
-    rows = {r.file_id: r for r in spark.read.parquet(str(tmp_path / "out" / "generation=1")).collect()}
+    rows = {r.file_id: r for r in state.inventory_at(spark, str(tmp_path / "out"), 1).collect()}
     assert {k: r.size for k, r in rows.items()} == {"a": 5, "b": 2, "c": 3} and rows["a"].sha256 == "z"
     assert rows["a"].first_seen_at < rows["a"].changed_at == rows["c"].first_seen_at
 
@@ -133,10 +133,74 @@ def test_whole_listings_leave_tombstones_once(spark, tmp_path):
     for listing in (["a", "b"], ["a"], ["a", "c"]):
         spark.createDataFrame([(f, 1, day(1), f) for f in listing], schema).coalesce(1).write.mode("append").parquet(src)
         state.stream_inventory(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "check"), complete=True).awaitTermination()
-    at = lambda n: {r.file_id: r.present for r in spark.read.parquet(str(tmp_path / "out" / f"generation={n}")).collect()}
+    at = lambda n: {r.file_id: r.present for r in state.inventory_at(spark, str(tmp_path / "out"), n).collect()}
     assert at(0) == {"a": True, "b": True} and at(1) == {"a": True, "b": False} and at(2) == {"a": True, "c": True}
 
 
+def test_a_batch_of_few_files_writes_few_rows(spark, tmp_path, monkeypatch):
+    """Listings of 40 files of which few change, over whole inventories every third generation."""
+    monkeypatch.setattr(state, "COMPACT", 3)
+    schema = "file_id string, size long, mtime timestamp, sha256 string"
+    day = lambda d: __import__("datetime").datetime(2024, 1, 1 + d)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    listing, states = {f"f{i:02d}": (1, day(0)) for i in range(40)}, []
+    for g in range(8):
+        if g:
+            listing[f"f{g:02d}"] = (g + 9, day(g))  # one changes
+            listing[f"new{g}"] = (1, day(g))  # one comes
+            listing.pop(f"f{39 - g:02d}")  # one goes
+            if g == 5:
+                listing[f"f{38:02d}"] = (7, day(g))  # one is back
+        states.append(dict(listing))
+        spark.createDataFrame([(f, s, m, f) for f, (s, m) in listing.items()], schema).coalesce(1).write.mode("append").parquet(src)
+        state.stream_inventory(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "check"), complete=True).awaitTermination()
+    written = [spark.read.schema(state.INVENTORY).parquet(f"{out}/changes/generation={g}").count() for g in range(8)]
+    assert written == [40, 3, 3, 3, 3, 4, 3, 3]
+    for g, want in enumerate(states):
+        rows = state.inventory_at(spark, out, g).collect()
+        assert {r.file_id: r["size"] for r in rows if r.present} == {f: s for f, (s, _) in want.items()}
+        assert sorted(r.file_id for r in rows if not r.present) == ([f"f{39 - g:02d}"] if g else [])
+
+
+def test_segments_equal_counted_bytes():
+    """Ranges added and taken back at random, against single bytes."""
+    rng = random.Random(9)
+    for _ in range(30):
+        segments, count, given = state.Segments([], []), {}, []
+        for _ in range(60):
+            if given and rng.random() < 0.3:
+                a, b = given.pop(rng.randrange(len(given)))
+                by = -1
+            else:
+                a = rng.randrange(0, 60)
+                b, by = a + rng.randrange(-1, 9), 1
+                given.append((a, b))
+            segments.add(a, b, by)
+            for p in range(a, b + 1):
+                count[p] = count.get(p, 0) + by
+            covered = {p for p, n in count.items() if n > 0}
+            assert segments.served == len(covered) and segments.islands == sum(p - 1 not in covered for p in covered)
+            x = rng.randrange(0, 70)
+            y = x + rng.randrange(-1, 12)
+            assert segments.full(x, y) == next((p for p in range(x, y + 1) if count.get(p, 0) >= 2), None)
+            assert segments.covers(x) == all(p in covered for p in range(x))
+            assert all(m < n for m, n in zip(segments.marks, segments.marks[1:], strict=False))
+            assert all(m != n for m, n in zip([0, *segments.counts], segments.counts, strict=False))
+        again = state.Segments(segments.marks, segments.counts)
+        assert (again.served, again.islands) == (segments.served, segments.islands)
+
+
+def test_one_file_with_many_requests(spark, tmp_path):
+    """All requests of one file: a mark is found by search, so a hot file is no slower a request than a cold one."""
+    n = 150_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("oid"), F.lit("f").alias("fid"), "id", (F.col("id") * 7919 % 900_000).alias("start"), (F.col("id") * 7919 % 900_000 + 4).alias("end"))
+    found = drained(spark, df, lambda s: state.stream_transfers(s, fragments=1 << 30), tmp_path)
+    assert found.count() == n
+    last = found.orderBy(F.desc("id")).first()
+    want = df.select(F.explode(F.sequence("start", "end")).alias("p")).distinct().count()
+    assert last.served == want
+
+
 def test_files_as_a_stream(spark, tmp_path):
     from tallyvane.sources.files import stream_files
     from tallyvane.sources.logs import scan_audit, stream_audit, torn_tails
