@@ -6,6 +6,8 @@ letters beyond ASCII never count as word characters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,17 @@ LICENCES = {
 }
 
 
+#: Literals in lower case, one of which every match holds.
+LICENCE_HINTS = {
+    "mit": ["permission is hereby granted", "mit license"], "apache_2": ["apache license", "identifier: apache-2.0"], "bsd": ["redistribution and use in source", "bsd-"],
+    "gpl": ["gnu general public license", "identifier: gpl-"], "lgpl": ["gnu lesser general", "identifier: lgpl-"], "agpl": ["gnu affero general", "identifier: agpl-"],
+    "mpl": ["mozilla public license", "identifier: mpl-"], "cc_by": ["cc-by-", "creative commons attribution"], "cc_by_sa": ["cc-by-sa", "attribution-sharealike"],
+    "cc_by_nc": ["cc-by-nc", "attribution-noncommercial"], "cc0": ["cc0"], "unlicense": ["unlicense", "unencumbered software"],
+    "proprietary_notice": ["all rights reserved", "confidential and proprietary"], "unknown_licence_text": ["license", "licence", "copyright"],
+}
+CREDENTIAL_HINTS = ["akia", "asia", "-----begin ", "ghp_", "github_pat_", "sk_live_", "sk_test_", "sk-proj-", "xoxb-", "xoxp-", "glpat-", "key", "secret", "token", "password"]
+
+
 def lookup(key: Column, mapping: dict[str, str], default: str | None) -> Column:
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.coalesce(F.try_element_at(table, key), F.lit(default))
@@ -275,18 +288,22 @@ def _secret_value(match: Column) -> Column:
     return F.regexp_replace(match.substr(at + 1, F.length(match)), "^[ \\t\"']+|[ \\t\"']+$", "")
 
 
-def credentials(text: Column) -> Column:
-    """Number of credentials; assigned values need 3.5 bits of entropy."""
+def _any_of(low: Column, literals: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in literals])
+
+
+def credentials(text: Column, low: Column | None = None) -> Column:
+    """Number of credentials; assigned values need 3.5 bits of entropy. low: the text in lower case, if it is there."""
     real = lambda m: ~m.rlike("[=:]") | (entropy_bits(_secret_value(m)) >= MIN_ENTROPY)
-    hints = "(?i)akia|asia|-----begin |ghp_|github_pat_|sk_live_|sk_test_|sk-proj-|xoxb-|xoxp-|glpat-|key|secret|token|password"
-    return F.when(text.rlike(hints), F.size(F.filter(_tagged(text, CREDENTIAL), real))).otherwise(0)
+    hinted = _any_of(F.lower(text) if low is None else low, CREDENTIAL_HINTS)
+    return F.when(hinted, F.size(F.filter(_tagged(text, CREDENTIAL), real))).otherwise(0)
 
 
-def licence_families(text: Column) -> Column:
-    """Families whose texts occur, in their fixed order."""
-    flags = [F.when(text.rlike(f"(?i)(?:{p})"), F.lit(k)) for k, p in LICENCES.items()]
-    hint = "(?i)permission|licen|apache|redistribution|bsd-|gnu|spdx|mozilla|cc-by|creative|attribution|cc0|unencumbered|reserved|proprietary|copyright"
-    return F.when(text.rlike(hint), F.array_compact(F.array(*flags))).otherwise(F.array().cast("array<string>"))
+def licence_families(text: Column, low: Column | None = None) -> Column:
+    """Families whose texts occur, in their fixed order; each pattern is tried where one of its literals stands. low: the text in lower case, if it is there."""
+    low = F.lower(text) if low is None else low
+    flags = [F.when(_any_of(low, LICENCE_HINTS[k]), F.when(text.rlike(f"(?i)(?:{p})"), F.lit(k))) for k, p in LICENCES.items()]
+    return F.array_compact(F.array(*flags))
 
 
 def size_bucket(n: Column) -> Column:

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions import content as C
+from tallyvane.session import spread
 
 DETECTORS = ["email", "phone", "credential_like"]
 K = 10
 
 
 def findings(docs: DataFrame, id_col="doc_id", text_col="text", name: Column | None = None) -> DataFrame:
-    """One row per document: class, encoding, script, size, hits per detector, licence families. No shuffle."""
+    """One row per document: class, encoding, script, size, hits per detector, licence families. Only small inputs are dealt out anew."""
     text, label = F.col("_text"), F.col("encoding")
-    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (name if name is not None else F.lit("")).alias("_name"))
+    read = spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (name if name is not None else F.lit("")).alias("_name"))
     # One projection on the other, so that what several conditions read is worked out once.
     read = read.withColumn("_trimmed", C.trimmed(text)).withColumn("_line", C.first_line(F.col("_trimmed")))
     read = read.withColumn("class", C.content_class(text, F.col("_name"), F.col("_trimmed"), F.col("_line")))
-    read = read.withColumn("encoding", C.encoding(text.cast("binary"), F.col("class"))).withColumn("_letters", C.letters(text))
+    read = read.withColumn("encoding", C.encoding(text.cast("binary"), F.col("class"))).withColumn("_letters", C.letters(text)).withColumn("_low", F.lower(text))
     return read.select(
         "id",
         F.octet_length(text).cast("bigint").alias("size"),
@@ -27,15 +28,15 @@ def findings(docs: DataFrame, id_col="doc_id", text_col="text", name: Column | N
         C.script(text, label, F.col("_letters")).alias("script"),
         C.emails(text).alias("email"),
         C.phones(text).alias("phone"),
-        C.credentials(text).alias("credential_like"),
-        C.licence_families(text).alias("licences"),
+        C.credentials(text, F.col("_low")).alias("credential_like"),
+        C.licence_families(text, F.col("_low")).alias("licences"),
     )
 
 
 def classified(files: DataFrame, content_col="content", name: Column | None = None) -> DataFrame:
     """files with the class and encoding of their first bytes; characters that the prefix cuts are left out. No shuffle."""
     content, text = F.col("_content"), F.col("_text")
-    read = files.withColumn("_content", C.whole_characters(F.substring(F.col(content_col), 1, C.PREFIX))).withColumn("_name", name if name is not None else F.lit(""))
+    read = spread(files).withColumn("_content", C.whole_characters(F.substring(F.col(content_col), 1, C.PREFIX))).withColumn("_name", name if name is not None else F.lit(""))
     read = read.withColumn("_wide", C.wide_text(content)).withColumn("_text", F.coalesce("_wide", C.narrow_text(content)))
     read = read.withColumn("_trimmed", C.trimmed(text)).withColumn("_line", C.first_line(F.col("_trimmed")))
     read = read.withColumn("_told", C.content_class(text, F.col("_name"), F.col("_trimmed"), F.col("_line")))
@@ -116,13 +117,15 @@ def cross_suppress(published: DataFrame, counts: DataFrame, opened: Column | Non
 
 
 def findings_table(found: DataFrame) -> DataFrame:
-    """(kind, name, state, files_band, hits_band): three detectors and fourteen licence families."""
-    n = found.agg(F.count_if(F.col("size") > 0)).scalar()
-    rows = detector_totals(found).select(F.lit("detector").alias("kind"), F.col("detector").alias("name"), "files", "hits").unionByName(
-        licence_totals(found).select(F.lit("licence").alias("kind"), F.col("family").alias("name"), "files", F.lit(None).cast("bigint").alias("hits"))
-    )
+    """(kind, name, state, files_band, hits_band): three detectors and fourteen licence families, from one aggregate."""
+    one = found.where("size > 0").agg(
+        F.count("*").alias("of"), *[F.coalesce(F.sum(d), F.lit(0)).alias(f"h_{d}") for d in DETECTORS], *[F.count_if(F.col(d) > 0).alias(f"f_{d}") for d in DETECTORS],
+        *[F.count_if(F.array_contains("licences", f)).alias(f"l_{f}") for f in C.LICENCES],
+    )
+    row = lambda kind, name, files, hits: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), files.alias("files"), hits.cast("bigint").alias("hits"))
+    rows = [row("detector", d, F.col(f"f_{d}"), F.col(f"h_{d}")) for d in DETECTORS] + [row("licence", f, F.col(f"l_{f}"), F.lit(None)) for f in C.LICENCES]
     many = F.col("of") >= K
-    return rows.withColumn("of", n).select(
+    return one.select("of", F.inline(F.array(*rows))).select(
         "kind", "name", F.when(many, "checked").otherwise("suppressed").alias("state"),
         F.when(many, file_count_band(F.col("files"), F.col("of"))).alias("files_band"),
         F.when(many & F.col("hits").isNotNull(), C.count_band(F.col("hits"))).alias("hits_band"),

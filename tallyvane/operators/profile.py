@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvane.functions import values as V
-from tallyvane.session import shared_path
+from tallyvane.session import shared_path, spread
 
 PROFILE_REGISTERS = 1 << 14
 FACT_REGISTERS = 1 << 7
@@ -97,6 +97,7 @@ def profile(df: DataFrame, rename: dict[str, str] | None = None, drop: list[str]
     A table with nested columns gives no rows.
     """
     kept = ruled(df, rename, drop)
+    kept = spread(kept) if kept.columns else kept
     if not is_flat(df):
         kept = kept.select().limit(0)
     types = df.sparkSession.createDataFrame([(i, declared_type(f.dataType)) for i, f in enumerate(kept.schema)], "ordinal int, type string")
@@ -193,6 +194,7 @@ def facts(df: DataFrame, seed_hex: str, k: int = K) -> DataFrame:
     (ordinal, name, type, rows, null_rate, estimate, lengths, numeric)
     """
     types = df.sparkSession.createDataFrame([(i, fact_kind(f.dataType)) for i, f in enumerate(df.schema)], "ordinal int, type string")
+    df = spread(df)
     # At most 128 rows per column; written so that gate and estimate share one scan.
     path = shared_path(df.sparkSession, "registers")
     fact_registers(cells(df, canonical=True), seed_hex).write.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyvane.functions import content as C
 from tallyvane.functions import values as V
 from tallyvane.operators import census, profile
+from tallyvane.session import spread
 
 from .registry import query, table
 
@@ -154,7 +155,7 @@ d AS (SELECT ordinal, least(10, count(DISTINCT value)) AS exact FROM long GROUP
 SELECT ordinal, round_even(est, 0)::BIGINT AS estimate, nz AS "full", exact::INTEGER AS exact FROM e JOIN d USING (ordinal)""")
 def fact_sketches(spark, sf):
     """Seeded 128-register sketches and the capped exact count."""
-    df = table(spark, sf, "orders").select(*_FACT_COLUMNS)
+    df = spread(table(spark, sf, "orders").select(*_FACT_COLUMNS))
     registers = profile.fact_registers(profile.cells(df, canonical=True), SEED)
     return profile.fact_estimate(registers).join(profile.distinct_gate(df, registers), "ordinal")
 
@@ -296,7 +297,7 @@ _CRED_HITS = rf"""(SELECT key, m FROM {_tagged_sql('(SELECT doc_id AS key, text
 def credential_hits(spark, sf):
     """Credentials per document that has any."""
     n = C.credentials(F.coalesce("text", F.lit(""))).cast("bigint")
-    return table(spark, sf, "documents").select("doc_id", n.alias("credential_like")).where("credential_like > 0")
+    return spread(table(spark, sf, "documents")).select("doc_id", n.alias("credential_like")).where("credential_like > 0")
 
 
 _LIC = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(t, '(?i){p.replace('(?<!\\w)', chr(92) + 'b').replace('(?!\\w)', chr(92) + 'b')}') THEN '{k}' END" for k, p in C.LICENCES.items()) + "], lambda x: x IS NOT NULL)"
@@ -305,7 +306,9 @@ _LIC = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(t, '(?i){p.replac
 @query(f"SELECT * FROM (SELECT doc_id, unnest({_LIC}) AS family FROM {_DOCS})")
 def licence_hits(spark, sf):
     """Licence families per document."""
-    return table(spark, sf, "documents").select("doc_id", F.explode(C.licence_families(F.coalesce("text", F.lit("")))).alias("family"))
+    text = F.coalesce("text", F.lit(""))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", text.alias("text"), F.lower(text).alias("low"))
+    return docs.select("doc_id", F.explode(C.licence_families(F.col("text"), F.col("low"))).alias("family"))
 
 
 _CLASS_COUNTS = f"SELECT 'class' AS part, {_DOC_CLASS} AS class, count(*) AS n FROM {_DOCS} WHERE length(t) > 0 GROUP BY ALL UNION ALL SELECT 'encoding', 'utf8', count(*) FROM {_DOCS} WHERE length(t) > 0 UNION ALL SELECT 'script', script, count(*) FROM (SELECT t, {_SCRIPT.replace('FROM (SELECT *, le', 'AS script FROM (SELECT *, le', 1)}) WHERE length(t) > 0 GROUP BY script"

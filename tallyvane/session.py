@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+#: Inputs of fewer bytes may come in fewer parts than there are cores: a file of one row group is one task.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over the session's cores if its plan's size says that it is small; larger inputs have parts enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
