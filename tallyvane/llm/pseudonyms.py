@@ -13,7 +13,9 @@ are searched. Extra columns are kept by `pseudonymised`, which adds a column of
 its name is taken, "_" is put after it. What is not valid stays as it is (a date that is no
 day, a number with a wrong check digit), and so do numbers whose words before say that they
 are none of these (a version, an ISBN, a commit or checksum). Bare runs of digits are no
-phones. An empty table gives no rows.
+phones, nor days with years of two digits dates. A date that can be read both ways is read
+as the other dates of its text tell, else as its language writes it (`day_first`). An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -205,8 +207,18 @@ def other_day(key, ordinal: int) -> int:
     return value + 1 if value + 1 < FIRST_DAY else value + 1 + span
 
 
-def date(key, text):
-    """A day in numbers, permuted among days; numbers without leading zeros stay without."""
+def day_first(text: str) -> bool:
+    """Whether a text writes the day before the month: as its dates of one reading do, else as its language does; English has the month first."""
+    told = [(int(m[1]) > 12, int(m[3]) > 12) for m in NUMBERED.finditer(text)]
+    days, months = sum(a and not b for a, b in told), sum(b and not a for a, b in told)
+    if days != months:
+        return days > months
+    words = set(text.lower().split())
+    return len(words & DAY_FIRST_WORDS) > len(words & MONTH_FIRST_WORDS)
+
+
+def date(key, text, first=False):
+    """A day in numbers, permuted among days; numbers without leading zeros stay without. first: of two readings, the one with the day first."""
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
     year_first = len(parts[0]) == 4
@@ -215,7 +227,7 @@ def date(key, text):
         order = "ymd"
     else:
         a, b, year = map(int, parts)
-        order = "dmy" if mark == "." or a > 12 else "mdy"
+        order = "dmy" if mark == "." or a > 12 or (first and b <= 12) else "mdy"
         day, month = (a, b) if order == "dmy" else (b, a)
     try:
         ordinal = datetime.date(year, month, day).toordinal()
@@ -240,10 +252,13 @@ def worded_date(key, text):
     new = datetime.date.fromordinal(other_day(key, ordinal))
     told = names[names.index(name.lower()) // 12 * 12 + new.month - 1]
     told = told.upper() if name.isupper() else told.capitalize() if name[0].isupper() else told
-    shown = {"day": f"{new.day:0{2 if day[0] == '0' else 1}d}", "month": told, "year": f"{new.year:04d}"}
+    ordinal_sign = "" if day_first or not m["sign2"] else "th" if new.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+    ordinal_sign = ordinal_sign.upper() if ordinal_sign and m["sign2"].isupper() else ordinal_sign
+    shown = {"day": f"{new.day:0{2 if day[0] == '0' else 1}d}" + ordinal_sign, "month": told, "year": f"{new.year:04d}"}
     out, at = [], 0
     for part in ("day", "month", "year") if day_first else ("month", "day", "year"):
         a, b = m.span(part + ("1" if day_first else "2"))
+        b = m.end("sign2") if part == "day" and not day_first and m["sign2"] else b
         out += [text[at:a], shown[part]]
         at = b
     return "".join(out)
@@ -304,8 +319,13 @@ MONTHS = [
 ]
 _NAME = "(?i:" + "|".join(sorted({m for months in MONTHS for m in months}, key=len, reverse=True)) + ")"
 WORDED = re.compile(
-    rf"(?<![\w./-])(?:(?P<day1>[0-9]{{1,2}})(?:\.? | de )(?P<month1>{_NAME})(?: | de |\.? )(?P<year1>[0-9]{{4}})|(?P<month2>{_NAME})\.? (?P<day2>[0-9]{{1,2}}),? (?P<year2>[0-9]{{4}}))(?![\w-])"
+    rf"(?<![\w./-])(?:(?P<day1>[0-9]{{1,2}})(?:\.? | de )(?P<month1>{_NAME})(?: | de |\.? )(?P<year1>[0-9]{{4}})|(?P<month2>{_NAME})\.? (?P<day2>[0-9]{{1,2}})(?P<sign2>(?i:st|nd|rd|th))?,? (?P<year2>[0-9]{{4}}))(?![\w-])"
 )
+#: Dates in numbers that end with the year.
+NUMBERED = re.compile(r"(?<![\w./-])([0-9]{1,2})([/-])([0-9]{1,2})\2[0-9]{4}(?![\w/-])")
+#: Frequent words of languages that write the day first, and of English.
+DAY_FIRST_WORDS = set("der die das und ist nicht ein le la les et des est une el los las que una y".split())
+MONTH_FIRST_WORDS = set("the of and to in is that for with".split())
 #: Beginnings of providers' secrets.
 PREFIXES = ["AKIA", "ASIA", "ghp_", "github_pat_", "sk_live_", "sk_test_", "sk-proj-", "xoxb-", "xoxp-", "glpat-"]
 #: Words before a number that say what it is.
@@ -349,10 +369,14 @@ HAS_DIGITS = re.compile(r"[0-9]")
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, int]]]:
     """(text with pseudonyms, spans in it: start, end, kind, start in the old text)."""
     kinds = (KINDS if HAS_DIGITS.search(text) else []) + ([EMAIL] if "@" in text else [])
-    found = []
+    found, first = [], None
     for rank, (kind, pattern, change) in enumerate(kinds):
         for start, end in iban_matches(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
-            new = change(key, text[start:end])
+            if kind == "date":
+                first = day_first(text) if first is None else first
+                new = date(key, text[start:end], first)
+            else:
+                new = change(key, text[start:end])
             if new is not None:
                 found.append((start, -end, rank, kind, new))
     if not found:

@@ -209,3 +209,41 @@ def test_blocks_are_permutations():
         assert sorted(p.permuted_symbols(KEY, "x", t, p.DIGITS) for t in texts) == texts
     finally:
         p.BLOCK = block
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("on 03/04/2020 and 25/12/2019", "2020-04-03"),  # another date tells
+        ("on 03/04/2020 and 12/25/2019", "2020-03-04"),
+        ("le contrat est du 03/04/2020 et la fin", "2020-04-03"),  # the language tells
+        ("the contract of 03/04/2020 and the end", "2020-03-04"),
+        ("03/04/2020", "2020-03-04"),
+        ("der Vertrag ist vom 03-04-2020 und gilt", "2020-04-03"),
+    ],
+)
+def test_dates_of_two_readings_keep_their_links(text, wanted):
+    """The pseudonym is that of the day meant, as its other spellings have it."""
+    year, month, day = map(int, p.date(KEY, wanted).split("-"))
+    new, spans = p.pseudonymise(text, KEY)
+    first = min(spans, key=lambda s: s[0] if text.startswith(text[: s[3]]) else 99)
+    told = new[first[0] : first[1]].replace("-", "/")
+    assert told in {f"{day:02d}/{month:02d}/{year}", f"{month:02d}/{day:02d}/{year}"}
+    assert told == (f"{day:02d}/{month:02d}/{year}" if wanted.endswith("04-03") else f"{month:02d}/{day:02d}/{year}")
+
+
+def test_equal_days_in_words_and_numbers():
+    year, month, day = map(int, p.date(KEY, "2020-04-03").split("-"))
+    new = p.pseudonymise("le 3 avril 2020 et le 03/04/2020 et la", KEY)[0]
+    assert f"{day:02d}/{month:02d}/{year}" in new and str(year) in new.split(" et ")[0]
+
+
+@pytest.mark.parametrize("text", ["March 5th, 2020", "MARCH 21ST 2020", "Jan 2nd, 1999", "October 11th, 2001"])
+def test_ordinals(text):
+    new, spans = p.pseudonymise(f"since {text}.", KEY)
+    assert [s[2] for s in spans] == ["worded date"]
+    number = p.re.search(r"(\d{1,2})(st|nd|rd|th)", new, p.re.IGNORECASE)
+    n, sign = int(number[1]), number[2].lower()
+    assert sign == ("th" if n in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")) and number[2].isupper() == ("ST" in text)
+    plain = p.pseudonymise(p.re.sub(r"(?i)(\d)(st|nd|rd|th)", r"\1", text), KEY)[0]
+    assert p.re.sub(r"(?i)(\d)(st|nd|rd|th)", r"\1", new[6:-1]) == plain
