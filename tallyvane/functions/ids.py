@@ -7,7 +7,7 @@ import hmac
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,8 +69,8 @@ def _composed(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Composed form; ASCII passes through without leaving the JVM's result."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(_composed(text))
+    """Composed form. All rows go through Arrow, ASCII too: `identities` parts them first."""
+    return _composed(text)
 
 
 def identity(key: Column, etag: Column, version: Column, ascii_only: bool = False) -> Column:
@@ -80,6 +80,15 @@ def identity(key: Column, etag: Column, version: Column, ascii_only: bool = Fals
     return F.when((key != "") & (pin != "") & ~F.contains(F.concat(key, pin), F.lit("\x00")), F.concat(compose(key), F.lit("\x00"), compose(pin)))
 
 
+def identities(df: DataFrame, key: str, etag: str, version: str, name: str = "identity") -> DataFrame:
+    """df with the identity of its columns key, etag and version; only rows with letters beyond ASCII leave the JVM."""
+    c, all_text = F.col, F.concat_ws("", key, etag, version)
+    plain = F.octet_length(all_text) == F.char_length(all_text)
+    near = df.where(plain).withColumn(name, identity(c(key), c(etag), c(version), ascii_only=True))
+    far = df.where(~plain).withColumn(name, identity(c(key), c(etag), c(version)))
+    return near.unionByName(far)
+
+
 def display_name(id_: Column, media_type: Column, alias_full: Column | None = None, alias_rel: Column | None = None) -> Column:
     """The alias of source/path, else of the path, else a neutral name."""
     neutral = F.when(F.length(id_) >= 8, F.concat(F.lit("file-"), F.lower(F.substring(id_, 1, 8)), F.lit("."), lookup(media_type, MEDIA_EXTENSIONS, "bin")))

@@ -24,6 +24,18 @@ def _hmac(key_hex: str, message: str) -> str:
 _Z = "unhex('00')"
 
 
+_COMPOSED = f"""(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN key WHEN 1 THEN key || 'e' || chr(769) || 'A' || chr(778) ELSE key || 'é' END AS k, etag, CASE WHEN doc_id % 5 = 0 THEN 'v' || 'u' || chr(776) ELSE version_id END AS v FROM {MEMBERS})"""
+
+
+@query(f"""SELECT doc_id, sha256(nfc_normalize(k) || chr(0) || nfc_normalize(CASE WHEN v IN ('', 'null') THEN etag ELSE v END)) AS identity_digest FROM {_COMPOSED}""")
+def composed_ids(spark, sf):
+    """identities of keys and versions with letters beyond ASCII, composed or not."""
+    d = F.col("doc_id")
+    key = F.when(d % 3 == 0, F.col("key")).when(d % 3 == 1, F.concat("key", F.lit("e\u0301A\u030a"))).otherwise(F.concat("key", F.lit("é")))
+    m = V.members(spark, sf).select("doc_id", key.alias("key"), "etag", F.when(d % 5 == 0, "vu\u0308").otherwise(F.col("version_id")).alias("version_id"))
+    return ids.identities(m, "key", "etag", "version_id").select("doc_id", F.sha2(F.col("identity").cast("binary"), 256).alias("identity_digest"))
+
+
 @query(f"""SELECT doc_id, substr({_hmac(ID_KEY, f"encode(listing_id) || {_Z} || encode(key)")}, 1, 32) AS file_id, {_hmac(COMMIT_KEY, "unhex(sha256)")} AS commitment,
  {_hmac(ID_KEY, f"encode('object') || {_Z} || encode('gateway_listing') || {_Z} || encode('gw') || {_Z} || encode(identity) || {_Z} || encode(sha256)")} AS object_id,
  {_hmac(ID_KEY, f"encode('s3_listing') || {_Z} || encode('bucket') || {_Z} || encode(sha256)")} AS locator,
