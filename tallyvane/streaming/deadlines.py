@@ -44,15 +44,12 @@ def stream_settled(rows: DataFrame) -> DataFrame:
             state.remove()
             outcome = ("expired", deadline, None) if opened and not done else None
         else:
-            for frame in batches:
-                ends = frame[frame["kind"] == CLOSE]
-                if len(ends) and (closed is None or ends["at_ms"].min() < closed):
-                    first = ends.loc[ends["at_ms"].idxmin()]
-                    closed, ref = int(first["at_ms"]), first["ref"]
-                starts = frame[frame["kind"] == OPEN]
-                opened = opened or len(starts) > 0
-                limits = starts["deadline_ms"].dropna()
-                deadline = least(deadline, int(limits.min()) if len(limits) else None)
+            for frame in batches:  # plain lists: a key has few rows
+                for kind, at, limit, told in zip(*(frame[c].tolist() for c in ("kind", "at_ms", "deadline_ms", "ref")), strict=True):
+                    if kind == CLOSE and (closed is None or at < closed):
+                        closed, ref = int(at), told
+                    elif kind == OPEN:
+                        opened, deadline = True, least(deadline, None if pd.isna(limit) else int(limit))
             if opened and closed is not None and not done:
                 outcome, done = (("expired", deadline, None) if deadline is not None and deadline <= closed else ("closed", closed, ref)), True
             now = state.getCurrentWatermarkMs()
