@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 #: Sums of a task meet others' in parts of so many.
 PART = 1024
+BLOCK_ROWS = 4096
 
 
 class Rows:
@@ -115,6 +116,40 @@ def logistic_sums(rows: DataFrame, x: np.ndarray, targets: dict[bytes, float] |
     return summed(rows.select(*columns).mapInArrow(run, "i int, values binary"), PART).ravel()[: len(x) + 2]
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (index, value) in blocks of BLOCK_ROWS, one row each: what a fit reads at every step."""
+
+    def run(batches):
+        for batch in slices(batches, BLOCK_ROWS):
+            index, value = batch.column("index").to_pylist(), batch.column("value").to_pylist()
+            sizes = np.fromiter(map(len, index), "<i4", len(index)) // 4
+            row = [sizes.astype("<i4").tobytes(), b"".join(index), b"".join(value)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], ["sizes", "index", "value"])
+
+    return written(rows.select("index", "value").mapInArrow(run, "sizes binary, index binary, value binary"), "blocks")
+
+
+def unlabelled_sums(held: DataFrame, x: np.ndarray) -> np.ndarray:
+    """As logistic_sums with targets of 0, over blocks."""
+    n_parts = -(-(len(x) + 2) // PART)
+
+    def run(batches):
+        total = np.zeros(n_parts * PART)
+        for batch in slices(batches, 16):
+            for sizes, index, value in zip(*(batch.column(c).to_pylist() for c in ("sizes", "index", "value")), strict=True):
+                n = len(sizes) // 4
+                row = np.repeat(np.arange(n), np.frombuffer(sizes, "<i4"))
+                at, by = np.frombuffer(index, "<i4"), np.frombuffer(value, "<f4")
+                g = np.bincount(row, by * x[at], n) + x[-1]
+                error = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+                total[:2] += n, np.logaddexp(0, g).sum()
+                total[2 : len(x) + 1] += np.bincount(at, by * error[row], len(x) - 1)
+                total[len(x) + 1] += error.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), pa.array([v.tobytes() for v in total.reshape(n_parts, PART)], pa.binary())], ["i", "values"])
+
+    return summed(held.mapInArrow(run, "i int, values binary"), PART).ravel()[: len(x) + 2]
+
+
 def lbfgs(objective: Callable, x: np.ndarray, rounds: int, near: float, memory: int = 10) -> np.ndarray:
     """x that minimises an objective, which returns (value, gradient): limited-memory BFGS with halved steps.
 

@@ -10,8 +10,8 @@ second part turns negative its gradient is reversed, which keeps the scorer from
 memorising P. pi is the share of toxic rows among the labelled rows that may be learnt
 from. Features are hashed words and word beginnings, kept if they are clearly more frequent in
 P; their document frequencies are counted over all learnable documents, in P by distinct texts.
-The chosen features of all documents are written once; a step of the fit is one pass of
-sums over them, and scores are read off them.
+The chosen features of all documents are written once, and those of U in blocks; a step of
+the fit is one pass of sums over the blocks, and scores are read off the rows.
 
 Defined cases: a null or empty text has no features and scores by the bias alone. Null ids
 are scored and not learnt from. Repeated rows each count and stay repeated. Without any
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TO_LOWER, crc32_mod, slices, written
-from .linear import Rows, lbfgs, logistic_sums, sampled, smallest_hashes, sparse
+from .linear import Rows, blocks, lbfgs, sampled, smallest_hashes, sparse, unlabelled_sums
 
 #: Positive labelled documents fitted on, at most (by smallest hash of the id).
 POSITIVES = 4_000
 #: Steps of the fit, the gradient at which it ends, and the weight of the squared weights.
-ROUNDS, NEAR, DECAY = 40, 1e-5, 1e-5
+ROUNDS, NEAR, DECAY = 25, 1e-4, 1e-5
 BITS = 20
 MIN_POSITIVES = 5  # distinct texts
 MIN_Z = 4.0
@@ -195,8 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     held = sparse(positive.combine_chunks().to_batches()[0]) if positive.num_rows else Rows([])
     if not held.n:
         return None
-    unlabelled = rows.where((crc32_mod("id", 5) != 0) & F.col("id").isNotNull())
-    return rows, chosen, nnpu(held, lambda x: logistic_sums(unlabelled, x), min(prior, 0.5), len(chosen))
+    unlabelled = blocks(rows.where((crc32_mod("id", 5) != 0) & F.col("id").isNotNull()))
+    return rows, chosen, nnpu(held, lambda x: unlabelled_sums(unlabelled, x), min(prior, 0.5), len(chosen))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
