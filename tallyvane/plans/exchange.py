@@ -48,7 +48,7 @@ def file_listing(spark, sf):
     value = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
     parted = docs.select(F.floor(F.col("id") / 100).alias("part"), "id", value.alias("value"))
     parted.repartition("part").sortWithinPartitions("part", "id").select("part", "value").write.partitionBy("part").text(path)
-    listed = files.list_files(spark, {"root": path}).where("relative_path like 'part=%.txt'").join(files.file_digests(spark, path).select("path", "sha256"), "path")
+    listed = files.list_files(spark, {"root": path}, cap=None).where("relative_path like 'part=%.txt'").join(files.file_digests(spark, path).select("path", "sha256"), "path")
     lines = spark.read.text(path).groupBy(F.concat(F.lit("part="), "part").alias("folder")).agg(F.count("*").alias("lines"))
     told = listed.select(F.regexp_extract("relative_path", "^([^/]*)/", 1).alias("folder"), "size", "sha256").join(lines, "folder")
     files.write_report(told, reports)
