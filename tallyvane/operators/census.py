@@ -34,14 +34,17 @@ def findings(docs: DataFrame, id_col="doc_id", text_col="text", name: Column | N
 
 
 def classified(files: DataFrame, content_col="content", name: Column | None = None) -> DataFrame:
-    """files with the class and encoding of their first bytes; characters that the prefix cuts are left out. No shuffle."""
+    """files with the class of their first bytes and the encoding of all; characters that the prefix cuts are left out.
+
+    A file may be ASCII for longer than the prefix, so its bytes beyond it are only checked for UTF-8.
+    """
     content, text = F.col("_content"), F.col("_text")
     read = spread(files).withColumn("_content", C.whole_characters(F.substring(F.col(content_col), 1, C.PREFIX))).withColumn("_name", name if name is not None else F.lit(""))
     read = read.withColumn("_wide", C.wide_text(content)).withColumn("_text", F.coalesce("_wide", C.narrow_text(content)))
     read = read.withColumn("_trimmed", C.trimmed(text)).withColumn("_line", C.first_line(F.col("_trimmed")))
     read = read.withColumn("_told", C.content_class(text, F.col("_name"), F.col("_trimmed"), F.col("_line")))
     read = read.withColumn("class", F.coalesce(F.when(F.col("_wide").isNotNull(), F.col("_told")), C.magic_class(content), F.col("_told")))
-    return read.withColumn("encoding", C.encoding(content, F.col("class"))).select(*files.columns, "class", "encoding")
+    return read.withColumn("encoding", C.encoding(F.col(content_col), F.col("class"))).select(*files.columns, "class", "encoding")
 
 
 def file_totals(found: DataFrame) -> DataFrame:

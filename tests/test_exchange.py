@@ -35,3 +35,11 @@ def test_the_last_line_alone_is_torn(spark, tmp_path):
     """An id may come twice; only the file's last line has no end."""
     spark.createDataFrame([(i,) for i in [*range(18), 17]], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in QUERIES["torn_tails"](spark, str(tmp_path)).collect()] == [("part=0", True, 3)]
+
+
+def test_letters_beyond_the_prefix_have_an_encoding(spark, tmp_path):
+    """The first letter beyond ASCII may be anywhere in a text, and end it, also at the prefix's last byte."""
+    texts = [(4 * n + k, "x" * n + "é") for n in (10, 4094, 4095, 4096, 9000) for k in range(4)]
+    spark.createDataFrame([*texts, (50_002, "é" + "x" * 9000), (60_002, "plain"), (70_002, "x" * 9000 + "€é")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.encoding for r in QUERIES["byte_encodings"](spark, str(tmp_path)).collect()}
+    assert got == {i: ["utf8_bom", "utf16", "latin1_like", "utf8"][i % 4] for i in [*(i for i, _ in texts), 50_002]}
