@@ -188,16 +188,24 @@ def stream_late(spark, sf):
     return _drained(spark, state.stream_late(_admissions(spark, sf, "late-in")), "late").select("listing", "id")
 
 
-def _batched(spark, df, label: str, parts: int = 4):
-    """df as a stream of batches in order of its column at."""
-    path = shared_path(spark, label)
-    low, high = df.agg(F.min("at"), F.max("at")).first()
-    share = lambda i: low + (high - low) * i / parts
-    for i in range(parts if low is not None else 0):
-        df.where((F.col("at") >= share(i)) & ((F.col("at") < share(i + 1)) if i + 1 < parts else F.lit(True))).coalesce(1).write.mode("append").parquet(path)
-    if low is None:
-        df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _batched(spark, tables, build, label: str, parts: int = 4):
+    """The rows of a stream that build makes of tables, which come in batches in order of their columns at.
+
+    A batch is what has been written when the stream is started again from its checkpoint, so it
+    may have any number of files, and all cores write and read it.
+    """
+    paths = [shared_path(spark, f"{label}-in") for _ in tables]
+    ends = [df.agg(F.min("at"), F.max("at")).first() for df in tables]
+    build_on = lambda: build(*[spark.readStream.schema(df.schema).parquet(path) for df, path in zip(tables, paths, strict=True)])
+    out, check = shared_path(spark, label), shared_path(spark, f"{label}-check")
+    for i in range(parts):
+        for df, path, (low, high) in zip(tables, paths, ends, strict=True):
+            share = lambda k, low=low, high=high: low + (high - low) * k / parts
+            part = df if low is None else df.where((F.col("at") >= share(i)) & ((F.col("at") < share(i + 1)) if i + 1 < parts else F.lit(True)))
+            part.write.mode("append").parquet(path)
+        stream = build_on()
+        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query("""WITH r AS (SELECT event_id AS id, epoch_ms(ts) AS t, epoch_ms(ts) + (event_id % 5 + 1) * 86400000 AS deadline, CASE WHEN event_id % 3 = 0 THEN epoch_ms(ts) + 3 * 86400000 END AS closed FROM events),
@@ -209,7 +217,7 @@ def stream_expiry(spark, sf):
     days = lambda n: F.make_dt_interval(n)
     opened = e.select("id", F.lit(deadlines.OPEN).alias("kind"), "at", (F.col("at") + days((F.col("id") % 5 + 1).cast("int"))).alias("deadline"))
     closed = e.where("id % 3 = 0").select("id", F.lit(deadlines.CLOSE), F.col("at") + days(F.lit(3)), F.lit(None).cast("timestamp"))
-    return _drained(spark, deadlines.stream_expiry(_batched(spark, opened.union(closed), "expiry-in"), "1 hour"), "expiry").select("id", "outcome")
+    return _batched(spark, [opened.union(closed)], lambda s: deadlines.stream_expiry(s, "1 hour"), "expiry").select("id", "outcome")
 
 
 @query("""WITH r AS (SELECT event_id AS seq, epoch_ms(ts) AS t, CASE WHEN event_id % 4 <> 0 THEN epoch_ms(ts) + event_id % 5 * 172800000 END AS audited FROM events),
@@ -219,8 +227,8 @@ def stream_outbox(spark, sf):
     """Outbox rows delivered by audits of later batches, or never within a week."""
     e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
     audits = e.where("seq % 4 <> 0").select("seq", F.col("seq").alias("audit_seq"), (F.col("at") + F.make_dt_interval((F.col("seq") % 5 * 2).cast("int"))).alias("at"))
-    settled = deadlines.stream_outbox(_batched(spark, e, "outbox-in"), _batched(spark, audits, "audits-in"), "7 days", "1 day")
-    return _drained(spark, settled, "outbox").select("seq", "delivered", "audit_seq")
+    settled = _batched(spark, [e, audits], lambda s, a: deadlines.stream_outbox(s, a, "7 days", "1 day"), "outbox")
+    return settled.select("seq", "delivered", "audit_seq")
 
 
 @query("SELECT sha256('f' || doc_id) AS file_id, strlen(coalesce(text, ''))::BIGINT AS size, true AS present FROM documents")

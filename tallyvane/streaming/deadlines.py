@@ -1,9 +1,11 @@
 """Keyed state with event-time timers: requests that expire after their batch, receipts that are audited after theirs.
 
-One state per id, with one timer at its deadline: it is made by whichever row comes first,
-decided once, and removed when the watermark has passed the deadline. Nothing is re-read:
-a decision needs the id's state and the rows of the batch alone. GroupState is used rather
-than a stateful processor, whose calls cross to the JVM several times per key.
+Ids are dealt by a hash into BUCKETS groups. A group's state is a table of the ids that are
+undecided or may still come again, with one timer at the least deadline; a batch's rows are
+folded into it by columns, so Python is called once per group and batch, never once per id.
+An id is decided once, and leaves when the watermark has passed its deadline. Nothing is
+re-read: a decision needs the id's state and the rows of the batch alone. A batch rewrites the
+tables of the groups it touches or whose timer is due: more buckets make them smaller.
 
 Defined cases: rows of an id may come in any order within the watermark's delay, and more
 than once; the least deadline and the earliest close count. A row later than the delay is
@@ -15,62 +17,116 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OPEN, CLOSE = "open", "close"
 #: Days that an outbox row waits for its audit.
 RETENTION = "30 days"
+#: Groups of ids that share a state.
+BUCKETS = 128
+#: A time that never comes.
+NEVER = np.iinfo("int64").max
+#: What is held of an id: its least deadline, its earliest close with the reference, and whether it is decided.
+HELD = pa.schema([("id", pa.string()), ("opened", pa.bool_()), ("deadline", pa.int64()), ("closed", pa.int64()), ("ref", pa.string()), ("done", pa.bool_())])
 
 
-def stream_settled(rows: DataFrame) -> DataFrame:
+def _unpacked(state: GroupState) -> dict[str, np.ndarray]:
+    """The ids that a group holds, by columns."""
+    held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else HELD.empty_table()
+    return {name: held.column(name).to_numpy() for name in HELD.names}
+
+
+def _packed(held: dict[str, np.ndarray]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD) as out:
+        out.write_batch(pa.record_batch([pa.array(held[f.name], f.type, from_pandas=True) for f in HELD], schema=HELD))
+    return sink.getvalue().to_pybytes()
+
+
+def _times(values: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Milliseconds, or NEVER where there are none or the row does not tell them."""
+    told = told & ~pd.isna(values)
+    out = np.full(len(values), NEVER)
+    out[told] = values[told].astype("int64")
+    return out
+
+
+def _folded(held: dict[str, np.ndarray], rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """One row per id of what is held and what has come; touched: the batch has rows of the id."""
+    come = {c: rows[c].to_numpy() for c in ("id", "kind", "at_ms", "deadline_ms", "ref")}
+    opens, closes, old = come["kind"] == OPEN, come["kind"] == CLOSE, len(held["id"])
+    put = lambda name, fresh: np.concatenate([held[name], fresh])
+    code, ids = pd.factorize(put("id", come["id"]), use_na_sentinel=False)
+    n = len(ids)
+    any_of = lambda flags: np.bincount(code, flags, n) > 0
+    closed, deadline = put("closed", _times(come["at_ms"], closes)), np.full(n, NEVER)
+    np.minimum.at(deadline, code, put("deadline", _times(come["deadline_ms"], opens)))
+    first = np.lexsort((closed, code))  # stable: of equal closes the one that came first
+    first = first[np.r_[True, code[first][1:] != code[first][:-1]]]
+    no = np.zeros(len(opens), "bool")
+    return {
+        "id": ids, "opened": any_of(put("opened", opens)), "deadline": deadline, "closed": closed[first], "ref": put("ref", np.where(closes, come["ref"], None))[first],
+        "done": any_of(put("done", no)), "touched": np.bincount(code[old:], minlength=n) > 0,
+    }
+
+
+def _as_text(value: Column, kind: str) -> Column:
+    """A value as text, from which a cast brings it back: columns of numbers with nulls would be rounded on their way to pandas."""
+    return F.base64(value) if kind == "binary" else value.cast("string")
+
+
+def _from_text(value: Column, kind: str) -> Column:
+    return F.unbase64(value) if kind == "binary" else value.cast(kind)
+
+
+def stream_settled(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(id, outcome, at, ref): once per opened id, `closed` before its deadline or `expired` at it.
 
     rows (id, kind, at, deadline, ref) with a watermark on at: kind `open` brings the
     deadline, kind `close` ends it and may bring a reference.
     """
     id_type, ref_type = (rows.schema[c].dataType.simpleString() for c in ("id", "ref"))
-    source = rows.select("id", "kind", "at", F.unix_millis("at").alias("at_ms"), F.unix_millis("deadline").alias("deadline_ms"), "ref")
-
-    def least(a, b):
-        return b if a is None else a if b is None else min(a, b)
+    source = rows.select(
+        F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), _as_text(F.col("id"), id_type).alias("id"), "kind", "at", F.unix_millis("at").alias("at_ms"),
+        F.unix_millis("deadline").alias("deadline_ms"), _as_text(F.col("ref"), ref_type).alias("ref"),
+    )
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, deadline, closed, ref, done = state.get if state.exists else (False, None, None, None, False)
-        outcome = None
+        now, held = state.getCurrentWatermarkMs(), _unpacked(state)
         if state.hasTimedOut:
-            state.remove()
-            outcome = ("expired", deadline, None) if opened and not done else None
+            rows = held | {"touched": np.zeros(len(held["id"]), "bool")}
         else:
-            for frame in batches:  # plain lists: a key has few rows
-                for kind, at, limit, told in zip(*(frame[c].tolist() for c in ("kind", "at_ms", "deadline_ms", "ref")), strict=True):
-                    if kind == CLOSE and (closed is None or at < closed):
-                        closed, ref = int(at), told
-                    elif kind == OPEN:
-                        opened, deadline = True, least(deadline, None if pd.isna(limit) else int(limit))
-            if opened and closed is not None and not done:
-                outcome, done = (("expired", deadline, None) if deadline is not None and deadline <= closed else ("closed", closed, ref)), True
-            now = state.getCurrentWatermarkMs()
-            if opened and deadline is not None and deadline <= now and not done:
-                outcome, done = ("expired", deadline, None), True
-            # A close without its open, and a decided id, wait only for what may still come.
-            until = deadline if opened else closed
-            if until is not None and until > now:
-                state.update((opened, deadline, closed, None if pd.isna(ref) else ref, done))
-                state.setTimeoutTimestamp(until)
-            elif until is None and not done:
-                state.update((opened, deadline, closed, None if pd.isna(ref) else ref, done))
-            elif state.exists:
-                state.remove()
-        if outcome:
-            yield pd.DataFrame({"id": [key[0]], "outcome": [outcome[0]], "at_ms": [outcome[1]], "ref": pd.Series([outcome[2]], dtype="object")})
-
-    settled = source.groupBy("id").applyInPandasWithState(
-        step, f"id {id_type}, outcome string, at_ms bigint, ref {ref_type}", f"opened boolean, deadline bigint, closed bigint, ref {ref_type}, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return settled.select("id", "outcome", F.timestamp_millis("at_ms").alias("at"), "ref")
+            rows = _folded(held, pd.concat(list(batches), ignore_index=True))
+        opened, deadline, closed, touched = (rows[c] for c in ("opened", "deadline", "closed", "touched"))
+        waits = opened & ~rows["done"]
+        ended = waits & (closed != NEVER)
+        # Without rows of its own an id expires by its timer, which is due after its time.
+        expired = np.where(ended, deadline <= closed, waits & (deadline != NEVER) & ((deadline < now) | (touched & (deadline == now))))
+        told = ended | expired
+        rows["done"] = rows["done"] | told
+        # A close without its open, and a decided id, wait only for what may still come.
+        until = np.where(opened, deadline, closed)
+        kept = ((until > now) | (~touched & (until == now))) & ~((until == NEVER) & (rows["done"] | ~opened))
+        timers = until[kept & (until != NEVER)]
+        if kept.any():
+            state.update((_packed({c: rows[c][kept] for c in HELD.names}),))
+            if len(timers):
+                state.setTimeoutTimestamp(int(max(timers.min(), 1)))
+        elif state.exists:
+            state.remove()
+        if told.any():
+            late = expired[told]
+            yield pd.DataFrame({
+                "id": rows["id"][told], "outcome": np.where(late, "expired", "closed"), "at_ms": np.where(late, deadline[told], closed[told]), "ref": np.where(late, None, rows["ref"][told]),
+            })
+
+    settled = source.groupBy("bucket").applyInPandasWithState(step, "id string, outcome string, at_ms bigint, ref string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return settled.select(_from_text(F.col("id"), id_type).alias("id"), "outcome", F.timestamp_millis("at_ms").alias("at"), _from_text(F.col("ref"), ref_type).alias("ref"))
 
 
 def stream_expiry(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
