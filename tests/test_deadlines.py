@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,20 @@ def test_null_ids_are_one(spark, tmp_path):
     parts = [[(None, "open", at(0), at(9))], [(None, "close", at(5), None), (1, "open", at(99), None)]]
     got = drained(spark, d.stream_expiry(batches(spark, tmp_path, "in", REQUESTS, parts)).select("id", "outcome", F.col("at")), tmp_path)
     assert [(r.id, r.outcome, r.at) for r in got] == [(None, "closed", at(5))]
+
+
+def test_many_ids_are_settled_together(spark, tmp_path):
+    """Python is called for groups of ids: a call an id took over 150 s for these. References keep all their digits."""
+    n, big, began = 20_000, (1 << 60) + 1, time.monotonic()
+    day = "timestamp'2024-01-01' + make_dt_interval(id % 3)"
+    a, b = str(tmp_path / "outbox"), str(tmp_path / "audits")
+    spark.range(n).selectExpr(f"id + {big} AS seq", f"{day} AS at").write.parquet(a)
+    spark.range(n).where("id % 2 = 0").selectExpr(f"id + {big} AS seq", f"id + {big + 7} AS audit_seq", f"{day} AS at").write.parquet(b)
+    for path, rest in ((a, []), (b, [f"{big} AS audit_seq"])):
+        spark.range(1).selectExpr("CAST(NULL AS bigint) AS seq", "timestamp'2024-06-01' AS at", *rest).write.mode("append").parquet(path)
+    read = lambda path, more="": spark.readStream.schema(f"seq long, at timestamp{more}").parquet(path)
+    got = drained(spark, d.stream_outbox(read(a), read(b, ", audit_seq long"), "7 days", "1 day"), tmp_path)
+    want = {i + big: i + big + 7 if i % 2 == 0 else None for i in range(n)} | {None: big}
+    assert len(got) == n + 1 and {r.seq: r.audit_seq for r in got} == want
+    assert all(r.delivered == (r.audit_seq is not None) for r in got)
+    assert time.monotonic() - began < 100
