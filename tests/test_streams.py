@@ -217,3 +217,16 @@ def test_files_as_a_stream(spark, tmp_path):
     assert [r.seq for r in scan_audit(spark, str(src)).where("seq is not null").orderBy("seq").collect()] == [1, 2, 3]
     torn = {r.part.rsplit("/", 1)[1]: (r.torn, r.bad_lines) for r in torn_tails(spark, str(src)).collect()}
     assert torn == {"a.jsonl": (False, 0), "b.jsonl": (True, 1)}
+
+
+def test_files_share_states_over_batches(spark, tmp_path):
+    """20,000 files of one group in three batches, and orders without a number: a state holds the files that a batch does not name, too."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema, big = "oid long, fid string, id long, start long, end long", (1 << 60) + 1
+    for n in range(3):
+        rows = spark.range(20_000).where(f"id % 3 <> {n}").selectExpr(f"id + {big} AS oid", "'f' AS fid", f"id * 3 + {n} AS id", "0L AS start", "9L AS end")
+        rows.union(spark.createDataFrame([(None, None, -3 + n, 0, 9)], schema)).coalesce(1).write.mode("append").parquet(src)
+        stream = state.stream_transfers(spark.readStream.schema(schema).parquet(src), buckets=1)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-check").trigger(availableNow=True).start().awaitTermination()
+    got = {r.id: (r.oid, r.verdict, r.served) for r in spark.read.parquet(out).collect()}
+    assert got == {i * 3 + n: (i + big, "granted", 10) for i in range(20_000) for n in range(3) if i % 3 != n} | {-3 + n: (None, "exhausted" if n == 2 else "granted", 10) for n in range(3)}
