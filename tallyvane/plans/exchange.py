@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Window
@@ -188,6 +189,22 @@ def stream_late(spark, sf):
     return _drained(spark, state.stream_late(_admissions(spark, sf, "late-in")), "late").select("listing", "id")
 
 
+#: State stores of a stream that comes in a few large batches, on up to half as many cores.
+STORES = 32
+
+
+@contextmanager
+def _few_stores(spark):
+    """Streams that start within have at most STORES shuffle partitions, or twice the cores if that is more: each is a state store, which a batch loads and commits even if it is empty."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), max(STORES, 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _batched(spark, tables, build, label: str, parts: int = 4):
     """The rows of a stream that build makes of tables, which come in batches in order of their columns at.
 
@@ -204,7 +221,9 @@ def _batched(spark, tables, build, label: str, parts: int = 4):
             part = df if low is None else df.where((F.col("at") >= share(i)) & ((F.col("at") < share(i + 1)) if i + 1 < parts else F.lit(True)))
             part.write.mode("append").parquet(path)
         stream = build_on()
-        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        with _few_stores(spark):
+            done = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+            done.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

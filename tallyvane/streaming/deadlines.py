@@ -31,56 +31,53 @@ RETENTION = "30 days"
 BUCKETS = 128
 #: A time that never comes.
 NEVER = np.iinfo("int64").max
-#: What is held of an id: its least deadline, its earliest close with the reference, and whether it is decided.
-HELD = pa.schema([("id", pa.string()), ("opened", pa.bool_()), ("deadline", pa.int64()), ("closed", pa.int64()), ("ref", pa.string()), ("done", pa.bool_())])
+#: Types of ids and references that are held as longs; others are held as text.
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
-def _unpacked(state: GroupState) -> dict[str, np.ndarray]:
+def _held(id_type: str, ref_type: str) -> pa.Schema:
+    """What is held of an id: its least deadline, its earliest close with the reference, and whether it is decided."""
+    id_, ref = (pa.int64() if kind in INTEGERS else pa.string() for kind in (id_type, ref_type))
+    return pa.schema([("id", id_), ("opened", pa.bool_()), ("deadline", pa.int64()), ("closed", pa.int64()), ("ref", ref), ("ref_known", pa.bool_()), ("done", pa.bool_())])
+
+
+def _unpacked(state: GroupState, schema: pa.Schema) -> dict[str, np.ndarray]:
     """The ids that a group holds, by columns."""
-    held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else HELD.empty_table()
-    return {name: held.column(name).to_numpy() for name in HELD.names}
+    held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else schema.empty_table()
+    return {name: held.column(name).to_numpy() for name in schema.names}
 
 
-def _packed(held: dict[str, np.ndarray]) -> bytes:
+def _packed(held: dict[str, np.ndarray], schema: pa.Schema) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, HELD) as out:
-        out.write_batch(pa.record_batch([pa.array(held[f.name], f.type, from_pandas=True) for f in HELD], schema=HELD))
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.record_batch([pa.array(held[f.name], f.type) for f in schema], schema=schema))
     return sink.getvalue().to_pybytes()
 
 
-def _times(values: np.ndarray, told: np.ndarray) -> np.ndarray:
-    """Milliseconds, or NEVER where there are none or the row does not tell them."""
-    told = told & ~pd.isna(values)
-    out = np.full(len(values), NEVER)
-    out[told] = values[told].astype("int64")
-    return out
-
-
 def _folded(held: dict[str, np.ndarray], rows: pd.DataFrame) -> dict[str, np.ndarray]:
     """One row per id of what is held and what has come; touched: the batch has rows of the id."""
-    come = {c: rows[c].to_numpy() for c in ("id", "kind", "at_ms", "deadline_ms", "ref")}
-    opens, closes, old = come["kind"] == OPEN, come["kind"] == CLOSE, len(held["id"])
-    put = lambda name, fresh: np.concatenate([held[name], fresh])
-    code, ids = pd.factorize(put("id", come["id"]), use_na_sentinel=False)
-    n = len(ids)
-    any_of = lambda flags: np.bincount(code, flags, n) > 0
-    closed, deadline = put("closed", _times(come["at_ms"], closes)), np.full(n, NEVER)
-    np.minimum.at(deadline, code, put("deadline", _times(come["deadline_ms"], opens)))
+    put = lambda name: np.concatenate([held[name], rows[name].to_numpy()])
+    code, ids = pd.factorize(put("id"))
+    n, old = len(ids), len(held["id"])
+    any_of = lambda flags, of=code: np.bincount(of[flags], minlength=n) > 0
+    closed, deadline = put("closed"), np.full(n, NEVER)
+    np.minimum.at(deadline, code, put("deadline"))
     first = np.lexsort((closed, code))  # stable: of equal closes the one that came first
     first = first[np.r_[True, code[first][1:] != code[first][:-1]]]
-    no = np.zeros(len(opens), "bool")
     return {
-        "id": ids, "opened": any_of(put("opened", opens)), "deadline": deadline, "closed": closed[first], "ref": put("ref", np.where(closes, come["ref"], None))[first],
-        "done": any_of(put("done", no)), "touched": np.bincount(code[old:], minlength=n) > 0,
+        "id": ids, "opened": any_of(put("opened")), "deadline": deadline, "closed": closed[first], "ref": put("ref")[first], "ref_known": put("ref_known")[first],
+        "done": any_of(held["done"], code[:old]), "touched": np.bincount(code[old:], minlength=n) > 0,
     }
 
 
-def _as_text(value: Column, kind: str) -> Column:
-    """A value as text, from which a cast brings it back: columns of numbers with nulls would be rounded on their way to pandas."""
-    return F.base64(value) if kind == "binary" else value.cast("string")
+def _plain(value: Column, kind: str) -> Column:
+    """A value as a long or as text, zero or empty for null: columns of numbers with nulls would be rounded on their way to pandas."""
+    if kind in INTEGERS:
+        return F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.base64(value) if kind == "binary" else value.cast("string"), F.lit(""))
 
 
-def _from_text(value: Column, kind: str) -> Column:
+def _from_plain(value: Column, kind: str) -> Column:
     return F.unbase64(value) if kind == "binary" else value.cast(kind)
 
 
@@ -91,13 +88,18 @@ def stream_settled(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     deadline, kind `close` ends it and may bring a reference.
     """
     id_type, ref_type = (rows.schema[c].dataType.simpleString() for c in ("id", "ref"))
+    schema = _held(id_type, ref_type)
+    kind_is = lambda kind: F.coalesce(F.col("kind") == kind, F.lit(False))
+    millis = lambda kind, time: F.coalesce(F.when(kind_is(kind), F.unix_millis(time)), F.lit(int(NEVER)))
+    # Null ids have a group of their own, so that no column of a group has nulls.
+    bucket = F.when(F.col("id").isNull(), F.lit(buckets).cast("bigint")).otherwise(F.pmod(F.xxhash64("id"), F.lit(buckets)))
     source = rows.select(
-        F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), _as_text(F.col("id"), id_type).alias("id"), "kind", "at", F.unix_millis("at").alias("at_ms"),
-        F.unix_millis("deadline").alias("deadline_ms"), _as_text(F.col("ref"), ref_type).alias("ref"),
+        bucket.alias("bucket"), "at", _plain(F.col("id"), id_type).alias("id"), kind_is(OPEN).alias("opened"), millis(OPEN, "deadline").alias("deadline"), millis(CLOSE, "at").alias("closed"),
+        _plain(F.col("ref"), ref_type).alias("ref"), (kind_is(CLOSE) & F.col("ref").isNotNull()).alias("ref_known"),
     )
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, held = state.getCurrentWatermarkMs(), _unpacked(state)
+        now, held = state.getCurrentWatermarkMs(), _unpacked(state, schema)
         if state.hasTimedOut:
             rows = held | {"touched": np.zeros(len(held["id"]), "bool")}
         else:
@@ -114,7 +116,7 @@ def stream_settled(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         kept = ((until > now) | (~touched & (until == now))) & ~((until == NEVER) & (rows["done"] | ~opened))
         timers = until[kept & (until != NEVER)]
         if kept.any():
-            state.update((_packed({c: rows[c][kept] for c in HELD.names}),))
+            state.update((_packed({c: rows[c][kept] for c in schema.names}, schema),))
             if len(timers):
                 state.setTimeoutTimestamp(int(max(timers.min(), 1)))
         elif state.exists:
@@ -122,11 +124,14 @@ def stream_settled(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         if told.any():
             late = expired[told]
             yield pd.DataFrame({
-                "id": rows["id"][told], "outcome": np.where(late, "expired", "closed"), "at_ms": np.where(late, deadline[told], closed[told]), "ref": np.where(late, None, rows["ref"][told]),
+                "id": rows["id"][told], "id_known": key[0] != buckets, "expired": late, "at_ms": np.where(late, deadline[told], closed[told]), "ref": rows["ref"][told], "ref_known": rows["ref_known"][told] & ~late,
             })
 
-    settled = source.groupBy("bucket").applyInPandasWithState(step, "id string, outcome string, at_ms bigint, ref string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
-    return settled.select(_from_text(F.col("id"), id_type).alias("id"), "outcome", F.timestamp_millis("at_ms").alias("at"), _from_text(F.col("ref"), ref_type).alias("ref"))
+    id_as, ref_as = ("bigint" if kind in INTEGERS else "string" for kind in (id_type, ref_type))
+    told = f"id {id_as}, id_known boolean, expired boolean, at_ms bigint, ref {ref_as}, ref_known boolean"
+    settled = source.groupBy("bucket").applyInPandasWithState(step, told, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    value = lambda name, kind: F.when(F.col(f"{name}_known"), _from_plain(F.col(name), kind)).alias(name)
+    return settled.select(value("id", id_type), F.when(F.col("expired"), "expired").otherwise("closed").alias("outcome"), F.timestamp_millis("at_ms").alias("at"), value("ref", ref_type))
 
 
 def stream_expiry(requests: DataFrame, delay: str = "1 hour") -> DataFrame:

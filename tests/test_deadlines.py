@@ -1,12 +1,14 @@
 """Expiry and delivery that happen after a row's batch."""
 
 import datetime
+import os
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyvane.plans import exchange
 from tallyvane.streaming import deadlines as d
 
 START = datetime.datetime(2024, 1, 1)
@@ -124,3 +126,28 @@ def test_many_ids_are_settled_together(spark, tmp_path):
     assert len(got) == n + 1 and {r.seq: r.audit_seq for r in got} == want
     assert all(r.delivered == (r.audit_seq is not None) for r in got)
     assert time.monotonic() - began < 100
+
+
+def test_numbers_are_held_as_longs_and_text_as_text(spark, tmp_path):
+    assert [str(d._held("bigint", "string").field(c).type) for c in ("id", "ref")] == ["int64", "string"]
+    rows = "id string, kind string, at timestamp, deadline timestamp, ref int"
+    parts = [[("a", "open", at(0), at(50), 5), (None, "open", at(0), at(50), None), ("", "open", at(0), at(50), None)], [("a", "close", at(5), None, None), (None, "close", at(60), None, 7), ("", "close", at(6), None, 0)]]
+    settled = d.stream_settled(batches(spark, tmp_path, "in", rows, parts).withWatermark("at", "1 hour"))
+    assert dict(settled.dtypes)["ref"] == "int"
+    got = sorted(((r.id, r.outcome, r.at, r.ref) for r in drained(spark, settled, tmp_path)), key=str)
+    assert got == [("", "closed", at(6), 0), ("a", "closed", at(5), None), (None, "expired", at(50), None)]
+
+
+def test_batches_load_few_state_stores(spark, tmp_path, monkeypatch):
+    """Each of 200 shuffle partitions was a store to load and commit in every batch."""
+    monkeypatch.setattr(exchange, "shared_path", lambda _, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        df = spark.createDataFrame([(1, "open", at(0), at(50)), (1, "close", at(9), None)], REQUESTS)
+        got = exchange._batched(spark, [df], lambda s: d.stream_expiry(s, "1 hour"), "few", parts=1).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r.id, r.outcome) for r in got] == [(1, "closed")]
+    assert len([x for x in os.listdir(tmp_path / "few-check" / "state" / "0") if x.isdigit()]) == exchange.STORES
